@@ -3,16 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cdc import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_ego(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ego import epsilon_join
+
+    return epsilon_join(table(spark, sf_dir, "embeddings"))
+
+
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "worst_start", "worst_end", "worst_score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -25,8 +58,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import conversation_digests, format_conversations
+
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_digests(format_conversations(own.unionByName(more)))
+
+
 def queries() -> dict:
-    return {"op5_simhash": op5_simhash, "op7_packing": op7_packing, "op8_mixing": op8_mixing}
+    found = (op1_warc, op2_fingerprints, op3_ego, op4_lm, op5_simhash, op6_toxicity, op7_packing, op8_mixing, op9_chat)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
