@@ -67,8 +67,14 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_conversations(own.unionByName(more)))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fmindex import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = (op1_warc, op2_fingerprints, op3_ego, op4_lm, op5_simhash, op6_toxicity, op7_packing, op8_mixing, op9_chat)
+    found = (op1_warc, op2_fingerprints, op3_ego, op4_lm, op5_simhash, op6_toxicity, op7_packing, op8_mixing, op9_chat, op10_substrings)
     return {f.__name__: f for f in found}
 
 
