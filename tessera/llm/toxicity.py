@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +17,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Emitter, arrow_schema, rows
+from .common import Emitter, arrow_schema, materialize, rows
 
 #: Bound of the training sample: documents of each label, lowest hash of the doc_id first.
 TRAIN_POSITIVE, TRAIN_NEGATIVE = 4000, 8000
-#: Words that fewer training documents hold are no features; the model keeps MAX_FEATURES words at most.
-MIN_DOCUMENTS, MAX_FEATURES = 5, 20000
-EPOCHS, RATE, L2, START_BIAS = 150, 0.3, 2e-4, -5.0
+#: A feature is kept if MIN_POSITIVE toxic documents of the sample have it, and MIN_Z standard deviations more
+#: of them than chance would give; of these, the MAX_FEATURES with the largest deviation.
+MIN_POSITIVE, MIN_Z, MAX_FEATURES = 3, 3.5, 20000
+#: Sample documents that begin with the same FAMILY_CHARS characters count as copies of one: one of them is used.
+FAMILY_CHARS = 48
+EPOCHS, RATE, L2, START_BIAS = 200, 0.3, 1e-4, -5.0
+PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4)
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -39,40 +42,48 @@ def sentences(text: str | None) -> list[tuple[int, int, set[str]]]:
     return out
 
 
-def _bags(docs: DataFrame) -> DataFrame:
-    """(doc_id, toxic, ids, ends): the 64-bit word ids of each sentence one after the other, and where sentences end."""
-    out = arrow_schema(toxic=pa.int32(), digest=pa.int64(), ids=pa.binary(), ends=pa.binary())
+def features(word: str) -> list[str]:
+    """The word itself and its beginnings and ends."""
+    n = len(word)
+    return ["=" + word, *["^" + word[:k] for k in PREFIXES if n > k], *["$" + word[-k:] for k in SUFFIXES if n > k]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Emitter(out, 512)
-        for batch in batches:
-            for t, y in zip(*rows(batch, "text", "toxic"), strict=True):
-                found = [sorted(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in s[2]) for s in sentences(t)]
-                ends = np.cumsum([len(f) for f in found], dtype=np.int32)
-                digest = xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"))
-                e.add(y, digest - (1 << 63), np.array([i for f in found for i in f], np.uint64).tobytes(), ends.astype(np.int32).tobytes())
-                if e.full():
-                    yield e.take()
-        yield e.take()
 
-    return docs.mapInArrow(run, "toxic int, digest long, ids binary, ends binary")
+class Model:
+    """Feature weights and bias; ``score`` gives the noisy-or of a document and its worst sentence.
 
+    The logit of a sentence is the bias plus the weights of its distinct words, that of a word the sum over
+    its features.  Words are remembered by spelling, up to ``remembered`` of them.
+    """
 
-class Model:
-    """Word weights and bias; ``score`` gives the noisy-or of a document and its worst sentence."""
+    def __init__(self, weights: dict[str, float], bias: float, remembered: int = 200_000):
+        self.by_feature, self.bias, self.limit = weights, bias, remembered
+        self.weights: dict[str, float] = {}
+        self.absent: set[str] = set()
 
-    def __init__(self, weights: dict[str | int, float], bias: float):
-        self.weights, self.bias = weights, bias
+    def learn_words(self, words: set[str]) -> None:
+        if len(self.absent) > self.limit:
+            self.absent.clear()
+        if len(self.weights) > self.limit:
+            self.weights.clear()
+        get = self.by_feature.get
+        for w in words - self.absent - self.weights.keys():
+            found = [x for x in map(get, features(w)) if x is not None]
+            if found:
+                self.weights[w] = math.fsum(found)
+            else:
+                self.absent.add(w)
 
     def score(self, text: str | None) -> tuple[float, int | None, int | None, float]:
         """(score, start, end, sentence score); a text without sentences has score 0 and no worst sentence."""
         keep, worst = 0.0, (-1.0, None, None)
+        bag = sentences(text)
+        self.learn_words(set().union(*[b[2] for b in bag]))
         known, get = self.weights.keys(), self.weights.get
         base = math.log1p(math.exp(self.bias))
-        for start, end, words in sentences(text):
+        for start, end, words in bag:
             hit = known & words
             if hit:
-                z = self.bias + math.fsum(map(get, sorted(hit)))
+                z = self.bias + math.fsum(map(get, hit))
                 cost = z if z > 30 else math.log1p(math.exp(z))
                 p = 1.0 / (1.0 + math.exp(-max(z, -700.0)))
             else:
@@ -83,55 +94,39 @@ class Model:
         return 1.0 - math.exp(-keep), worst[1], worst[2], max(worst[0], 0.0)
 
 
-def fit_bags(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, float]:
-    """(word ids, weights, bias) by full-batch Adam on the noisy-or log likelihood.
+def fit_bags(bags: list[tuple[int, list[list[int]]]], n_features: int) -> tuple[np.ndarray, float]:
+    """(weights, bias) by full-batch Adam on the noisy-or log likelihood of (label, features of each sentence).
 
     log(1 - P) of a document is the sum of log(1 - p) over its sentences, so a label of 0 pushes every
     sentence down, while a label of 1 shares its pull among the sentences by (1 - P) / P * p.
     """
-    count: Counter[int] = Counter()
-    for _, ids, _ in bags:
-        count.update(set(ids.tolist()))
-    often = sorted((w for w, n in count.items() if n >= MIN_DOCUMENTS), key=lambda w: (-count[w], w))
-    positive = Counter(w for y, ids, _ in bags if y for w in set(ids.tolist()))
-    share = max(sum(1 for b in bags if b[0]), 1) / max(len(bags), 1)
-    gain = {w: abs(positive[w] - count[w] * share) / math.sqrt(count[w]) for w in often}
-    words = np.array(sorted(sorted(often, key=lambda w: (-gain[w], w))[:MAX_FEATURES]), np.uint64)
-    if not len(bags) or not any(b[0] for b in bags):
-        return words, np.zeros(len(words)), -20.0
-    sent, feat, doc_of = [], [], []
-    n = 0
-    for d, (_, ids, ends) in enumerate(bags):
-        at = np.searchsorted(words, ids)
-        ok = (at < len(words)) & (words[np.minimum(at, len(words) - 1)] == ids) if len(words) else np.zeros(len(ids), bool)
-        own = np.searchsorted(ends, np.arange(len(ids)), side="right")
-        sent.append((own + n)[ok])
-        feat.append(at[ok])
-        doc_of.append(np.full(len(ends), d))
-        n += len(ends)
-    s, f, owner = (np.concatenate(x).astype(np.int64) for x in (sent, feat, doc_of))
     y = np.array([b[0] for b in bags], np.float64)
-    weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(bags)
-    theta = np.concatenate([np.zeros(len(words)), [START_BIAS]])
+    if not y.sum():
+        return np.zeros(n_features), -30.0
+    size = [len(f) for _, bag in bags for f in bag]
+    s = np.repeat(np.arange(len(size)), size)
+    f = np.array([i for _, bag in bags for sent in bag for i in sent], np.int64)
+    owner = np.repeat(np.arange(len(bags)), [len(bag) for _, bag in bags])
+    n = len(size)
+    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / max((1 - y).sum(), 1))
+    theta = np.concatenate([np.zeros(n_features), [START_BIAS]])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, EPOCHS + 1):
         z = np.bincount(s, theta[f], n) + theta[-1]
         keep = np.bincount(owner, np.logaddexp(0, z), len(bags))
         p_doc = -np.expm1(-keep)
-        pull = np.where(y > 0, (1 - p_doc) / np.maximum(p_doc, 1e-12), -1.0) * weight / len(bags)
+        pull = np.where(y > 0, (1 - p_doc) / np.maximum(p_doc, 1e-12), -1.0) * weight
         g_z = -pull[owner] / (1 + np.exp(-z))
-        grad = np.concatenate([np.bincount(f, g_z[s], len(words)) + L2 * theta[:-1], [g_z.sum()]])
+        grad = np.concatenate([np.bincount(f, g_z[s], n_features) + L2 * theta[:-1], [g_z.sum()]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return words, theta[:-1], float(theta[-1])
+    return theta[:-1], float(theta[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
-    """Fits on labelled documents whose crc32(doc_id as text) mod ``fold`` is not 0.
+def training_sample(docs: DataFrame, labels: DataFrame, fold: int = 5) -> DataFrame:
+    """(text, toxic) of labelled documents whose crc32(doc_id as text) mod ``fold`` is not 0, within the bounds.
 
-    Per label the sample is the TRAIN_POSITIVE or TRAIN_NEGATIVE documents of lowest hash.  Exact copies
-    count once, so that a text with thousands of copies does not outweigh the rest.  Rows of ``labels``
-    without a doc_id or a label are left out; a doc_id labelled twice takes the larger label.
+    Rows of ``labels`` without a doc_id or a label are left out; a doc_id labelled twice takes the larger label.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.where(F.pmod(F.crc32(F.col("_id").cast("string")), F.lit(fold)) != 0).withColumn("_rank", F.xxhash64(F.lit("toxic"), "_id"))
@@ -139,14 +134,47 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5) -> tuple[np.ndarray
         marks.where(F.col("toxic") > 0).orderBy("_rank", "_id").limit(TRAIN_POSITIVE),
         marks.where(F.col("toxic") <= 0).orderBy("_rank", "_id").limit(TRAIN_NEGATIVE),
     ]
-    sample = F.broadcast(parts[0].unionByName(parts[1]).select("_id", "toxic"))  # bounded by the two limits
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text")).join(sample, "_id").select("text", "toxic")
-    seen: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
-    for row in _bags(texts).toLocalIterator():
-        bag = (int(row.toxic > 0), np.frombuffer(row.ids, np.uint64), np.frombuffer(row.ends, np.int32))
-        if row.digest not in seen or bag[0] > seen[row.digest][0]:
-            seen[row.digest] = bag
-    return fit_bags([seen[k] for k in sorted(seen)])
+    sample = F.broadcast(parts[0].unionByName(parts[1]))  # bounded by the two limits
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text")).join(sample, "_id")
+    families = texts.groupBy(F.substring("text", 1, FAMILY_CHARS), (F.col("toxic") > 0).cast("int").alias("toxic"))
+    return materialize(families.agg(F.min_by("text", F.struct("_rank", "_id", F.xxhash64("text"))).alias("text")).select("text", "toxic"), "toxic")
+
+
+def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
+    """Feature weights and bias.  The sample and the features that go to the driver are bounded by parameters."""
+    sample = training_sample(docs, labels)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e = Emitter(arrow_schema(feature=pa.string(), toxic=pa.int32()))
+            for text, toxic in zip(*rows(batch, "text", "toxic"), strict=True):
+                words = set(WORD.findall(text.lower()))
+                for f in {f for w in words for f in features(w)}:
+                    e.add(f, toxic)
+                if e.full():
+                    yield e.take()
+            yield e.take()
+
+    totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
+    share = totals.p / max(totals.n, 1)
+    counts = sample.mapInArrow(held, "feature string, toxic int").groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("p"))
+    z = (F.col("p") - F.col("n") * share) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-9))
+    chosen = counts.where(F.col("p") >= MIN_POSITIVE).withColumn("z", z).where(F.col("z") >= MIN_Z)
+    names = sorted(r.feature for r in chosen.orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect())
+    number = {f: i for i, f in enumerate(names)}
+
+    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e = Emitter(arrow_schema(toxic=pa.int32(), digest=pa.int64(), bag=pa.list_(pa.list_(pa.int32()))))
+            for text, toxic in zip(*rows(batch, "text", "toxic"), strict=True):
+                found = [sorted(number[f] for w in s[2] for f in features(w) if f in number) for s in sentences(text)]
+                e.add(toxic, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), found)
+            yield e.take()
+
+    found = sample.mapInArrow(bag, "toxic int, digest long, bag array<array<int>>").collect()  # at most TRAIN_POSITIVE + TRAIN_NEGATIVE rows of selected features
+    bags = [(r.toxic, r.bag) for r in sorted(found, key=lambda r: (r.digest, r.toxic))]
+    weights, bias = fit_bags(bags, len(names))
+    return dict(zip(names, weights.tolist(), strict=True)), bias
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -156,15 +184,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Columns of ``docs`` with these names are replaced; all others, whatever their names, pass through.
     Without labelled documents nothing is predicted toxic.
     """
-    ids, weights, bias = train(docs, labels)
+    weights, bias = train(docs, labels)
     own = ["score", "predicted", "worst_start", "worst_end", "worst_score"]
     keep = [c for c in docs.columns if c not in own]
-    model = docs.sparkSession.sparkContext.broadcast((ids, weights, bias))  # at most MAX_FEATURES weights
+    model = docs.sparkSession.sparkContext.broadcast((weights, bias))  # at most MAX_FEATURES weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, weights, bias = model.value
-        by_id = dict(zip(ids.tolist(), weights.tolist(), strict=True))
-        scorer = HashedModel(by_id, bias)
+        scorer = Model(*model.value)
         for batch in batches:
             found = [scorer.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             columns = [batch.column(i) for i in range(len(keep))]
@@ -181,23 +207,3 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for name, kind in zip(own, ("double", "integer", "integer", "integer", "double"), strict=True):
         schema = schema.add(name, kind)
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
-
-
-class HashedModel(Model):
-    """A model keyed by word hash: words are looked up once and remembered by spelling, within a bound."""
-
-    def __init__(self, by_id: dict[int, float], bias: float, remembered: int = 200_000):
-        super().__init__({}, bias)
-        self.by_id, self.limit, self.absent = by_id, remembered, set()
-
-    def score(self, text: str | None) -> tuple[float, int | None, int | None, float]:
-        new = set(WORD.findall((text or "").lower())) - self.absent - self.weights.keys()
-        for w in new:
-            x = self.by_id.get(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")))
-            if x is None:
-                self.absent.add(w)
-            else:
-                self.weights[w] = x
-        if len(self.absent) > self.limit:
-            self.absent.clear()
-        return super().score(text)
