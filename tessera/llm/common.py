@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize, scratch_path, shared_dir  # noqa: F401
+
 #: A word is a maximal run of anything but ASCII white space (same set as ``bytes.split()``).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -22,36 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share.
-
-    It is what the cluster names in ``spark.checkpoint.dir``.  Only a local-mode session, where one
-    machine runs everything, may fall back on a folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the driver and all executors")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends there, so a lost executor costs a reread."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def key_text(doc_id: Column) -> Column:
     return doc_id.cast("string")
 
