@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import Emitter, arrow_schema, rows
 
-OPEN, ROLE_END, CLOSE = "### ", ": ", "</turn>\n"
+OPEN, CLOSE = "### ", "</turn>\n"
 TEMPLATE = (
     "{% for m in messages %}"
     "{{ '### ' + m.role|escape + ': ' }}"
@@ -325,32 +325,22 @@ def compile_template(source: str = TEMPLATE) -> Callable[[dict], Pieces]:
 
 # --- reading back -------------------------------------------------------------------------------------
 
-_BREAK = re.compile(r"(?:[^\\]|\\.)*?(?=: )", re.DOTALL)
+# Inside roles and texts every character that could begin or end a control string follows a backslash.
+_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.)*)</turn>\n", re.DOTALL)
 
 
-def read_turns(pieces: Pieces) -> Iterator[tuple[str, str, list[tuple[str, bool]]]]:
-    """(role, text, marked stretches) of each turn of formatted text in the form of TEMPLATE.
-
-    Only unescaped control strings count: inside a text each of their characters follows a backslash.
-    """
+def read_turns(pieces: Pieces) -> Iterator[tuple[str, str, list[str]]]:
+    """(role, text, marked stretches) of each turn of formatted text in the form of TEMPLATE; a turn ends with a piece."""
     held: list[tuple[str, bool]] = []
     for text, marked in pieces:
         held.append((text, marked))
-        if text.endswith(CLOSE) and not marked:
-            yield _turn(held)
+        if not marked and text.endswith(CLOSE) and (m := _TURN.fullmatch("".join(t for t, _ in held))):
+            yield unescape(m[1]), unescape(m[2]), [unescape(t) for t, marked in held if marked]
             held = []
     if any(t for t, _ in held):
         raise ValueError("the formatted text ends inside a turn")
 
 
-def _turn(held: list[tuple[str, bool]]) -> tuple[str, str, list[tuple[str, bool]]]:
-    whole = "".join(t for t, _ in held)
-    m = _BREAK.match(whole, len(OPEN)) if whole.startswith(OPEN) else None
-    if not m or not whole.endswith(CLOSE):
-        raise ValueError("not a turn")
-    return unescape(m.group()), unescape(whole[m.end() + len(ROLE_END) : -len(CLOSE)]), [(unescape(t), True) for t, marked in held if marked]
-
-
 def format_conversations(df: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """(conv_id, turn_no, formatted, marks) per row of ``df`` (conv_id, turn, role, text), in the order of turns.
 
@@ -413,7 +403,7 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
                 for role, said, marked in read_turns(iter(pieces)):
                     state[1] += 1
                     state[2].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
-                    for piece, _ in marked:
+                    for piece in marked:
                         state[3] += len(piece)
                         state[4].update(piece.encode("utf-8", "surrogatepass"))
                 state[5] += len(text)
