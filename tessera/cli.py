@@ -22,8 +22,8 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tessera")
     sub = p.add_subparsers(dest="command", required=True)
 
-    def command(name: str, **options) -> None:
-        c = sub.add_parser(name)
+    def command(title: str, /, **options) -> None:
+        c = sub.add_parser(title)
         for key, kw in options.items():
             c.add_argument("--" + key.replace("_", "-"), **kw)
 

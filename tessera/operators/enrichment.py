@@ -199,7 +199,7 @@ def validate_payload(answers: DataFrame) -> DataFrame:
 
 def payload_rows(payloads: DataFrame, units: DataFrame) -> DataFrame:
     """Relation rows (as of ``extraction.relation_rows``) from payloads (unit_id, payload); names take the first spelling of their key."""
-    base = payloads.join(units.select(F.col("id").alias("unit_id"), "document_id", "position", F.col("text").alias("_unit")), "unit_id")
+    base = payloads.select("unit_id", "payload").join(units.select(F.col("id").alias("unit_id"), "document_id", "position", F.col("text").alias("_unit")), "unit_id")
     raw = base.select("unit_id", "document_id", "position", "_unit", F.posexplode("payload.relationships").alias("k", "x"))
     ents = base.select("document_id", "position", F.posexplode("payload.entities").alias("k", "x")).select(
         F.struct("document_id", "position", F.lit(0).alias("group"), "k", F.lit(0).alias("end")).alias("at"), t.strip(t.nvl(F.coalesce(F.nullif("x.name", F.lit("")), "x.title"))).alias("name")

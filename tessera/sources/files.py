@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as t
 
@@ -36,7 +37,7 @@ def html_text(source: str | None) -> str:
     return " ".join(parser.found)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_text(source: pd.Series) -> pd.Series:
     return source.map(html_text)
 
