@@ -94,7 +94,7 @@ def lexical_similarity(left: Column, right: Column) -> Column:
 
 
 def lexical_of(a: Column, b: Column) -> Column:
-    """The same for arrays of content tokens."""
+    """The same for arrays of content tokens, which should be columns: an expression would be computed for every token."""
     shared = F.array_intersect(a, b)
     count = lambda t, of: F.size(F.filter(of, lambda x: x == t)).cast("double")
     norm = lambda of: F.sqrt(F.aggregate(F.array_distinct(of), F.lit(0.0), lambda s, t: s + count(t, of) * count(t, of)))

@@ -117,6 +117,23 @@ def dense_top_k(queries: DataFrame, texts: DataFrame, key: list[str], k: int = 8
     return out.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
 
 
+def dense_scores(queries: DataFrame, texts: DataFrame, embedder: Embedder = hashed_embedder, chunk: int = 1024) -> DataFrame:
+    """(qid, id, embedding): the non-negative cosine of every query (qid, text) and every text (id, text), by products of matrices."""
+    own = queries.select("qid", "text", t.content_tokens(F.col("text")).alias("_t")).collect()  # the queries; see QUERIES_PER_PASS
+    matrix = embedder([r["_t"] for r in own], [r["text"] for r in own]) if own else np.zeros((0, 256))
+    qids = np.array([r["qid"] for r in own], object)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), chunk):
+                part = pdf.iloc[at : at + chunk]
+                scores = np.round(np.maximum(0.0, matrix @ embedder([list(x) for x in part["_t"]], list(part["text"])).T), DIGITS)
+                yield pd.DataFrame({"qid": np.repeat(qids, len(part)), "id": np.tile(part["id"].to_numpy(), len(qids)), "embedding": scores.ravel()})
+
+    schema = queries.select("qid").schema.add("id", texts.schema["id"].dataType).add("embedding", "double")
+    return texts.select("id", "text", t.content_tokens(F.col("text")).alias("_t")).mapInPandas(run, schema)
+
+
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     order = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i])) if len(ids) <= 4 * k else None
     if order is None:

@@ -27,8 +27,8 @@ def bridge_entities(index: Index, queries: DataFrame, ranked: DataFrame, config:
     title = F.array_distinct(t.content_tokens(F.col("title")))
     docs = index.documents.select("id", title.alias("_title"))
     kept = seeds.join(docs, "id").where(~((F.size("_title") == 1) & t.subset(F.col("_title"), F.col("_qt"))))
-    edges = document_edges(index).select("id", "ord", "edge_id", "source", "target", "reliability", F.coalesce(F.nullif("edge_text", F.lit("")), "description", F.lit("")).alias("_text"))
-    match = t.lexical_of(F.col("_qt"), t.content_tokens(F.col("_text")))
+    edges = document_edges(index).select("id", "ord", "edge_id", "source", "target", "reliability", t.content_tokens(F.coalesce(F.nullif("edge_text", F.lit("")), "description")).alias("_text"))
+    match = t.lexical_of(F.col("_qt"), F.col("_text"))
     base = F.col("_s") * reliability_factor(F.col("reliability")) * (0.25 + match)
     ends = kept.join(edges, "id").withColumn("_base", base).select("qid", "rank", "ord", "edge_id", "_qt", "_base", F.posexplode(F.array("source", "target")).alias("end", "title"))
     ends = ends.withColumns({"key": t.casefold(F.col("title")), "_tt": t.content_tokens(F.col("title"))})

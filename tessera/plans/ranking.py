@@ -253,12 +253,13 @@ def rank_documents(index: Index, queries: DataFrame, config: RetrievalConfig | N
     """
     config = config or RetrievalConfig()
     index = index.visible(calibrated, config.uses("use_inferred_edges"))
-    first = first_stage(index, queries, config, calibrated, embedder)
+    first = materialize(first_stage(index, queries, config, calibrated, embedder), "first")
     snippets = best_snippets(index, queries, first)
     full = first.join(snippets, ["qid", "id"]).join(queries.select("qid", F.col("text").alias("_q")), "qid")
-    lexical = F.round(t.lexical_similarity(F.col("_q"), F.concat("title", F.lit(". "), "snippet")), DIGITS)
+    full = full.withColumns({"_a": t.content_tokens(F.col("_q")), "_b": t.content_tokens(F.concat("title", F.lit(". "), "snippet"))})
+    lexical = F.round(t.lexical_of(F.col("_a"), F.col("_b")), DIGITS)
     full = full.withColumn("reranker", F.when(F.col("rank") <= config.rerank_k, lexical).otherwise(0.0))
-    full = full.withColumn("score", F.round(weighted(config.weights), 6)).drop("_q", "rank", "first_score")
+    full = full.withColumn("score", F.round(weighted(config.weights), 6)).drop("_q", "_a", "_b", "rank", "first_score")
     limit = top_k or config.top_k
     names = [c for c in full.columns if c not in ("qid", "id")]
 
