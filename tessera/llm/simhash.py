@@ -102,7 +102,7 @@ def group_bits(bits: np.ndarray, m: int) -> list[list[int]]:
     """``m`` groups of about equal size that hold bits correlated with each other."""
     width = bits.shape[1]
     x = bits.astype(np.float64)
-    x -= x.mean(axis=0)
+    x -= x.mean(axis=0) if len(x) else 0.0
     norm = np.sqrt((x * x).sum(axis=0))
     corr = np.abs(x.T @ x) / np.maximum(np.outer(norm, norm), 1e-9) if len(x) else np.zeros((width, width))
     np.fill_diagonal(corr, 0)
@@ -193,59 +193,68 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def tile_groups(fps: np.ndarray, tau: int, tile: int = 512) -> list[tuple[int, int]]:
-    """Edges that connect just what links of at most ``tau`` bits connect: at most one per row."""
-    root = np.arange(len(fps))
+class Forest:
+    """Union-find over any values; ``join`` says whether an edge has connected what was apart.
+
+    Beyond ``limit`` values it starts anew, which only lets more edges through.
+    """
+
+    def __init__(self, limit: int = 300_000):
+        self.up: dict = {}
+        self.limit = limit
+
+    def find(self, x):
+        up = self.up
+        while (above := up.get(x, x)) != x:
+            up[x] = up.get(above, above)
+            x = above
+        return x
+
+    def join(self, a, b) -> bool:
+        if len(self.up) > self.limit:
+            self.up.clear()
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True
+
+
+def tile_groups(fps: np.ndarray, tau: int, label: np.ndarray | None = None, tile: int = 512) -> list[tuple[int, int]]:
+    """Edges that connect just what links of at most ``tau`` bits connect: at most one per row.
+
+    Rows of equal ``label`` are connected already and get no edge between each other.
+    """
+    root = np.arange(len(fps)) if label is None else np.unique(label, return_index=True)[1][np.unique(label, return_inverse=True)[1]]
+    forest, out = Forest(2 * len(fps)), []
     for a in range(0, len(fps), tile):
         for b in range(0, a + 1, tile):
+            if label is not None and (root[a : a + tile].min() == root[a : a + tile].max() == root[b : b + tile].min() == root[b : b + tile].max()):
+                continue
             i, j = np.nonzero(distances(fps[a : a + tile, None], fps[None, b : b + tile]) <= tau)
             pairs = np.unique(np.stack([root[i + a], root[j + b]], 1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]].tolist()
-            if pairs:
-                up: dict[int, int] = {}
-
-                def find(x: int, up=up) -> int:
-                    while up.get(x, x) != x:
-                        up[x] = up.get(up[x], up[x])
-                        x = up[x]
-                    return x
-
-                for x, y in pairs:
-                    x, y = find(x), find(y)
-                    if x != y:
-                        up[max(x, y)] = min(x, y)
+            new = [(x, y) for x, y in pairs[pairs[:, 0] != pairs[:, 1]].tolist() if forest.join(x, y)]
+            if new:
+                out += new
                 to = np.arange(len(fps))
-                for x in up:
-                    to[x] = find(x)
+                for x in {x for pair in new for x in pair} | set(forest.up):
+                    to[x] = forest.find(x)
                 root = to[root]
-    return [(i, int(r)) for i, r in enumerate(root.tolist()) if r != i]
-
-
-def leader_links(fps: np.ndarray, tau: int, absorb: int) -> list[tuple[int, int]]:
-    """Links of each row to the leaders within ``tau``; a row becomes a leader unless one is within ``absorb``."""
-    leaders, out = [0], []
-    stack = np.empty_like(fps)
-    stack[0] = fps[0]
-    for i in range(1, len(fps)):
-        d = distances(stack[: len(leaders)], fps[i])
-        near = np.nonzero(d <= tau)[0]
-        out += [(i, leaders[k]) for k in near.tolist()]
-        if not len(near) or d[near].min() > absorb:
-            stack[len(leaders)] = fps[i]
-            leaders.append(i)
     return out
 
 
-def bucket_links(keyed: DataFrame, words: int, tau: int, absorb: int | None) -> DataFrame:
+def bucket_links(keyed: DataFrame, words: int, tau: int) -> DataFrame:
     """Links (a0, .., b0, ..) between fingerprints of equal ``key`` within ``tau``, from rows sorted by key.
 
-    Short runs give each of their links.  A longer run gives links that connect the same groups
-    (``absorb`` None), or its links to leaders.  Memory: one batch and one run.
+    ``keyed``: (key, label, f0, ..); rows of equal label are connected already.  The links connect what all
+    links connect: a short run is compared pair by pair, a longer one tile by tile, and a task passes on the
+    links that connect what it has not connected yet.  Memory: one batch, one run and a bounded forest.
     """
     names = [f"{s}{w}" for s in "ab" for w in range(words)]
     out = arrow_schema(**{n: pa.int64() for n in names})
 
-    def links(key: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    def links(key: np.ndarray, label: np.ndarray, fps: np.ndarray) -> np.ndarray:
+        """Rows (label, fingerprint) of both ends of the links of whole runs."""
         start = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1])
         length = np.diff(np.concatenate([start, [len(key)]]))
         run = np.repeat(np.arange(len(start)), length)
@@ -255,52 +264,58 @@ def bucket_links(keyed: DataFrame, words: int, tau: int, absorb: int | None) ->
             i = np.nonzero(short[:-lag] & (run[lag:] == run[:-lag]))[0]
             if not len(i):
                 break
+            i = i[label[i] != label[i + lag]]
             i = i[distances(fps[i], fps[i + lag]) <= tau]
             left.append(i)
             right.append(i + lag)
         for r in np.nonzero(length > SHORT_RUN)[0].tolist():
-            own = np.unique(fps[start[r] : start[r] + length[r]], axis=0, return_index=True)[1] + start[r]
-            found = np.array(tile_groups(fps[own], tau) if absorb is None else leader_links(fps[own], tau, absorb), np.int64).reshape(-1, 2)
-            left.append(own[found[:, 0]])
-            right.append(own[found[:, 1]])
+            own = slice(start[r], start[r] + length[r])
+            found = np.array(tile_groups(fps[own], tau, label[own]), np.int64).reshape(-1, 2) + start[r]
+            left.append(found[:, 0])
+            right.append(found[:, 1])
         i, j = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (left, right))
-        pair = np.hstack([fps[i], fps[j]])
-        return pair[(fps[i] != fps[j]).any(axis=1)] if len(i) else pair
+        return np.column_stack([label[i], label[j], fps[i].view(np.int64), fps[j].view(np.int64)])
 
     def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        forest = Forest()
 
-        def done(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            pair = np.unique(links(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])), axis=0)
-            for at in range(0, len(pair), 65536):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[at : at + 65536, c]).view(np.int64)) for c in range(2 * words)], schema=out)
+        def done(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            pairs = np.unique(links(*(np.concatenate([p[k] for p in parts]) for k in range(3))), axis=0)
+            new = [forest.join(a, b) for a, b in pairs[:, :2].tolist()]
+            pairs = np.ascontiguousarray(pairs[np.array(new, bool), 2:]) if new else pairs[:0, 2:]
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in range(2 * words)], schema=out)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            fps = np.stack([batch.column(1 + w).to_numpy(zero_copy_only=False).view(np.uint64) for w in range(words)], 1)
-            cut = int(np.searchsorted(key, key[-1])) if key[0] <= key[-1] else 0  # the last run may go on in the next batch
+            key, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
+            fps = np.stack([batch.column(2 + w).to_numpy(zero_copy_only=False).view(np.uint64) for w in range(words)], 1)
+            cut = int(np.searchsorted(key, key[-1]))  # the last run may go on in the next batch
             if cut:
-                yield from done([*held, (key[:cut], fps[:cut])])
-                held = [(key[cut:], fps[cut:])]
+                yield from done([*held, (key[:cut], label[:cut], fps[:cut])])
+                held = [(key[cut:], label[cut:], fps[cut:])]
             elif held and held[-1][0][-1] != key[0]:
                 yield from done(held)
-                held = [(key, fps)]
+                held = [(key, label, fps)]
             else:
-                held.append((key, fps))
+                held.append((key, label, fps))
         if held:
             yield from done(held)
 
-    fields = ["key", *[f"f{w}" for w in range(words)]]
+    fields = ["key", "label", *[f"f{w}" for w in range(words)]]
     sorted_rows = keyed.select(*fields).repartition("key").sortWithinPartitions("key")
     return sorted_rows.mapInArrow(run_all, ", ".join(f"{n} long" for n in names)).distinct()
 
 
-def fingerprint_links(prints: DataFrame, words: int, tau: int, counts, plan_tau: int | None = None, absorb: int | None = None) -> DataFrame:
-    """Links within ``tau`` among the distinct fingerprints (f0, ..) of ``prints``.
+def fingerprint_links(prints: DataFrame, words: int, tau: int, counts, plan_tau: int | None = None) -> DataFrame:
+    """Links that connect what links within ``tau`` among the distinct fingerprints (f0, ..) of ``prints`` connect.
 
-    The sample for the plan (at most SAMPLE fingerprints, lowest hash first) only steers the cost.
+    If the plan probes balls, the partitions are probed exactly first; fingerprints that this connects have
+    one label and need no further links between each other, so that a large group of near copies does not
+    meet in every ball again.  The sample for the plan (at most SAMPLE fingerprints, lowest hash first)
+    only steers the cost.
     """
     names = [f"f{w}" for w in range(words)]
     distinct = materialize(prints.select(*names).distinct(), "fp")
@@ -309,8 +324,17 @@ def fingerprint_links(prints: DataFrame, words: int, tau: int, counts, plan_tau:
     as_words = np.array(sample, np.uint64).reshape(-1, words)
     bits = np.unpackbits(as_words.astype("<u8").view(np.uint8).reshape(len(as_words), 8 * words), axis=1, bitorder="little") if len(as_words) else np.zeros((0, 64 * words), np.uint8)
     plan = plan_partitions(bits, max(n, 1), tau if plan_tau is None else plan_tau, counts)
-    keyed = distinct.select(F.explode(bucket_keys(plan, words)).alias("key"), *names)
-    return bucket_links(keyed, words, tau, absorb)
+    own = F.xxhash64(F.lit("label"), *names)
+    exact = distinct.select(F.explode(bucket_keys([(g, 0) for g, _ in plan], words)).alias("key"), own.alias("label"), *names)
+    links = bucket_links(exact, words, tau)
+    if all(t == 0 for _, t in plan):
+        return links
+    links = materialize(links, "exact")
+    end = lambda side: F.xxhash64(F.lit("label"), *[f"{side}{w}" for w in range(words)])
+    comp = connected_components(links.select(end("a").alias("a"), end("b").alias("b")), "a", "b")
+    labelled = distinct.withColumn("node", own).join(comp, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    keyed = labelled.select(F.explode(bucket_keys(plan, words)).alias("key"), "label", *names)
+    return links.unionByName(bucket_links(keyed, words, tau))
 
 
 def simhash_groups(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, tau: int = 2) -> DataFrame:
@@ -335,7 +359,9 @@ def simhash_groups(df: DataFrame, key: str = "doc_id", text: str = "text", k: in
 
 #: Production parameters of ``near_duplicates``: five-word shingles, Jaccard 0.8, 128-bit fingerprints.
 SHINGLE_WORDS, SIMILARITY, NEAR_WORDS = 5, 0.8, 2
-NEAR_TAU, NEAR_GUARANTEED, NEAR_ABSORB, NEAR_PARTITIONS = 30, 17, 16, 6
+NEAR_TAU, NEAR_GUARANTEED, NEAR_PARTITIONS = 30, 17, 6
+#: Texts of a cluster that are compared in one task; a larger cluster is compared block by block.
+CLUSTER_BLOCK = 512
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:
@@ -343,21 +369,20 @@ def near_duplicates(df: DataFrame) -> DataFrame:
 
     Copies of a text group by MD5.  Between distinct texts, 128-bit SimHash fingerprints of five-word
     shingles find candidates: every pair within NEAR_GUARANTEED bits is found, pairs up to NEAR_TAU bits
-    mostly (similarity 0.8 lies near 19 bits); the shingle sets of candidates are then compared
-    exactly.  One row of each group is kept: the smallest doc_id (null last), ties by digest.
+    mostly (similarity 0.8 lies near 19 bits).  Candidates form loose clusters, inside which the shingle
+    sets of all texts are compared exactly; groups are what these exact links connect.  One row of each
+    group is kept: the smallest doc_id (null last), ties by digest.
     """
     prints = materialize(fingerprints(df, SHINGLE_WORDS, NEAR_WORDS), "near")
     # (a text of fewer than SHINGLE_WORDS words is one shingle: near copies of it are exact copies)
     by_text = materialize(prints.groupBy("digest", "f0", "f1").agg(F.min("doc_id").alias("low")), "texts")
-    lead = by_text.groupBy("f0", "f1").agg(F.min(F.struct(F.col("low").isNull(), "low", "digest")).alias("lead"))
-    lead = lead.select("f0", "f1", F.col("lead.digest").alias("lead"))
+    lead = by_text.groupBy("f0", "f1").agg(F.min("digest").alias("lead"))
     inner = by_text.join(lead, ["f0", "f1"]).where("digest <> lead").select(F.col("digest").alias("a"), F.col("lead").alias("b"))
-    links = fingerprint_links(by_text, NEAR_WORDS, NEAR_TAU, (NEAR_PARTITIONS,), NEAR_GUARANTEED, NEAR_ABSORB)
-    left = lead.select(F.col("f0").alias("a0"), F.col("f1").alias("a1"), F.col("lead").alias("a"))
-    right = lead.select(F.col("f0").alias("b0"), F.col("f1").alias("b1"), F.col("lead").alias("b"))
+    links = fingerprint_links(by_text, NEAR_WORDS, NEAR_TAU, (NEAR_PARTITIONS,), NEAR_GUARANTEED)
+    left, right = lead.toDF("a0", "a1", "a"), lead.toDF("b0", "b1", "b")
     outer = links.join(left, ["a0", "a1"]).join(right, ["b0", "b1"]).select("a", "b")
-    pairs = materialize(outer.unionByName(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    edges = verified(df, by_text, pairs)
+    clusters = connected_components(outer.unionByName(inner), "a", "b").select(F.col("node").alias("digest"), F.col("component").alias("cluster"))
+    edges = exact_links(df, by_text, clusters)
     comp = connected_components(edges, "a", "b").select(F.col("node").alias("digest"), "component")
     grouped = prints.select("doc_id", "digest").distinct().join(comp, "digest", "left").withColumn("group_id", F.coalesce("component", "digest"))
     best = grouped.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("best"))
@@ -366,36 +391,102 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     )
 
 
-def verified(df: DataFrame, by_text: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of digests whose sets of shingles have a Jaccard similarity of at least SIMILARITY."""
-    ends = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-    wanted = ends.join(by_text.select("digest", "low"), "digest").select("digest", F.col("low").alias("_low"))
+def similar_pairs(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """Which sets (rows) are similar to which: a matrix of truth, for the sets before ``split`` against all from it on, or all if it is 0."""
+    size = np.array([len(x) for x in sets], np.float64)
+    n = len(sets)
+    flat = np.concatenate(sets) if n else np.empty(0, np.uint64)
+    owner = np.repeat(np.arange(n), size.astype(np.int64))
+    _, name, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count[name] > 1  # a shingle of one text adds nothing to an intersection
+    known, name = np.unique(name[shared], return_inverse=True)
+    owner = owner[shared]
+    order = np.argsort(name, kind="stable")
+    name, owner = name[order], owner[order]
+    rows_ = n if not split else split
+    both = np.zeros((rows_, n if not split else n - split), np.float32)
+    for at in range(0, len(known), 8192):
+        lo, hi = np.searchsorted(name, [at, at + 8192])
+        m = np.zeros((n, min(8192, len(known) - at)), np.float32)
+        m[owner[lo:hi], name[lo:hi] - at] = 1
+        both += m[:rows_] @ (m if not split else m[split:]).T
+    other = size if not split else size[split:]
+    union = size[:rows_, None] + other[None] - both
+    return (both >= SIMILARITY * union) & (union > 0)
+
+
+def exact_links(df: DataFrame, by_text: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Links (a, b) of digests that connect just what links of Jaccard similarity >= SIMILARITY connect inside the clusters.
+
+    A cluster of up to CLUSTER_BLOCK texts is one comparison.  A larger one is dealt into blocks by hash, and each
+    pair of its blocks is a comparison of its own.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / CLUSTER_BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    wanted = clusters.join(sizes, "cluster").withColumn("block", block).join(by_text.select("digest", "low"), "digest")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Emitter(arrow_schema(digest=pa.string(), shingles=pa.binary()), 256)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = arrow_schema(cluster=pa.string(), blocks=pa.int32(), block=pa.int32(), digest=pa.string(), shingles=pa.binary())
         for batch in batches:
-            for d, t in zip(*rows(batch, "digest", "text"), strict=True):
-                e.add(d, np.unique(shingle_hashes(t, SHINGLE_WORDS)).tobytes())
+            e = Emitter(out, 256)
+            for c, n, b, d, t in zip(*rows(batch, "cluster", "blocks", "block", "digest", "text"), strict=True):
+                e.add(c, n, b, d, np.unique(shingle_hashes(t, SHINGLE_WORDS)).tobytes())
                 if e.full():
                     yield e.take()
-        yield e.take()
+            yield e.take()
 
     texts = df.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_low"))).where(F.md5("text") == F.col("digest")).dropDuplicates(["digest"])
-    packed = materialize(texts.select("digest", "text").mapInArrow(sets, "digest string, shingles binary"), "sets")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = texts.join(wanted.withColumnRenamed("low", "_low"), F.col("_id").eqNullSafe(F.col("_low")) & (F.md5("text") == F.col("digest")))
+    texts = texts.dropDuplicates(["digest"]).select("cluster", "blocks", "block", "digest", "text")
+    packed = materialize(texts.mapInArrow(pack, "cluster string, blocks int, block int, digest string, shingles binary"), "sets")
+    last = F.col("blocks") - 1
+    ahead = packed.select("cluster", F.col("block").alias("a"), F.explode(F.sequence("block", last)).alias("b"), F.lit(0).alias("side"), "digest", "shingles")
+    behind = packed.where("block > 0").select("cluster", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("a"), F.col("block").alias("b"), F.lit(1).alias("side"), "digest", "shingles")
+    keys = ["cluster", "a", "b"]
+    placed = ahead.unionByName(behind).repartition(*keys).sortWithinPartitions(*keys, "side", "digest")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Emitter(arrow_schema(a=pa.string(), b=pa.string()))
+        key, held = None, []
+
+        def done() -> None:
+            split = sum(1 for h in held if h[0] == 0) if key[1] != key[2] else 0
+            if len(held) < 2 or split == len(held):
+                return
+            i, j = np.nonzero(similar_pairs([np.frombuffer(h[2], np.uint64) for h in held], split))
+            links = np.zeros((len(held), len(held)), bool)
+            links[i, j + split] = True
+            for x, y in spanning(links | links.T):
+                e.add(held[x][1], held[y][1])
+
         for batch in batches:
-            for a, b, x, y in zip(*rows(batch, "a", "b", "x", "y"), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= SIMILARITY * (len(x) + len(y) - both):
-                    e.add(a, b)
+            for *k, side, digest, shingles in zip(*rows(batch, *keys, "side", "digest", "shingles"), strict=True):
+                if k != key:
+                    if held:
+                        done()
+                    key, held = k, []
+                held.append((side, digest, shingles))
             if e.full():
                 yield e.take()
+        if held:
+            done()
         yield e.take()
 
-    left = packed.select(F.col("digest").alias("a"), F.col("shingles").alias("x"))
-    right = packed.select(F.col("digest").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(check, "a string, b string")
+    return placed.mapInArrow(compare, "a string, b string")
+
+
+def spanning(links: np.ndarray) -> list[tuple[int, int]]:
+    """A tree over each connected component of a symmetric matrix of links: (row, row found before it)."""
+    left, out = np.ones(len(links), bool), []
+    for start in range(len(links)):
+        if not left[start]:
+            continue
+        left[start] = False
+        stack = [start]
+        while stack:
+            x = stack.pop()
+            new = np.nonzero(links[x] & left)[0]
+            left[new] = False
+            out += [(int(y), x) for y in new]
+            stack += new.tolist()
+    return out
