@@ -231,7 +231,7 @@ def epsilon_join(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
                     yield e.take()
         yield e.take()
 
-    partial = materialize(tasks.repartition("a", "b").mapInArrow(compare, "rid long, n long, root long"), "links")
+    partial = materialize(tasks.mapInArrow(compare, "rid long, n long, root long"), "links")
     comp = connected_components(partial.select("rid", "root"), "rid", "root")
     counts = partial.groupBy("rid").agg(F.sum("n").alias("n_links"))
     every = placed.select("rid", "vec_id").join(counts, "rid", "left").join(comp.withColumnRenamed("node", "rid"), "rid", "left")
