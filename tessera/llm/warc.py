@@ -105,6 +105,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     data = data.withColumn("digest", F.sha2("html", 256))
     long = data.where(F.octet_length("html") >= MIN_REVISIT_BYTES).select("digest", "page_id")
     shared = long.groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").select(F.col("digest").alias("_d"), "first")
+    shared = materialize(shared, "shared")  # written, its size is known: Spark moves the payloads for the join only if it is large
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, n, part = Emitter(arrow_schema(record=pa.binary()), 512), 0, TaskContext.get().partitionId()
