@@ -77,8 +77,11 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(df: DataFrame, k: int, words: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, digest, n_shingles, f0, f1, ...) per row; ``digest`` is the MD5 of the text (null: of the empty text)."""
+def fingerprints(df: DataFrame, k: int, words: int = 1, key: str = "doc_id", text: str = "text", distinct: bool = False) -> DataFrame:
+    """(doc_id, digest, n_shingles, f0, f1, ...) per row; ``digest`` is the MD5 of the text (null: of the empty text).
+
+    ``distinct``: a shingle counts once however often the text repeats it.
+    """
     out = arrow_schema(doc_id=pa.int64(), digest=pa.string(), n_shingles=pa.int64(), **{f"f{i}": pa.int64() for i in range(words)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,6 +89,7 @@ def fingerprints(df: DataFrame, k: int, words: int = 1, key: str = "doc_id", tex
         for batch in batches:
             for i, t in zip(*rows(batch, "doc_id", "text"), strict=True):
                 h = shingle_hashes(t, k)
+                h = np.unique(h) if distinct else h
                 e.add(i, hashlib.md5((t or "").encode("utf-8", "surrogatepass")).hexdigest(), len(h), *map(signed, simhash(h, words)))
                 if e.full():
                     yield e.take()
@@ -367,13 +371,13 @@ CLUSTER_BLOCK = 512
 def near_duplicates(df: DataFrame) -> DataFrame:
     """(doc_id, digest, kept, group_id) per distinct (doc_id, text): groups of texts of Jaccard similarity 0.8 or more.
 
-    Copies of a text group by MD5.  Between distinct texts, 128-bit SimHash fingerprints of five-word
-    shingles find candidates: every pair within NEAR_GUARANTEED bits is found, pairs up to NEAR_TAU bits
+    Copies of a text group by MD5.  Between distinct texts, 128-bit SimHash fingerprints of the distinct
+    five-word shingles find candidates: every pair within NEAR_GUARANTEED bits is found, pairs up to NEAR_TAU bits
     mostly (similarity 0.8 lies near 19 bits).  Candidates form loose clusters, inside which the shingle
     sets of all texts are compared exactly; groups are what these exact links connect.  One row of each
     group is kept: the smallest doc_id (null last), ties by digest.
     """
-    prints = materialize(fingerprints(df, SHINGLE_WORDS, NEAR_WORDS), "near")
+    prints = materialize(fingerprints(df, SHINGLE_WORDS, NEAR_WORDS, distinct=True), "near")
     # (a text of fewer than SHINGLE_WORDS words is one shingle: near copies of it are exact copies)
     by_text = materialize(prints.groupBy("digest", "f0", "f1").agg(F.min("doc_id").alias("low")), "texts")
     lead = by_text.groupBy("f0", "f1").agg(F.min("digest").alias("lead"))

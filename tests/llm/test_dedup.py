@@ -119,6 +119,19 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs(spark, [])).collect() == []
 
 
+def test_near_duplicates_that_repeat_a_line(spark):
+    """The repeats of a line change no set of shingles but for the seams, so they must not hide a copy."""
+    r = random.Random(11)
+    rows = []
+    for k, repeats in enumerate((5, 20, 50)):
+        base, line = ([f"w{r.randrange(10**6)}" for _ in range(n)] for n in (800, 15))
+        rows += [(2 * k, " ".join(base[:400] + line + base[400:])), (2 * k + 1, " ".join(base[:400] + line * (1 + repeats) + base[400:]))]
+        assert len(shingles(rows[-1][1]) & shingles(rows[-2][1])) > 0.99 * len(shingles(rows[-1][1]) | shingles(rows[-2][1]))
+    got = {x.doc_id: x for x in simhash.near_duplicates(docs(spark, rows)).collect()}
+    assert [got[i].kept for i in range(6)] == [True, False] * 3
+    assert all(got[2 * k].group_id == got[2 * k + 1].group_id for k in range(3))
+
+
 def test_large_clusters_are_compared_block_by_block(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CLUSTER_BLOCK", 5)
     test_near_duplicates(spark)
