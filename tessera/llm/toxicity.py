@@ -24,8 +24,6 @@ TRAIN_POSITIVE, TRAIN_NEGATIVE = 4000, 8000
 #: A feature is kept if MIN_POSITIVE toxic documents of the sample have it, and MIN_Z standard deviations more
 #: of them than chance would give; of these, the MAX_FEATURES with the largest deviation.
 MIN_POSITIVE, MIN_Z, MAX_FEATURES = 3, 3.5, 20000
-#: Sample documents that begin with the same FAMILY_CHARS characters count as copies of one: one of them is used.
-FAMILY_CHARS = 48
 EPOCHS, RATE, L2, START_BIAS = 200, 0.3, 1e-4, -5.0
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4)
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -66,7 +64,7 @@ class Model:
         if len(self.weights) > self.limit:
             self.weights.clear()
         get = self.by_feature.get
-        for w in words - self.absent - self.weights.keys():
+        for w in [w for w in words if w not in self.weights and w not in self.absent]:  # (a difference with keys() walks all keys)
             found = [x for x in map(get, features(w)) if x is not None]
             if found:
                 self.weights[w] = math.fsum(found)
@@ -127,6 +125,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, fold: int = 5) -> DataFr
     """(text, toxic) of labelled documents whose crc32(doc_id as text) mod ``fold`` is not 0, within the bounds.
 
     Rows of ``labels`` without a doc_id or a label are left out; a doc_id labelled twice takes the larger label.
+    Documents of one label whose whole texts agree count once.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.where(F.pmod(F.crc32(F.col("_id").cast("string")), F.lit(fold)) != 0).withColumn("_rank", F.xxhash64(F.lit("toxic"), "_id"))
@@ -136,8 +135,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, fold: int = 5) -> DataFr
     ]
     sample = F.broadcast(parts[0].unionByName(parts[1]))  # bounded by the two limits
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text")).join(sample, "_id")
-    families = texts.groupBy(F.substring("text", 1, FAMILY_CHARS), (F.col("toxic") > 0).cast("int").alias("toxic"))
-    return materialize(families.agg(F.min_by("text", F.struct("_rank", "_id", F.xxhash64("text"))).alias("text")).select("text", "toxic"), "toxic")
+    return materialize(texts.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")).distinct(), "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:

@@ -93,6 +93,26 @@ def test_toxicity_learns_from_document_labels(spark):
     assert {x.predicted for x in toxicity.classify(df, marks.where("toxic = 0")).collect()} == {0}
 
 
+def test_toxicity_learns_from_documents_that_begin_alike(spark):
+    """Documents under one header are different documents; only copies of a whole text count once."""
+    r = random.Random(8)
+    header = "Archive of the public mailing list, message as received by the list server. "
+    rows, labels = [], []
+    for i in range(300):
+        toxic = int(i % 3 == 0)
+        words = [f"{r.choice('bcdfg')}{r.choice('aeiou')}{r.choice('klmnp')}{r.choice('aeiou')}" for _ in range(20)]
+        rows.append((i, header + " ".join(words[:10] + ["vilest wretch"] * toxic + words[10:])))
+        labels.append((i, toxic))
+    rows += [(i, rows[1][1]) for i in range(300, 320)]
+    labels += [(i, 0) for i in range(300, 320)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    training = {(rows[i][1], toxic) for i, toxic in labels if zlib.crc32(str(i).encode()) % 5}
+    assert sorted(map(tuple, toxicity.training_sample(docs, marks).collect())) == sorted(training)
+    got = {x.doc_id: x.predicted for x in toxicity.classify(docs, marks).collect()}
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i] == labels[i][1] for i in held)
+
+
 def test_fingerprint_documents(spark):
     r = random.Random(6)
     long = "".join(r.choice("abcdefgh ij") for _ in range(300_000))
