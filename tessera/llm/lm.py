@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DISCOUNT = 0.75
-#: Bigrams seen less often in training are no arcs; their mass goes to the failure arc.
-MIN_BIGRAM = 2
+#: Bigrams seen less often in training are no arcs; 1: every bigram seen is one.
+MIN_BIGRAM = 1
 #: Characters of a part; a part and the answers to it are in one task's memory.
 PART_CHARS = 12_000_000
 END, START = 0xE0D, 0x57A27

@@ -60,6 +60,17 @@ def test_lm_scores(spark, monkeypatch):
     assert lm.score_documents(df.where("doc_id = -5")).collect() == []
 
 
+def test_lm_bigrams_seen_once_are_arcs(spark):
+    """A held-out copy of one training document scores by its bigrams, not by its words alone."""
+    train, held = (next(i for i in range(100) if (zlib.crc32(str(i).encode()) % 5 == 1) == out) for out in (False, True))
+    text = " ".join(f"w{k}" for k in range(50))
+    df = spark.createDataFrame([(train, text), (held, text)], "doc_id long, text string")
+    got = {x.doc_id: x for x in lm.score_documents(df).collect()}[held]
+    p1 = 1.5 / (51 + 0.5 * 52)
+    assert got.held_out and got.base_score == pytest.approx(51 * math.log10(p1))
+    assert got.score == pytest.approx(51 * math.log10(0.25 + 0.75 * p1))
+
+
 def test_toxicity_learns_from_document_labels(spark):
     r = random.Random(5)
     bad = ["vilest", "wretch", "rotter", "knavish"]
