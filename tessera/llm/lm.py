@@ -1,23 +1,21 @@
 """Language-model scores by a weighted backoff automaton.
 
-A bigram model with absolute discounting, interpolated with the smoothed unigrams, is an automaton: a
-state per context word with arcs to the words seen after it, and a failure arc that costs the backoff
-weight and leads to the root, whose arcs are the unigrams.  A text is read left to right; each token
-takes the arc of the present state if there is one and the failure arc and the root's arc otherwise.
-
-The model is never gathered in one place.  Documents are dealt into parts by a hash of their id.  A
-part asks for its own distinct words, and for its contexts with the words that follow, in packets
-hashed by context; each bucket adds up the counts of all parts and answers each part in the order in
-which it asked, so an answer holds counts and no keys.  The part then builds the automaton of just
-its n-grams and traverses it with its texts.  The plan is one query in which the dealt documents are
-exchanged once and read twice.
+A trigram model, each order smoothed by the next lower one with a Dirichlet prior:
+p(w | h) = (c(h w) + PRIOR p(w | h')) / (c(h) + PRIOR), down to the smoothed unigrams.  As an automaton: a
+state for every context of two words, one word, the start of a text and none (the root); an arc for
+every n-gram seen in training, which carries its probability and leads to the longest context that
+ends it; a failure arc from each state to that of its shorter context, which costs
+PRIOR / (c(h) + PRIOR).  A text is read left to right once: a token takes the arc of the present state
+if there is one, else failure arcs until there is (the root has an arc for every token).
+
+The model is never gathered in one place.  Documents are dealt into parts (see ``parts``); a part asks
+for the training counts of the distinct n-grams it holds, each n-gram by a 64-bit hash of its own, so
+that no frequent context meets in one task, and builds the automaton of just these n-grams.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DISCOUNT = 0.75
-#: Bigrams seen less often in training are no arcs; 1: every bigram seen is one.
-MIN_BIGRAM = 1
+from .parts import ODD, cuts, deal, dealt_rows, pack_counts, pack_keys, part_count, part_of, unpack_counts, unpack_keys
+
+ORDER = 3
+#: Weight of the shorter context in counts, for contexts of one word and of two.
+PRIORS = (64.0, 4.0)
 #: Characters of a part; a part and the answers to it are in one task's memory.
-PART_CHARS = 12_000_000
+PART_CHARS = 8_000_000
+#: Tokens of a piece of a text; the pieces of a part are read side by side.
+PIECE = 1024
 END, START = 0xE0D, 0x57A27
 
 
@@ -45,8 +47,20 @@ def is_training(doc_id) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % 5 != 1
 
 
+def followed(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """The name of an n-gram from that of its context and its last token."""
+    with np.errstate(over="ignore"):
+        h = (context ^ (context >> np.uint64(29))) * np.uint64(ODD) + token
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(31))
+
+
 class Part:
-    """The tokens of the documents of one part, with its distinct words and bigrams in packet order."""
+    """The tokens of the documents of one part and its distinct words and longer n-grams, by ascending name.
+
+    ``word_of``: the word of each token; ``gram_of[k]``: the n-gram of k + 2 tokens that ends at it, -1 where the
+    text is too young for one (the start of a text counts as a token of context).
+    """
 
     def __init__(self, ids: list, texts: list):
         self.ids = ids
@@ -55,173 +69,198 @@ class Part:
         self.train = np.array([is_training(i) for i in ids], bool)
         flat = np.concatenate(tokens) if tokens else np.empty(0, np.uint64)
         del tokens
-        self.train_token = np.repeat(self.train, self.length)
+        self.first = np.cumsum(self.length) - self.length
+        at = np.arange(len(flat)) - np.repeat(self.first, self.length)
+        trained = np.repeat(self.train, self.length)
         self.words, self.word_of = np.unique(flat, return_inverse=True)
-        before = np.empty(len(flat), np.int64)
-        before[1:] = self.word_of[:-1]
-        before[np.cumsum(self.length) - self.length] = -1  # the start of a text
-        pair = (before + 1) * len(self.words) + self.word_of
-        self.pairs, self.pair_of = np.unique(pair, return_inverse=True)
-        self.word_count = np.bincount(self.word_of, self.train_token, len(self.words)).astype(np.int64)
-        self.pair_count = np.bincount(self.pair_of, self.train_token, len(self.pairs)).astype(np.int64)
-
-    def contexts(self) -> np.ndarray:
-        """The id of the context of each bigram."""
-        return np.concatenate([[START], self.words]).astype(np.uint64)[self.pairs // max(len(self.words), 1)]
-
-    def packets(self, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes, bytes]]:
-        """(bucket, words, their counts, contexts, followers, bigram counts) for every bucket, empty or not."""
-        context, follower = self.contexts(), self.words[self.pairs % max(len(self.words), 1)] if len(self.pairs) else self.words[:0]
-        b_word, b_pair = bucket_of(self.words, buckets), bucket_of(context, buckets)
-        for b in range(buckets):
-            w, p = np.nonzero(b_word == b)[0], np.nonzero(b_pair == b)[0]
-            own, size = np.unique(context[p], return_counts=True) if len(p) else (context[:0], np.empty(0, np.int64))
-            order = p[np.argsort(context[p], kind="stable")]
-            lead = np.concatenate([own, size.astype(np.uint64)])
-            yield b, self.words[w].tobytes(), small(self.word_count[w]), lead.tobytes(), follower[order].tobytes(), small(self.pair_count[order])
-
-
-def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
-
-
-def small(counts: np.ndarray) -> bytes:
-    """Counts in deflated form; almost all are a few units."""
-    return zlib.compress(counts.astype(np.int64).tobytes(), 1)
-
-
-def large(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.int64)
-
-
-PACKET = "part int, bucket int, words binary, word_counts binary, contexts binary, followers binary, pair_counts binary"
-ANSWER = "part int, bucket int, total long, types long, word_counts binary, pair_counts binary, kept binary"
+        self.word_count = np.bincount(self.word_of, trained, len(self.words)).astype(np.int64)
+        names, places = [], []
+        context = np.empty(len(flat), np.uint64)
+        for k in range(ORDER - 1):
+            context[1:] = (names[-1] if names else flat)[:-1]
+            if not k:
+                context[self.first] = START
+            names.append(followed(context, flat))
+            places.append(np.nonzero(at >= k)[0])
+        every = np.concatenate([n[p] for n, p in zip(names, places, strict=True)])
+        own = np.concatenate([trained[p] for p in places])
+        del names, context, flat
+        self.grams, first, back = np.unique(every, return_index=True, return_inverse=True)
+        self.gram_count = np.bincount(back, own, len(self.grams)).astype(np.int64)
+        cut = np.cumsum([len(p) for p in places])
+        self.gram_of = np.full((ORDER - 1, len(at)), -1, np.int64)
+        for k, p in enumerate(places):
+            self.gram_of[k, p] = back[cut[k] - len(p) : cut[k]]
+        # order and place of one occurrence of each n-gram
+        self.order = np.searchsorted(cut, first, side="right")
+        self.seen_at = np.concatenate(places)[first]
+
+
+PACKET = "part int, bucket int, words binary, word_counts binary, grams binary, gram_counts binary"
+ANSWER = "part int, bucket int, total long, types long, word_counts binary, gram_counts binary"
+
+
+def names_of(ddl: str) -> list[str]:
+    return [f.split()[0] for f in ddl.split(", ")]
+
+
+def part_rows(table: pa.Table) -> Part:
+    docs = dealt_rows(table)
+    return Part([], []) if docs is None else Part(docs.column(0).to_pylist(), docs.column(1).to_pylist())
 
 
 def ask(table: pa.Table, buckets: int) -> pa.Table:
-    """The packets of a part (columns part, doc_id, text)."""
-    part = Part(table.column("doc_id").to_pylist(), table.column("text").to_pylist())
-    p = table.column("part")[0].as_py() if table.num_rows else 0
-    found = list(part.packets(buckets))
-    names = [f.split()[0] for f in PACKET.split(", ")]
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-    return pa.table([pa.array([p] * len(found), pa.int32()), *[pa.array([f[i] for f in found], k) for i, k in enumerate(kinds[1:])]], names=names)
+    """The packets of a part: one for every bucket, empty or not."""
+    part, p = part_rows(table), table.column("part")[0].as_py()
+    w, g = cuts(part.words, buckets), cuts(part.grams, buckets)
+    pieces = [(slice(w[b], w[b + 1]), slice(g[b], g[b + 1])) for b in range(buckets)]
+    columns = [
+        [pack_keys(part.words[x]) for x, _ in pieces],
+        [pack_counts(part.word_count[x]) for x, _ in pieces],
+        [pack_keys(part.grams[y]) for _, y in pieces],
+        [pack_counts(part.gram_count[y]) for _, y in pieces],
+    ]
+    return pa.table([pa.array([p] * buckets, pa.int32()), pa.array(range(buckets), pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], names=names_of(PACKET))
 
 
 def answer(table: pa.Table) -> pa.Table:
-    """Adds up one bucket over all parts and answers each of them, in its order.
-
-    ``word_counts``: training counts of the words; ``pair_counts``: counts of the bigrams that are arcs, else
-    0; ``kept``: for each context the share of its mass that its arcs leave to the failure arc.
-    """
-    col = {n: table.column(n) for n in table.column_names}
+    """Adds up one bucket over all parts and answers each of them, in its order."""
+    out: dict[str, list] = {}
+    totals = None
+    for kind in ("word", "gram"):
+        keys = [unpack_keys(b) for b in table.column(f"{kind}s").to_pylist()]
+        sizes = [len(k) for k in keys]
+        counts = [unpack_counts(b, n) for b, n in zip(table.column(f"{kind}_counts").to_pylist(), sizes, strict=True)]
+        every, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(at, np.concatenate(counts), len(every)).astype(np.int64)
+        out[kind] = [pack_counts(x) for x in np.split(total[at], np.cumsum(sizes)[:-1])]
+        if totals is None:
+            totals = int(total.sum()), int((total > 0).sum())
     n = table.num_rows
-    words = [np.frombuffer(col["words"][i].as_py(), np.uint64) for i in range(n)]
-    counts = [large(col["word_counts"][i].as_py()) for i in range(n)]
-    every, at = np.unique(np.concatenate(words), return_inverse=True)
-    total = np.bincount(at, np.concatenate(counts), len(every)).astype(np.int64)
-    del at
-    lead = [np.frombuffer(col["contexts"][i].as_py(), np.uint64) for i in range(n)]
-    contexts = np.unique(np.concatenate([x[: len(x) // 2] for x in lead]))
-    known = np.unique(np.concatenate([np.frombuffer(col["followers"][i].as_py(), np.uint64) for i in range(n)]))
-    pairs, weights = [], []
-    for i in range(n):
-        own, size = np.split(lead[i], 2)
-        c = np.repeat(np.searchsorted(contexts, own), size.astype(np.int64))
-        pairs.append(c * len(known) + np.searchsorted(known, np.frombuffer(col["followers"][i].as_py(), np.uint64)))
-        weights.append(large(col["pair_counts"][i].as_py()))
-    sizes = [len(p) for p in pairs]
-    bigram, at = np.unique(np.concatenate(pairs), return_inverse=True)
-    del pairs
-    seen = np.bincount(at, np.concatenate(weights), len(bigram)).astype(np.int64)
-    of = bigram // max(len(known), 1)
-    mass = np.bincount(of, seen, len(contexts))
-    arcs = np.where(seen >= MIN_BIGRAM, seen, 0)
-    used = np.bincount(of, np.where(arcs > 0, arcs - DISCOUNT, 0.0), len(contexts))
-    kept = np.where(mass > 0, 1 - used / np.maximum(mass, 1), 1.0)
-    back = np.split(arcs[at], np.cumsum(sizes)[:-1]) if sizes else []
-    del at, bigram
-    stats = (int(total.sum()), int((total > 0).sum()))
-    rows = []
-    for i in range(n):
-        own = lead[i][: len(lead[i]) // 2]
-        k = np.searchsorted(contexts, own)
-        both = np.concatenate([kept[k], mass[k]])
-        rows.append((col["part"][i].as_py(), col["bucket"][i].as_py(), *stats, small(total[np.searchsorted(every, words[i])]), small(back[i]), zlib.compress(both.tobytes(), 1)))
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3]
-    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[f.split()[0] for f in ANSWER.split(", ")])
+    columns = [table.column("part"), table.column("bucket"), pa.array([totals[0]] * n, pa.int64()), pa.array([totals[1]] * n, pa.int64())]
+    return pa.table([*columns, pa.array(out["word"], pa.binary()), pa.array(out["gram"], pa.binary())], names=names_of(ANSWER))
 
 
 class BackoffAutomaton:
-    """States, arcs and failure arcs over the words of one part, in log10.
+    """States, arcs and failure arcs over the words of one part, weights in log10.
 
-    State 0 is the root, state 1 the start of a text, state 2 + w the word w as context.  ``arc`` gives for each
-    distinct bigram (in packet-independent order) the log10 probability of its arc, NaN where there is none.
+    States: 0 the root, 1 the start of a text, then the words as contexts, then the n-grams as contexts.  Arcs are
+    sorted by (state, word); the root's arc of a word is ``root[word]`` and leads to ``after[word]``.
     """
 
-    def __init__(self, root: np.ndarray, failure: np.ndarray, arc: np.ndarray):
-        self.root, self.failure, self.arc = root, failure, arc
-
-    def traverse(self, word_of: np.ndarray, pair_of: np.ndarray, n_words: int, pairs: np.ndarray) -> np.ndarray:
-        """The log10 probability of each token, read left to right.
-
-        The state before a token is that of the token before it (or the start), which is known without
-        running the automaton; so the arcs of all steps are looked up at once.
+    def __init__(self, root: np.ndarray, after: np.ndarray, arcs: np.ndarray, weight: np.ndarray, to: np.ndarray, failure: np.ndarray, shorter: np.ndarray):
+        order = np.argsort(arcs, kind="stable")
+        self.root, self.after = root, after
+        self.arcs, self.weight, self.to = arcs[order], weight[order], to[order]
+        self.failure, self.shorter = failure, shorter
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability, next state) of one token of each text, from the state that each is in."""
+        cost, end = np.zeros(len(state)), np.empty(len(state), np.int64)
+        live, at = np.arange(len(state)), state
+        while len(live):
+            top = at == 0
+            if top.any():
+                own = live[top]
+                cost[own] += self.root[word[own]]
+                end[own] = self.after[word[own]]
+                live, at = live[~top], at[~top]
+                if not len(live):
+                    break
+            key = at * len(self.root) + word[live]
+            i = np.searchsorted(self.arcs, key)
+            hit = self.arcs[np.minimum(i, len(self.arcs) - 1)] == key if len(self.arcs) else np.zeros(len(key), bool)
+            own, i = live[hit], i[hit]
+            cost[own] += self.weight[i]
+            end[own] = self.to[i]
+            live, at = live[~hit], at[~hit]
+            cost[live] += self.failure[at]
+            at = self.shorter[at]
+        return cost, end
+
+    def traverse(self, words: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The log10 probability of each text (``words`` from ``first`` on), all read left to right side by side.
+
+        Long texts are read in pieces; a piece is led in by the ORDER - 1 tokens before it, which is all that its
+        first state can depend on.
         """
-        state = pairs[pair_of] // max(n_words, 1) + 1
-        step = self.arc[pair_of]
-        return np.where(np.isnan(step), self.failure[state] + self.root[word_of], step)
+        n = -(-length // PIECE)
+        text = np.repeat(np.arange(len(length)), n)
+        piece = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        lead = np.where(piece > 0, ORDER - 1, 0)
+        start = first[text] + piece * PIECE - lead
+        size = np.minimum(PIECE, length[text] - piece * PIECE) + lead
+        order = np.argsort(-size, kind="stable")
+        text, start, size, lead = text[order], start[order], size[order], lead[order]
+        state = np.where(lead > 0, 0, 1)
+        total = np.zeros(len(size))
+        for t in range(int(size.max(initial=0))):
+            m = int(np.searchsorted(-size, -t))  # pieces longer than t
+            cost, state[:m] = self.step(state[:m], words[start[:m] + t])
+            total[:m] += np.where(t >= lead[:m], cost, 0.0)
+        return np.bincount(text, total, len(length))
+
+
+def automaton(part: Part, word_count: np.ndarray, gram_count: np.ndarray, total: int, types: int, texts: int) -> BackoffAutomaton:
+    """The automaton of the n-grams of a part, from their counts in all training texts (of which there are ``texts``)."""
+    n_words, n_grams = len(part.words), len(part.grams)
+    root = (word_count + 0.5) / (total + 0.5 * (types + 1))
+    known = np.nonzero(gram_count > 0)[0]
+    order, at = part.order[known], part.seen_at[known]
+    word = part.word_of[at]
+    context = np.ones(len(known), np.int64)  # the start of a text
+    begins = np.zeros(len(part.word_of), bool)
+    begins[part.first] = True
+    inner = ~begins[at]
+    context[inner & (order == 0)] = part.word_of[at[inner & (order == 0)] - 1] + 2
+    for k in range(1, ORDER - 1):
+        mine = order == k
+        context[mine] = part.gram_of[k - 1, at[mine] - 1] + 2 + n_words
+    mass = np.concatenate([[0, texts], word_count, gram_count]).astype(np.float64)
+    prior = np.concatenate([[1.0], np.full(1 + n_words, PRIORS[0]), np.asarray(PRIORS)[np.minimum(part.order + 1, ORDER - 2)]])
+    shorter = np.zeros(2 + n_words + n_grams, np.int64)
+    p = np.zeros(n_grams)
+    for k in range(ORDER - 1):
+        mine = order == k
+        i, s, w = known[mine], context[mine], word[mine]
+        lower = root[w] if not k else p[part.gram_of[k - 1, at[mine]]]
+        p[i] = (gram_count[i] + prior[s] * lower) / (mass[s] + prior[s])
+        # as a context, an n-gram fails to the one that lacks its first token
+        shorter[i + 2 + n_words] = w + 2 if not k else part.gram_of[k - 1, at[mine]] + 2 + n_words
+    last = order == ORDER - 2
+    to = np.where(last, 0, known + 2 + n_words)
+    to[last] = part.gram_of[ORDER - 3, at[last]] + 2 + n_words if ORDER > 2 else word[last] + 2
+    after = np.where(word_count > 0, np.arange(n_words) + 2, 0)
+    return BackoffAutomaton(np.log10(root), after, context * n_words + word, np.log10(p[known]), to, np.log10(prior / (mass + prior)), shorter)
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_part(docs: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
+def score_part(docs: pa.Table, answers: pa.Table, buckets: int, texts: int) -> pa.Table:
     """Scores the documents of a part with the answers of all buckets."""
-    part = Part(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist())
-    n_words = len(part.words)
-    counts, arc_count = np.zeros(n_words, np.int64), np.zeros(len(part.pairs), np.int64)
-    failure, mass = np.zeros(n_words + 2), np.zeros(n_words + 2)
-    context = part.contexts()
-    b_word, b_pair = bucket_of(part.words, buckets), bucket_of(context, buckets)
-    state = part.pairs // max(n_words, 1) + 1
-    total = types = 0
-    for i in range(answers.num_rows):
-        a = {n: answers.column(n)[i].as_py() for n in answers.column_names}
-        b = a["bucket"]
-        total, types = total + a["total"], types + a["types"]
-        counts[np.nonzero(b_word == b)[0]] = large(a["word_counts"])
-        p = np.nonzero(b_pair == b)[0]
-        order = p[np.argsort(context[p], kind="stable")]
-        arc_count[order] = large(a["pair_counts"])
-        if len(order):
-            first = np.concatenate([[True], context[order][1:] != context[order][:-1]])
-            kept, own = np.split(np.frombuffer(zlib.decompress(a["kept"]), np.float64), 2)
-            s = state[order][first]
-            failure[s], mass[s] = kept, own
-    if answers.num_rows != buckets and docs.num_rows:
+    part = part_rows(docs)
+    if answers.num_rows != buckets:
         raise ValueError("answers are missing")
-    root = (counts + 0.5) / (total + 0.5 * (types + 1))
-    follower = part.pairs % max(n_words, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = (arc_count - DISCOUNT) / mass[state] + failure[state] * root[follower]
-        arc = np.where(arc_count > 0, np.log10(p), np.nan)
-        automaton = BackoffAutomaton(np.log10(root), np.log10(np.maximum(failure, 1e-300)), arc)
-    steps = automaton.traverse(part.word_of, part.pair_of, n_words, part.pairs)
-    start = np.cumsum(part.length) - part.length
-    add = lambda x: np.add.reduceat(x, start) if len(start) else np.empty(0)
-    names = [f.split()[0] for f in RESULT.split(", ")]
+    w, g = cuts(part.words, buckets), cuts(part.grams, buckets)
+    word_count, gram_count = np.zeros(len(part.words), np.int64), np.zeros(len(part.grams), np.int64)
+    total = types = 0
+    for b, own_total, own_types, x, y in zip(*(answers.column(c).to_pylist() for c in ("bucket", "total", "types", "word_counts", "gram_counts")), strict=True):
+        total, types = total + own_total, types + own_types
+        word_count[w[b] : w[b + 1]] = unpack_counts(x, w[b + 1] - w[b])
+        gram_count[g[b] : g[b + 1]] = unpack_counts(y, g[b + 1] - g[b])
+    model = automaton(part, word_count, gram_count, total, types, texts)
+    add = lambda x: np.add.reduceat(x, part.first)
     columns = [
-        docs.column("doc_id").combine_chunks(),
+        pa.array(part.ids, pa.int64()),
         pa.array(~part.train),
         pa.array(part.length),
-        pa.array(add((counts[part.word_of] > 0).astype(np.int64)).astype(np.int64)),
-        pa.array(np.full(len(start), total, np.int64)),
-        pa.array(add(automaton.root[part.word_of])),
-        pa.array(add(steps)),
+        pa.array(add((word_count[part.word_of] > 0).astype(np.int64))),
+        pa.array(np.full(len(part.ids), total, np.int64)),
+        pa.array(add(model.root[part.word_of])),
+        pa.array(model.traverse(part.word_of, part.first, part.length)),
     ]
-    return pa.table(columns, names=names)
+    return pa.table(columns, names=names_of(RESULT))
 
 
 def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,14 +268,14 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     Null texts are empty (one end token); rows with a null id are training rows; repeated rows count and
     are scored each; other columns are ignored; an empty table gives an empty result.  Counts cover all
-    training rows.
+    training rows; a text of any length is read whole.
     """
-    chars = df.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)), F.count("*")).first()
-    parts = max(1, math.ceil((chars[0] + chars[1]) / PART_CHARS))
-    buckets = parts
-    own = df.select(
-        F.pmod(F.xxhash64(F.lit("lm"), F.col(key), F.length(text)), F.lit(parts)).cast("int").alias("part"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")
-    )
-    packets = own.groupBy("part").applyInArrow(lambda t: ask(t, buckets), PACKET)
+    learns = F.coalesce(F.pmod(F.crc32(F.col(key).cast("long").cast("string")), F.lit(5)) != 1, F.lit(True))
+    sums = df.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)), F.count("*"), F.count_if(learns)).first()
+    buckets = part_count(sums[0] + sums[1], PART_CHARS)
+    texts = sums[2]
+    own = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    dealt = deal(own, part_of(buckets, F.col("doc_id"), F.col("text")))
+    packets = dealt.groupBy("part").applyInArrow(lambda t: ask(t, buckets), PACKET)
     answers = packets.groupBy("bucket").applyInArrow(answer, ANSWER)
-    return own.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(lambda d, a: score_part(d, a, buckets), RESULT)
+    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(lambda d, a: score_part(d, a, buckets, texts), RESULT)

@@ -24,51 +24,67 @@ EDGES = [(None, "the cat"), (900, None), (901, ""), (902, "  \t"), (3, "the cat
 
 def test_lm_scores(spark, monkeypatch):
     monkeypatch.setattr(lm, "PART_CHARS", 3000)
+    monkeypatch.setattr(lm, "PIECE", 7)
     rows = texts(1, 60) + EDGES
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, part string, score int")
     got = sorted(map(tuple, lm.score_documents(df).collect()), key=str)
-    uni, bi, context = Counter(), Counter(), Counter()
+    count = Counter()
     tokens = [[*(t or "").lower().split(), None] for _, t in rows]
     train = [i is None or zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows]
     for w, ok in zip(tokens, train, strict=True):
         if ok:
-            uni.update(w)
-            for a, b in zip(["<s>", *w], w, strict=False):
-                bi[a, b] += 1
-                context[a] += 1
+            whole = ["<s>", *w]
+            count.update(tuple(whole[max(0, k) : k + n]) for n in (1, 2, 3) for k in range(1 if n == 1 else 0, len(whole) - n + 1))
+            count["<s>",] += 1
+    uni = {g[0]: c for g, c in count.items() if len(g) == 1 and g != ("<s>",)}
     n, v = sum(uni.values()), len(uni)
-    p1 = lambda w: (uni[w] + 0.5) / (n + 0.5 * (v + 1))
-    used = Counter()
-    for (a, _), c in bi.items():
-        if c >= lm.MIN_BIGRAM:
-            used[a] += c - lm.DISCOUNT
+    p1 = lambda w: (uni.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))
 
-    def p2(a, b):
-        back = 1 - used[a] / context[a] if context[a] else 1.0
-        c = bi[a, b]
-        return (c - lm.DISCOUNT) / context[a] + back * p1(b) if c >= lm.MIN_BIGRAM else back * p1(b)
+    def p(context, w):
+        if not context:
+            return p1(w)
+        prior = lm.PRIORS[len(context) - 1]
+        return (count[(*context, w)] + prior * p(context[1:], w)) / (count[context] + prior)
 
-    want = []
-    for (i, _), w, ok in zip(rows, tokens, train, strict=True):
-        want.append((i, not ok, len(w), sum(uni[x] > 0 for x in w), n, sum(math.log10(p1(x)) for x in w), sum(math.log10(p2(a, b)) for a, b in zip(["<s>", *w], w, strict=False))))
+    def score(w):
+        whole = ["<s>", *w]
+        return sum(math.log10(p(tuple(whole[max(0, k - 2) : k]), whole[k])) for k in range(1, len(whole)))
+
+    want = [(i, not ok, len(w), sum(x in uni for x in w), n, sum(math.log10(p1(x)) for x in w), score(w)) for (i, _), w, ok in zip(rows, tokens, train, strict=True)]
     assert [g[:5] for g in got] == [x[:5] for x in sorted(want, key=lambda x: str(x))]
     for g, x in zip(got, sorted(want, key=str), strict=True):
         assert g[5:] == pytest.approx(x[5:], rel=1e-9)
     vocabulary = [*uni, "unseen"]
-    for a in ("<s>", "the", "w1"):  # arcs and failure arcs share out exactly the whole mass
-        assert sum(p2(a, b) for b in vocabulary) == pytest.approx(1.0)
+    for a in (("<s>",), ("the",), ("w1", "the"), ("the", "cat")):  # arcs and failure arcs share out exactly the whole mass
+        assert sum(p(a, b) for b in vocabulary) == pytest.approx(1.0)
     assert lm.score_documents(df.where("doc_id = -5")).collect() == []
 
 
-def test_lm_bigrams_seen_once_are_arcs(spark):
-    """A held-out copy of one training document scores by its bigrams, not by its words alone."""
+def test_lm_ngrams_seen_once_are_arcs(spark):
+    """A held-out copy of one training document scores by its trigrams, not by its words alone."""
     train, held = (next(i for i in range(100) if (zlib.crc32(str(i).encode()) % 5 == 1) == out) for out in (False, True))
     text = " ".join(f"w{k}" for k in range(50))
     df = spark.createDataFrame([(train, text), (held, text)], "doc_id long, text string")
     got = {x.doc_id: x for x in lm.score_documents(df).collect()}[held]
     p1 = 1.5 / (51 + 0.5 * 52)
+    p2 = (1 + lm.PRIORS[0] * p1) / (1 + lm.PRIORS[0])
+    p3 = (1 + lm.PRIORS[1] * p2) / (1 + lm.PRIORS[1])
     assert got.held_out and got.base_score == pytest.approx(51 * math.log10(p1))
-    assert got.score == pytest.approx(51 * math.log10(0.25 + 0.75 * p1))
+    assert got.score == pytest.approx(math.log10(p2) + 50 * math.log10(p3))
+
+
+def test_lm_automaton_carries_its_state():
+    """The next state is the longest context seen in training that ends the tokens read."""
+    part = lm.Part([0, 2], ["a b c", "a b d"])
+    model = lm.automaton(part, part.word_count, part.gram_count, int(part.word_count.sum()), len(part.words), 2)
+    number = {w: int(np.searchsorted(part.words, lm.token_ids(w)[0])) for w in "abcd"}
+    state = np.array([1])
+    for w in "ab":
+        _, state = model.step(state, np.array([number[w]]))
+    assert int(part.order[state[0] - 2 - len(part.words)]) == 0  # a bigram as context
+    cost, after = model.step(state, np.array([number["a"]]))  # not seen: two failure arcs, then the root's arc
+    want = model.failure[state] + model.failure[model.shorter[state]] + model.root[number["a"]]
+    assert cost == pytest.approx(want) and after[0] == number["a"] + 2
 
 
 def test_toxicity_learns_from_document_labels(spark):
