@@ -108,7 +108,7 @@ def deal(df: DataFrame, part: Column) -> DataFrame:
         def blobs() -> pa.RecordBatch:
             table = pa.Table.from_batches(held)
             own = table.column(len(names)).to_numpy()
-            table = table.select(list(range(len(names))))
+            table = table.select(list(range(len(names)))).rename_columns(names)
             order = np.argsort(own, kind="stable")
             which, first = np.unique(own[order], return_index=True)
             ends = [*first[1:].tolist(), len(order)]
@@ -126,8 +126,8 @@ def deal(df: DataFrame, part: Column) -> DataFrame:
         if held:
             yield blobs()
 
-    # the part is the last column, whatever the others are called
-    return df.select(*[df[f"`{c.replace('`', '``')}`"] for c in names], part.cast("int").alias("part")).mapInArrow(run, "part int, rows binary")
+    # columns travel by place, so their names clash with nothing
+    return df.select("*", part.cast("int")).toDF(*[f"c{k}" for k in range(len(names) + 1)]).mapInArrow(run, "part int, rows binary")
 
 
 def dealt_rows(table: pa.Table) -> pa.Table | None:

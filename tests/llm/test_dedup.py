@@ -156,9 +156,10 @@ def removal(rows):
     return sorted(out)
 
 
-def test_remove_repeats(spark, monkeypatch):
-    monkeypatch.setattr(fmindex, "BUCKET_CHARS", 20_000)
-    monkeypatch.setattr(fmindex, "SHARD_CHARS", 20_000)
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_remove_repeats(spark, monkeypatch, hot):
+    monkeypatch.setattr(fmindex, "PART_CHARS", 20_000)
+    monkeypatch.setattr(fmindex, "HOT", hot)
     rows = family(5) + [(50, "a a a a a a a a a a a a a a a a a"), (51, "a " * 40), (52, " ".join("ab"[k % 2] for k in range(60)))]
     got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in fmindex.remove_repeats(docs(spark, rows)).collect())
     assert got == removal(rows)
@@ -174,6 +175,17 @@ def test_without_repeats_keeps_columns_and_white_space(spark):
     assert all(r.source == "s" and r.f0 == 7 for r in out.values())
 
 
+def test_without_repeats_lets_clashing_names_pass(spark):
+    names = ["part", "rows", "starts", "key", "at", "kind", "data", "bucket", "grams", "segment", "low", "_key"]
+    text = " ".join(f"p{k}" for k in range(20))
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in ((1, text), (2, f"x {text} y"), (2, f"x {text} y"), (None, text), (4, None))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = fmindex.without_repeats(df)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[0], (2, "x  y", *rows[1][2:]), (2, "x  y", *rows[1][2:]), rows[4]], key=str)
+    assert fmindex.without_repeats(df.where("doc_id = 77")).collect() == []
+
+
 def test_fm_index_finds_all_occurrences():
     r = random.Random(2)
     for _ in range(20):
