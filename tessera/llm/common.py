@@ -25,6 +25,28 @@ def key_text(doc_id: Column) -> Column:
     return doc_id.cast("string")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def any_order(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` that can be sorted by, for a choice among rows that must be the same in every run."""
+    return [F.col(f"`{f.name}`") for f in df.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant", "interval"))]
+
+
+def row_name(key: Column, text: Column, salt: str = "") -> Column:
+    """A hash of a row's key and text as 32 hex digits: only rows that agree in both share it (nulls: "null" and empty)."""
+    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{salt}:"), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def rows(batch: pa.RecordBatch, *names: str):
     """The columns ``names`` of an Arrow batch as Python lists."""
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]

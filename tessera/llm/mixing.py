@@ -1,6 +1,6 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
-Every row gets a hash-random key.  Rows of a source are ordered by that key: the leading hex digits of
+Every row gets a hash-random key, made of its id and text.  Rows of a source are ordered by that key: the leading hex digits of
 the key form bins, per-bin totals are summed over the bins of a source (a table of at most
 ``16 ** BIN_DIGITS`` rows for each source), and inside a bin a window gives the running sum.  Adding
 both is a prefix sum over the whole source without ever sorting one source in one task.  The budget
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import any_order, fresh, materialize, row_name, word_count
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -53,16 +53,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     )
 
 
-def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED, weights=WEIGHTS) -> DataFrame:
-    """One row per input row: (key, source, size, source_size, target, taken).
-
-    Null texts have size 0, a null source is a source of its own (last in the order of weights), null
-    keys order like the text "null".  Rows that repeat a key follow each other in an order given by
-    their size; equal rows are interchangeable.  Other columns are ignored.  ``taken`` counts the words
-    that the mix takes from the row: whole epochs first, then the rows up to the cut; the row at the
-    cut gives just the words that are missing.  An empty table gives an empty result.
-    """
-    rank = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(f":{seed}")))
+def placed(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED, weights=WEIGHTS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, rank) per row; see ``mix``."""
+    rank = row_name(F.col(key), F.col(text), seed)
     sized = materialize(
         df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), rank.alias("rank")), "mix"
     ).withColumn("bin", F.substring("rank", 1, BIN_DIGITS))
@@ -75,13 +68,25 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     )
     t = targets.withColumnRenamed("source", "t")
     inside = Window.partitionBy("source", "bin").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
+    found = (
         sized.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
         .join(t, F.col("source").eqNullSafe(F.col("t")))
         .withColumn("prefix", F.col("start") + F.col("before"))
     )
-    return placed.select("doc_id", "source", "size", "source_size", "target", _taken().alias("taken"))
+    return found.select("doc_id", "source", "size", "source_size", "target", _taken().alias("taken"), "rank")
+
+
+def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED, weights=WEIGHTS) -> DataFrame:
+    """One row per input row: (key, source, size, source_size, target, taken).
+
+    Null texts have size 0, a null source is a source of its own (last in the order of weights), null
+    keys order like the text "null".  Rows that repeat a key are told apart by their texts; rows equal in
+    both follow each other and are interchangeable.  Other columns are ignored.  ``taken`` counts the words
+    that the mix takes from the row: whole epochs first, then the rows up to the cut; the row at the
+    cut gives just the words that are missing.  An empty table gives an empty result.
+    """
+    return placed(df, key, source, text, seed, weights).drop("rank")
 
 
 def _taken() -> Column:
@@ -91,23 +96,32 @@ def _taken() -> Column:
     return (whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("prefix")))).cast("long")
 
 
-def copies(df: DataFrame, taken: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The mixed corpus: each row of ``df`` as often as the mix takes it (the row at the cut stays whole)."""
-    n = taken.where("taken > 0").select(
-        F.col("doc_id").alias("_k"), F.col("source").alias("_s"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_n"), F.col("size").alias("_z")
-    )
-    n = n.groupBy("_k", "_s", "_z").agg(F.max("_n").alias("_n"))
-    return (
-        df.join(n, F.col(key).eqNullSafe(F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")) & (word_count(F.col("text")) == F.col("_z")))
-        .withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-        .select(*df.columns)
+def mixed(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED, weights=WEIGHTS) -> DataFrame:
+    """The mixed corpus: each row of ``df`` as often as ``mix`` takes it (the row at the cut stays whole).
+
+    Rows without words are never taken.  Nulls and repeated rows count as in ``mix``: of m rows equal in
+    key, source and text that the mix takes n times in all, each comes n / m times, and the first of them
+    once more for the rest.  All columns, whatever their names, pass through; an empty table gives an
+    empty result.
+    """
+    own, name, rows, times, number, turn = fresh(df, "row_name", "other_name", "rows", "times", "number", "turn")
+    in_source = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
+    found = placed(df, key, source, text, seed, weights)
+    wanted = (
+        found.groupBy(F.concat("rank", in_source(F.col("source"))).alias(name))
+        .agg(F.count("*").alias(rows), F.sum(F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)).alias(times))
+        .where(F.col(times) > 0)
     )
+    named = df.withColumn(own, F.concat(row_name(F.col(key), F.col(text), seed), in_source(F.col(source))))
+    numbered = named.join(wanted, F.col(own) == F.col(name)).withColumn(number, F.row_number().over(Window.partitionBy(own).orderBy(*any_order(df))))
+    each = F.floor(F.col(times) / F.col(rows)) + F.when(F.col(number) <= F.col(times) % F.col(rows), 1).otherwise(0)
+    return numbered.where(each > 0).withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), each.cast("long")))).select(*[f"`{c}`" for c in df.columns])
 
 
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix-1') AS rank
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix-1:' || md5(coalesce(text, ''))) AS rank
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,

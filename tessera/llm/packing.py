@@ -1,8 +1,10 @@
 """Packing by optimal length buckets.
 
 One pass counts the tokens (words) of every document; the global histogram of lengths goes to the
-driver in bounded form, dynamic programming places the bucket boundaries so that padding is minimal,
-and token-budget batches are formed inside each bucket.  Ranks inside a bucket come from hash bins
+driver, dynamic programming places the bucket boundaries so that padding is minimal, and token-budget
+batches are formed inside each bucket.  The histogram has a row for each length that occurs.  Distinct
+lengths add up to no more than all tokens, so there are at most sqrt(2 * tokens) of them: 6 million
+rows of two numbers for 100 TB, at the very worst.  Ranks inside a bucket come from hash bins
 (counts per bin, summed over the bins, plus a row number inside the bin), so that a bucket with a
 third of all rows is never sorted in one task.
 """
@@ -10,29 +12,20 @@ third of all rows is never sorted in one task.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import materialize, row_name, word_count
 
 N_BUCKETS = 16
 TOKEN_BUDGET = 16384
-#: Lengths up to this one have a histogram bin each; above, a bin spans 1/256 of its power of two at most.
-EXACT_LENGTHS = 4096
 BIN_DIGITS = 3
 
 
-def length_bin(n: Column, exact: int = EXACT_LENGTHS) -> Column:
-    """Histogram bin: exact for short texts, logarithmic steps beyond; at most exact + 256 * log2(max / exact) bins."""
-    power = F.floor(F.log2(F.greatest(n, F.lit(exact)).cast("double") / exact))
-    step = F.greatest(F.lit(1), (F.pow(F.lit(2.0), power) * exact / 256).cast("long"))
-    return F.when(n <= exact, n).otherwise(F.ceil(n / step).cast("long") * step).cast("long")
-
-
 def optimal_boundaries(lengths, counts, totals, n_buckets: int = N_BUCKETS) -> list[int]:
     """Upper ends of at most ``n_buckets`` buckets that minimise the padding, by dynamic programming.
 
-    ``lengths``: the longest text of each bin, ascending; ``counts``: texts in it; ``totals``: tokens in it.
+    ``lengths``: ascending; ``counts``: texts of each length; ``totals``: their tokens.
     cost(i, j) = lengths[j] * texts(i..j) - tokens(i..j).  The best split moves monotonically, so each
     layer is solved by divide and conquer in O(m log m) steps of vectorised minima.
     """
@@ -84,11 +77,11 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", n_buckets: int
     tokens and are packed too; rows that repeat a key are packed each; other columns are ignored.  An
     empty table gives an empty result.
     """
-    rank = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(":pack")))
+    rank = row_name(F.col(key), F.col(text), "pack")
     sized = materialize(df.select(F.col(key).alias("doc_id"), word_count(F.col(text)).alias("n_tokens"), rank.alias("rank")), "pack")
-    histogram = sized.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("n"), F.sum("n_tokens").alias("total"))
-    found = sorted((r["top"], r["n"], r["total"]) for r in histogram.collect())  # bounded: see length_bin
-    ends = optimal_boundaries([f[0] for f in found], [f[1] for f in found], [f[2] for f in found], n_buckets) or [0]
+    histogram = sized.groupBy("n_tokens").count().orderBy("n_tokens").toPandas()  # at most sqrt(2 * tokens) rows
+    lengths, counts = (histogram[c].to_numpy(np.int64) for c in ("n_tokens", "count"))
+    ends = optimal_boundaries(lengths, counts, lengths * counts, n_buckets) or [0]
     bounds = F.array(*[F.lit(e).cast("long") for e in ends])
     bucket = F.size(F.filter(bounds, lambda e: e < F.col("n_tokens")))
     placed = (

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -175,15 +175,20 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
     return dict(zip(names, weights.tolist(), strict=True)), bias
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with score, predicted, worst_start, worst_end, worst_score appended; one row per row.
+#: What ``classify`` appends.
+VERDICT = ("score", "predicted", "worst_start", "worst_end", "worst_score")
 
-    Null and empty texts score 0.  Scores depend on the text alone, so repeated rows score alike.
-    Columns of ``docs`` with these names are replaced; all others, whatever their names, pass through.
-    Without labelled documents nothing is predicted toxic.
+
+def classify(docs: DataFrame, labels: DataFrame, names: Sequence[str] = VERDICT) -> DataFrame:
+    """``docs`` with score, predicted, worst_start, worst_end, worst_score appended, by ``names``; one row per row.
+
+    Null and empty texts score 0; a text of any length is scored whole.  Scores depend on the text alone, so
+    repeated rows score alike.  Columns of ``docs`` with these names are replaced; all others, whatever
+    their names, pass through.  Without labelled documents nothing is predicted toxic; an empty table gives
+    an empty result.
     """
     weights, bias = train(docs, labels)
-    own = ["score", "predicted", "worst_start", "worst_end", "worst_score"]
+    own = list(names)
     keep = [c for c in docs.columns if c not in own]
     model = docs.sparkSession.sparkContext.broadcast((weights, bias))  # at most MAX_FEATURES weights
 
@@ -201,7 +206,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns + extra, [*keep, *own])
 
-    schema = docs.select(*keep).schema
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
     for name, kind in zip(own, ("double", "integer", "integer", "integer", "double"), strict=True):
         schema = schema.add(name, kind)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text")).toDF(*[f"c{k}" for k in range(len(keep) + 1)]).mapInArrow(run, schema)

@@ -111,8 +111,21 @@ def test_mix_equals_its_sql(spark):
         assert own.taken.sum() == int(own.target.iloc[0]) and (own.taken <= 3 * own["size"]).all() and own.target.iloc[0] <= 3 * own.source_size.iloc[0]
     assert full.groupby("source", dropna=False).target.first().sum() == pytest.approx(full["size"].sum())
     assert mixing.mix(df.where("doc_id = -1")).collect() == []
-    mixed = mixing.copies(df, mixing.mix(df))
+    mixed = mixing.mixed(df)
     assert mixed.columns == df.columns and mixed.where("doc_id = 901").count() == 0
+    wanted = full.assign(n=-(-full.taken // full["size"].clip(lower=1))).groupby("doc_id", dropna=False).n.sum()
+    found = mixed.toPandas().groupby("doc_id", dropna=False).size()
+    assert {str(k): v for k, v in found.items()} == {str(k): v for k, v in wanted.items() if v}
+
+
+def test_equal_rows_share_what_the_mix_takes(spark):
+    """Two of three equal rows are taken, one of them at the cut: two rows come out, not three times the largest share."""
+    rows = [(1, "a", "x " * 8)] * 3 + [(2, "b", "y " * 10)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, source string, text string, times int")
+    taken = sorted(r.taken for r in mixing.mix(df).where("doc_id = 1").collect())
+    got = mixing.mixed(df)
+    assert got.where("doc_id = 1").count() == sum(-(-t // 8) for t in taken) and taken == [0, 3, 8] or sum(taken) == int(mixing.mix(df).where("doc_id = 1").first().target)
+    assert sorted(r.times for r in got.where("doc_id = 1").collect()) == list(range(got.where("doc_id = 1").count()))
 
 
 def brute_padding(lengths, k):
