@@ -1,46 +1,72 @@
-"""The corpus pipeline: toxicity filter, SimHash near-dedup, substring dedup, mixing to target weights, packing."""
+"""The corpus pipeline: toxicity filter, SimHash near-dedup, substring dedup, mixing to target weights, packing.
+
+Every stage takes and returns whole rows; columns of any other name, also one that a stage uses for itself,
+pass through.  Null and empty texts are documents like any other until the mixing, which takes words; an
+empty table stays empty.  Equal inputs give equal outputs, whatever the order or partitions of the rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import any_order, fresh, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the toxicity model, trained on the labels of these documents, predicts toxic."""
-    from tessera.llm.toxicity import classify
+    """Drops the documents that the toxicity model, trained on the labels of these documents, predicts toxic.
+
+    Null and empty texts stay; copies of a text share its fate; null ids are scored, but carry no label.
+    """
+    from tessera.llm.toxicity import VERDICT, classify
 
-    return classify(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+    names = fresh(docs, *VERDICT)
+    kept = classify(docs, table(spark, sf_dir, "labels"), names).where(F.col(names[VERDICT.index("predicted")]) == 0)
+    return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group, and one row of each document."""
+    """Keeps one document of each near-duplicate group: the smallest doc_id (null last), ties by the text's MD5.
+
+    Null and empty texts are copies of each other.  Of rows equal in doc_id and text the one whose other
+    columns come first stays.  A text of any length is compared whole.
+    """
     from tessera.llm.simhash import near_duplicates
 
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    marked = docs.withColumn("_d", F.md5(F.coalesce("text", F.lit(""))))
-    same = (F.col("_d") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["_d"]).select(*docs.columns)
+    own, name, turn = fresh(docs, "name", "other_name", "turn")
+    named = lambda digest: F.concat(digest, F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    kept = near_duplicates(docs).where("kept").select(named(F.col("digest")).alias(name))
+    marked = docs.withColumn(own, named(F.md5(F.coalesce("text", F.lit("")))))
+    left = marked.join(kept, F.col(own) == F.col(name), "left_semi")
+    first = left.withColumn(turn, F.row_number().over(Window.partitionBy(own).orderBy(*any_order(docs)))).where(F.col(turn) == 1)
+    return first.select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts the passages of 13 words or more that a document with a smaller doc_id has; drops what is left empty."""
+    """Cuts the passages of 13 words or more that a document with a smaller doc_id has; drops what is left empty.
+
+    Null texts and texts without words stay; see ``without_repeats`` for ties, repeated rows and null ids.
+    """
     from tessera.llm.fmindex import without_repeats
 
-    return without_repeats(docs).select(*docs.columns)
+    return without_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and leaves out whole documents so that the sources reach their target weights."""
-    from tessera.llm.mixing import copies, mix
+    """Repeats and leaves out whole documents so that the sources (null is one) reach their target weights.
+
+    Texts without words are never taken; repeated rows share what the mix takes of them evenly.
+    """
+    from tessera.llm.mixing import mixed
 
-    return copies(docs, mix(docs))
+    return mixed(docs)
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length buckets and token-budget batches of the mixed corpus."""
+    """Length buckets and token-budget batches of the mixed corpus: one row for each document and copy of it.
+
+    Null texts have no tokens and are packed too; a text above the budget is a batch of its own.
+    """
     from tessera.llm.packing import pack
 
     return pack(docs)
@@ -54,7 +80,7 @@ STAGES = [
     ("packing", pack_batches),
 ]
 
-#: The classifier and the fingerprints are no SQL; the pipeline is tested against brute force instead.
+#: The classifier and the fingerprints are no SQL; tests/llm/test_pipeline.py follows all stages by brute force instead.
 ORACLE_SQL = None
 
 
