@@ -1,14 +1,21 @@
 """Embedding near-dedup by an epsilon grid order join.
 
-Vectors of unit length are at most EPSILON apart if their cosine is at least the threshold.  They are
-sorted by the grid cells (of side EPSILON) of their leading principal coordinates; the sorted sequence
-is cut into blocks of bounded size, and only blocks whose bounding boxes come within EPSILON are
-joined.  A join of two blocks halves its intervals recursively and skips those provably distant; what
-is left is compared by a product of matrices in double precision.
+Vectors of unit length are at most EPSILON apart if their cosine is at least the threshold.  Equal
+vectors are one vector with a count.  The distinct ones are sorted by the grid cells (of side EPSILON)
+of their leading principal coordinates, and the sorted sequence is cut into blocks of bounded size.
+
+The join recurses over intervals of the sequence.  Intervals of FAN blocks, of FAN such intervals and so
+on form a tree with bounding boxes; beginning with the whole sequence against itself, every level
+splits the pairs that are left into pairs of parts and leaves out those that are provably further
+apart than EPSILON in all the leading directions together.  A level is a join on interval numbers, so
+no cell and no dense region is a key.  What is left of blocks is dealt in tiles of TILE x TILE blocks,
+each block once to a tile; inside, the recursion goes on down to LEAF vectors, which a product of
+matrices in double precision compares.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -18,27 +25,37 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Emitter, arrow_schema, materialize
+from .common import materialize
 from .components import connected_components
 
 THRESHOLD = 0.9
 #: Rows used to find the principal directions; they steer the pruning only, every row is joined.
 SAMPLE = 4096
-#: Principal coordinates in the order and in the bounding boxes; of the order, the first also deals out blocks.
+#: Principal coordinates in the order and in the bounding boxes.
 ORDER_DIMS, BOX_DIMS = 4, 16
-BLOCK, LEAF = 4096, 256
+#: Bytes of a block in double precision, vectors of a leaf, children of an interval, blocks of a side of a tile.
+BLOCK_BYTES, LEAF, FAN, TILE = 1 << 20, 256, 64, 8
+#: Boxes of vectors of different lengths are as far apart as this, which is further than unit vectors can be.
+APART = 4.0
 
 
-def unit(vectors: list, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that link, their unit vectors): not null, of ``dims`` finite components, not all zero."""
-    good = [i for i, v in enumerate(vectors) if v is not None and len(v) == dims and None not in v]
-    x = np.array([vectors[i] for i in good], np.float64).reshape(len(good), dims)
-    fine = np.isfinite(x).all(axis=1)
-    x, rows = x[fine], np.array(good, np.int64)[fine]
-    big = np.abs(x).max(axis=1, initial=0.0)
-    x, rows, big = x[big > 0], rows[big > 0], big[big > 0]
-    x = x / big[:, None]
-    return rows, x / np.sqrt((x * x).sum(axis=1))[:, None]
+def units(vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: (rows that link, their unit vectors): not null, of finite components, not all zero."""
+    lengths: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        if v is not None and len(v) and None not in v:
+            lengths.setdefault(len(v), []).append(i)
+    out = {}
+    for d, good in lengths.items():
+        rows, x = np.array(good, np.int64), np.array([vectors[i] for i in good], np.float64)
+        fine = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+        out[d] = rows[fine], normed(x[fine])
+    return out
+
+
+def normed(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, initial=0.0)[:, None]
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
 def principal_axes(sample: np.ndarray, k: int) -> np.ndarray:
@@ -49,8 +66,38 @@ def principal_axes(sample: np.ndarray, k: int) -> np.ndarray:
     return np.linalg.svd(x, full_matrices=False)[2][:k].T if len(x) >= k else np.eye(sample.shape[1])[:, :k]
 
 
+class Axes:
+    """Directions by the length of vectors: principal ones for the usual length, else the first coordinates."""
+
+    def __init__(self, usual: int, axes: np.ndarray):
+        self.usual, self.axes = usual, axes
+
+    def of(self, d: int) -> np.ndarray:
+        return self.axes if d == self.usual else np.eye(d)[:, : min(BOX_DIMS, d)]
+
+    def cells(self, x: np.ndarray, epsilon: float) -> np.ndarray:
+        out = np.zeros((len(x), ORDER_DIMS), np.int32)
+        k = min(ORDER_DIMS, x.shape[1])
+        out[:, :k] = np.floor(x @ self.of(x.shape[1])[:, :k] / epsilon)
+        return out
+
+    def box(self, x: np.ndarray) -> np.ndarray:
+        """Lower and upper bounds; the first coordinate tells lengths apart."""
+        p = x @ self.of(x.shape[1])
+        out = np.zeros((2, BOX_DIMS + 1))
+        out[:, 0] = APART * x.shape[1]
+        out[0, 1 : p.shape[1] + 1], out[1, 1 : p.shape[1] + 1] = p.min(axis=0), p.max(axis=0)
+        return out
+
+
+def near_boxes(a: np.ndarray, b: np.ndarray, far: float) -> np.ndarray:
+    """Which boxes (n, 2, dims) come within a squared distance of ``far``: a matrix of truth."""
+    gap = np.maximum(0.0, np.maximum(a[:, None, 0] - b[None, :, 1], b[None, :, 0] - a[:, None, 1]))
+    return np.einsum("ijk,ijk->ij", gap, gap) <= far
+
+
 class Groups:
-    """Union-find over the rows of two blocks, with the roots of all rows at hand as an array."""
+    """Union-find over rows, with the roots of all rows at hand as an array."""
 
     def __init__(self, n: int):
         self.root = np.arange(n)
@@ -78,165 +125,188 @@ class Groups:
         self.root = to[self.root]
 
 
-def join_blocks(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(links of each row of a and then b, root of each row) over the links between the blocks, or inside one."""
-    far = 2 - 2 * threshold + 1e-9
-    n = len(a)
-    both = a if same else np.concatenate([a, b])
-    off = 0 if same else n
-    links, groups = np.zeros(len(both), np.int64), Groups(len(both))
-    boxes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-    place = both @ axes
-
-    def box(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        if (lo, hi) not in boxes:
-            boxes[lo, hi] = place[lo:hi].min(axis=0), place[lo:hi].max(axis=0)
-        return boxes[lo, hi]
-
-    def visit(a0: int, a1: int, b0: int, b1: int) -> None:
+class Joiner:
+    """Links between the vectors of a tile: how many each has (copies counted) and what they connect."""
+
+    def __init__(self, vectors: np.ndarray, counts: np.ndarray, axes: np.ndarray, threshold: float):
+        self.vectors, self.counts, self.threshold = vectors, counts, threshold
+        self.far = 2 - 2 * threshold + 1e-9
+        self.place = vectors @ axes
+        self.links, self.groups = np.zeros(len(vectors), np.int64), Groups(len(vectors))
+        self.boxes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def box(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        if (lo, hi) not in self.boxes:
+            self.boxes[lo, hi] = self.place[lo:hi].min(axis=0), self.place[lo:hi].max(axis=0)
+        return self.boxes[lo, hi]
+
+    def join(self, a0: int, a1: int, b0: int, b1: int) -> None:
+        """Joins two intervals that are equal or follow each other."""
         if a0 >= a1 or b0 >= b1:
             return
-        (al, ah), (bl, bh) = box(a0, a1), box(b0, b1)
+        (al, ah), (bl, bh) = self.box(a0, a1), self.box(b0, b1)
         gap = np.maximum(0, np.maximum(al - bh, bl - ah))
-        if gap @ gap > far:
+        if gap @ gap > self.far:
             return
         if a1 - a0 <= LEAF and b1 - b0 <= LEAF:
-            i, j = np.nonzero(both[a0:a1] @ both[b0:b1].T >= threshold)
+            i, j = np.nonzero(self.vectors[a0:a1] @ self.vectors[b0:b1].T >= self.threshold)
             i, j = i + a0, j + b0
-            if same:
-                one = i < j
-                i, j = i[one], j[one]
+            if a0 == b0:
+                i, j = i[i < j], j[i < j]
             if len(i):
-                np.add.at(links, i, 1)
-                np.add.at(links, j, 1)
-                groups.link(i, j)
+                np.add.at(self.links, i, self.counts[j])
+                np.add.at(self.links, j, self.counts[i])
+                self.groups.link(i, j)
             return
-        am = (a0 + a1) // 2 if a1 - a0 > LEAF else a1
-        bm = (b0 + b1) // 2 if b1 - b0 > LEAF else b1
+        am, bm = ((x0 + x1) // 2 if x1 - x0 > LEAF else x1 for x0, x1 in ((a0, a1), (b0, b1)))
         for x in ((a0, am), (am, a1)):
             for y in ((b0, bm), (bm, b1)):
-                if not same or x[0] < y[1]:
-                    visit(*x, *y)
+                if a0 != b0 or x <= y:
+                    self.join(*x, *y)
+
+
+def block_pairs(meta: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) with a <= b: the pairs of blocks (block, box) whose boxes may hold a link, by recursion over intervals.
+
+    Blocks are numbered through.  A level of the tree has a row for each interval: its number and its children's
+    numbers and boxes.  The number of levels is the logarithm of the number of blocks to the base FAN.
+    """
+    levels, nodes, n = [], meta.select(F.col("block").alias("i"), "box"), meta.count()
+    while True:
+        kids = nodes.groupBy(F.floor(F.col("i") / FAN).cast("long").alias("i")).agg(F.sort_array(F.collect_list(F.struct("i", "box"))).alias("kids"))  # FAN at most
+        kids = materialize(kids, "level")
+        levels.append(kids)
+        n = -(-n // FAN)
+        if n <= 1:
+            break
+        size = 2 * (BOX_DIMS + 1)
+        bound = [F.array_min(F.transform("kids", lambda k, c=c: k["box"][c])) if c < BOX_DIMS + 1 else F.array_max(F.transform("kids", lambda k, c=c: k["box"][c])) for c in range(size)]
+        nodes = kids.select("i", F.array(*bound).alias("box"))
+    far = 2 - 2 * threshold + 1e-9
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def side(kids: list) -> tuple[np.ndarray, np.ndarray]:
+            return np.array([k["i"] for k in kids], np.int64), np.array([k["box"] for k in kids]).reshape(len(kids), 2, -1)
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                (ai, abox), (bi, bbox) = side(a), side(b)
+                i, j = np.nonzero(near_boxes(abox, bbox, far))
+                i, j = ai[i], bi[j]
+                ahead = i <= j
+                yield pa.RecordBatch.from_arrays([pa.array(i[ahead]), pa.array(j[ahead])], ["a", "b"])
 
-    visit(0, n, off, len(both))
-    return links, groups.root
+    pairs = levels[-1].select(F.col("i").alias("a"), F.col("i").alias("b"))  # the whole sequence against itself
+    for kids in reversed(levels):
+        left, right = kids.toDF("a", "kids_a"), kids.toDF("b", "kids_b")
+        pairs = pairs.join(left, "a").join(right, "b").select("kids_a", "kids_b").mapInArrow(split, "a long, b long")
+    return pairs
 
 
 def epsilon_join(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row: links of cosine >= ``threshold`` and their components.
 
-    Null or zero vectors, vectors with null or non-finite components and vectors whose length isn't the
-    most frequent one link with nothing.  Rows that repeat a vec_id are vectors of their own and link
-    like any other; null ids never name a component that has another id.  ``kept`` is vec_id =
+    Null, empty or zero vectors and vectors with null or non-finite components link with nothing; vectors of
+    different lengths have no cosine and don't link.  Rows that repeat a vec_id are vectors of their own and
+    link like any other; null ids never name a component that has another id.  ``kept`` is vec_id =
     component_id (null ids: true only for a component without ids).  Other columns are ignored; an empty
     table gives an empty result.  Exact: every row is joined, the order only saves comparisons.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"))
     lengths = rows.where("v is not null and size(v) > 0").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
     usual = lengths.orderBy(F.desc("n"), "d").limit(1).collect()
     dims = usual[0].d if usual else 1
     sample = rows.where(F.size("v") == dims).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    axes = principal_axes(unit([list(r.v) for r in sample], dims)[1], min(BOX_DIMS, dims))
+    found = units([list(r.v) for r in sample]).get(dims)
+    axes = Axes(dims, principal_axes(found[1] if found else np.zeros((0, dims)), min(BOX_DIMS, dims)))
     epsilon = math.sqrt(2 - 2 * threshold)
-    k = min(ORDER_DIMS, dims)
+    order = [f"c{c}" for c in range(ORDER_DIMS)]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, part = 0, TaskContext.get().partitionId()
         for batch in batches:
-            good, x = unit(batch.column(1).to_pylist(), dims)
-            cells = np.zeros((batch.num_rows, k), np.int32)
-            cells[good] = np.floor(x @ axes[:, :k] / epsilon).astype(np.int32)
-            links = np.zeros(batch.num_rows, bool)
-            links[good] = True
-            blobs: list[bytes | None] = [None] * batch.num_rows
-            for i, row in zip(good.tolist(), x, strict=True):
-                blobs[i] = row.tobytes()
-            rid = np.arange(n, n + batch.num_rows, dtype=np.int64) + (part << 33)
-            n += batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rid), batch.column(0), pa.array(links), pa.array(blobs, pa.binary()), *[pa.array(np.ascontiguousarray(cells[:, c])) for c in range(k)]],
-                ["rid", "vec_id", "links", "v", *[f"c{c}" for c in range(k)]],
-            )
-
-    ddl = "rid long, vec_id long, links boolean, v binary, " + ", ".join(f"c{c} int" for c in range(k))
+            n = batch.num_rows
+            cells, length = np.zeros((n, ORDER_DIMS), np.int32), np.zeros(n, np.int32)
+            names: list[str | None] = [None] * n
+            blobs: list[bytes | None] = [None] * n
+            for d, (good, x) in units(batch.column(1).to_pylist()).items():
+                cells[good], length[good] = axes.cells(x, epsilon), d
+                for i, row in zip(good.tolist(), x, strict=True):
+                    blobs[i] = row.tobytes()
+                    names[i] = hashlib.md5(blobs[i]).hexdigest()
+            columns = [batch.column(0), pa.array(names, pa.string()), pa.array(length), *[pa.array(np.ascontiguousarray(cells[:, c])) for c in range(ORDER_DIMS)]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(blobs, pa.binary())], ["vec_id", "name", "d", *order, "v"])
+
+    ddl = "vec_id long, name string, d int, " + ", ".join(f"{c} int" for c in order) + ", v binary"
     placed = materialize(rows.mapInArrow(place, ddl), "vectors")
-    order = [f"c{c}" for c in range(k)]
+    distinct = placed.where("name is not null").groupBy("name").agg(F.count("*").alias("n"), F.min("vec_id").alias("low"), *[F.first(c).alias(c) for c in ("d", *order, "v")])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count = TaskContext.get().partitionId(), 0
-        held_ids: list[np.ndarray] = []
-        held: list[np.ndarray] = []
-
-        def blocks(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal count, held_ids, held
-            ids, x = np.concatenate(held_ids), np.concatenate(held)
-            at = 0
-            while len(ids) - at >= BLOCK or (last and at < len(ids)):
-                own, vec = ids[at : at + BLOCK], x[at : at + BLOCK]
-                p = vec @ axes
-                cell = np.floor(p[:, 0] / epsilon)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([(part << 32) + count], pa.int64()),
-                        pa.array([int(cell.min())], pa.int32()),
-                        pa.array([int(cell.max())], pa.int32()),
-                        pa.array([p.min(axis=0).tolist()], pa.list_(pa.float64())),
-                        pa.array([p.max(axis=0).tolist()], pa.list_(pa.float64())),
-                        pa.array([own.tobytes()], pa.binary()),
-                        pa.array([vec.tobytes()], pa.binary()),
-                    ],
-                    ["block", "c_lo", "c_hi", "lo", "hi", "ids", "vectors"],
-                )
-                count += 1
-                at += BLOCK
-            held_ids, held = [ids[at:]], [x[at:]]
+        held: list[tuple[str, int, bytes]] = []
+
+        def block() -> pa.RecordBatch:
+            nonlocal count
+            x = np.frombuffer(b"".join(h[2] for h in held), np.float64).reshape(len(held), -1)
+            values = [part, count, axes.box(x).ravel().tolist(), "".join(h[0] for h in held), np.array([h[1] for h in held], np.int64).tobytes(), x.tobytes()]
+            kinds = [pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.string(), pa.binary(), pa.binary()]
+            count += 1
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["part", "count", "box", "names", "counts", "vectors"])
 
         for batch in batches:
-            if batch.num_rows:
-                held_ids.append(batch.column(0).to_numpy())
-                held.append(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(-1, dims))
-                if sum(map(len, held_ids)) >= BLOCK:
-                    yield from blocks(False)
-        if held_ids and sum(map(len, held_ids)):
-            yield from blocks(True)
-
-    ordered = placed.where("links").repartitionByRange(*order).sortWithinPartitions(*order, "rid").select("rid", "v")
-    blocks = materialize(ordered.mapInArrow(cut, "block long, c_lo int, c_hi int, lo array<double>, hi array<double>, ids binary, vectors binary"), "blocks")
-    meta = blocks.select("block", "c_lo", "c_hi", "lo", "hi")
-    left = meta.select(F.col("block").alias("a"), F.col("lo").alias("al"), F.col("hi").alias("ah"), F.explode(F.sequence("c_lo", "c_hi")).alias("cell"))
-    right = meta.select(
-        F.col("block").alias("b"), F.col("lo").alias("bl"), F.col("hi").alias("bh"), F.explode(F.sequence(F.col("c_lo") - 1, F.col("c_hi") + 1)).alias("cell")
-    )
-    zero = F.lit(0.0)
-    outside = F.zip_with(F.zip_with("al", "bh", lambda x, y: x - y), F.zip_with("bl", "ah", lambda x, y: x - y), lambda x, y: F.greatest(zero, x, y))
-    near = F.aggregate(outside, zero, lambda s, x: s + x * x) <= 2 - 2 * threshold + 1e-9
-    pairs = left.join(right, "cell").where("a <= b").where(near).select("a", "b").distinct()
-    data = blocks.select("block", "ids", "vectors")
-    tasks = pairs.join(data.toDF("a", "a_ids", "a_vectors"), "a").join(data.toDF("b", "b_ids", "b_vectors"), "b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Emitter(arrow_schema(rid=pa.int64(), n=pa.int64(), root=pa.int64()), 65536)
-        for batch in batches:
-            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            for i in range(batch.num_rows):
-                same = col["a"][i].as_py() == col["b"][i].as_py()
-                ids = [np.frombuffer(col[f"{s}_ids"][i].as_py(), np.int64) for s in "ab"]
-                vec = [np.frombuffer(col[f"{s}_vectors"][i].as_py(), np.float64).reshape(-1, dims) for s in "ab"]
-                links, root = join_blocks(*vec, axes, threshold, same)
-                every = ids[0] if same else np.concatenate(ids)
-                for r in np.nonzero(links)[0].tolist():
-                    e.add(int(every[r]), int(links[r]), int(every[root[r]]))
-                if e.full():
-                    yield e.take()
-        yield e.take()
-
-    partial = materialize(tasks.mapInArrow(compare, "rid long, n long, root long"), "links")
-    comp = connected_components(partial.select("rid", "root"), "rid", "root")
-    counts = partial.groupBy("rid").agg(F.sum("n").alias("n_links"))
-    every = placed.select("rid", "vec_id").join(counts, "rid", "left").join(comp.withColumnRenamed("node", "rid"), "rid", "left")
-    every = every.withColumn("component", F.coalesce("component", "rid"))
-    lowest = every.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    return every.join(lowest, "component").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")
-    )
+            for name, n, v in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if held and (len(v) != len(held[0][2]) or (len(held) + 1) * len(v) > BLOCK_BYTES):
+                    yield block()
+                held.append((name, n, v))
+        if held:
+            yield block()
+
+    ordered = distinct.repartitionByRange("d", *order, "name").sortWithinPartitions("d", *order, "name").select("name", "n", "v")
+    cut_up = materialize(ordered.mapInArrow(cut, "part int, count int, box array<double>, names string, counts binary, vectors binary"), "blocks")
+    per_part = sorted((r.part, r.n) for r in cut_up.groupBy("part").agg(F.max("count").alias("n")).collect())  # one number a partition
+    offsets, at = [], 0
+    for p, last in per_part:
+        offsets.append((p, at))
+        at += last + 1
+    starts = df.sparkSession.createDataFrame(offsets, "part int, start long")
+    blocks = cut_up.join(F.broadcast(starts), "part").withColumn("block", F.col("start") + F.col("count"))  # a row a partition
+    pairs = block_pairs(blocks.select("block", "box"), threshold)
+    ta, tb = (F.floor(F.col(c) / TILE).cast("long") for c in "ab")
+    wanted = pairs.select(ta.alias("ta"), tb.alias("tb"), F.col("a").alias("block"), F.col("b").alias("with"))
+    wanted = wanted.unionByName(pairs.select(ta.alias("ta"), tb.alias("tb"), F.col("b").alias("block"), F.lit(None).cast("long").alias("with")))
+    wanted = wanted.groupBy("ta", "tb", "block").agg(F.collect_list("with").alias("with"))  # at most TILE each
+    tiles = wanted.join(blocks.select("block", "names", "counts", "vectors"), "block")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        number, partners, names, counts, blobs = (table.column(c).to_pylist() for c in ("block", "with", "names", "counts", "vectors"))
+        own = {b: k for k, b in enumerate(number)}
+        count = [np.frombuffer(c, np.int64) for c in counts]
+        dims = [len(v) // 8 // len(c) for v, c in zip(blobs, count, strict=True)]
+        out: dict[str, list] = {"name": [], "n": [], "root": []}
+        for d in sorted(set(dims)):
+            mine = [k for k in range(len(number)) if dims[k] == d]
+            edge = dict(zip(mine, np.cumsum([0, *[len(count[k]) for k in mine]]).tolist(), strict=False))
+            joiner = Joiner(np.frombuffer(b"".join(blobs[k] for k in mine), np.float64).reshape(-1, d), np.concatenate([count[k] for k in mine]), axes.of(d), threshold)
+            for k in mine:
+                for other in partners[k]:
+                    j = own[other]
+                    if dims[j] == d:
+                        joiner.join(edge[k], edge[k] + len(count[k]), edge[j], edge[j] + len(count[j]))
+            every = "".join(names[k] for k in mine)
+            name = lambda i, every=every: every[32 * i : 32 * i + 32]
+            hit = np.nonzero(joiner.links)[0].tolist()
+            out["name"] += map(name, hit)
+            out["n"] += joiner.links[hit].tolist()
+            out["root"] += map(name, joiner.groups.root[hit].tolist())
+        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), (pa.string(), pa.int64(), pa.string()), strict=True)})
+
+    partial = materialize(tiles.groupBy("ta", "tb").applyInArrow(compare, "name string, n long, root string"), "links")
+    comp = connected_components(partial.select("name", "root"), "name", "root").withColumnRenamed("node", "name")
+    counts = partial.groupBy("name").agg(F.sum("n").alias("n_links"))
+    whole = distinct.select("name", "n", "low").join(counts, "name", "left").join(comp, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    lowest = whole.groupBy("component").agg(F.min("low").alias("component_id"))
+    told = whole.join(lowest, "component").select("name", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    linked = placed.where("name is not null").select("vec_id", "name").join(told, "name").select("vec_id", "n_links", "component_id")
+    alone = placed.where("name is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -65,18 +65,23 @@ def brute_links(vectors, threshold):
     n = len(vectors)
     unit = []
     for v in vectors:
-        ok = v is not None and len(v) == 8 and None not in v and all(np.isfinite(v)) and any(v)
-        unit.append(np.array(v, float) / np.linalg.norm(v) if ok else None)
-    return [[j for j in range(n) if j != i and unit[i] is not None and unit[j] is not None and unit[i] @ unit[j] >= threshold] for i in range(n)]
+        ok = v is not None and len(v) and None not in v and all(np.isfinite(v)) and any(v)
+        x = np.array(v, float) / np.abs(v).max() if ok else None
+        unit.append(x / np.linalg.norm(x) if ok else None)
+    links = lambda a, b: a is not None and b is not None and len(a) == len(b) and a @ b >= threshold
+    return [[j for j in range(n) if j != i and links(unit[i], unit[j])] for i in range(n)]
 
 
 def test_epsilon_join(spark, monkeypatch):
-    monkeypatch.setattr(ego, "BLOCK", 40)
-    monkeypatch.setattr(ego, "LEAF", 8)
+    monkeypatch.setattr(ego, "BLOCK_BYTES", 12 * 64)
+    monkeypatch.setattr(ego, "LEAF", 4)
+    monkeypatch.setattr(ego, "FAN", 3)
+    monkeypatch.setattr(ego, "TILE", 2)
     g = np.random.default_rng(3)
     base = g.normal(size=(25, 8))
     vectors = [v.tolist() for v in base] + [(base[k % 6] + 0.12 * g.normal(size=8)).tolist() for k in range(150)]
     vectors += [[0.0] * 8, None, [float("nan")] + [1.0] * 7, [float("inf")] + [1.0] * 7, [None] + [1.0] * 7, [1.0] * 7, [], (base[0] * 1e-200).tolist(), vectors[3]]
+    vectors += [[1.0, 2.0], [1.0, 2.1], [-1.0, 2.0], [1.0, 2.0], [3.0], [5.0], [-1.0], *[vectors[2]] * 30, vectors[3]]
     ids = list(range(len(vectors) - 1)) + [3]
     ids[40] = None
     df = spark.createDataFrame([(i, v, 1, "r") for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>, label int, rid string")
