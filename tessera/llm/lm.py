@@ -29,7 +29,9 @@ ORDER = 3
 #: Weight of the shorter context in counts, for contexts of one word and of two.
 PRIORS = (64.0, 4.0)
 #: Characters of a part; a part and the answers to it are in one task's memory.
-PART_CHARS = 8_000_000
+PART_CHARS = 5_000_000
+#: Bits of the name of an n-gram of two tokens or more: a chance of one in 10**7 that one of 7 * 10**9 others shares it.
+NAME_BITS = 56
 #: Tokens of a piece of a text; the pieces of a part are read side by side.
 PIECE = 1024
 END, START = 0xE0D, 0x57A27
@@ -52,7 +54,7 @@ def followed(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (context ^ (context >> np.uint64(29))) * np.uint64(ODD) + token
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(31))
+    return (h ^ (h >> np.uint64(31))) >> np.uint64(64 - NAME_BITS)
 
 
 class Part:
@@ -72,7 +74,8 @@ class Part:
         self.first = np.cumsum(self.length) - self.length
         at = np.arange(len(flat)) - np.repeat(self.first, self.length)
         trained = np.repeat(self.train, self.length)
-        self.words, self.word_of = np.unique(flat, return_inverse=True)
+        self.words, back = np.unique(flat, return_inverse=True)
+        self.word_of = back.astype(np.int32)
         self.word_count = np.bincount(self.word_of, trained, len(self.words)).astype(np.int64)
         names, places = [], []
         context = np.empty(len(flat), np.uint64)
@@ -81,18 +84,20 @@ class Part:
             if not k:
                 context[self.first] = START
             names.append(followed(context, flat))
-            places.append(np.nonzero(at >= k)[0])
+            places.append(np.nonzero(at >= k)[0].astype(np.int32))
         every = np.concatenate([n[p] for n, p in zip(names, places, strict=True)])
         own = np.concatenate([trained[p] for p in places])
-        del names, context, flat
+        del names, context, flat, trained
         self.grams, first, back = np.unique(every, return_index=True, return_inverse=True)
+        back = back.astype(np.int32)
+        del every
         self.gram_count = np.bincount(back, own, len(self.grams)).astype(np.int64)
         cut = np.cumsum([len(p) for p in places])
-        self.gram_of = np.full((ORDER - 1, len(at)), -1, np.int64)
+        self.gram_of = np.full((ORDER - 1, len(at)), -1, np.int32)
         for k, p in enumerate(places):
             self.gram_of[k, p] = back[cut[k] - len(p) : cut[k]]
         # order and place of one occurrence of each n-gram
-        self.order = np.searchsorted(cut, first, side="right")
+        self.order = np.searchsorted(cut, first, side="right").astype(np.int8)
         self.seen_at = np.concatenate(places)[first]
 
 
@@ -109,10 +114,15 @@ def part_rows(table: pa.Table) -> Part:
     return Part([], []) if docs is None else Part(docs.column(0).to_pylist(), docs.column(1).to_pylist())
 
 
+def edges(part: Part, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words and the longer n-grams of each bucket begin and end."""
+    return cuts(part.words, buckets), cuts(part.grams, buckets, NAME_BITS)
+
+
 def ask(table: pa.Table, buckets: int) -> pa.Table:
     """The packets of a part: one for every bucket, empty or not."""
     part, p = part_rows(table), table.column("part")[0].as_py()
-    w, g = cuts(part.words, buckets), cuts(part.grams, buckets)
+    w, g = edges(part, buckets)
     pieces = [(slice(w[b], w[b + 1]), slice(g[b], g[b + 1])) for b in range(buckets)]
     columns = [
         [pack_keys(part.words[x]) for x, _ in pieces],
@@ -144,36 +154,52 @@ def answer(table: pa.Table) -> pa.Table:
 class BackoffAutomaton:
     """States, arcs and failure arcs over the words of one part, weights in log10.
 
-    States: 0 the root, 1 the start of a text, then the words as contexts, then the n-grams as contexts.  Arcs are
-    sorted by (state, word); the root's arc of a word is ``root[word]`` and leads to ``after[word]``.
+    States: 0 the root, 1 the start of a text, then the words as contexts, then the n-grams as contexts.  The arcs of a
+    state lie together, by word; the root's arc of a word is ``root[word]`` and leads to ``after[word]``.
     """
 
-    def __init__(self, root: np.ndarray, after: np.ndarray, arcs: np.ndarray, weight: np.ndarray, to: np.ndarray, failure: np.ndarray, shorter: np.ndarray):
+    def __init__(self, root: np.ndarray, after: np.ndarray, state: np.ndarray, word: np.ndarray, weight: np.ndarray, to: np.ndarray, failure: np.ndarray, shorter: np.ndarray):
+        arcs = state * len(root) + word
         order = np.argsort(arcs, kind="stable")
         self.root, self.after = root, after
-        self.arcs, self.weight, self.to = arcs[order], weight[order], to[order]
+        self.arcs, self.word, self.weight, self.to = arcs[order], word[order], weight[order], to[order]
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(state, minlength=len(failure)))]).astype(np.int32)
         self.failure, self.shorter = failure, shorter
 
+    def find(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The arc of each (state, word), -1 where there is none."""
+        first = self.begin[state]
+        n = self.begin[state + 1] - first
+        out = np.full(len(state), -1, np.int64)
+        one = np.nonzero(n == 1)[0]
+        hit = one[self.word[first[one]] == word[one]]
+        out[hit] = first[hit]
+        more = np.nonzero(n > 1)[0]
+        if len(more):
+            key = state[more] * len(self.root) + word[more]
+            i = np.searchsorted(self.arcs, key)
+            hit = self.arcs[np.minimum(i, len(self.arcs) - 1)] == key
+            out[more[hit]] = i[hit]
+        return out
+
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log10 probability, next state) of one token of each text, from the state that each is in."""
         cost, end = np.zeros(len(state)), np.empty(len(state), np.int64)
-        live, at = np.arange(len(state)), state
+        live, at, read = np.arange(len(state)), state, word
         while len(live):
+            arc = self.find(at, read)
+            hit = arc >= 0
+            own, arc = live[hit], arc[hit]
+            cost[own] += self.weight[arc]
+            end[own] = self.to[arc]
+            miss = ~hit
+            live, at, read = live[miss], at[miss], read[miss]
             top = at == 0
-            if top.any():
-                own = live[top]
-                cost[own] += self.root[word[own]]
-                end[own] = self.after[word[own]]
-                live, at = live[~top], at[~top]
-                if not len(live):
-                    break
-            key = at * len(self.root) + word[live]
-            i = np.searchsorted(self.arcs, key)
-            hit = self.arcs[np.minimum(i, len(self.arcs) - 1)] == key if len(self.arcs) else np.zeros(len(key), bool)
-            own, i = live[hit], i[hit]
-            cost[own] += self.weight[i]
-            end[own] = self.to[i]
-            live, at = live[~hit], at[~hit]
+            own = live[top]
+            cost[own] += self.root[read[top]]
+            end[own] = self.after[read[top]]
+            down = ~top
+            live, at, read = live[down], at[down], read[down]
             cost[live] += self.failure[at]
             at = self.shorter[at]
         return cost, end
@@ -207,7 +233,7 @@ def automaton(part: Part, word_count: np.ndarray, gram_count: np.ndarray, total:
     root = (word_count + 0.5) / (total + 0.5 * (types + 1))
     known = np.nonzero(gram_count > 0)[0]
     order, at = part.order[known], part.seen_at[known]
-    word = part.word_of[at]
+    word = part.word_of[at].astype(np.int64)
     context = np.ones(len(known), np.int64)  # the start of a text
     begins = np.zeros(len(part.word_of), bool)
     begins[part.first] = True
@@ -231,7 +257,7 @@ def automaton(part: Part, word_count: np.ndarray, gram_count: np.ndarray, total:
     to = np.where(last, 0, known + 2 + n_words)
     to[last] = part.gram_of[ORDER - 3, at[last]] + 2 + n_words if ORDER > 2 else word[last] + 2
     after = np.where(word_count > 0, np.arange(n_words) + 2, 0)
-    return BackoffAutomaton(np.log10(root), after, context * n_words + word, np.log10(p[known]), to, np.log10(prior / (mass + prior)), shorter)
+    return BackoffAutomaton(np.log10(root), after, context, word, np.log10(p[known]), to, np.log10(prior / (mass + prior)), shorter)
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -242,7 +268,7 @@ def score_part(docs: pa.Table, answers: pa.Table, buckets: int, texts: int) -> p
     part = part_rows(docs)
     if answers.num_rows != buckets:
         raise ValueError("answers are missing")
-    w, g = cuts(part.words, buckets), cuts(part.grams, buckets)
+    w, g = edges(part, buckets)
     word_count, gram_count = np.zeros(len(part.words), np.int64), np.zeros(len(part.grams), np.int64)
     total = types = 0
     for b, own_total, own_types, x, y in zip(*(answers.column(c).to_pylist() for c in ("bucket", "total", "types", "word_counts", "gram_counts")), strict=True):

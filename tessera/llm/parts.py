@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Bytes of rows that a dealing task holds before it passes its blobs on.
 HELD_BYTES = 32 << 20
 #: Characters of the corpus for each pair of a part and a bucket, at least: keeps packets from getting many and small.
-CHARS_PER_PACKET = 2000
+CHARS_PER_PACKET = 500
 ODD = 0x9E3779B97F4A7C15
 _CODEC = "zstd"
 
@@ -92,9 +92,9 @@ def spread(keys: np.ndarray) -> np.ndarray:
         return keys * np.uint64(ODD)
 
 
-def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where the ranges of ``buckets`` equal shares of the key space begin and end in ascending keys."""
-    edges = [(b << 64) // buckets for b in range(1, buckets)]
+def cuts(keys: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
+    """Where the ranges of ``buckets`` equal shares of the space of keys of so many bits begin and end in ascending keys."""
+    edges = [(b << bits) // buckets for b in range(1, buckets)]
     return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]]).astype(np.int64)
 
 
