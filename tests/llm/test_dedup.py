@@ -132,6 +132,25 @@ def test_near_duplicates_that_repeat_a_line(spark):
     assert all(got[2 * k].group_id == got[2 * k + 1].group_id for k in range(3))
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Of pairs whose similarity is just 0.8 or little more nearly all are found, of pairs just below none."""
+    r = random.Random(13)
+    rows, near = [], []
+    for k in range(300):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(120, 400))]
+        other = list(words)
+        cut = int(len(words) * (0.095 if k % 3 else 0.12))  # words at the end that the copy replaces
+        other[-cut:] = [f"x{r.randrange(10**6)}" for _ in range(cut)]
+        a, b = shingles(" ".join(words)), shingles(" ".join(other))
+        near.append(len(a & b) >= 0.8 * len(a | b))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    assert 100 < sum(near) < 250
+    got = {x.doc_id: x.group_id for x in simhash.near_duplicates(docs(spark, rows)).collect()}
+    found = [got[2 * k] == got[2 * k + 1] for k in range(300)]
+    assert not any(f and not n for f, n in zip(found, near, strict=True))
+    assert sum(found) >= 0.95 * sum(near)
+
+
 def test_large_clusters_are_compared_block_by_block(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CLUSTER_BLOCK", 5)
     test_near_duplicates(spark)
