@@ -4,8 +4,12 @@ Templates are text with ``{{ expression }}`` and ``{% statement %}``.  The langu
 string and integer literals, ``.field``, ``+``, ``==``, ``!=``, ``not``, ``and``, ``or`` and the filters below;
 statements ``for NAME in NAME``, ``if/elif/else``, ``set NAME = expression`` and ``generation`` (marks text that carries loss).
 There are no calls, no indexing and no attributes of Python objects.  A template is parsed into a syntax
-tree, constants are folded, and the tree becomes nested Python closures that yield (text, marked) pieces,
-lazily, so that a conversation of any length is formatted turn by turn.
+tree, constants are folded, and the tree becomes nested Python closures that yield (text, marked) pieces.
+
+One call renders a whole conversation, headers, footers and names that are set from turn to turn included.
+The messages are read and the pieces are yielded one by one, so a conversation of any length streams.
+What ``escape`` has to protect and the grammar by which formatted text is read back follow from the
+template's tree.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,20 +33,25 @@ TEMPLATE = (
     "{{ '</turn>' + '\\n' }}"
     "{% endfor %}"
 )
-_CONTROL = re.compile(r"\\|#|:|<")
+#: Characters of formatted text in a row of the output, at least; a row ends between two pieces.
+CHUNK_CHARS = 1 << 15
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
+Escape = Callable[[str], str]
+
 
-def escape(text: str) -> str:
-    """Puts a backslash before every character that can begin or end a control string; ``unescape`` undoes it."""
-    return _CONTROL.sub(r"\\\g<0>", text)
+def escaper(signs: set[str]) -> Escape:
+    """Puts a backslash before every one of ``signs`` and every backslash; ``unescape`` undoes it."""
+    control = re.compile("[" + "".join(map(re.escape, sorted(signs | {"\\"}))) + "]")
+    return lambda text: control.sub(r"\\\g<0>", text)
 
 
 def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-FILTERS: dict[str, Callable[[str], str]] = {"escape": escape, "trim": str.strip, "upper": str.upper, "lower": str.lower, "title": str.title}
+#: Filters besides ``escape``, which depends on the template.
+FILTERS: dict[str, Callable[[str], str]] = {"trim": str.strip, "upper": str.upper, "lower": str.lower, "title": str.title}
 
 
 class TemplateError(ValueError):
@@ -172,7 +181,7 @@ class Parser:
         at += 1
         while at + 1 < len(tokens) and tokens[at][0] == "sign" and tokens[at][1] in ".|" and tokens[at + 1][0] == "name":
             sign, name = tokens[at][1], tokens[at + 1][1]
-            if sign == "|" and name not in FILTERS:
+            if sign == "|" and name != "escape" and name not in FILTERS:
                 raise TemplateError(f"no such filter: {name}")
             if sign == "." and name.startswith("_"):
                 raise TemplateError(f"no such field: {name}")
@@ -214,7 +223,7 @@ def fold(node: tuple) -> tuple:
         return ("const", not a[1]) if a[0] == "const" else ("not", a)
     if kind == "filter":
         a = fold(node[2])
-        return ("const", FILTERS[node[1]](text_of(a[1]))) if a[0] == "const" else ("filter", node[1], a)
+        return ("const", FILTERS[node[1]](text_of(a[1]))) if a[0] == "const" and node[1] != "escape" else ("filter", node[1], a)
     if kind == "field":
         return ("field", node[1], fold(node[2]))
     if kind == "out":
@@ -250,7 +259,7 @@ def fold(node: tuple) -> tuple:
 # --- closures -----------------------------------------------------------------------------------------
 
 
-def value_closure(node: tuple) -> Callable[[dict], object]:
+def value_closure(node: tuple, escape: Escape) -> Callable[[dict], object]:
     kind = node[0]
     if kind == "const":
         value = node[1]
@@ -259,15 +268,15 @@ def value_closure(node: tuple) -> Callable[[dict], object]:
         name = node[1]
         return lambda scope: scope.get(name)
     if kind == "field":
-        name, of = node[1], value_closure(node[2])
+        name, of = node[1], value_closure(node[2], escape)
         return lambda scope: v.get(name) if isinstance(v := of(scope), dict) else None
     if kind == "filter":
-        function, of = FILTERS[node[1]], value_closure(node[2])
+        function, of = escape if node[1] == "escape" else FILTERS[node[1]], value_closure(node[2], escape)
         return lambda scope: function(text_of(of(scope)))
     if kind == "not":
-        of = value_closure(node[1])
+        of = value_closure(node[1], escape)
         return lambda scope: not of(scope)
-    sign, a, b = node[1], value_closure(node[2]), value_closure(node[3])
+    sign, a, b = node[1], value_closure(node[2], escape), value_closure(node[3], escape)
     if sign == "and":
         return lambda scope: a(scope) and b(scope)
     if sign == "or":
@@ -278,23 +287,23 @@ def value_closure(node: tuple) -> Callable[[dict], object]:
 Pieces = Iterator[tuple[str, bool]]
 
 
-def closure(node: tuple, marked: bool = False) -> Callable[[dict], Pieces]:
+def closure(node: tuple, escape: Escape, marked: bool = False) -> Callable[[dict], Pieces]:
     """The generator function of a statement; ``marked`` holds inside a generation block."""
     kind = node[0]
     if kind == "out":
-        of = value_closure(node[1])
+        of = value_closure(node[1], escape)
 
         def out(scope: dict) -> Pieces:
             yield text_of(of(scope)), marked
 
         return out
     if kind == "seq":
-        parts = [closure(n, marked) for n in node[1]]
+        parts = [closure(n, escape, marked) for n in node[1]]
         return lambda scope: chain.from_iterable(p(scope) for p in parts)
     if kind == "mark":
-        return closure(node[1], True)
+        return closure(node[1], escape, True)
     if kind == "set":
-        name, of = node[1], value_closure(node[2])
+        name, of = node[1], value_closure(node[2], escape)
 
         def put(scope: dict) -> Pieces:
             scope[name] = of(scope)
@@ -302,115 +311,199 @@ def closure(node: tuple, marked: bool = False) -> Callable[[dict], Pieces]:
 
         return put
     if kind == "if":
-        arms, other = [(value_closure(t), closure(n, marked)) for t, n in node[1]], closure(node[2], marked)
+        arms, other = [(value_closure(t, escape), closure(n, escape, marked)) for t, n in node[1]], closure(node[2], escape, marked)
 
         def branch(scope: dict) -> Pieces:
             return next((then for test, then in arms if test(scope)), other)(scope)
 
         return branch
-    name, source, body = node[1], node[2], closure(node[3], marked)
+    name, source, body = node[1], node[2], closure(node[3], escape, marked)
 
     def loop(scope: dict) -> Pieces:
-        items = scope.get(source)
+        """Names that the body sets last from turn to turn and beyond the loop; the loop's own name doesn't."""
+        items, before = scope.get(source), scope.get(name)
         for item in items if isinstance(items, Iterable) and not isinstance(items, (str, dict)) else ():
-            yield from body({**scope, name: item})
+            scope[name] = item
+            yield from body(scope)
+        scope[name] = before
 
     return loop
 
 
-def compile_template(source: str = TEMPLATE) -> Callable[[dict], Pieces]:
-    """A function from names to the (text, marked) pieces of the rendered template."""
-    return closure(fold(Parser(source).parse()))
-
-
-# --- reading back -------------------------------------------------------------------------------------
-
-# Inside roles and texts every character that could begin or end a control string follows a backslash.
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.)*)</turn>\n", re.DOTALL)
-
-
-def read_turns(pieces: Pieces) -> Iterator[tuple[str, str, list[str]]]:
-    """(role, text, marked stretches) of each turn of formatted text in the form of TEMPLATE; a turn ends with a piece."""
-    held: list[tuple[str, bool]] = []
-    for text, marked in pieces:
-        held.append((text, marked))
-        if not marked and text.endswith(CLOSE) and (m := _TURN.fullmatch("".join(t for t, _ in held))):
-            yield unescape(m[1]), unescape(m[2]), [unescape(t) for t, marked in held if marked]
-            held = []
-    if any(t for t, _ in held):
-        raise ValueError("the formatted text ends inside a turn")
+def nodes(tree: tuple) -> Iterator[tuple]:
+    """The tree and all that is in it."""
+    yield tree
+    for child in tree[1:]:
+        for part in child if isinstance(child, list) else [child]:
+            for node in part if isinstance(part, tuple) and part and isinstance(part[0], tuple) else [part]:
+                if isinstance(node, tuple) and node:
+                    yield from nodes(node)
+
+
+def literals(value: tuple) -> Iterator[str]:
+    """The texts that an expression can put out beside its fields."""
+    if value[0] == "const":
+        yield text_of(value[1])
+    elif value[0] == "op" and value[1] not in ("==", "!="):
+        yield from literals(value[2])
+        yield from literals(value[3])
+
+
+class Template:
+    """A compiled template: ``render`` gives the pieces of a whole conversation, ``read`` its turns back from them."""
+
+    def __init__(self, source: str = TEMPLATE):
+        self.tree = fold(Parser(source).parse())
+        # whatever can follow an escaped text begins with one of these
+        signs = {text[0] for n in nodes(self.tree) if n[0] == "out" for text in literals(n[1]) if text}
+        self.signs = signs | {"\\"}
+        self.pieces = closure(self.tree, escaper(signs))
+        self.loops = sum(n[0] == "for" and n[2] == "messages" for n in nodes(self.tree))
+
+    def render(self, messages: Iterable[dict], **names) -> Pieces:
+        """The (text, marked) pieces; a template that goes through the messages once takes them one by one."""
+        return self.pieces({**names, "messages": messages if self.loops <= 1 else list(messages)})
+
+    def read(self, texts: Iterable[str]) -> Iterator[dict[str, str]]:
+        """The escaped fields of each turn of a conversation that is given in any number of texts.  ValueError if it isn't one."""
+        top = self.tree[1]
+        at = [k for k, n in enumerate(top) if n[0] == "for" and n[2] == "messages"]
+        if len(at) != 1 or self.loops != 1:
+            raise TemplateError("only a template with one loop over the messages can be read back")
+        groups: dict[str, str] = {}
+        head, turn, foot = (re.compile(self.grammar(("seq", part), top[at[0]][1], groups), re.DOTALL) for part in (top[: at[0]], [top[at[0]][3]], top[at[0] + 1 :]))
+        more = iter(texts)
+        held, tried = "", 0
+
+        def need(size: int) -> bool:
+            """Reads on until more than ``size`` characters are held."""
+            nonlocal held
+            parts, have = [held], len(held)
+            while have <= size and (piece := next(more, None)) is not None:
+                parts.append(piece)
+                have += len(piece)
+            held = "".join(parts)
+            return have > size
+
+        need(1 << 12)
+        start = head.match(held)
+        if not start:
+            raise ValueError("the formatted text doesn't begin like the template")
+        held = held[start.end() :]
+        while need(tried) or held:
+            at, ended = 0, not need(len(held))
+            while (m := turn.match(held, at)) and m.end() > at and (m.end() < len(held) or ended):
+                at = m.end()
+                yield {groups[g]: v for g, v in m.groupdict().items() if v is not None}
+            held = held[at:]
+            if ended:
+                if not foot.fullmatch(held):
+                    raise ValueError("the formatted text ends inside a turn")
+                return
+            tried = 0 if at else 2 * len(held)  # a long turn is tried again when twice as much is there
+        if not foot.fullmatch(held):
+            raise ValueError("the formatted text doesn't end like the template")
+
+    def grammar(self, node: tuple, item: str, groups: dict[str, str]) -> str:
+        """A pattern for what a statement puts out; escaped fields of ``item`` are groups, named in ``groups``."""
+        kind = node[0]
+        if kind == "seq":
+            return "".join(self.grammar(n, item, groups) for n in node[1])
+        if kind == "mark":
+            return self.grammar(node[1], item, groups)
+        if kind == "set":
+            return ""
+        if kind == "if":
+            arms = [self.grammar(n, item, groups) for n in (*[then for _, then in node[1]], node[2])]
+            return "(?:" + "|".join(arms) + ")"
+        if kind == "out":
+            return self.grammar(node[1], item, groups)
+        if kind == "const":
+            return re.escape(text_of(node[1]))
+        if kind == "op" and node[1] == "+":
+            return self.grammar(node[2], item, groups) + self.grammar(node[3], item, groups)
+        if kind == "filter" and node[1] == "escape" and node[2] == ("field", node[2][1], ("name", item)):
+            group = f"g{len(groups)}"
+            groups[group] = node[2][1]
+            plain = "[^" + "".join(map(re.escape, sorted(self.signs))) + "]"
+            return rf"(?P<{group}>(?:{plain}++|\\.)*+)"
+        raise TemplateError("only constants and escaped fields of the message can be read back")
+
+
+# --- plans --------------------------------------------------------------------------------------------
 
 
 def format_conversations(df: DataFrame, template: str = TEMPLATE) -> DataFrame:
-    """(conv_id, turn_no, formatted, marks) per row of ``df`` (conv_id, turn, role, text), in the order of turns.
+    """(conv_id, chunk_no, formatted, marks) of ``df`` (conv_id, turn, role, text): each conversation rendered by one call.
 
-    ``formatted`` is what the template yields for the turn, ``marks`` the code point ranges [start, end)
-    in it that carry loss.  Null roles and texts are empty; null conv_ids form one conversation; turns
-    order null first, equal turns by role and text; repeated rows are repeated turns.  Other columns are
-    ignored; an empty table gives an empty result.  Rows are sorted, not grouped: a conversation of any
-    length streams through one task.
+    The chunks of a conversation, joined in order, are what the template yields for it; ``marks`` are the
+    code point ranges [start, end) of a chunk that carry loss.  Null roles and texts are empty; null
+    conv_ids form one conversation; turns order null first, equal turns by role and text; repeated rows
+    are repeated turns.  Other columns are ignored; an empty table gives an empty result.  Rows are
+    sorted, not grouped: a conversation of any length streams through one task, a chunk at a time.
     """
-    compile_template(template)
-    out = arrow_schema(conv_id=pa.int64(), turn_no=pa.int64(), role=pa.string(), formatted=pa.string(), marks=pa.list_(pa.int32()))
+    Template(template)
+    out = arrow_schema(conv_id=pa.int64(), chunk_no=pa.int64(), formatted=pa.string(), marks=pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        render = compile_template(template)
-        e, last, n = Emitter(out), object(), 0
-        for batch in batches:
-            for conv, role, text in zip(*rows(batch, "conv_id", "role", "text"), strict=True):
-                n = n + 1 if conv == last else 0
-                last = conv
-                whole, marks, at = [], [], 0
-                for piece, marked in render({"messages": [{"role": role or "", "text": text or ""}]}):
-                    whole.append(piece)
-                    if marked:
-                        marks += [at, at + len(piece)]
-                    at += len(piece)
-                e.add(conv, n, role, "".join(whole), marks)
-                if e.full():
-                    yield e.take()
+        compiled = Template(template)
+        turns = (row for batch in batches for row in zip(*rows(batch, "conv_id", "role", "text"), strict=True))
+        e = Emitter(out, 64)
+        for conv, own in groupby(turns, key=lambda row: row[0]):
+            number, texts, marks, at = 0, [], [], 0
+            for piece, marked in compiled.render({"role": role or "", "text": text or ""} for _, role, text in own):
+                if at >= CHUNK_CHARS:
+                    e.add(conv, number, "".join(texts), marks)
+                    number, texts, marks, at = number + 1, [], [], 0
+                    if e.full():
+                        yield e.take()
+                texts.append(piece)
+                if marked:
+                    marks += [at, at + len(piece)]
+                at += len(piece)
+            e.add(conv, number, "".join(texts), marks)
+            if e.full():
+                yield e.take()
         yield e.take()
 
     turns = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), F.col("role").alias("role"), F.col("text").alias("text"))
     placed = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return placed.mapInArrow(run, "conv_id long, turn_no long, role string, formatted string, marks array<int>")
+    return placed.mapInArrow(run, "conv_id long, chunk_no long, formatted string, marks array<int>")
 
 
-def conversation_digests(formatted: DataFrame) -> DataFrame:
-    """The contract row of each conversation, read back from rows in the order of ``format_conversations``.
+def conversation_digests(formatted: DataFrame, template: str = TEMPLATE) -> DataFrame:
+    """The contract row of each conversation, read back from the chunks by the template's grammar.
 
-    The rows of a conversation follow each other in one partition; digests are updated turn by turn.
+    ``formatted`` comes straight from ``format_conversations``, so the chunks of a conversation follow each other in
+    one partition (ValueError if they don't).  Digests are updated turn by turn.
     """
     out = arrow_schema(
         conv_id=pa.int64(), n_turns=pa.int64(), turns_sha256=pa.string(), loss_chars=pa.int64(), loss_sha256=pa.string(), formatted_chars=pa.int64()
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, state = Emitter(out), None
-
-        def close() -> None:
-            conv, n, turns, loss, loss_digest, chars = state
-            e.add(conv, n, turns.hexdigest(), loss, loss_digest.hexdigest(), chars)
-
-        for batch in batches:
-            for conv, no, text, marks in zip(*rows(batch, "conv_id", "turn_no", "formatted", "marks"), strict=True):
-                if no == 0:
-                    if state:
-                        close()
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                edges = [0, *marks, len(text)]
-                pieces = [(text[a:b], i % 2 == 1) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-                for role, said, marked in read_turns(iter(pieces)):
-                    state[1] += 1
-                    state[2].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
-                    for piece in marked:
-                        state[3] += len(piece)
-                        state[4].update(piece.encode("utf-8", "surrogatepass"))
-                state[5] += len(text)
-                if e.full():
-                    yield e.take()
-        if state:
-            close()
+        compiled, e = Template(template), Emitter(out)
+        chunks = (row for batch in batches for row in zip(*rows(batch, "conv_id", "chunk_no", "formatted", "marks"), strict=True))
+        for conv, own in groupby(chunks, key=lambda row: row[0]):
+            turns, loss, sizes = hashlib.sha256(), hashlib.sha256(), [0, 0, 0]
+
+            def texts(own=own, loss=loss, sizes=sizes) -> Iterator[str]:
+                for k, (_, number, text, marks) in enumerate(own):
+                    if number != k:
+                        raise ValueError("the chunks of a conversation are apart")
+                    for a, b in zip(marks[::2], marks[1::2], strict=True):
+                        said = unescape(text[a:b])
+                        sizes[1] += len(said)
+                        loss.update(said.encode("utf-8", "surrogatepass"))
+                    sizes[2] += len(text)
+                    yield text
+
+            for fields in compiled.read(texts()):
+                sizes[0] += 1
+                turns.update(f"{unescape(fields.get('role', ''))}\n{unescape(fields.get('text', ''))}\n".encode("utf-8", "surrogatepass"))
+            e.add(conv, sizes[0], turns.hexdigest(), sizes[1], loss.hexdigest(), sizes[2])
+            if e.full():
+                yield e.take()
         yield e.take()
 
     return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

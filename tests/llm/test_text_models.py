@@ -180,24 +180,65 @@ def test_chunks_resist_shifts():
 @settings(max_examples=200, deadline=None)
 @given(st.text(), st.lists(st.tuples(st.text(), st.text()), max_size=5))
 def test_chat_round_trip(said, more):
-    render = chat.compile_template()
+    template = chat.Template()
     turns = [("assistant", said), *more, ("user", chat.OPEN + said + chat.CLOSE)]
-    pieces = list(render({"messages": [{"role": a, "text": b} for a, b in turns]}))
-    read = list(chat.read_turns(iter(pieces)))
-    assert [(a, b) for a, b, _ in read] == turns
-    assert ["".join(m) for _, _, m in read] == [b if a == "assistant" else "" for a, b in turns]
+    pieces = list(template.render([{"role": a, "text": b} for a, b in turns]))
+    read = [(chat.unescape(t["role"]), chat.unescape(t["text"])) for t in template.read(p for p, _ in pieces)]
+    assert read == turns
+    assert [chat.unescape(p) for p, marked in pieces if marked] == [b for a, b in turns if a == "assistant"]
 
 
 def test_template_language():
-    run = lambda source, **names: "".join(t for t, _ in chat.compile_template(source)(names))
+    run = lambda source, **names: "".join(t for t, _ in chat.Template(source).pieces(names))
     assert run("{% set x = 'a' + 'b' %}{{ x|upper }}{# note #}{% if n == 1 %}one{% elif n == 2 %}two{% else %}many{% endif %}", n=2) == "ABtwo"
     assert run("{% for m in ms %}{{ m.a }}{% if not m.b and m.a != 'q' %}!{% endif %}{% endfor %}", ms=[{"a": "p"}, {"a": "q"}]) == "p!q"
     assert run("{{ 1 + 2 }}{{ missing.field }}{{ 'it\\'s' }}") == "3it's"
-    assert list(chat.compile_template("a{% generation %}b{{ 'c' }}{% endgeneration %}d")({})) == [("a", False), ("bc", True), ("d", False)]
+    assert list(chat.Template("a{% generation %}b{{ 'c' }}{% endgeneration %}d").pieces({})) == [("a", False), ("bc", True), ("d", False)]
     assert chat.fold(chat.Parser("a{{ 'b' + 'c' }}{% if 1 == 1 %}d{% else %}{{ x }}{% endif %}").parse()) == ("seq", [("out", ("const", "abcd"))])
     for bad in ("{% for x %}", "{{ x.__class__ }}", "{{ f(1) }}", "{{ x|nope }}", "{% if a %}", "{% import os %}", "{{ a b }}", "{{ }}"):
         with pytest.raises(chat.TemplateError):
-            chat.compile_template(bad)
+            chat.Template(bad)
+
+
+FRAMED = (
+    "<BOS>{% set n = 0 %}{% for m in messages %}{% set n = n + 1 %}{% if n == 1 %}[first]{% endif %}"
+    "{{ '<|' + m.role|escape + '|>' }}{% generation %}{{ m.text|escape }}{% endgeneration %}{% endfor %}<EOS>"
+)
+
+
+def test_a_conversation_is_rendered_by_one_call():
+    """Header and footer come once, names that are set last from turn to turn, and the grammar follows from the template."""
+    template = chat.Template(FRAMED)
+    turns = [("user", "a <EOS> [b]"), ("x|y", "|> \\ <BOS>"), ("user", "")]
+    pieces = list(template.render({"role": a, "text": b} for a, b in turns))
+    whole = "".join(p for p, _ in pieces)
+    assert whole == r"<BOS>[first]<|user|>a \<EOS> \[b]<|x\|y|>\|> \\ \<BOS><|user|><EOS>"
+    for cut in (1, 5, 1000):
+        read = template.read(whole[k : k + cut] for k in range(0, len(whole), cut))
+        assert [(chat.unescape(t["role"]), chat.unescape(t["text"])) for t in read] == turns
+    with pytest.raises(ValueError):
+        list(template.read([whole[:-3]]))
+    seen = []
+
+    def messages():
+        for k in range(3):
+            seen.append(k)
+            yield {"role": "user", "text": str(k)}
+
+    first = next(p for p, marked in template.render(messages()) if marked)
+    assert first == "0" and seen == [0]  # messages are taken one by one
+
+
+def test_chat_frames_by_conversation(spark, monkeypatch):
+    monkeypatch.setattr(chat, "CHUNK_CHARS", 10)
+    df = spark.createDataFrame([(1, k, "user", "some text " * k) for k in range(9)] + [(2, 0, "u", "x")], "conv_id long, turn int, role string, text string")
+    formatted = chat.format_conversations(df, FRAMED)
+    texts = {}
+    for r in sorted(formatted.collect(), key=lambda r: (r.conv_id, r.chunk_no)):
+        texts[r.conv_id] = texts.get(r.conv_id, "") + r.formatted
+    assert [t.count("<BOS>") + t.count("[first]") + t.count("<EOS>") for t in texts.values()] == [3, 3]
+    got = {g.conv_id: g for g in chat.conversation_digests(formatted, FRAMED).collect()}
+    assert (got[1].n_turns, got[1].loss_chars, got[1].formatted_chars) == (9, 360, len(texts[1]))
 
 
 def test_chat_digests(spark):
