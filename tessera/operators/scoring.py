@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import text as t
+from ..storage import materialize
 
 K1, B = 1.5, 0.75
 #: Scores are rounded so that sums in another order rank alike.
@@ -22,10 +25,16 @@ def tokens_of(texts: DataFrame, text: str) -> Column:
     return F.col("tokens") if "tokens" in texts.columns else t.content_tokens(F.col(text))
 
 
-def postings(texts: DataFrame, by: list[str], text: str = "text") -> DataFrame:
-    """(*by, term, tf, dl): occurrences of each content token in each text, with the length of the text in tokens."""
+def postings(texts: DataFrame, by: list[str], text: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """(*by, term, tf, dl): occurrences of each content token in each text, with the length of the text in tokens.
+
+    ``terms``: only tokens among its column ``term`` are counted; they are picked out before anything is shuffled.
+    """
     own = texts.select(*by, tokens_of(texts, text).alias("_t"))
-    return own.select(*by, F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy(*by, "dl", "term").agg(F.count("*").alias("tf"))
+    each = own.select(*by, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    if terms is not None:
+        each = each.join(terms.select("term").distinct(), "term", "left_semi")
+    return each.groupBy(*by, "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(texts: DataFrame, corpus: list[str], text: str = "text") -> DataFrame:
@@ -42,96 +51,119 @@ def query_terms(queries: DataFrame, by: list[str], text: str = "text") -> DataFr
 def bm25(posts: DataFrame, stats: DataFrame, terms: DataFrame, query: list[str], corpus: list[str], item: list[str]) -> DataFrame:
     """(*query, *corpus, *item, score): BM25 of the texts that share a term with the query, divided by the query's best.
 
-    ``posts`` and ``stats`` as above, ``terms`` from ``query_terms``.  Texts without a shared term score 0 and are left out.
-    Only postings of query terms are shuffled on; the statistics of the corpora are joined to them by corpus.
+    ``posts``: postings of the terms of the queries (others are left aside), ``stats`` as above, ``terms`` from
+    ``query_terms``.  Texts without a shared term score 0 and are left out.  Postings are counted and weighed in one
+    shuffle by (corpus, term) for both; the best score of a query is a grouped maximum, so no query's texts meet
+    in one task.
     """
-    used = posts.join(terms.select("term").distinct(), "term", "left_semi")
-    df = used.groupBy(*corpus, "term").agg(F.count("*").alias("df"))
-    weighed = used.join(df, [*corpus, "term"])
+    df = posts.groupBy(*corpus, "term").agg(F.count("*").alias("df"))
+    weighed = posts.join(df, [*corpus, "term"])
     weighed = weighed.join(stats, corpus) if corpus else weighed.crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.lit(1.0), F.col("avgdl"))))
     impact = weighed.select(*corpus, *item, "term", part.alias("impact"))
     shared = [c for c in query if c in corpus]
-    summed = impact.join(terms, ["term", *shared]).groupBy(*dict.fromkeys([*query, *corpus, *item])).agg(F.sum(F.col("qtf") * F.col("impact")).alias("raw"))
-    best = Window.partitionBy(*dict.fromkeys([*query, *corpus]))
-    return summed.withColumn("score", F.round(F.col("raw") / F.max("raw").over(best), DIGITS)).drop("raw")
+    both = list(dict.fromkeys([*query, *corpus]))
+    summed = impact.join(terms, ["term", *shared]).groupBy(*dict.fromkeys([*both, *item])).agg(F.sum(F.col("qtf") * F.col("impact")).alias("raw"))
+    best = summed.groupBy(*both).agg(F.max("raw").alias("_best"))
+    return summed.join(best, both).withColumn("score", F.round(F.col("raw") / F.col("_best"), DIGITS)).drop("raw", "_best")
 
 
 # --- dense similarity ---------------------------------------------------------------------------------
 
 
-def hashed_embedding(tokens: list[str], dimensions: int = 256) -> np.ndarray:
-    """Unit vector of signed token counts: BLAKE2b of 8 bytes gives place (its value mod ``dimensions``) and sign (first bit)."""
-    v = np.zeros(dimensions)
-    for token in tokens:
-        digest = hashlib.blake2b(token.encode("utf-8"), digest_size=8).digest()
-        v[int.from_bytes(digest, "big") % dimensions] += 1.0 if digest[0] & 1 else -1.0
-    norm = np.sqrt((v * v).sum())
-    return v / norm if norm else v
+@lru_cache(maxsize=1 << 18)
+def hashed_place(token: str, dimensions: int = 256) -> tuple[int, float]:
+    """Place and sign of a token: BLAKE2b of 8 bytes, its value mod ``dimensions`` and its first bit."""
+    digest = hashlib.blake2b(token.encode("utf-8"), digest_size=8).digest()
+    return int.from_bytes(digest, "big") % dimensions, 1.0 if digest[0] & 1 else -1.0
 
 
 #: Turns lists of content tokens and texts into unit vectors; replaceable by a model.
 Embedder = Callable[[list[list[str]], list[str]], np.ndarray]
 
 
-def hashed_embedder(token_lists: list[list[str]], texts: list[str]) -> np.ndarray:
-    return np.array([hashed_embedding(x) for x in token_lists]).reshape(len(token_lists), -1)
+def hashed_embedder(token_lists: list[list[str]], texts: list[str] | None = None, dimensions: int = 256) -> np.ndarray:
+    """Unit vectors of signed token counts, zero without tokens."""
+    size = np.array([len(x) for x in token_lists], np.int64)
+    found = np.array([hashed_place(token, dimensions) for x in token_lists for token in x]).reshape(-1, 2)
+    row = np.repeat(np.arange(len(size)), size)
+    v = np.bincount(row * dimensions + found[:, 0].astype(np.int64), found[:, 1], len(size) * dimensions).reshape(len(size), dimensions)
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return v / np.where(norm > 0, norm, 1.0)
+
+
+@F.pandas_udf(DoubleType())
+def hashed_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Cosine of the hashed vectors of two token lists, not below 0."""
+    dot = np.einsum("ij,ij->i", hashed_embedder([list(x) for x in a]), hashed_embedder([list(x) for x in b]))
+    return pd.Series(np.round(np.maximum(0.0, dot), DIGITS))
 
 
 #: Queries that go through one pass over the texts; their vectors are the only thing sent to the executors.
 QUERIES_PER_PASS = 4096
 
 
+def passed(queries: DataFrame, texts: DataFrame, key: list[str], schema, embedder: Embedder, run: Callable) -> DataFrame:
+    """The rows that ``run(keys, matrix of the queries, batches of texts)`` gives, over all queries.
+
+    More than QUERIES_PER_PASS queries go in several passes, the rows of each of which are written before the next begins,
+    so the driver holds the queries of one pass.
+    """
+    told = texts.select("id", F.col("text") if "text" in texts.columns else F.lit("").alias("text"), tokens_of(texts, "text").alias("_t"))
+    own = queries.select(*key, "text", t.content_tokens(F.col("text")).alias("_t"))
+    n = max(1, -(-queries.count() // QUERIES_PER_PASS))
+    out = None
+    for p in range(n):
+        part = own.where(F.pmod(F.xxhash64(*key), F.lit(n)) == p).collect()  # about QUERIES_PER_PASS
+        matrix = embedder([r["_t"] for r in part], [r["text"] for r in part]) if part else np.zeros((0, 1))
+        keys = [tuple(r[c] for c in key) for r in part]
+        found = (told if part else told.limit(0)).mapInPandas(lambda batches, keys=keys, matrix=matrix: run(keys, matrix, batches), schema)
+        found = found if n == 1 else materialize(found, "pass")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def dense_top_k(queries: DataFrame, texts: DataFrame, key: list[str], k: int = 80, embedder: Embedder = hashed_embedder) -> DataFrame:
-    """(*key, id, score): for each query (*key, text) the ``k`` texts (id, text) of largest non-negative cosine, ties by id.
+    """(*key, id, score): for each query (*key, text) the ``k`` texts (id, text or tokens) of largest non-negative cosine, ties by id.
 
     The texts stream once for every QUERIES_PER_PASS queries; each partition keeps its own best ``k`` per query, and
     only those are shuffled.
     """
-    own = queries.select(*key, "text", t.content_tokens(F.col("text")).alias("_t")).collect()  # the queries; see QUERIES_PER_PASS
     schema = queries.select(*key).schema.add("id", texts.schema["id"].dataType).add("score", "double")
-    out = None
-    for at in range(0, max(len(own), 1), QUERIES_PER_PASS):
-        part = own[at : at + QUERIES_PER_PASS]
-        matrix = embedder([r["_t"] for r in part], [r["text"] for r in part]) if part else np.zeros((0, 256))
-        keys = [tuple(r[c] for c in key) for r in part]
 
-        def search(batches: Iterator[pd.DataFrame], matrix=matrix, keys=keys) -> Iterator[pd.DataFrame]:
-            ids, scores = np.empty(0, object), np.zeros((len(keys), 0))
-            for pdf in batches:
-                if not len(pdf) or not len(keys):
-                    continue
-                vectors = embedder([list(x) for x in pdf["_t"]], list(pdf["text"]))
-                ids = np.concatenate([ids, pdf["id"].to_numpy(object)])
-                scores = np.concatenate([scores, np.round(np.maximum(0.0, matrix @ vectors.T), DIGITS)], axis=1)
-                if len(ids) > 4 * k + 8192:
-                    keep = np.unique(np.concatenate([_best(ids, s, k) for s in scores]))
-                    ids, scores = ids[keep], scores[:, keep]
-            rows = [(*q, ids[i], float(s[i])) for q, s in zip(keys, scores, strict=True) for i in _best(ids, s, k)]
-            yield pd.DataFrame(rows, columns=[*key, "id", "score"])
-
-        found = texts.select("id", "text", t.content_tokens(F.col("text")).alias("_t")).mapInPandas(search, schema)
-        out = found if out is None else out.unionByName(found)
+    def search(keys: list[tuple], matrix: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, scores = np.empty(0, object), np.zeros((len(keys), 0))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            vectors = embedder([list(x) for x in pdf["_t"]], list(pdf["text"]))
+            ids = np.concatenate([ids, pdf["id"].to_numpy(object)])
+            scores = np.concatenate([scores, np.round(np.maximum(0.0, matrix @ vectors.T), DIGITS)], axis=1)
+            if len(ids) > 4 * k + 8192:
+                keep = np.unique(np.concatenate([_best(ids, s, k) for s in scores]))
+                ids, scores = ids[keep], scores[:, keep]
+        rows = [(*q, ids[i], float(s[i])) for q, s in zip(keys, scores, strict=True) for i in _best(ids, s, k)]
+        yield pd.DataFrame(rows, columns=[*key, "id", "score"])
+
+    out = passed(queries, texts, key, schema, embedder, search)
     best = Window.partitionBy(*key).orderBy(F.desc("score"), "id")
     return out.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
 
 
 def dense_scores(queries: DataFrame, texts: DataFrame, embedder: Embedder = hashed_embedder, chunk: int = 1024) -> DataFrame:
-    """(qid, id, embedding): the non-negative cosine of every query (qid, text) and every text (id, text), by products of matrices."""
-    own = queries.select("qid", "text", t.content_tokens(F.col("text")).alias("_t")).collect()  # the queries; see QUERIES_PER_PASS
-    matrix = embedder([r["_t"] for r in own], [r["text"] for r in own]) if own else np.zeros((0, 256))
-    qids = np.array([r["qid"] for r in own], object)
+    """(qid, id, embedding): the non-negative cosine of every query (qid, text) and every text (id, text or tokens), by products of matrices."""
+    schema = queries.select("qid").schema.add("id", texts.schema["id"].dataType).add("embedding", "double")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(keys: list[tuple], matrix: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qids = np.array([k[0] for k in keys], object)
         for pdf in batches:
             for at in range(0, len(pdf), chunk):
                 part = pdf.iloc[at : at + chunk]
                 scores = np.round(np.maximum(0.0, matrix @ embedder([list(x) for x in part["_t"]], list(part["text"])).T), DIGITS)
                 yield pd.DataFrame({"qid": np.repeat(qids, len(part)), "id": np.tile(part["id"].to_numpy(), len(qids)), "embedding": scores.ravel()})
 
-    schema = queries.select("qid").schema.add("id", texts.schema["id"].dataType).add("embedding", "double")
-    return texts.select("id", "text", t.content_tokens(F.col("text")).alias("_t")).mapInPandas(run, schema)
+    return passed(queries, texts, ["qid"], schema, embedder, run)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:

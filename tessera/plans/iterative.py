@@ -10,6 +10,7 @@ from ..functions import text as t
 from ..operators import scoring
 from ..operators.scoring import DIGITS
 from ..storage import materialize
+from . import models
 from .config import RetrievalConfig
 from .context import reliability_factor
 from .index import Index
@@ -79,7 +80,7 @@ def merge_rankings(lists: DataFrame, top_k: int, config: RetrievalConfig) -> Dat
     return full.select("qid", "id", F.least("rank", F.lit(top_k)).alias("rank"), "score", "best")
 
 
-def retrieve_iterative(index: Index, queries: DataFrame, config: RetrievalConfig | None = None, calibrated: bool = True, top_k: int | None = None, embedder=scoring.hashed_embedder) -> DataFrame:
+def retrieve_iterative(index: Index, queries: DataFrame, config: RetrievalConfig | None = None, calibrated: bool = True, top_k: int | None = None, embedder: scoring.Embedder | None = None, reranker: models.Reranker | None = None) -> DataFrame:
     """(qid, id, rank, score, title, snippet): ``rank_documents`` of the queries and of their bridge queries, merged.
 
     All bridge queries of all queries are ranked in one plan.
@@ -88,10 +89,10 @@ def retrieve_iterative(index: Index, queries: DataFrame, config: RetrievalConfig
     top = top_k or config.top_k
     index = index.visible(calibrated, config.uses("use_inferred_edges"))
     own = ["qid", "id", "rank", "score", "title", "snippet"]
-    first = materialize(rank_documents(index, queries, config, calibrated, max(top, config.iterative_seed_k), embedder).select(*own), "first")
+    first = materialize(rank_documents(index, queries, config, calibrated, max(top, config.iterative_seed_k), embedder, reranker).select(*own), "first")
     bridges = materialize(bridge_queries(queries, bridge_entities(index, queries, first, config), config.iterative_bridge_k), "bridges")
     asked = bridges.select(F.concat_ws("#", F.col("qid").cast("string"), "n").alias("qid"), F.col("qid").alias("_qid"), "n", "entity", "text")
-    more = materialize(rank_documents(index, asked.select("qid", "text"), config, calibrated, max(top, config.candidate_k), embedder).select(*own), "more")
+    more = materialize(rank_documents(index, asked.select("qid", "text"), config, calibrated, max(top, config.candidate_k), embedder, reranker).select(*own), "more")
     more = more.join(asked.select("qid", "_qid", "n", "entity"), "qid").drop("qid").withColumnRenamed("_qid", "qid")
     heard = mentions(index, more)
     ranked = heard.withColumn("rank", F.row_number().over(Window.partitionBy("qid", "n").orderBy("rank")))

@@ -8,6 +8,9 @@ full; instead of ranking all, each list takes its matches and the first ``candid
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +20,7 @@ from ..functions import text as t
 from ..operators import scoring
 from ..operators.scoring import DIGITS
 from ..storage import materialize
+from . import models
 from .config import RetrievalConfig
 from .index import Index
 
@@ -105,24 +109,29 @@ def subqueries(queries: DataFrame, config: RetrievalConfig) -> DataFrame:
     return queries.select("qid", F.posexplode(r.decompose(F.col("text"), config.max_subqueries)).alias("sub", "text"))
 
 
-def ranked_lists(index: Index, queries: DataFrame, config: RetrievalConfig, embedder=scoring.hashed_embedder) -> DataFrame:
+def ranked_lists(index: Index, queries: DataFrame, config: RetrievalConfig, embedder: scoring.Embedder | None = None) -> DataFrame:
     """(qid, sub, field, id, score, rank): the first ``candidate_k`` of every list of every clause."""
     subs = subqueries(queries, config)
     # every branch below reads the tokens, which are made once
     texts = materialize(field_texts(index, config).select("field", "id", t.content_tokens(F.col("text")).alias("tokens")), "fields")
-    posts = scoring.postings(texts, ["field", "id"])
+    terms = materialize(scoring.query_terms(subs, ["qid", "sub"]), "terms")
+    posts = scoring.postings(texts, ["field", "id"], terms=terms)
     stats = scoring.corpus_stats(texts, ["field"])
     some = texts.where(F.col("field").isin(*ENRICHED) & (F.size("tokens") > 0)).select("field").distinct()
     always = [f for f in ("title", "body", "metadata", "graph") if f != "graph" or config.use_graph]
     fields = subs.sparkSession.createDataFrame([(f,) for f in always], "field string").unionByName(some)
-    scored = scoring.bm25(posts, stats, scoring.query_terms(subs, ["qid", "sub"]), ["qid", "sub"], ["field"], ["id"])
+    scored = scoring.bm25(posts, stats, terms, ["qid", "sub"], ["field"], ["id"])
     scored = scored.join(F.broadcast(fields), "field")  # at most eight names
     head = index.documents.select("id").orderBy("id").limit(config.candidate_k)
     lists = subs.select("qid", "sub").crossJoin(F.broadcast(fields.unionByName(subs.sparkSession.createDataFrame([("dense",)], "field string"))))
     zeros = lists.crossJoin(F.broadcast(head)).withColumn("score", F.lit(0.0))  # ``candidate_k`` rows
     every = scored.select("qid", "sub", "field", "id", "score").unionByName(zeros.select("qid", "sub", "field", "id", "score"))
     if config.use_dense:
-        dense = scoring.dense_top_k(subs, body_text(index), ["qid", "sub"], config.candidate_k, embedder)
+        embedder = embedder or models.embedder(config)
+        bodies = texts.where("field = 'body'").select("id", "tokens")
+        if embedder is not scoring.hashed_embedder:  # a model reads the text itself
+            bodies = bodies.join(body_text(index), "id")
+        dense = scoring.dense_top_k(subs, bodies, ["qid", "sub"], config.candidate_k, embedder)
         every = every.unionByName(dense.select("qid", "sub", F.lit("dense").alias("field"), "id", "score"))
     best = every.groupBy("qid", "sub", "field", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("qid", "sub", "field").orderBy(F.desc("score"), "id")
@@ -149,7 +158,7 @@ def weighted(weights: dict[str, float], without: tuple[str, ...] = ()) -> Column
 FEATURES = ("rrf", "bm25", "dense", "metadata", "graph", "enrichment")
 
 
-def first_stage(index: Index, queries: DataFrame, config: RetrievalConfig, calibrated: bool = True, embedder=scoring.hashed_embedder) -> DataFrame:
+def first_stage(index: Index, queries: DataFrame, config: RetrievalConfig, calibrated: bool = True, embedder: scoring.Embedder | None = None) -> DataFrame:
     """(qid, id, features, clause_scores, first_score, rank): the ``candidate_k`` best documents of each query before reranking.
 
     Candidates are the documents in a list, those that share a metadata token and the ``candidate_k`` best by the
@@ -218,9 +227,11 @@ def best_snippets(index: Index, queries: DataFrame, wanted: DataFrame) -> DataFr
     """(qid, id, snippet) for the pairs ``wanted``: the unit of the document that suits the query best, its own units being the corpus."""
     ids = wanted.select("id").distinct()
     units = index.units.withColumnRenamed("id", "unit_id").withColumnRenamed("document_id", "id").join(ids, "id", "left_semi")
-    posts = scoring.postings(units, ["id", "position"])
+    units = units.withColumn("tokens", t.content_tokens(F.col("text")))
+    asked = scoring.query_terms(queries, ["qid"])
+    posts = scoring.postings(units, ["id", "position"], terms=asked)
     stats = scoring.corpus_stats(units, ["id"])
-    terms = scoring.query_terms(queries, ["qid"]).join(wanted.select("qid", "id"), "qid")
+    terms = asked.join(wanted.select("qid", "id"), "qid")
     scored = scoring.bm25(posts, stats, terms, ["qid", "id"], ["id"], ["position"])
     best = scored.groupBy("qid", "id").agg(F.min_by("position", F.struct(-F.col("score"), "position")).alias("position"))
     chosen = wanted.select("qid", "id").join(best, ["qid", "id"], "left").withColumn("position", F.coalesce("position", F.lit(0)))
@@ -230,41 +241,67 @@ def best_snippets(index: Index, queries: DataFrame, wanted: DataFrame) -> DataFr
     return full.select("qid", "id", "title", t.truncate_to_tokens(F.coalesce("_unit", "_doc"), SNIPPET_TOKENS).alias("snippet"))
 
 
-def coverage_order(rows: pd.DataFrame, top_k: int) -> list[int]:
-    """Positions of the ``top_k`` rows: the best score first, then always the row whose score and new coverage are largest; ties to the largest id."""
-    left, covered, out = list(range(len(rows))), None, []
-    score, ids, clauses = rows["score"].tolist(), rows["id"].tolist(), [list(c) for c in rows["clause_scores"]]
-    while left and len(out) < top_k:
-        if covered is None:
-            best = max(left, key=lambda i: (score[i], ids[i]))
-            covered = [0.0] * len(clauses[best])
-        else:
-            best = max(left, key=lambda i: (round(score[i] + 0.08 * sum(max(0.0, v - c) for v, c in zip(clauses[i], covered, strict=True)), DIGITS), ids[i]))
+def coverage_order(score: np.ndarray, ids: np.ndarray, clauses: np.ndarray, top_k: int, bonus: float = 0.08) -> list[int]:
+    """Rows in order: the best score first, then always the row whose score and new coverage are largest; ties to the largest id.
+
+    ``clauses``: how well each row covers each clause of the query.
+    """
+    by_id = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    free, covered, out = np.ones(len(score), bool), None, []
+    while len(out) < top_k and free.any():
+        gain = np.zeros(len(score)) if covered is None else np.maximum(0.0, clauses - covered).sum(axis=1)
+        worth = np.where(free, score if covered is None else np.round(score + bonus * gain, DIGITS), -np.inf)
+        best = int(max(np.flatnonzero(worth == worth.max()), key=by_id.__getitem__))
         out.append(best)
-        covered = [max(c, v) for c, v in zip(covered, clauses[best], strict=True)]
-        left.remove(best)
+        free[best] = False
+        covered = clauses[best] if covered is None else np.maximum(covered, clauses[best])
     return out
 
 
-def rank_documents(index: Index, queries: DataFrame, config: RetrievalConfig | None = None, calibrated: bool = True, top_k: int | None = None, embedder=scoring.hashed_embedder) -> DataFrame:
+def reranked(rows: DataFrame, k: int, model: models.Reranker | None) -> DataFrame:
+    """``rows`` (qid, rank, _q, _d, ..) with ``reranker``: similarity of query _q and document _d for the first ``k`` of a query, else 0.
+
+    A model's scores are stretched to the range 0 to 1 per query (all alike: 0.5); without a model it is the cosine of
+    content tokens.
+    """
+    if model is None:
+        full = rows.withColumns({"_a": t.content_tokens(F.col("_q")), "_b": t.content_tokens(F.col("_d"))})
+        lexical = F.round(t.lexical_of(F.col("_a"), F.col("_b")), DIGITS)
+        return full.withColumn("reranker", F.when(F.col("rank") <= k, lexical).otherwise(0.0)).drop("_a", "_b", "_q", "_d")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["qid", "id"]].assign(_v=np.asarray(model(list(pdf["_q"]), list(pdf["_d"])), float) if len(pdf) else [])
+
+    schema = rows.select("qid", "id").schema.add("_v", "double")
+    raw = materialize(rows.where(F.col("rank") <= k).select("qid", "id", "_q", "_d").mapInPandas(run, schema), "reranked")
+    ends = raw.groupBy("qid").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    spread = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.5)
+    scaled = raw.join(ends, "qid").select("qid", "id", F.round(spread, DIGITS).alias("_s"))
+    return rows.drop("reranker").join(scaled, ["qid", "id"], "left").withColumn("reranker", F.coalesce("_s", F.lit(0.0))).drop("_s", "_q", "_d")
+
+
+def rank_documents(
+    index: Index, queries: DataFrame, config: RetrievalConfig | None = None, calibrated: bool = True, top_k: int | None = None,
+    embedder: scoring.Embedder | None = None, reranker: models.Reranker | None = None,
+) -> DataFrame:
     """(qid, id, rank, score, title, snippet, features): the ranked documents of each query (qid, text).
 
+    ``embedder`` and ``reranker`` are by default those that ``config`` names, where they are there (see ``models``).
     Queries of white space alone have none.  The greedy order runs per query over at most ``candidate_k`` rows.
-    """
+    """
     config = config or RetrievalConfig()
     index = index.visible(calibrated, config.uses("use_inferred_edges"))
     first = materialize(first_stage(index, queries, config, calibrated, embedder), "first")
     snippets = best_snippets(index, queries, first)
     full = first.join(snippets, ["qid", "id"]).join(queries.select("qid", F.col("text").alias("_q")), "qid")
-    full = full.withColumns({"_a": t.content_tokens(F.col("_q")), "_b": t.content_tokens(F.concat("title", F.lit(". "), "snippet"))})
-    lexical = F.round(t.lexical_of(F.col("_a"), F.col("_b")), DIGITS)
-    full = full.withColumn("reranker", F.when(F.col("rank") <= config.rerank_k, lexical).otherwise(0.0))
-    full = full.withColumn("score", F.round(weighted(config.weights), 6)).drop("_q", "_a", "_b", "rank", "first_score")
+    full = reranked(full.withColumn("_d", F.concat("title", F.lit(". "), "snippet")), config.rerank_k, reranker or models.reranker(config))
+    full = full.withColumn("score", F.round(weighted(config.weights), 6)).drop("rank", "first_score")
     limit = top_k or config.top_k
     names = [c for c in full.columns if c not in ("qid", "id")]
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen = pdf.iloc[coverage_order(pdf, limit)].copy()
+        chosen = pdf.iloc[coverage_order(pdf["score"].to_numpy(float), pdf["id"].to_numpy(), np.stack(pdf["clause_scores"].to_list()), limit)].copy()
         chosen["rank"] = range(1, len(chosen) + 1)
         return chosen[["qid", "id", "rank", *names]]
 

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,17 +60,17 @@ def test_bm25(spark):
 
 
 def test_hashed_embedding_and_dense_top_k(spark):
-    v = scoring.hashed_embedding(["alpha", "beta", "alpha"])
-    assert np.linalg.norm(v) == pytest.approx(1.0) and len(v) == 256 and not scoring.hashed_embedding([]).any()
+    v, none = scoring.hashed_embedder([["alpha", "beta", "alpha"], []])
+    assert np.linalg.norm(v) == pytest.approx(1.0) and len(v) == 256 and not none.any()
     rows = [(x[0], x[1]) for x in corpus()] + [("z", "")]
     df = spark.createDataFrame(rows, "id string, text string")
     q = spark.createDataFrame([(0, "word1 word2 word3"), (1, "")], "qid int, text string")
     got = {}
     for x in scoring.dense_top_k(q, df, ["qid"], 5).collect():
         got.setdefault(x.qid, {})[x.id] = x.score
-    vectors = {i: scoring.hashed_embedding(py_content(s)) for i, s in rows}
+    vectors = {i: scoring.hashed_embedder([py_content(s)])[0] for i, s in rows}
     for qid, text in ((0, "word1 word2 word3"), (1, "")):
-        asked = scoring.hashed_embedding(py_content(text))
+        asked = scoring.hashed_embedder([py_content(text)])[0]
         every = sorted((-round(max(0.0, float(asked @ v)), 9), i) for i, v in vectors.items())[:5]
         assert got[qid] == {i: -s for s, i in every}
 
@@ -135,25 +136,74 @@ def test_rank_documents(index, queries):
 
 
 def test_coverage_order():
-    import pandas as pd
+    score, ids = np.array([0.5, 0.5, 0.49, 0.1]), np.array(["a", "b", "c", "d"], object)
+    clauses = np.array([[1.0, 0.0], [1.0, 0.0], [0.0, 1.0], [0.0, 0.0]])
+    assert [ids[i] for i in ranking.coverage_order(score, ids, clauses, 4)] == ["b", "c", "a", "d"]
+    assert ranking.coverage_order(score, ids, clauses, 1) == [1]
 
-    rows = pd.DataFrame({"id": ["a", "b", "c", "d"], "score": [0.5, 0.5, 0.49, 0.1], "clause_scores": [[1.0, 0.0], [1.0, 0.0], [0.0, 1.0], [0.0, 0.0]]})
-    assert [rows.id[i] for i in ranking.coverage_order(rows, 4)] == ["b", "c", "a", "d"]
-    assert ranking.coverage_order(rows, 1) == [1]
 
-
-def test_pack_texts():
-    assert context.pack_texts(["one two three", "four five six seven", "eight"], 8) == [(0, "one two three", 4), (1, "four five six", 4)]
-    assert context.pack_texts(["  "], 5) == [] and context.pack_texts(["a b"], 1) == []
-    assert context.truncated("a b c", 0) == "" and context.truncated("a b c", 1) == "a"
-
-
-def test_select_items():
+def test_a_reranker_is_stretched_per_query(index, queries):
+    config = RetrievalConfig(use_dense=False)
+    longest = lambda asked, told: np.array([len(d) for d in told], float)
+    got = ranking.rank_documents(index, queries, config, top_k=80, reranker=longest).collect()
+    for qid in range(5):
+        own = [x.reranker for x in got if x.qid == qid]
+        assert max(own) == 1.0 and min(own) == 0.0
+    with pytest.raises(RuntimeError):
+        ranking.rank_documents(index, queries, RetrievalConfig(strict_models=True)).collect()
+
+
+def packed(spark, texts, budget):
+    rows = [(0, f"d{k}", k, 0.5, a, b) for k, (a, b) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "qid int, id string, rank int, score double, title string, snippet string")
+    return [(x.place, x.item, x.text, x.token_count) for x in context.pack_documents(df, budget).orderBy("place").collect()]
+
+
+def test_pack_documents(spark):
+    texts = [("one", "two three"), ("four", "five six seven"), ("eight", "nine")]
+    assert packed(spark, texts, 8) == [(1, "d0", "one. two three", 4), (2, "d1", "four. five six", 4)]
+    assert packed(spark, texts, 10)[1:] == [(2, "d1", "four. five six seven", 5)]
+    assert packed(spark, [("a", "b")], 1) == [] and packed(spark, texts, 0) == []
+
+
+def greedy(items, top_k, budget, limits):
+    """The definition, item by item."""
+    left, used, out, kinds = sorted(items, key=lambda c: (-c["score"], c["token_count"], c["item"])), set(), [], Counter()
+    while len(out) < top_k:
+        fits = [c for c in left if c["token_count"] <= budget and kinds[c["kind"]] < limits.get(c["kind"], top_k)]
+        if not fits:
+            return out
+        best = max(fits, key=lambda c: (c["score"] * (1.0 - 0.65 * (len(set(c["source_ids"]) & used) / max(1, len(c["source_ids"])))), -left.index(c)))
+        left.remove(best)
+        out.append(best)
+        used |= set(best["source_ids"])
+        kinds[best["kind"]] += 1
+        budget -= best["token_count"]
+    return out
+
+
+def test_choose():
     item = lambda i, s, n, kind="edge", sources=None: {"item": i, "kind": kind, "score": s, "token_count": n, "source_ids": sources or [i]}
     items = [item("a", 0.9, 5), item("b", 0.8, 5, sources=["a"]), item("c", 0.5, 5), item("r1", 0.4, 1, "report"), item("r2", 0.39, 1, "report"), item("big", 1.0, 99)]
-    assert [c["item"] for c in context.select_items(items, 10, 20, {"report": 1})] == ["a", "c", "r1", "b"]
-    assert [c["item"] for c in context.select_items(items, 2, 20, {})] == ["a", "c"]
-    assert context.select_items(items, 3, 0, {}) == []
+    pick = lambda *more: [items[k]["item"] for k in context.choose(pd.DataFrame(items), *more)[0]]
+    assert pick(10, 20, {"report": 1}) == ["a", "c", "r1", "b"]
+    assert pick(2, 20, {}) == ["a", "c"]
+    assert pick(3, 0, {}) == []
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_choice_is_that_among_all_items(spark, seed):
+    """However many long items score better, a short one that alone fits is found, and sources that overlap are discounted."""
+    r = random.Random(seed)
+    items = [{"kind": "text_unit", "item": f"t{k}", "score": 0.9 - k / 10_000, "token_count": 30, "source_ids": [f"t{k}"]} for k in range(300)]
+    items.append({"kind": "text_unit", "item": "short", "score": 0.1, "token_count": 3, "source_ids": ["short"]})
+    items += [{"kind": "edge", "item": f"e{k}", "score": round(r.random(), 2), "token_count": r.choice([4, 9]), "source_ids": [f"e{k}"]} for k in range(60)]
+    items += [{"kind": "report", "item": f"r{k}", "score": round(0.5 + r.random(), 2), "token_count": 6, "source_ids": [f"e{r.randrange(60)}" for _ in range(40)]} for k in range(5)]
+    rows = [(7, c["kind"], c["item"], "text", 0.5, 0.5, c["score"], c["token_count"], c["source_ids"], []) for c in items]
+    df = spark.createDataFrame(rows, f"qid int, {context.ITEM}")
+    for top_k, budget in ((4, 33), (6, 60), (10, 1200)):
+        got = context.select_under_budget(lambda pool: df.select(*context.SLIM), df.select(*context.DETAILS), top_k, budget, {"report": 2}).orderBy("place").collect()
+        assert [x.item for x in got] == [c["item"] for c in greedy(items, top_k, budget, {"report": 2})]
 
 
 @pytest.mark.parametrize("mode", ["heuristic", "embedding", "hybrid"])
