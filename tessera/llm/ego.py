@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -165,6 +165,12 @@ class Joiner:
                     self.join(*x, *y)
 
 
+def bound(c: int) -> Column:
+    """Coordinate ``c`` of the box around the boxes of ``kids``: lower bounds come first, then upper ones."""
+    each = F.transform("kids", lambda k: k["box"][c])
+    return F.array_min(each) if c <= BOX_DIMS else F.array_max(each)
+
+
 def block_pairs(meta: DataFrame, threshold: float) -> DataFrame:
     """(a, b) with a <= b: the pairs of blocks (block, box) whose boxes may hold a link, by recursion over intervals.
 
@@ -179,9 +185,7 @@ def block_pairs(meta: DataFrame, threshold: float) -> DataFrame:
         n = -(-n // FAN)
         if n <= 1:
             break
-        size = 2 * (BOX_DIMS + 1)
-        bound = [F.array_min(F.transform("kids", lambda k, c=c: k["box"][c])) if c < BOX_DIMS + 1 else F.array_max(F.transform("kids", lambda k, c=c: k["box"][c])) for c in range(size)]
-        nodes = kids.select("i", F.array(*bound).alias("box"))
+        nodes = kids.select("i", F.array(*[bound(c) for c in range(2 * (BOX_DIMS + 1))]).alias("box"))
     far = 2 - 2 * threshold + 1e-9
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

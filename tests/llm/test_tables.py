@@ -101,6 +101,19 @@ def test_epsilon_join(spark, monkeypatch):
     assert ego.epsilon_join(df.where("vec_id = -1")).collect() == []
 
 
+def test_intervals_keep_every_near_pair_of_blocks(spark, monkeypatch):
+    """The recursion finds just the pairs of blocks whose boxes are near, on several levels."""
+    monkeypatch.setattr(ego, "FAN", 3)
+    g = np.random.default_rng(5)
+    low = np.cumsum(g.uniform(0, 0.3, size=(50, 1)), axis=0) + g.uniform(-0.2, 0.2, size=(50, ego.BOX_DIMS + 1))
+    boxes = np.stack([low, low + g.uniform(0, 0.2, size=low.shape)], 1)
+    meta = spark.createDataFrame([(k, b.ravel().tolist()) for k, b in enumerate(boxes)], "block long, box array<double>")
+    near = ego.near_boxes(boxes, boxes, 2 - 2 * 0.7 + 1e-9)
+    got = sorted((r.a, r.b) for r in ego.block_pairs(meta, 0.7).collect())
+    want = [(i, j) for i in range(50) for j in range(i, 50) if near[i, j]]
+    assert got == want and 50 < len(want) < 600
+
+
 def test_mix_equals_its_sql(spark):
     r = random.Random(8)
     rows = [(i, r.choice(["a", "b", "c", "d", None]), " ".join("w" * r.randrange(60))) for i in range(300)]
