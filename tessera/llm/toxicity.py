@@ -92,29 +92,45 @@ class Model:
         return 1.0 - math.exp(-keep), worst[1], worst[2], max(worst[0], 0.0)
 
 
-def fit_bags(bags: list[tuple[int, list[list[int]]]], n_features: int) -> tuple[np.ndarray, float]:
-    """(weights, bias) by full-batch Adam on the noisy-or log likelihood of (label, features of each sentence).
+class Bags:
+    """Documents as bags of sentences in flat arrays: each kind of sentence of a document once, with its number.
+
+    Sentences without any feature are all of one kind; most are.
+    """
+
+    def __init__(self, table: pa.Table):
+        order = np.lexsort((table.column("toxic").to_numpy(), table.column("digest").to_numpy()))
+        table = table.take(pa.array(order))
+        self.toxic = table.column("toxic").to_numpy().astype(np.float64)
+        of = lambda c: [np.frombuffer(x, np.int32) for x in table.column(c).to_pylist()]
+        sizes, features, empty = of("sizes"), of("features"), table.column("empty").to_numpy()
+        self.n = sum(map(len, sizes)) + len(sizes)
+        self.feature = np.concatenate([*features, np.empty(0, np.int32)])
+        every = [np.append(x, np.int32(0)) for x in sizes]  # the last kind of each document is the sentence without features
+        self.sentence = np.repeat(np.arange(self.n, dtype=np.int32), np.concatenate([*every, np.empty(0, np.int32)]))
+        self.owner = np.repeat(np.arange(len(sizes), dtype=np.int32), [len(x) for x in every])
+        self.times = np.ones(self.n)
+        self.times[np.cumsum([len(x) for x in every], dtype=np.int64) - 1] = empty
+
+
+def fit_bags(bags: Bags, n_features: int) -> tuple[np.ndarray, float]:
+    """(weights, bias) by full-batch Adam on the noisy-or log likelihood of the documents' labels.
 
     log(1 - P) of a document is the sum of log(1 - p) over its sentences, so a label of 0 pushes every
     sentence down, while a label of 1 shares its pull among the sentences by (1 - P) / P * p.
     """
-    y = np.array([b[0] for b in bags], np.float64)
+    y, s, f, owner, times = bags.toxic, bags.sentence, bags.feature, bags.owner, bags.times
     if not y.sum():
         return np.zeros(n_features), -30.0
-    size = [len(f) for _, bag in bags for f in bag]
-    s = np.repeat(np.arange(len(size)), size)
-    f = np.array([i for _, bag in bags for sent in bag for i in sent], np.int64)
-    owner = np.repeat(np.arange(len(bags)), [len(bag) for _, bag in bags])
-    n = len(size)
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / max((1 - y).sum(), 1))
     theta = np.concatenate([np.zeros(n_features), [START_BIAS]])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, EPOCHS + 1):
-        z = np.bincount(s, theta[f], n) + theta[-1]
-        keep = np.bincount(owner, np.logaddexp(0, z), len(bags))
+        z = np.bincount(s, theta[f], bags.n) + theta[-1]
+        keep = np.bincount(owner, times * np.logaddexp(0, z), len(y))
         p_doc = -np.expm1(-keep)
         pull = np.where(y > 0, (1 - p_doc) / np.maximum(p_doc, 1e-12), -1.0) * weight
-        g_z = -pull[owner] / (1 + np.exp(-z))
+        g_z = -pull[owner] * times / (1 + np.exp(-z))
         grad = np.concatenate([np.bincount(f, g_z[s], n_features) + L2 * theta[:-1], [g_z.sum()]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -163,14 +179,16 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            e = Emitter(arrow_schema(toxic=pa.int32(), digest=pa.int64(), bag=pa.list_(pa.list_(pa.int32()))))
+            e = Emitter(arrow_schema(toxic=pa.int32(), digest=pa.int64(), empty=pa.int32(), sizes=pa.binary(), features=pa.binary()))
             for text, toxic in zip(*rows(batch, "text", "toxic"), strict=True):
                 found = [sorted(number[f] for w in s[2] for f in features(w) if f in number) for s in sentences(text)]
-                e.add(toxic, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), found)
+                some = [x for x in found if x]
+                flat = np.array([i for x in some for i in x], np.int32)
+                e.add(toxic, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), len(found) - len(some), np.array([len(x) for x in some], np.int32).tobytes(), flat.tobytes())
             yield e.take()
 
-    found = sample.mapInArrow(bag, "toxic int, digest long, bag array<array<int>>").collect()  # at most TRAIN_POSITIVE + TRAIN_NEGATIVE rows of selected features
-    bags = [(r.toxic, r.bag) for r in sorted(found, key=lambda r: (r.digest, r.toxic))]
+    # at most TRAIN_POSITIVE + TRAIN_NEGATIVE rows, of selected features only, in flat form
+    bags = Bags(sample.mapInArrow(bag, "toxic int, digest long, empty int, sizes binary, features binary").toArrow())
     weights, bias = fit_bags(bags, len(names))
     return dict(zip(names, weights.tolist(), strict=True)), bias
 
