@@ -19,9 +19,9 @@ RELATIONS = (
 
 # Relation names that are kept, and what other names stand for.
 ONTOLOGY = (
-    "acquired_by associated_with causes compares_to competes_with contributes_to depends_on featured_in hosts impacted_by "
-    "indirectly_causes located_in member_of part_of plays_for prevents produces reports_on uses works_for"
-).split()
+    "acquired_by", "associated_with", "causes", "compares_to", "competes_with", "contributes_to", "depends_on", "featured_in", "hosts",
+    "impacted_by", "indirectly_causes", "located_in", "member_of", "part_of", "plays_for", "prevents", "produces", "reports_on", "uses", "works_for",
+)
 ALIASES = {
     "competes_against": "competes_with",
     "related_to": "associated_with",
@@ -39,28 +39,36 @@ INTENTS = (
 
 # Query words and the hint that each of them gives.
 HINTS = (
-    ("spouse wife husband married", "spouse partner wife husband"),
-    ("partner", "partner spouse collaborator"),
-    ("founded founder co-founded cofounder", "founder founded co-founder"),
-    ("headquartered headquarters headquarter", "headquarters headquartered location"),
-    ("employer employed worked", "employer employed by organization"),
-    ("child children son daughter", "child son daughter"),
-    ("mother father parent grandmother grandfather", "parent mother father grandmother grandfather"),
-    ("owner owned owns", "owner owned by owns"),
-    ("manufacturer manufactured maker", "manufacturer maker produced by"),
-    ("distributed distributor", "distributed distributor"),
-    ("located location province city country", "located location city country province"),
-    ("border borders", "border shares border"),
-    ("member members", "member of organization group"),
-    ("succeeded successor preceded", "succeeded successor preceded"),
-    ("performer performed artist singer actor", "performer artist singer actor"),
-)
-GENERIC = "what which whose where when who whom name called green person people entity object thing".split()
+    (("spouse", "wife", "husband", "married",), "spouse partner wife husband"),
+    (("partner",), "partner spouse collaborator"),
+    (("founded", "founder", "co-founded", "cofounder",), "founder founded co-founder"),
+    (("headquartered", "headquarters", "headquarter",), "headquarters headquartered location"),
+    (("employer", "employed", "worked",), "employer employed by organization"),
+    (("child", "children", "son", "daughter",), "child son daughter"),
+    (("mother", "father", "parent", "grandmother", "grandfather",), "parent mother father grandmother grandfather"),
+    (("owner", "owned", "owns",), "owner owned by owns"),
+    (("manufacturer", "manufactured", "maker",), "manufacturer maker produced by"),
+    (("distributed", "distributor",), "distributed distributor"),
+    (("located", "location", "province", "city", "country",), "located location city country province"),
+    (("border", "borders",), "border shares border"),
+    (("member", "members",), "member of organization group"),
+    (("succeeded", "successor", "preceded",), "succeeded successor preceded"),
+    (("performer", "performed", "artist", "singer", "actor",), "performer artist singer actor"),
+)
+GENERIC = (
+    "what", "which", "whose", "where", "when", "who", "whom", "name", "called", "green", "person", "people", "entity", "object", "thing",
+)
 
 # Fixed values: (query words, ((parts of the entity's type, factor), ...)), tried in order.
-BRIDGE_PEOPLE = "spouse wife husband partner performer artist singer actor".split()
-BRIDGE_FIRMS = "headquartered headquarters employer company organization".split()
-BRIDGE_PLACES = "where located location city country province".split()
+BRIDGE_PEOPLE = (
+    "spouse", "wife", "husband", "partner", "performer", "artist", "singer", "actor",
+)
+BRIDGE_FIRMS = (
+    "headquartered", "headquarters", "employer", "company", "organization",
+)
+BRIDGE_PLACES = (
+    "where", "located", "location", "city", "country", "province",
+)
 
 
 def relation_of(sentence: Column) -> Column:
@@ -78,7 +86,7 @@ def normalize_relation(value: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(casefold(value), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     known = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
     name = F.coalesce(F.try_element_at(known, plain), plain)
-    ok = name.isin(ONTOLOGY)
+    ok = name.isin(*ONTOLOGY)
     return F.struct(F.when(ok, name).otherwise("associated_with").alias("relation"), ok.alias("ontology_ok"))
 
 
@@ -105,8 +113,8 @@ def intent(query: Column) -> Column:
 def relation_hints(query: Column) -> Column:
     """At most four phrases: those whose words are in the query, then its first five specific words."""
     own = content_tokens(query)
-    phrases = [F.when(F.arrays_overlap(own, F.array(*map(F.lit, w.split()))), F.lit(p)) for w, p in HINTS]
-    rest = F.array_join(F.slice(F.filter(own, lambda t: ~t.isin(GENERIC) & (F.length(t) > 2)), 1, 5), " ")
+    phrases = [F.when(F.arrays_overlap(own, F.array(*map(F.lit, w))), F.lit(p)) for w, p in HINTS]
+    rest = F.array_join(F.slice(F.filter(own, lambda t: ~t.isin(*GENERIC) & (F.length(t) > 2)), 1, 5), " ")
     every = F.filter(F.array(*phrases, rest), lambda h: h.isNotNull() & (h != ""))
     return F.slice(F.array_distinct(every), 1, 4)
 

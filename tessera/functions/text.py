@@ -9,9 +9,10 @@ TOKEN = r"[\p{L}\p{N}_'-]+"
 
 # The words that carry no content (English and Russian).
 STOPWORDS = (
-    "a an and are as at be by for from in is it of on or that the this to was were with "
-    "и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по только ее мне было вот от меня"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were",
+    "with", "и", "в", "во", "не", "что", "он", "на", "я", "с", "со", "как", "а", "то", "все", "она", "так", "его", "но", "да", "ты", "к", "у", "же",
+    "вы", "за", "бы", "по", "только", "ее", "мне", "было", "вот", "от", "меня",
+)
 
 # Letters that can begin a name, and those of words.
 NAME_START, WORD_CHARS = "A-ZА-ЯЁ", r"\p{L}\p{N}_"
@@ -30,7 +31,7 @@ def tokens(text: Column) -> Column:
 
 def content_tokens(text: Column) -> Column:
     """Tokens of more than one character that are no stop words."""
-    return F.filter(tokens(text), lambda t: (F.length(t) > 1) & ~t.isin(STOPWORDS))
+    return F.filter(tokens(text), lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
 
 
 def strip(text: Column) -> Column:

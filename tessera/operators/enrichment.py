@@ -13,7 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as r
@@ -158,7 +158,10 @@ def enrich_inference(edges: DataFrame, client: Client, max_paths: int = 200) ->
     told = ask(asked, client, "infer", ["seed_id", "next_id", "k"])
     parsed = told.select("seed_id", "next_id", "k", F.from_json("answer", "inferred struct<relation:string,description:string,confidence:double>").alias("a"))
     answers = parsed.where("a.inferred is not null").select("seed_id", "next_id", "k", "a.inferred.relation", "a.inferred.description", "a.inferred.confidence")
-    new = graph.infer_edges(edges, answers)
+    last = edges.agg(F.max("ord").alias("_last"))  # one row; what is inferred comes after all that is told
+    new = graph.infer_edges(edges, answers).crossJoin(F.broadcast(last))
+    ordinal = F.col("_last").withField("group", F.lit(9)).withField("k", F.row_number().over(Window.orderBy("id")))  # at most ``max_paths`` rows
+    new = new.withColumn("ord", ordinal.cast(edges.schema["ord"].dataType)).drop("_last")
     return edges.unionByName(new, allowMissingColumns=True).withColumns({"generated_questions": F.coalesce("generated_questions", F.array().cast("array<string>")), "semantic_summary": t.nvl("semantic_summary")})
 
 
@@ -247,6 +250,11 @@ def extract_with_client(units: DataFrame, documents: DataFrame, client: Client,
     return every.where("error is null").select("unit_id", "document_id", "payload"), every.where("error is not null").select("unit_id", "document_id", "error")
 
 
+def answers(payloads: DataFrame) -> DataFrame:
+    """(unit_id, answer): valid payloads as the answers that a later extraction can use again."""
+    return payloads.select("unit_id", F.to_json("payload").alias("answer"))
+
+
 def upsert_errors(log: DataFrame, errors: DataFrame, resolved: DataFrame) -> DataFrame:
     """The error log without the units that are resolved or have failed anew, and the new failures."""
     gone = resolved.select("unit_id").unionByName(errors.select("unit_id")).distinct()

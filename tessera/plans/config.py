@@ -12,8 +12,9 @@ DEFAULT_WEIGHTS = {
 }
 
 
+# Names and defaults of the settings; files of settings rely on them.
 @dataclass(frozen=True)
-class RetrievalConfig:
+class Settings:
     candidate_k: int = 80
     rerank_k: int = 40
     top_k: int = 10
@@ -45,7 +46,7 @@ class RetrievalConfig:
         return self.use_enrichment and getattr(self, flag)
 
     @classmethod
-    def load(cls, path: str | None) -> RetrievalConfig:
+    def load(cls, path: str | None) -> Settings:
         """Defaults, overridden by the known keys of a JSON file; weights are merged one by one."""
         if not path:
             return cls()
@@ -56,7 +57,7 @@ class RetrievalConfig:
         extra = {str(k): float(v) for k, v in weights.items()} if isinstance(weights, dict) else {}
         return cls(**known, weights=DEFAULT_WEIGHTS | extra)
 
-    def with_signals(self, signals: tuple[str, ...]) -> RetrievalConfig:
+    def with_signals(self, signals: tuple[str, ...]) -> Settings:
         """This configuration with just the named enrichment signals on."""
         flags = {
             "questions": "use_generated_questions", "summaries": "use_semantic_summaries", "entities": "use_entity_enrichment",

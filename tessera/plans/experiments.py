@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation
 from ..storage import materialize
-from .config import RetrievalConfig
+from .config import Settings
 from .context import MODES, candidate_context, document_context
 from .index import Index
 from .iterative import retrieve_iterative
@@ -25,11 +25,11 @@ SIGNALS = (
 )
 
 
-def retrieve(index: Index, queries: DataFrame, mode: str = "hybrid", top_k: int = 10, max_hops: int = 2, budget: int = 1200, config: RetrievalConfig | None = None, calibrated: bool = True) -> tuple[DataFrame | None, DataFrame]:
+def retrieve(index: Index, queries: DataFrame, mode: str = "hybrid", top_k: int = 10, max_hops: int = 2, budget: int = 1200, config: Settings | None = None, calibrated: bool = True, weights: dict[str, float] | None = None) -> tuple[DataFrame | None, DataFrame]:
     """(ranked documents or None, context) of all queries (qid, text) in one of the modes."""
-    config = config or RetrievalConfig()
+    config = config or Settings()
     if mode in MODES:
-        return None, candidate_context(index, queries, mode, top_k, max_hops, budget, config, calibrated)
+        return None, candidate_context(index, queries, mode, top_k, max_hops, budget, config, calibrated, weights)
     if mode not in ("two_stage", "iterative"):
         raise ValueError("mode must be heuristic, embedding, hybrid, two_stage or iterative")
     rank = rank_documents if mode == "two_stage" else retrieve_iterative
@@ -37,9 +37,9 @@ def retrieve(index: Index, queries: DataFrame, mode: str = "hybrid", top_k: int
     return ranked, document_context(index.visible(calibrated, config.uses("use_inferred_edges")), queries, ranked, budget, max_hops, config)
 
 
-def evaluate(index: Index, qa: DataFrame, mode: str = "two_stage", top_k: int = 10, config: RetrievalConfig | None = None, calibrated: bool = True) -> DataFrame:
+def evaluate(index: Index, qa: DataFrame, mode: str = "two_stage", top_k: int = 10, config: Settings | None = None, calibrated: bool = True) -> DataFrame:
     """Details of each question of ``qa`` (qid, text, answer, evidence, question_type): status, metrics, answer hit, abstention."""
-    config = config or RetrievalConfig()
+    config = config or Settings()
     queries = qa.where(F.col("text") != "").select("qid", "text")
     ranked, context = retrieve(index, queries, mode, top_k, budget=EVALUATION_BUDGET, config=config, calibrated=calibrated)
     context = materialize(context, "context")
@@ -81,7 +81,7 @@ def compare_calibrated(index: Index, qa: DataFrame, **options) -> tuple[DataFram
     return both, evaluation.delta(both, "variant", "baseline", (*evaluation.METRICS[:5], "answer_hit_rate")).where("variant = 'calibrated'")
 
 
-def benchmark(index: Index, qa: DataFrame, enriched: Index | None = None, config: RetrievalConfig | None = None, top_k: int = 10) -> DataFrame:
+def benchmark(index: Index, qa: DataFrame, enriched: Index | None = None, config: Settings | None = None, top_k: int = 10) -> DataFrame:
     """Summaries of two-stage retrieval: baseline, calibrated and, if given, enriched."""
     runs = [("baseline_two_stage", index, False), ("calibrated_two_stage", index, True)] + [("enriched_two_stage", enriched, True)] * (enriched is not None)
     out = None
@@ -99,13 +99,13 @@ def ablation_variants() -> list[tuple[str, bool, bool, tuple[str, ...], str]]:
     return [(*v, "two_stage") for v in base] + [(f"iterative_{v[0]}", *v[1:], "iterative") for v in base]
 
 
-def ablation(index: Index, enriched: Index, qa: DataFrame, errors: DataFrame | None = None, config: RetrievalConfig | None = None, top_k: int = 10, strict: bool = True, names: set[str] | None = None) -> DataFrame:
+def ablation(index: Index, enriched: Index, qa: DataFrame, errors: DataFrame | None = None, config: Settings | None = None, top_k: int = 10, strict: bool = True, names: set[str] | None = None) -> DataFrame:
     """One summary per variant, with its difference to calibrated_base_index (columns delta_*).
 
     ``errors`` (document_id, ...): extraction failures; if one hits evidence and ``strict`` is set, the variants count as
     invalid and all their metrics are 0.  ``names`` restricts the variants.
     """
-    config = config or RetrievalConfig()
+    config = config or Settings()
     failed = evaluation.failed_evidence(errors, qa, index.documents).count() if errors is not None else 0
     out = None
     for name, on_enriched, calibrated, signals, mode in ablation_variants():
@@ -121,9 +121,9 @@ def ablation(index: Index, enriched: Index, qa: DataFrame, errors: DataFrame | N
     return out.join(deltas, "variant", "left").na.fill(0.0, [f"delta_{m}" for m in evaluation.METRICS])
 
 
-def tuning_configs() -> list[RetrievalConfig]:
+def tuning_configs() -> list[Settings]:
     """The six configurations that are tried."""
-    plain = RetrievalConfig(use_dense=False, use_reranker=False, use_graph=False, use_enrichment=False)
+    plain = Settings(use_dense=False, use_reranker=False, use_graph=False, use_enrichment=False)
     ranked = replace(plain, use_dense=True, use_reranker=True)
     rich = replace(ranked, use_enrichment=True)
     return [plain, replace(plain, use_dense=True), ranked, rich, replace(rich, use_graph=True), replace(rich, weights=rich.weights | {"enrichment": 0.10})]
@@ -134,7 +134,7 @@ def best_trial(trials: DataFrame) -> DataFrame:
     return trials.orderBy(F.desc("all_evidence_success_at_k"), F.desc("recall_at_k"), F.desc("mrr"), "seconds", "trial").limit(1)
 
 
-def tune(index: Index, qa: DataFrame, top_k: int = 10) -> tuple[RetrievalConfig, DataFrame]:
+def tune(index: Index, qa: DataFrame, top_k: int = 10) -> tuple[Settings, DataFrame]:
     """(best configuration, all trials)."""
     configs = tuning_configs()
     trials = None

@@ -7,8 +7,10 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.errors import AnalysisException
+
 from ..functions import text as t
-from ..operators import chunking, communities, extraction
+from ..operators import chunking, communities, enrichment, extraction, graph
 from ..operators.calibration import calibrate_edges
 from ..storage import materialize
 
@@ -38,7 +40,9 @@ class Index:
         for f in fields(cls):
             try:
                 found[f.name] = spark.read.parquet(f"{path}/{f.name}")
-            except Exception as e:
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
                 if f.name not in ("communities", "reports"):
                     raise FileNotFoundError(f"index {path} has no table {f.name}") from e
         return cls(**found)
@@ -56,8 +60,52 @@ def with_document_fields(documents: DataFrame) -> DataFrame:
     return documents.select(*[F.col(c) if c in documents.columns else F.lit("").alias(c) for c in DOCUMENT_FIELDS])
 
 
-def build_index(documents: DataFrame, chunk_size: int = 600, overlap: int = 100, with_communities: bool = True, cut: bool = True) -> Index:
-    """Indexes documents (id, text, optional DOCUMENT_FIELDS and ``relationships``) by the rule extractor.
+@dataclass
+class Extraction:
+    """How to extract: by rules, or by a client whose answers are kept under ``path`` and used again (``resume``).
+
+    ``max_units``: only so many units, by document and position.  ``stats`` says how the client's units went.
+    """
+
+    client: enrichment.Client | None = None
+    path: str | None = None
+    resume: bool = True
+    max_units: int | None = None
+    continue_on_error: bool = True
+    stats: dict[str, int] | None = None
+
+    def rows(self, units: DataFrame, documents: DataFrame, supplied: DataFrame | None) -> DataFrame:
+        if self.client is None:
+            return extraction.relation_rows(units, supplied)
+        cache = read_table(units.sparkSession, f"{self.path}/llm_cache") if self.path and self.resume else None
+        payloads, errors = enrichment.extract_with_client(units, documents, self.client, cache, self.max_units)
+        payloads, errors = materialize(payloads, "payloads"), materialize(errors, "errors")  # the client is asked once
+        failed = errors.count()
+        if failed and not self.continue_on_error:
+            raise RuntimeError(f"{failed} units failed: {errors.first()['error']}")
+        if self.path:
+            log = read_table(units.sparkSession, f"{self.path}/llm_errors")
+            if log is not None:
+                errors = materialize(enrichment.upsert_errors(log, errors, payloads), "errors")
+            enrichment.answers(payloads).write.mode("overwrite").parquet(f"{self.path}/llm_cache")
+            errors.write.mode("overwrite").parquet(f"{self.path}/llm_errors")
+        known = 0 if cache is None else payloads.join(cache.select("unit_id").distinct(), "unit_id", "left_semi").count()
+        self.stats = {"successful_units": payloads.count(), "cached_units": known, "failed_units": failed}
+        return enrichment.payload_rows(payloads, units)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, written anew so that the path can be overwritten; None if there is none."""
+    try:
+        return materialize(spark.read.parquet(path), "table")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def build_index(documents: DataFrame, chunk_size: int = 600, overlap: int = 100, with_communities: bool = True, cut: bool = True, how: Extraction | None = None) -> Index:
+    """Indexes documents (id, text, optional DOCUMENT_FIELDS and ``relationships``) by the rule extractor, or as ``how`` says.
 
     Units, rows and edges are each written once and read many times (``cut``); else the plan stays lazy throughout.
     """
@@ -65,7 +113,7 @@ def build_index(documents: DataFrame, chunk_size: int = 600, overlap: int = 100,
     docs = with_document_fields(documents)
     units = keep(chunking.chunk_documents(docs, chunk_size, overlap), "units")
     supplied = documents.select("id", "relationships") if "relationships" in documents.columns else None
-    rows = keep(extraction.relation_rows(units, supplied), "rows")
+    rows = keep((how or Extraction()).rows(units, docs, supplied), "rows")
     edges = keep(calibrate_edges(extraction.with_combined_degree(extraction.merge_edges(rows))), "edges")
     entities = keep(extraction.merge_entities(rows, edges), "entities")
     if not with_communities:
@@ -74,6 +122,23 @@ def build_index(documents: DataFrame, chunk_size: int = 600, overlap: int = 100,
     return Index(docs, units, entities, edges, communities.communities(members, edges), communities.reports(members, edges))
 
 
+def finalize_enriched(index: Index, entities: DataFrame, edges: DataFrame) -> Index:
+    """The index with enriched entities and edges: aliases resolved, degrees counted, edges calibrated and communities found anew."""
+    entities, edges = graph.resolve_aliases(entities, edges)
+    edges = materialize(calibrate_edges(extraction.with_combined_degree(edges)), "edges")
+    degree = extraction.degrees(edges)
+    entities = entities.drop("degree").join(degree, "title", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    entities = materialize(entities, "entities")
+    members = materialize(communities.community_members(entities, edges), "members")
+    return Index(index.documents, index.units, entities, edges, communities.communities(members, edges), communities.reports(members, edges))
+
+
+def enrich_index(index: Index, client: enrichment.Client, steps: list[str] | None = None) -> Index:
+    """The index after the named enrichment steps (none named: all)."""
+    entities, edges = enrichment.enrich_graph(index.entities, index.edges, client, steps)
+    return finalize_enriched(index, materialize(entities, "entities"), materialize(edges, "edges"))
+
+
 def test_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table ``documents`` in the form that the index takes: the first 12 words are the title, the language the category."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

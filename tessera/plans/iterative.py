@@ -11,13 +11,13 @@ from ..operators import scoring
 from ..operators.scoring import DIGITS
 from ..storage import materialize
 from . import models
-from .config import RetrievalConfig
+from .config import Settings
 from .context import reliability_factor
 from .index import Index
 from .ranking import body_text, document_edges, rank_documents
 
 
-def bridge_entities(index: Index, queries: DataFrame, ranked: DataFrame, config: RetrievalConfig) -> DataFrame:
+def bridge_entities(index: Index, queries: DataFrame, ranked: DataFrame, config: Settings) -> DataFrame:
     """(qid, entity, score, n): entities of the seed documents' edges, the best first.
 
     ``ranked``: (qid, id, rank, score).  Documents whose one-word title is in the query are passed over, and so are
@@ -61,7 +61,7 @@ def mentions(index: Index, wanted: DataFrame) -> DataFrame:
     return in_text.unionByName(in_edges).distinct()
 
 
-def merge_rankings(lists: DataFrame, top_k: int, config: RetrievalConfig) -> DataFrame:
+def merge_rankings(lists: DataFrame, top_k: int, config: Settings) -> DataFrame:
     """(qid, id, rank, score, best): fuses rankings (qid, list, weight, id, rank, score); list 0 is the first query's own.
 
     ``best`` is the list in which the document scored best.  The first document of list 0 stays: if it is not
@@ -80,12 +80,12 @@ def merge_rankings(lists: DataFrame, top_k: int, config: RetrievalConfig) -> Dat
     return full.select("qid", "id", F.least("rank", F.lit(top_k)).alias("rank"), "score", "best")
 
 
-def retrieve_iterative(index: Index, queries: DataFrame, config: RetrievalConfig | None = None, calibrated: bool = True, top_k: int | None = None, embedder: scoring.Embedder | None = None, reranker: models.Reranker | None = None) -> DataFrame:
+def retrieve_iterative(index: Index, queries: DataFrame, config: Settings | None = None, calibrated: bool = True, top_k: int | None = None, embedder: scoring.Embedder | None = None, reranker: models.Reranker | None = None) -> DataFrame:
     """(qid, id, rank, score, title, snippet): ``rank_documents`` of the queries and of their bridge queries, merged.
 
     All bridge queries of all queries are ranked in one plan.
     """
-    config = config or RetrievalConfig()
+    config = config or Settings()
     top = top_k or config.top_k
     index = index.visible(calibrated, config.uses("use_inferred_edges"))
     own = ["qid", "id", "rank", "score", "title", "snippet"]

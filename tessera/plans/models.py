@@ -13,7 +13,7 @@ from collections.abc import Callable
 import numpy as np
 
 from ..operators import scoring
-from .config import RetrievalConfig
+from .config import Settings
 
 PACKAGE = "sentence_transformers"
 #: Scores of (query, document) pairs, in any range; None stands for lexical similarity.
@@ -62,12 +62,12 @@ def usable(kind: str, name: str, strict: bool) -> bool:
     return False
 
 
-def embedder(config: RetrievalConfig) -> scoring.Embedder:
+def embedder(config: Settings) -> scoring.Embedder:
     """What the settings name, or hashed token vectors."""
     return ModelEmbedder(config.embedding_model) if usable("SentenceTransformer", config.embedding_model, config.strict_models) else scoring.hashed_embedder
 
 
-def reranker(config: RetrievalConfig) -> Reranker | None:
+def reranker(config: Settings) -> Reranker | None:
     """What the settings name, or None for lexical similarity."""
     if not config.use_reranker:
         return None

@@ -21,7 +21,7 @@ from ..operators import scoring
 from ..operators.scoring import DIGITS
 from ..storage import materialize
 from . import models
-from .config import RetrievalConfig
+from .config import Settings
 from .index import Index
 
 # Weight of each field list in the fusion.
@@ -58,7 +58,7 @@ def joined(column: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("edge_id", column.alias("x")))), lambda s: s["x"]), " ")
 
 
-def field_texts(index: Index, config: RetrievalConfig) -> DataFrame:
+def field_texts(index: Index, config: Settings) -> DataFrame:
     """(field, id, text) of every field list that is on, for all documents; enriched fields only where they have text."""
     docs = index.documents
     out = docs.select(F.lit("title").alias("field"), "id", t.nvl("title").alias("text"))
@@ -92,7 +92,7 @@ def field_texts(index: Index, config: RetrievalConfig) -> DataFrame:
     return out
 
 
-def document_features(index: Index, config: RetrievalConfig, calibrated: bool) -> DataFrame:
+def document_features(index: Index, config: Settings, calibrated: bool) -> DataFrame:
     """(id, reliability, importance, contradiction_penalty) of every document; 0 without edges or where the signal is off."""
     by_doc = document_edges(index).groupBy("id").agg(
         F.avg(F.when(F.col("evidence_type") != "inferred", F.col("reliability"))).alias("reliability"),
@@ -104,12 +104,12 @@ def document_features(index: Index, config: RetrievalConfig, calibrated: bool) -
     return joined_.select("id", *[(F.round(F.coalesce(c, F.lit(0.0)), DIGITS) if use else F.lit(0.0)).alias(c) for c, use in on.items()])
 
 
-def subqueries(queries: DataFrame, config: RetrievalConfig) -> DataFrame:
+def subqueries(queries: DataFrame, config: Settings) -> DataFrame:
     """(qid, sub, text): the clauses of each query (qid, text), the whole first."""
     return queries.select("qid", F.posexplode(r.decompose(F.col("text"), config.max_subqueries)).alias("sub", "text"))
 
 
-def ranked_lists(index: Index, queries: DataFrame, config: RetrievalConfig, embedder: scoring.Embedder | None = None) -> DataFrame:
+def ranked_lists(index: Index, queries: DataFrame, config: Settings, embedder: scoring.Embedder | None = None) -> DataFrame:
     """(qid, sub, field, id, score, rank): the first ``candidate_k`` of every list of every clause."""
     subs = subqueries(queries, config)
     # every branch below reads the tokens, which are made once
@@ -158,7 +158,7 @@ def weighted(weights: dict[str, float], without: tuple[str, ...] = ()) -> Column
 FEATURES = ("rrf", "bm25", "dense", "metadata", "graph", "enrichment")
 
 
-def first_stage(index: Index, queries: DataFrame, config: RetrievalConfig, calibrated: bool = True, embedder: scoring.Embedder | None = None) -> DataFrame:
+def first_stage(index: Index, queries: DataFrame, config: Settings, calibrated: bool = True, embedder: scoring.Embedder | None = None) -> DataFrame:
     """(qid, id, features, clause_scores, first_score, rank): the ``candidate_k`` best documents of each query before reranking.
 
     Candidates are the documents in a list, those that share a metadata token and the ``candidate_k`` best by the
@@ -210,7 +210,7 @@ def document_entities(index: Index) -> DataFrame:
     return ends.select("id", t.casefold(F.col("e")).alias("entity")).distinct()
 
 
-def graph_expansion(index: Index, queries: DataFrame, features: DataFrame, config: RetrievalConfig) -> DataFrame:
+def graph_expansion(index: Index, queries: DataFrame, features: DataFrame, config: Settings) -> DataFrame:
     """(qid, id, graph_expansion): documents that share entities, not named in the query, with the best seed documents."""
     score = F.round(weighted(config.weights, ("reranker", "graph_expansion")), DIGITS)
     order = Window.partitionBy("qid").orderBy(F.desc("s"), "id")
@@ -282,7 +282,7 @@ def reranked(rows: DataFrame, k: int, model: models.Reranker | None) -> DataFram
 
 
 def rank_documents(
-    index: Index, queries: DataFrame, config: RetrievalConfig | None = None, calibrated: bool = True, top_k: int | None = None,
+    index: Index, queries: DataFrame, config: Settings | None = None, calibrated: bool = True, top_k: int | None = None,
     embedder: scoring.Embedder | None = None, reranker: models.Reranker | None = None,
 ) -> DataFrame:
     """(qid, id, rank, score, title, snippet, features): the ranked documents of each query (qid, text).
@@ -290,7 +290,7 @@ def rank_documents(
     ``embedder`` and ``reranker`` are by default those that ``config`` names, where they are there (see ``models``).
     Queries of white space alone have none.  The greedy order runs per query over at most ``candidate_k`` rows.
     """
-    config = config or RetrievalConfig()
+    config = config or Settings()
     index = index.visible(calibrated, config.uses("use_inferred_edges"))
     first = materialize(first_stage(index, queries, config, calibrated, embedder), "first")
     snippets = best_snippets(index, queries, first)
@@ -310,7 +310,7 @@ def rank_documents(
     return full.select("qid", "id", *names).groupBy("qid").applyInPandas(order, ddl)
 
 
-def abstains(ranked: DataFrame, queries: DataFrame, config: RetrievalConfig) -> DataFrame:
+def abstains(ranked: DataFrame, queries: DataFrame, config: Settings) -> DataFrame:
     """(qid, abstained): no documents, or the first of them below the threshold."""
     top = ranked.where("rank = 1").select("qid", "score")
     return queries.select("qid").join(top, "qid", "left").select("qid", (F.coalesce("score", F.lit(0.0)) < config.abstention_threshold).alias("abstained"))

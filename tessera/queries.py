@@ -15,7 +15,7 @@ from .functions import rules as r
 from .functions import text as t
 from .operators import calibration, chunking, communities, enrichment, evaluation, extraction, graph, scoring
 from .plans import context, experiments, iterative, ranking
-from .plans.config import RetrievalConfig
+from .plans.config import Settings
 from .plans.index import Index, build_index, test_documents
 from .sources import datasets, files
 from .storage import materialize
@@ -272,7 +272,7 @@ def query_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", r.intent(F.col("text")).alias("intent"))
 
 
-_HINT_CASES = ", ".join(f"CASE WHEN list_has_any(k, [{','.join(repr(w) for w in ws.split())}]) THEN '{p}' END" for ws, p in r.HINTS)
+_HINT_CASES = ", ".join(f"CASE WHEN list_has_any(k, [{','.join(repr(w) for w in ws)}]) THEN '{p}' END" for ws, p in r.HINTS)
 
 
 @query(
@@ -520,7 +520,7 @@ def rank_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.dense_top_k(asked(spark, sf_dir), docs, ["qid"], 80)
 
 
-_PLAIN = RetrievalConfig(use_dense=False, use_enrichment=False)
+_PLAIN = Settings(use_dense=False, use_enrichment=False)
 _LISTS = f"""WITH {_QUERIES}, {_UNITS},
 bodies AS (
   SELECT d.id, title || '. ' || coalesce(string_agg(u.text, ' ' ORDER BY position), any_value(d.text), '') AS text FROM docs d LEFT JOIN units u ON u.document_id = d.id GROUP BY d.id, title),
@@ -598,7 +598,7 @@ def rank_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rank_graph_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = RetrievalConfig(use_dense=False, use_graph=True, use_graph_expansion=True)
+    config = Settings(use_dense=False, use_graph=True, use_graph_expansion=True)
     return ranking.first_stage(small_index(spark, sf_dir), asked(spark, sf_dir), config).select("qid", "id", "rank", "graph", "graph_expansion", "first_score")
 
 
@@ -616,7 +616,7 @@ def retrieve_hybrid_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def retrieve_document_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, queries = small_index(spark, sf_dir, True), asked(spark, sf_dir)
-    ranked = materialize(ranking.rank_documents(index, queries, RetrievalConfig(use_dense=False)).select("qid", "id", "rank", "score", "title", "snippet"), "ranked")
+    ranked = materialize(ranking.rank_documents(index, queries, Settings(use_dense=False)).select("qid", "id", "rank", "score", "title", "snippet"), "ranked")
     return context.document_context(index, queries, ranked).select("qid", "place", "kind", "item", "token_count")
 
 
@@ -710,7 +710,7 @@ def evaluate_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def evaluate_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     qa = materialize(questions(spark, sf_dir), "qa")
-    return experiments.summary(experiments.evaluate(small_index(spark, sf_dir, True), qa, config=RetrievalConfig(use_dense=False)))
+    return experiments.summary(experiments.evaluate(small_index(spark, sf_dir, True), qa, config=Settings(use_dense=False)))
 
 
 # --- enrichment -------------------------------------------------------------------------------------------

@@ -8,29 +8,40 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 
 # The columns that can hold each field, in order of preference.
-TEXT_KEYS = "text content body article passage document news article_text".split()
-TITLE_KEYS = "title headline name".split()
-QUERY_KEYS = "query question".split()
-ANSWER_KEYS = "answer gold_answer ground_truth ground_truth_answer".split()
-EVIDENCE_KEYS = "evidence supporting_evidence support supporting_facts evidence_list".split()
-ID_KEYS = "id doc_id document_id url".split()
-QA_NAMES, DOCUMENT_NAMES = "query question qa answer".split(), "corpus document article news".split()
+TEXT_KEYS = ["text", "content", "body", "article", "passage", "document", "news", "article_text"]
+TITLE_KEYS = ["title", "headline", "name"]
+QUERY_KEYS = ["query", "question"]
+ANSWER_KEYS = ["answer", "gold_answer", "ground_truth", "ground_truth_answer"]
+EVIDENCE_KEYS = ["evidence", "supporting_evidence", "support", "supporting_facts", "evidence_list"]
+ID_KEYS = ["id", "doc_id", "document_id", "url"]
+QA_NAMES, DOCUMENT_NAMES = ["query", "question", "qa", "answer"], ["corpus", "document", "article", "news"]
 MIN_CHARS = 30
 EVIDENCE = "array<struct<url:string,title:string>>"
 
 
+#: Where a row stands in its file, in a column of this name if there is one.
+PLACE = "_place"
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a JSONL, JSON, CSV or TSV file; of a JSON object with a list under data, documents, queries, qa or items that list."""
+    """Rows of a JSONL, JSON, CSV or TSV file with their PLACE; of a JSON object with a list under data, documents, queries, qa or items that list."""
     lowered = path.lower()
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    placed = F.struct(*block, F.monotonically_increasing_id().alias("row"), F.lit(0).alias("item")).alias(PLACE)
     if lowered.endswith((".csv", ".tsv")):
-        return spark.read.csv(path, header=True, sep="\t" if lowered.endswith(".tsv") else ",", multiLine=True, escape='"')
+        return spark.read.csv(path, header=True, sep="\t" if lowered.endswith(".tsv") else ",", multiLine=True, escape='"').select("*", placed)
     if lowered.endswith(".jsonl"):
-        return spark.read.json(path)
+        return spark.read.json(path).select("*", placed)
     df = spark.read.json(path, multiLine=True)
     for key in ("data", "documents", "queries", "qa", "items"):
         if key in df.columns and df.schema[key].dataType.typeName() == "array":
-            return df.select(F.explode(key).alias("_r")).select("_r.*")
-    return df
+            listed = df.select(placed, F.posexplode(key).alias("_n", "_r"))
+            return listed.select("_r.*", F.col(PLACE).withField("item", F.col("_n")).alias(PLACE))
+    return df.select("*", placed)
+
+
+def place_of(df: DataFrame) -> list[Column]:
+    return [F.col(PLACE)] if PLACE in df.columns else []
 
 
 def guess_kind(name: str, columns: list[str]) -> str:
@@ -55,7 +66,7 @@ def normalize_documents(df: DataFrame, source: str) -> DataFrame:
     plain = [F.col(c).cast("string") for c in df.columns if df.schema[c].dataType.typeName() not in ("array", "struct", "map")]
     text = t.strip(F.coalesce(first_of(df, TEXT_KEYS), F.concat_ws(" ", *plain)))
     own = F.coalesce(first_of(df, ID_KEYS), F.concat(F.lit(f"{source}:"), F.sha1(F.substring(text, 1, 256).cast("binary"))))
-    out = df.select(own.alias("id"), F.coalesce(first_of(df, TITLE_KEYS), own).alias("title"), text.alias("text"), F.lit(source).alias("source"))
+    out = df.select(own.alias("id"), F.coalesce(first_of(df, TITLE_KEYS), own).alias("title"), text.alias("text"), F.lit(source).alias("source"), *place_of(df))
     return out.where(F.length("text") >= MIN_CHARS)
 
 
@@ -72,7 +83,7 @@ def normalize_qa(df: DataFrame, source: str) -> DataFrame:
     answer = F.coalesce(*[F.col(own[k]).cast("string") for k in ANSWER_KEYS if k in own]) if set(ANSWER_KEYS) & set(own) else F.lit(None).cast("string")
     kind = F.col(own["question_type"]).cast("string") if "question_type" in own else F.lit(None).cast("string")
     qid = F.coalesce(first_of(df, ["id", "query_id"]), F.concat(F.lit(f"{source}:"), F.sha1(query.cast("binary"))))
-    out = df.select(qid.alias("qid"), query.alias("text"), answer.alias("answer"), evidence.alias("evidence"), F.coalesce(kind, F.lit("unknown")).alias("question_type"), F.lit(source).alias("source"))
+    out = df.select(qid.alias("qid"), query.alias("text"), answer.alias("answer"), evidence.alias("evidence"), F.coalesce(kind, F.lit("unknown")).alias("question_type"), F.lit(source).alias("source"), *place_of(df))
     return out.where("text is not null and answer is not null")
 
 
@@ -82,7 +93,10 @@ def dedupe(df: DataFrame, key: str, ordinal: Column) -> DataFrame:
 
 
 def evidence_first(documents: DataFrame, qa: DataFrame, limit: int | None, ordinal: str = "id") -> DataFrame:
-    """Documents that are evidence, all of them, then others in order up to ``limit`` in all."""
+    """Documents that are evidence, all of them, then others in order up to ``limit`` in all.
+
+    One plan: the first ``limit`` others are picked by a partial sort, and as many of them stay as evidence leaves room.
+    """
     if limit is None:
         return documents
     e = qa.select(F.explode("evidence").alias("e")).select("e.url", t.casefold(F.col("e.title")).alias("title")).distinct()
@@ -90,9 +104,11 @@ def evidence_first(documents: DataFrame, qa: DataFrame, limit: int | None, ordin
     titles = e.where("title <> ''").select(F.col("title").alias("_t")).distinct().withColumn("_b", F.lit(True))
     marked = documents.join(urls, F.col("id").cast("string") == F.col("_u"), "left").join(titles, t.casefold(F.col("title")) == F.col("_t"), "left")
     marked = marked.withColumn("_p", F.coalesce("_a", F.lit(False)) | F.coalesce("_b", F.lit(False))).select(*documents.columns, "_p")
-    wanted = marked.where("_p")
-    rest = marked.where("not _p").orderBy(ordinal).limit(max(0, limit - wanted.count()))
-    return wanted.unionByName(rest).drop("_p")
+    wanted = marked.where("_p").drop("_p")
+    first = marked.where("not _p").drop("_p").orderBy(ordinal).limit(limit)
+    numbered = first.withColumn("_n", F.row_number().over(Window.orderBy(ordinal)))  # ``limit`` rows
+    rest = numbered.crossJoin(F.broadcast(wanted.agg(F.count("*").alias("_w")))).where(F.col("_n") <= limit - F.col("_w"))  # one row
+    return wanted.unionByName(rest.drop("_n", "_w"))
 
 
 def normalize_paragraph_qa(raw: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -115,18 +131,18 @@ def normalize_paragraph_qa(raw: DataFrame, limit: int | None = None) -> tuple[Da
 
 
 def normalize_mixed(spark: SparkSession, paths: list[str], limit_docs: int | None = None, limit_qa: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, questions) of raw files of either kind."""
+    """(documents, questions) of raw files of either kind, in the order of the files' names and of the rows in them."""
     docs = qa = None
     for order, path in enumerate(sorted(paths)):
         rows, name = read_raw(spark, path), path.rsplit("/", 1)[-1]
-        if guess_kind(name, rows.columns) == "qa":
-            found = normalize_qa(rows, name)
+        make = normalize_qa if guess_kind(name, [c for c in rows.columns if c != PLACE]) == "qa" else normalize_documents
+        found = make(rows, name).withColumn(PLACE, F.struct(F.lit(order).alias("order"), F.col(PLACE)))
+        if make is normalize_qa:
             qa = found if qa is None else qa.unionByName(found)
         else:
-            found = normalize_documents(rows, name).withColumn("_o", F.lit(order))
             docs = found if docs is None else docs.unionByName(found)
     if docs is None or qa is None:
         raise ValueError("there must be a file of documents and one of questions")
-    asked = qa.orderBy("qid").limit(limit_qa) if limit_qa else qa
-    unique = dedupe(docs, "id", F.struct("_o", F.xxhash64("text"))).drop("_o")
-    return evidence_first(unique, asked, limit_docs), asked
+    asked = qa.orderBy(PLACE).limit(limit_qa) if limit_qa else qa
+    unique = dedupe(docs, "id", F.col(PLACE))
+    return evidence_first(unique, asked, limit_docs, PLACE).drop(PLACE), asked.drop(PLACE)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import evaluation
 from tessera.plans import experiments
-from tessera.plans.config import RetrievalConfig
+from tessera.plans.config import Settings
 from tessera.plans.index import build_index
 
 QA = "qid int, text string, answer string, evidence array<struct<url:string,title:string>>, question_type string"
@@ -75,7 +75,7 @@ def test_evaluation_runs(spark):
     docs = [("d1", "Silver Comet was recorded by Mara Linden in Oslo.", "Silver Comet"), ("d2", "Mara Linden lives near Lake Vettern.", "Mara Linden"), ("d3", "Rain and wind.", "Weather")]
     index = build_index(spark.createDataFrame(docs, "id string, text string, title string"))
     qa = spark.createDataFrame([(1, "who recorded silver comet", "Mara Linden", [("d1", None)], "bridge"), (2, "where does mara linden live", "Lake Vettern", [("d2", None), ("missing", None)], "bridge"), (3, "what is unknown", "x", [], None)], QA)
-    config = RetrievalConfig(use_dense=False)
+    config = Settings(use_dense=False)
     row = experiments.summary(experiments.evaluate(index, qa, "two_stage", config=config)).first()
     assert (row["count"], row.total_qa, row.skipped_null_queries, row.skipped_incomplete_evidence) == (1, 3, 1, 1)
     assert row.recall_at_k == row.all_evidence_success_at_k == row.answer_hit_rate == 1.0 and row.mrr == 1.0

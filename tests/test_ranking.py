@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import scoring
 from tessera.plans import context, iterative, ranking
-from tessera.plans.config import DEFAULT_WEIGHTS, RetrievalConfig
+from tessera.plans.config import DEFAULT_WEIGHTS, Settings
 from tessera.plans.index import build_index
 
 from .test_text import py_content
@@ -104,7 +104,7 @@ def brute_first_stage(rows, units, text, config):
 
 @pytest.mark.parametrize("k", [5, 80])
 def test_first_stage_ranks_all_documents(index, queries, k):
-    config = RetrievalConfig(candidate_k=k, use_dense=False, use_enrichment=False)
+    config = Settings(candidate_k=k, use_dense=False, use_enrichment=False)
     units = {}
     for u in index.units.orderBy("position").collect():
         units.setdefault(u.document_id, []).append(u.text)
@@ -120,7 +120,7 @@ def test_first_stage_ranks_all_documents(index, queries, k):
 
 
 def test_rank_documents(index, queries):
-    config = RetrievalConfig()
+    config = Settings()
     ranked = ranking.rank_documents(index, queries, config).collect()
     by = {}
     for x in ranked:
@@ -143,14 +143,14 @@ def test_coverage_order():
 
 
 def test_a_reranker_is_stretched_per_query(index, queries):
-    config = RetrievalConfig(use_dense=False)
+    config = Settings(use_dense=False)
     longest = lambda asked, told: np.array([len(d) for d in told], float)
     got = ranking.rank_documents(index, queries, config, top_k=80, reranker=longest).collect()
     for qid in range(5):
         own = [x.reranker for x in got if x.qid == qid]
         assert max(own) == 1.0 and min(own) == 0.0
     with pytest.raises(RuntimeError):
-        ranking.rank_documents(index, queries, RetrievalConfig(strict_models=True)).collect()
+        ranking.rank_documents(index, queries, Settings(strict_models=True)).collect()
 
 
 def packed(spark, texts, budget):
@@ -221,7 +221,7 @@ def test_candidate_context(index, queries, mode):
 
 
 def test_document_context_depends_on_the_budget_but_not_the_ranking(index, queries):
-    ranked = ranking.rank_documents(index, queries, RetrievalConfig(use_dense=False)).select("qid", "id", "rank", "score", "title", "snippet").cache()
+    ranked = ranking.rank_documents(index, queries, Settings(use_dense=False)).select("qid", "id", "rank", "score", "title", "snippet").cache()
     for budget in (1, 60, 400):
         rows = context.document_context(index, queries, ranked, budget).collect()
         for qid in range(5):
@@ -237,9 +237,9 @@ def test_document_context_depends_on_the_budget_but_not_the_ranking(index, queri
 def test_merge_rankings_keeps_the_seed(spark):
     rows = [(0, 0, 1.0, "a", 1, 0.9)] + [(0, l, 1.5, i, r, 0.5) for l in (1, 2) for r, i in enumerate(["b", "c", "d"], 1)]
     df = spark.createDataFrame(rows, "qid int, list int, weight double, id string, rank int, score double")
-    got = [(x.id, x.rank) for x in iterative.merge_rankings(df, 2, RetrievalConfig()).orderBy("rank").collect()]
+    got = [(x.id, x.rank) for x in iterative.merge_rankings(df, 2, Settings()).orderBy("rank").collect()]
     assert got == [("b", 1), ("a", 2)]
-    assert [x.id for x in iterative.merge_rankings(df, 4, RetrievalConfig()).orderBy("rank").collect()] == ["b", "c", "d", "a"]
+    assert [x.id for x in iterative.merge_rankings(df, 4, Settings()).orderBy("rank").collect()] == ["b", "c", "d", "a"]
 
 
 def test_iterative_finds_the_bridge_document(spark):
@@ -249,7 +249,7 @@ def test_iterative_finds_the_bridge_document(spark):
     ]
     index = build_index(spark.createDataFrame(docs, "id string, text string, title string"))
     asked = spark.createDataFrame([(0, "Who is the spouse of the performer of Silver Comet")], "qid int, text string")
-    config = RetrievalConfig(use_dense=False)
+    config = Settings(use_dense=False)
     ranked = ranking.rank_documents(index, asked, config).select("qid", "id", "rank", "score")
     bridges = iterative.bridge_entities(index, asked, ranked, config)
     named = [x.entity for x in bridges.orderBy("n").collect()]
@@ -261,10 +261,10 @@ def test_iterative_finds_the_bridge_document(spark):
 
 
 def test_enrichment_fields_follow_their_flags(index):
-    on = lambda **kw: {r.field for r in ranking.field_texts(index, RetrievalConfig(**kw)).select("field").distinct().collect()}
+    on = lambda **kw: {r.field for r in ranking.field_texts(index, Settings(**kw)).select("field").distinct().collect()}
     base = {"title", "body", "metadata"}
     assert on(use_enrichment=False) == base and on(use_enrichment=False, use_graph=True) == base | {"graph"}
-    config = RetrievalConfig()
+    config = Settings()
     for signal, field in (("questions", "questions"), ("summaries", "summaries"), ("entities", "entities"), ("inferred_edges", "inferred_edges")):
         own = config.with_signals((signal,))
         assert {r.field for r in ranking.field_texts(index, own).select("field").distinct().collect()} == base | {field}
@@ -274,14 +274,14 @@ def test_enrichment_fields_follow_their_flags(index):
 def test_config_from_file(tmp_path):
     path = tmp_path / "c.json"
     path.write_text('{"top_k": 3, "unknown": 1, "weights": {"bm25": 1}}')
-    config = RetrievalConfig.load(str(path))
-    assert config.top_k == 3 and config.weights == DEFAULT_WEIGHTS | {"bm25": 1.0} and RetrievalConfig.load(None) == RetrievalConfig()
+    config = Settings.load(str(path))
+    assert config.top_k == 3 and config.weights == DEFAULT_WEIGHTS | {"bm25": 1.0} and Settings.load(None) == Settings()
 
 
 def test_graph_expansion_rewards_shared_entities(spark):
     docs = [("d1", "Alpha Beta causes Gamma Delta. apples pears."), ("d2", "Gamma Delta depends on Omega Point."), ("d3", "Sigma Tau blocks Upsilon Phi."), *[(f"x{k}", "plums") for k in range(12)]]
     index = build_index(spark.createDataFrame(docs, "id string, text string"), with_communities=False)
     asked = spark.createDataFrame([(0, "apples pears")], "qid int, text string")
-    config = RetrievalConfig(use_dense=False, use_graph_expansion=True, graph_expansion_seed_k=1)
+    config = Settings(use_dense=False, use_graph_expansion=True, graph_expansion_seed_k=1)
     got = {x.id: x.graph_expansion for x in ranking.first_stage(index, asked, config).collect()}
     assert got["d1"] == 1.0 and got["d2"] == 0.5 and got["d3"] == 0.0
