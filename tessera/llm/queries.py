@@ -70,7 +70,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fmindex import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def queries() -> dict:
@@ -79,6 +79,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import oracles
     from .mixing import OP8_SQL
 
-    return {"op8_mixing": OP8_SQL}
+    found = {"op1_warc": oracles.OP1, "op3_ego": oracles.OP3, "op4_lm": oracles.OP4, "op8_mixing": OP8_SQL, "op9_chat": oracles.OP9, "op10_substrings": oracles.OP10}
+    return found

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tessera.llm import ego, mixing, packing, warc
+from tessera.llm import ego, mixing, packing, queries, warc
 
 PAGE = "page_id long, url string, html string, digest string, first long"
 
@@ -182,3 +182,21 @@ def test_pack(spark):
         sizes = own.groupby("batch").size()
         assert list(sizes.index) == list(range(len(sizes))) and (sizes[:-1] == max(1, 1000 // max(own.bucket_tokens.iloc[0], 1))).all()
     assert packing.pack(df.where("doc_id = -1")).collect() == []
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for table in ("documents", "embeddings", "pages", "conversations"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    got, want = queries.queries()[name](spark, folder).toPandas(), db.execute(queries.oracle_sql()[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns) and len(got) == len(want) > 0
+    order = [c for c in columns if c not in ("score", "base_score", "target")]
+    a, b = (x[columns].sort_values(order).reset_index(drop=True) for x in (got, want))
+    for c in columns:
+        if c in order:
+            assert ((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all(), c
+        else:
+            np.testing.assert_allclose(a[c], b[c], rtol=1e-9)
