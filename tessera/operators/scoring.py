@@ -177,13 +177,41 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, id, score): dense cosine of array columns, for each query the ``k`` best others, ties by id.
 
-    ``queries`` and ``vectors``: (id, embedding).  Expressed as an aggregate over component products.
+    ``queries`` and ``vectors``: (id, embedding).  The vectors stream past the queries, QUERIES_PER_PASS at a time, in products of
+    matrices; a partition passes on its own best.  Queries and vectors that are null or zero have none.
     """
-    unit = lambda df, i, v: df.select(F.col("id").alias(i), F.transform("embedding", lambda x: x.cast("double")).alias("_v")).select(
-        i, F.transform("_v", lambda x: x / F.sqrt(F.aggregate(F.col("_v"), F.lit(0.0), lambda s, y: s + y * y))).alias(v)
-    )
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = unit(vectors, "id", "v").crossJoin(unit(queries, "query_id", "q")).where("id <> query_id")
-    scored = pairs.select("query_id", "id", F.round(F.greatest(F.lit(0.0), dot), DIGITS).alias("score"))
+    n = max(1, -(-queries.count() // QUERIES_PER_PASS))
+    schema = queries.select(F.col("id").alias("query_id")).schema.add("id", vectors.schema["id"].dataType).add("score", "double")
+    out = None
+    for p in range(n):
+        part = queries.where("embedding is not null").where(F.pmod(F.xxhash64("id"), F.lit(n)) == p).collect()  # about QUERIES_PER_PASS
+        found = vectors.where("embedding is not null").select("id", "embedding").mapInPandas(vector_search([r["id"] for r in part], [r["embedding"] for r in part], k), schema)
+        found = found if n == 1 else materialize(found, "pass")
+        out = found if out is None else out.unionByName(found)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("query_id", "id", "score")
+    return out.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("query_id", "id", "score")
+
+
+def unit_rows(vectors: list) -> np.ndarray:
+    x = np.array(vectors, np.float64).reshape(len(vectors), -1)
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(norm > 0, norm, 1.0)
+
+
+def vector_search(keys: list, vectors: list, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    asked = unit_rows(vectors) if keys else np.zeros((0, 1))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, scores = np.empty(0, object), np.zeros((len(keys), 0))
+        for pdf in batches:
+            if not len(pdf) or not keys:
+                continue
+            ids = np.concatenate([ids, pdf["id"].to_numpy(object)])
+            scores = np.concatenate([scores, np.round(np.maximum(0.0, asked @ unit_rows(list(pdf["embedding"])).T), DIGITS)], axis=1)
+            if len(ids) > 4 * k + 8192:
+                keep = np.unique(np.concatenate([_best(ids, s, k + 1) for s in scores]))
+                ids, scores = ids[keep], scores[:, keep]
+        rows = [(q, ids[i], float(s[i])) for q, s in zip(keys, scores, strict=True) for i in _best(ids, s, k + 1) if ids[i] != q]
+        yield pd.DataFrame(rows, columns=["query_id", "id", "score"])
+
+    return run

@@ -140,7 +140,10 @@ def enrich_index(index: Index, client: enrichment.Client, steps: list[str] | Non
 
 
 def test_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table ``documents`` in the form that the index takes: the first 12 words are the title, the language the category."""
+    """The table ``documents`` in the form that the index takes.
+
+    The table has no titles; a text's first 12 words are one, as a headline would be.  The language is the category.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     title = F.array_join(F.slice(t.words(F.col("text")), 1, 12), " ")
     return docs.select(F.col("doc_id").alias("id"), title.alias("title"), "text", "source", F.col("lang").alias("category"))

@@ -155,6 +155,12 @@ def weighted(weights: dict[str, float], without: tuple[str, ...] = ()) -> Column
     return out
 
 
+def snapped(value: Column) -> Column:
+    """``value`` to DIGITS digits.  Weighted sums of rounded features often end in an exact half, which this form, unlike
+    ``round``, decides by the same operations in every engine."""
+    return F.floor(value * 10.0**DIGITS + 0.5) / 10.0**DIGITS
+
+
 FEATURES = ("rrf", "bm25", "dense", "metadata", "graph", "enrichment")
 
 
@@ -199,7 +205,7 @@ def first_stage(index: Index, queries: DataFrame, config: Settings, calibrated:
     )
     if config.use_graph_expansion:
         full = full.drop("graph_expansion").join(graph_expansion(index, queries, full, config), ["qid", "id"], "left").withColumn("graph_expansion", F.coalesce("graph_expansion", F.lit(0.0)))
-    full = full.withColumn("first_score", F.round(weighted(config.weights, ("reranker",)), DIGITS))
+    full = full.withColumn("first_score", snapped(weighted(config.weights, ("reranker",))))
     order = Window.partitionBy("qid").orderBy(F.desc("first_score"), "id")
     return full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.candidate_k).drop("clauses", "covered", "metadata_match", "n_sub")
 
@@ -212,7 +218,7 @@ def document_entities(index: Index) -> DataFrame:
 
 def graph_expansion(index: Index, queries: DataFrame, features: DataFrame, config: Settings) -> DataFrame:
     """(qid, id, graph_expansion): documents that share entities, not named in the query, with the best seed documents."""
-    score = F.round(weighted(config.weights, ("reranker", "graph_expansion")), DIGITS)
+    score = snapped(weighted(config.weights, ("reranker", "graph_expansion")))
     order = Window.partitionBy("qid").orderBy(F.desc("s"), "id")
     seeds = features.select("qid", "id", score.alias("s")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(1, config.graph_expansion_seed_k))
     named = document_entities(index)

@@ -170,7 +170,7 @@ cal1 AS (
   FROM cal0),
 cal AS (SELECT *, {_CLIP.format('0.35 * evidence_score + 0.25 * ontology_score + 0.2 * structural_score + 0.2 * consistency_score')} AS reliability FROM cal1)"""
 
-_QUERIES = "q AS (SELECT item_id AS qid, array_to_string((string_split(text, ' '))[1:20], ' ') AS text FROM benchmark)"
+_QUERIES = "q AS (SELECT item_id AS qid, text FROM benchmark)"
 
 
 def bm25_sql(posts: str, stats: str, terms: str, query: list[str], corpus: list[str], item: list[str], name: str = "bm") -> str:
@@ -209,8 +209,8 @@ def terms_sql(queries: str, by: list[str], name: str) -> str:
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries: the first 20 words of each benchmark passage."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 20), " ").alias("text"))
+    """Queries: the benchmark passages."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
 def units_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,11 +256,16 @@ def text_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(t.names(F.col("text")), "|").alias("names"))
 
 
-@query(f"WITH {_QUERIES}, a AS (SELECT qid, {ctok('text')} AS ta FROM q), b AS (SELECT conv_id, turn, {ctok('text')} AS tb FROM conversations WHERE turn = 0) SELECT qid, conv_id, round({counted_cosine('ta', 'tb')}, 9) AS similarity FROM a, b")
+@query(
+    f"WITH a AS (SELECT conv_id, turn, {ctok('text')} AS ta, {ctok('lead(text) OVER (PARTITION BY conv_id ORDER BY turn)')} AS tb FROM conversations) "
+    f"SELECT conv_id, turn, round({counted_cosine('ta', 'tb')}, 9) AS similarity FROM a"
+)
 def text_lexical_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = asked(spark, sf_dir).select("qid", t.content_tokens(F.col("text")).alias("x"))
-    b = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", t.content_tokens(F.col("text")).alias("y"))
-    return a.crossJoin(b).select("qid", "conv_id", F.round(t.lexical_of(F.col("x"), F.col("y")), 9).alias("similarity"))
+    """How alike each turn and the one after it are; the last of a conversation has nothing after it."""
+    follows = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    pairs = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.content_tokens(F.col("text")).alias("x"), follows.alias("next"))
+    pairs = pairs.withColumn("y", t.content_tokens(F.col("next")))
+    return pairs.select("conv_id", "turn", F.round(t.lexical_of(F.col("x"), F.col("y")), 9).alias("similarity"))
 
 
 def _intent_sql(x: str) -> str:
@@ -324,11 +329,12 @@ def dataset_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT doc_id::VARCHAR AS url FROM labels WHERE toxic = 1 AND doc_id % 3 = 0), d AS (SELECT doc_id, doc_id::VARCHAR IN (SELECT url FROM e) AS p FROM documents)
+    """WITH e AS (SELECT doc_id::VARCHAR AS url FROM labels WHERE toxic = 1), d AS (SELECT doc_id, doc_id::VARCHAR IN (SELECT url FROM e) AS p FROM documents)
 SELECT doc_id FROM d WHERE p UNION ALL SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM d WHERE NOT p) WHERE n <= greatest(0, 100 - (SELECT count(*) FROM d WHERE p))"""
 )
 def dataset_evidence_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    proof = table(spark, sf_dir, "labels").where("toxic = 1 and doc_id % 3 = 0").select(F.array(F.struct(F.col("doc_id").cast("string").alias("url"), F.lit("").alias("title"))).alias("evidence"))
+    """All documents that are evidence and others up to 100 documents in all; the limit is what the operator is for."""
+    proof = table(spark, sf_dir, "labels").where("toxic = 1").select(F.array(F.struct(F.col("doc_id").cast("string").alias("url"), F.lit("").alias("title"))).alias("evidence"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("none").alias("title"))
     return datasets.evidence_first(docs, proof, 100).select(F.col("id").alias("doc_id"))
 
@@ -447,8 +453,9 @@ def graph_inference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_TRADE}, nodes AS (SELECT title, degree FROM tdeg ORDER BY degree DESC, title LIMIT 200)
-SELECT id, source, target FROM trade WHERE source IN (SELECT title FROM nodes) AND target IN (SELECT title FROM nodes)"""
+    f"""WITH {_TRADE.replace('trade1 AS (', 'trade1 AS MATERIALIZED (').replace('tdeg AS (', 'tdeg AS MATERIALIZED (')},
+nodes AS MATERIALIZED (SELECT title, degree FROM tdeg ORDER BY degree DESC, title LIMIT 200)
+SELECT id, source, target FROM trade1 e JOIN nodes a ON a.title = e.source JOIN nodes b ON b.title = e.target"""
 )
 def graph_top_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = materialize(trade_edges(spark, sf_dir), "trade")
@@ -564,14 +571,14 @@ full0 AS (
   SELECT n.qid, d.id, coalesce(rrf, 0.0) AS rrf, coalesce(bm25, 0.0) AS bm25, greatest(coalesce(metadata, 0.0), coalesce(metadata_match, 0.0)) AS metadata,
          coalesce(covered, 0) / n_sub::DOUBLE AS coverage, coalesce(reliability, 0.0) AS reliability
   FROM nsub n CROSS JOIN docs d LEFT JOIN fused f ON f.qid = n.qid AND f.id = d.id LEFT JOIN match m ON m.qid = n.qid AND m.id = d.id LEFT JOIN rel r ON r.id = d.id),
-full1 AS (SELECT *, round(0.45 * rrf + 0.2 * bm25 + 0.07 * coverage + 0.02 * metadata + 0.01 * reliability, 9) AS first_score FROM full0),
+full1 AS (SELECT *, floor((0.45::DOUBLE * rrf + 0.2::DOUBLE * bm25 + 0.07::DOUBLE * coverage + 0.02::DOUBLE * metadata + 0.01::DOUBLE * reliability) * 1e9::DOUBLE + 0.5::DOUBLE) / 1e9::DOUBLE AS first_score FROM full0),
 first_stage AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first_score DESC, id) AS rank FROM full1) WHERE rank <= 80)"""
 
 
-@query(f"{_FIRST} SELECT qid, id, rank::INTEGER AS rank, round(first_score, 6) AS first_score, round(rrf, 6) AS rrf, round(bm25, 6) AS bm25, round(coverage, 6) AS coverage, round(metadata, 6) AS metadata, round(reliability, 4) AS reliability FROM first_stage")
+@query(f"{_FIRST} SELECT qid, id, rank::INTEGER AS rank, first_score, rrf, bm25, round(coverage, 6) AS coverage, metadata, reliability FROM first_stage")
 def rank_first_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ranking.first_stage(ranking_index(spark, sf_dir), asked(spark, sf_dir), _PLAIN)
-    return found.select("qid", "id", "rank", *[rounded(F.col(c)).alias(c) for c in ("first_score", "rrf", "bm25", "coverage", "metadata")], rounded(F.col("reliability"), 4).alias("reliability"))
+    return found.select("qid", "id", "rank", "first_score", "rrf", "bm25", rounded(F.col("coverage")).alias("coverage"), "metadata", "reliability")
 
 
 _SNIPPETS = f"""{_FIRST},
@@ -624,15 +631,16 @@ def retrieve_document_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages as questions; evidence: the documents that contain their first 80 characters."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 80).alias("needle"))
-    hits = table(spark, sf_dir, "documents").crossJoin(F.broadcast(b)).where(F.contains("text", F.col("needle"))).groupBy("item_id").agg(F.sort_array(F.collect_list(F.col("doc_id").cast("string"))).alias("ids"))
-    q = asked(spark, sf_dir).join(hits.withColumnRenamed("item_id", "qid"), "qid", "left")
+    """Benchmark passages as questions; evidence: the documents that contain them."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pid"), "text")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    hits = evaluation.containing(b, d).groupBy(F.col("pid").alias("qid")).agg(F.sort_array(F.collect_list(F.col("id").cast("string"))).alias("ids"))
+    q = asked(spark, sf_dir).join(hits, "qid", "left")
     proof = F.transform(F.coalesce("ids", F.array().cast("array<string>")), lambda i: F.struct(i.alias("url"), F.lit(None).cast("string").alias("title")))
     return q.select("qid", "text", F.lit("that").alias("answer"), proof.alias("evidence"), F.when(F.col("qid") % 2 == 0, "even").otherwise("odd").alias("question_type"))
 
 
-_GOLD = "gold AS (SELECT b.item_id AS qid, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 80)))"
+_GOLD = "gold AS (SELECT b.item_id AS qid, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
 @query(f"WITH {_GOLD} SELECT qid, id FROM gold")

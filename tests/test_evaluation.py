@@ -87,3 +87,11 @@ def test_evaluation_runs(spark):
     with pytest.raises(ValueError):
         experiments.retrieve(index, qa.select("qid", "text"), "nope")
     assert F.lit(1) is not None
+
+
+def test_containing(spark):
+    docs = [(1, "aa bb cc dd ee ff gg hh"), (2, "xaa bb cc dd ee ff ggx"), (3, "aa  bb cc dd ee ff gg"), (4, "bb cc"), (5, None), (6, "")]
+    passages = [(10, "aa bb cc dd ee ff gg"), (11, "bb cc dd"), (12, "bb cc"), (13, "d"), (14, "zz yy xx"), (15, ""), (16, None)]
+    got = evaluation.containing(spark.createDataFrame(passages, "pid long, text string"), spark.createDataFrame(docs, "id long, text string"))
+    want = [(p, i) for p, a in passages for i, b in docs if a and b and a in b]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
