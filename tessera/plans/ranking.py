@@ -155,10 +155,10 @@ def weighted(weights: dict[str, float], without: tuple[str, ...] = ()) -> Column
     return out
 
 
-def snapped(value: Column) -> Column:
-    """``value`` to DIGITS digits.  Weighted sums of rounded features often end in an exact half, which this form, unlike
+def snapped(value: Column, digits: int = DIGITS) -> Column:
+    """``value`` to so many digits.  Weighted sums of rounded features often end in an exact half, which this form, unlike
     ``round``, decides by the same operations in every engine."""
-    return F.floor(value * 10.0**DIGITS + 0.5) / 10.0**DIGITS
+    return F.floor(value * 10.0**digits + 0.5) / 10.0**digits
 
 
 FEATURES = ("rrf", "bm25", "dense", "metadata", "graph", "enrichment")
@@ -256,7 +256,7 @@ def coverage_order(score: np.ndarray, ids: np.ndarray, clauses: np.ndarray, top_
     free, covered, out = np.ones(len(score), bool), None, []
     while len(out) < top_k and free.any():
         gain = np.zeros(len(score)) if covered is None else np.maximum(0.0, clauses - covered).sum(axis=1)
-        worth = np.where(free, score if covered is None else np.round(score + bonus * gain, DIGITS), -np.inf)
+        worth = np.where(free, score if covered is None else np.floor((score + bonus * gain) * 10.0**DIGITS + 0.5) / 10.0**DIGITS, -np.inf)
         best = int(max(np.flatnonzero(worth == worth.max()), key=by_id.__getitem__))
         out.append(best)
         free[best] = False
@@ -302,7 +302,7 @@ def rank_documents(
     snippets = best_snippets(index, queries, first)
     full = first.join(snippets, ["qid", "id"]).join(queries.select("qid", F.col("text").alias("_q")), "qid")
     full = reranked(full.withColumn("_d", F.concat("title", F.lit(". "), "snippet")), config.rerank_k, reranker or models.reranker(config))
-    full = full.withColumn("score", F.round(weighted(config.weights), 6)).drop("rank", "first_score")
+    full = full.withColumn("score", snapped(weighted(config.weights), 6)).drop("rank", "first_score")
     limit = top_k or config.top_k
     names = [c for c in full.columns if c not in ("qid", "id")]
 

@@ -597,6 +597,31 @@ def rank_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.best_snippets(index, queries, first).select("qid", "id", F.md5("snippet").alias("snippet"))
 
 
+_COVERAGE = f"""{_SNIPPETS.replace('WITH q AS', 'WITH RECURSIVE q AS', 1)},
+near AS (
+  SELECT f.*, snippet, CASE WHEN f.rank <= 40 THEN round({counted_cosine('a', 'b')}, 9) ELSE 0.0 END AS reranker
+  FROM (SELECT f.*, s.snippet, {ctok('q.text')} AS a, {ctok("s.title || '. ' || s.snippet")} AS b FROM first_stage f JOIN snip s ON s.qid = f.qid AND s.id = f.id JOIN q ON q.qid = f.qid) f),
+said AS (
+  SELECT n.qid, n.id, list(coalesce(c.clause, 0.0) ORDER BY s.sub) AS told
+  FROM first_stage n JOIN subs s ON s.qid = n.qid LEFT JOIN clause c ON c.qid = n.qid AND c.id = n.id AND c.sub = s.sub GROUP BY 1, 2),
+cand AS MATERIALIZED (
+  SELECT n.qid, n.id, n.snippet, told, floor((0.45::DOUBLE * rrf + 0.2::DOUBLE * bm25 + 0.1::DOUBLE * reranker + 0.07::DOUBLE * coverage + 0.02::DOUBLE * metadata + 0.01::DOUBLE * reliability) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS score
+  FROM near n JOIN said s ON s.qid = n.qid AND s.id = n.id),
+pick AS (
+  SELECT qid, 1 AS rank, b.id AS id, b.told AS covered, [b.id] AS used FROM (SELECT qid, arg_max({{'id': id, 'told': told}}, {{'s': score, 'i': id}}) AS b FROM cand GROUP BY qid)
+  UNION ALL
+  SELECT qid, rank + 1, b.id, list_transform(list_zip(covered, b.told), lambda z: greatest(z[1], z[2])), list_append(used, b.id) FROM (
+    SELECT p.qid, p.rank, p.covered, p.used, arg_max({{'id': c.id, 'told': c.told}}, {{'s': floor((c.score + 0.08::DOUBLE * list_sum(list_transform(list_zip(c.told, p.covered), lambda z: greatest(0.0, z[1] - z[2])))) * 1e9::DOUBLE + 0.5::DOUBLE) / 1e9::DOUBLE, 'i': c.id}}) AS b
+    FROM pick p JOIN cand c ON c.qid = p.qid WHERE p.rank < 10 AND NOT list_contains(p.used, c.id) GROUP BY ALL))"""
+
+
+@query(f"{_COVERAGE} SELECT p.qid, p.id, p.rank, c.score, md5(c.snippet) AS snippet FROM pick p JOIN cand c ON c.qid = p.qid AND c.id = p.id")
+def rank_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both stages without a dense list and enrichment: lexical reranking and the order by coverage."""
+    found = ranking.rank_documents(ranking_index(spark, sf_dir), asked(spark, sf_dir), _PLAIN)
+    return found.select("qid", "id", "rank", "score", F.md5("snippet").alias("snippet"))
+
+
 @query()
 def rank_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ranking.rank_documents(small_index(spark, sf_dir), asked(spark, sf_dir))
@@ -724,14 +749,45 @@ def evaluate_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- enrichment -------------------------------------------------------------------------------------------
 
 
-@query()
+_ENRICHED = f"""{_CAL},
+fact AS (SELECT *, source || ' ' || replace(relation, '_', ' ') || ' ' || target AS told FROM cal),
+bad AS (
+  SELECT unnest(ids[1:2]) AS id FROM (SELECT list(id ORDER BY ord) AS ids FROM cal GROUP BY s, t HAVING count(*) > 2)),
+known AS (
+  SELECT id, source, target, relation, evidence_type, 'In short: (' || source || ', ' || relation || ', ' || target || ')' AS semantic_summary,
+         'What is known of ' || rtrim(told || '.', '.') || '?' AS generated_questions, (length(told) % 10) / 10.0::DOUBLE AS importance,
+         CASE WHEN id IN (SELECT id FROM bad) THEN 'contradiction' ELSE conflict_status END AS conflict_status
+  FROM fact),
+nexts AS (SELECT id AS next_id, s, target, t, row_number() OVER (PARTITION BY s ORDER BY ord, id) AS n FROM cal),
+chain AS (
+  SELECT a.source, b.target, a.s, b.t, row_number() OVER (ORDER BY a.reliability DESC, a.ord, a.id, b.n) AS k
+  FROM cal a JOIN nexts b ON b.s = a.t AND b.n <= 5),
+fresh AS (
+  SELECT arg_min(source, k) AS source, arg_min(target, k) AS target, s, t FROM chain c
+  WHERE k <= 200 AND NOT EXISTS (SELECT 1 FROM cal e WHERE e.s = c.s AND e.t = c.t AND e.relation = 'associated_with') GROUP BY s, t)"""
+
+
+@query(
+    f"WITH {_ENRICHED} SELECT * FROM known UNION ALL SELECT {sid('inferred', 's', 't', chr(39) + 'associated_with' + chr(39))}, source, target, 'associated_with', 'inferred', '', '', 0.6::DOUBLE * 0.8::DOUBLE, 'ok' FROM fresh"
+)
 def enrich_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = small_index(spark, sf_dir)
     entities, edges = enrichment.enrich_graph(index.entities, index.edges, enrichment.RuleClient())
     return edges.select("id", "source", "target", "relation", "evidence_type", "semantic_summary", listed("generated_questions"), "importance", "conflict_status")
 
 
-@query()
+@query(
+    f"""WITH {_ENTITIES},
+known AS (SELECT {ekey('title')} AS key, arg_min(title, {{'d': -degree, 'p': pos}}) AS title FROM entities GROUP BY 1),
+moved AS (
+  SELECT e.id, e.ord, e.relation, e.weight, e.source_docs, a.title AS source, b.title AS target, a.key AS sk, b.key AS tk
+  FROM edges0 e JOIN known a ON a.key = {ekey('e.source')} JOIN known b ON b.key = {ekey('e.target')} WHERE a.key <> b.key),
+again AS (
+  SELECT arg_min(id, ord) AS id, arg_min(source, ord) AS source, arg_min(target, ord) AS target, relation, sum(weight) AS weight, count(*) AS n,
+         arg_min(source_docs, ord) AS own, list_sort(list_distinct(flatten(list(source_docs)))) AS every
+  FROM moved GROUP BY sk, tk, relation)
+SELECT id, source, target, relation, weight, array_to_string(CASE WHEN n > 1 THEN every ELSE own END, '|') AS source_docs FROM again"""
+)
 def enrich_resolve_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = small_index(spark, sf_dir)
     entities = enrichment.enrich_entities(index.entities, index.edges, enrichment.RuleClient())
