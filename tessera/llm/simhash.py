@@ -11,11 +11,13 @@ pair in it is verified on the whole fingerprint, without emitting all pairs of a
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, groupby
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -369,8 +371,8 @@ SHINGLE_WORDS, SIMILARITY, NEAR_WORDS, PROBED_BITS = 5, 0.8, 3, 128
 #: Differing bits of candidates, of 192 (similarity 0.8 lies near 29, unrelated texts near 96); bits of the probed 128
 #: within which a candidate is found for certain (0.8: near 19); numbers of partitions to choose from.
 NEAR_TAU, NEAR_GUARANTEED, NEAR_PARTITIONS = 45, 20, (5, 6, 7)
-#: Texts of a cluster that are compared in one task; a larger cluster is compared block by block.
-CLUSTER_BLOCK = 512
+#: Texts of a cluster that are compared in one task; of a larger cluster all texts are compared with so many of them first.
+CLUSTER_BLOCK, PIVOTS = 512, 16
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:
@@ -431,8 +433,10 @@ def similar_pairs(sets: list[np.ndarray], split: int) -> np.ndarray:
 def exact_links(df: DataFrame, by_text: DataFrame, clusters: DataFrame) -> DataFrame:
     """Links (a, b) of digests that connect just what links of Jaccard similarity >= SIMILARITY connect inside the clusters.
 
-    A cluster of up to CLUSTER_BLOCK texts is one comparison.  A larger one is dealt into blocks by hash, and each
-    pair of its blocks is a comparison of its own.
+    A cluster of up to CLUSTER_BLOCK texts is one comparison.  Of a larger one, PIVOTS texts are compared with all
+    first, block by block.  What they connect to one group, the largest, needs no more comparison inside; the
+    blocks of the other texts are compared with each other and with those of that group.  So a group of copies
+    around a common core costs as much as it has texts, not pairs.
     """
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / CLUSTER_BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
@@ -452,9 +456,14 @@ def exact_links(df: DataFrame, by_text: DataFrame, clusters: DataFrame) -> DataF
     texts = texts.join(wanted.withColumnRenamed("low", "_low"), F.col("_id").eqNullSafe(F.col("_low")) & (F.md5("text") == F.col("digest")))
     texts = texts.dropDuplicates(["digest"]).select("cluster", "blocks", "block", "digest", "text")
     packed = materialize(texts.mapInArrow(pack, "cluster string, blocks int, block int, digest string, shingles binary"), "sets")
-    last = F.col("blocks") - 1
-    ahead = packed.select("cluster", F.col("block").alias("a"), F.explode(F.sequence("block", last)).alias("b"), F.lit(0).alias("side"), "digest", "shingles")
-    behind = packed.where("block > 0").select("cluster", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("a"), F.col("block").alias("b"), F.lit(1).alias("side"), "digest", "shingles")
+    units = packed.select("cluster", F.lit(0).alias("u"), F.lit(1).alias("rest"), F.lit(1).alias("units"), "digest", "shingles")
+    stars = None
+    if not packed.where("blocks > 1").isEmpty():
+        stars = materialize(pivot_links(packed.where("blocks > 1")), "stars")
+        units = units.join(stars.select("cluster").distinct(), "cluster", "left_anti").unionByName(unresolved(packed, stars))
+    # a unit is a block of texts; pairs of units (a, b) with a <= b, of which the first is not among those connected
+    ahead = units.where("u < rest").select("cluster", F.col("u").alias("a"), F.explode(F.sequence("u", F.col("units") - 1)).alias("b"), F.lit(0).alias("side"), "digest", "shingles")
+    behind = units.where("u > 0 and rest > 0").select("cluster", F.explode(F.sequence(F.lit(0), F.least("u", "rest") - 1)).alias("a"), F.col("u").alias("b"), F.lit(1).alias("side"), "digest", "shingles")
     keys = ["cluster", "a", "b"]
     placed = ahead.unionByName(behind).repartition(*keys).sortWithinPartitions(*keys, "side", "digest")
 
@@ -485,7 +494,63 @@ def exact_links(df: DataFrame, by_text: DataFrame, clusters: DataFrame) -> DataF
             done()
         yield e.take()
 
-    return placed.mapInArrow(compare, "a string, b string")
+    found = placed.mapInArrow(compare, "a string, b string")
+    if stars is None:
+        return found
+    return found.unionByName(stars.select(F.col("digest").alias("a"), F.explode("linked").alias("b")).where("a <> b"))
+
+
+def pivot_links(packed: DataFrame) -> DataFrame:
+    """(cluster, digest, linked): for each text of ``packed`` the pivots of its cluster that it is similar to."""
+    place = F.xxhash64(F.lit("pivot"), "digest")
+    lots = [F.min_by(F.struct("digest", "shingles"), F.when(F.pmod(place, F.lit(PIVOTS)) == k, place)).alias(f"p{k}") for k in range(PIVOTS)]
+    chosen = packed.groupBy("cluster", "blocks").agg(*lots)
+    chosen = chosen.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.explode(F.array_compact(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("p"))
+    rows_ = chosen.select("cluster", "block", F.lit(0).alias("side"), "p.digest", "p.shingles")
+    rows_ = rows_.unionByName(packed.select("cluster", "block", F.lit(1).alias("side"), "digest", "shingles"))
+    placed = rows_.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "side", "digest")
+    schema = arrow_schema(cluster=pa.string(), digest=pa.string(), linked=pa.list_(pa.string()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = (row for batch in batches for row in zip(*rows(batch, "cluster", "block", "side", "digest", "shingles"), strict=True))
+        e = Emitter(schema)
+        for _, group in groupby(flat, key=lambda r: r[:2]):
+            held = list(group)  # a block and the pivots
+            split = sum(r[2] == 0 for r in held)
+            near = similar_pairs([np.frombuffer(r[4], np.uint64) for r in held], split)
+            for j, (cluster, _, _, digest, _) in enumerate(held[split:]):
+                e.add(cluster, digest, [held[i][3] for i in np.nonzero(near[:, j])[0].tolist()])
+            if e.full():
+                yield e.take()
+        yield e.take()
+
+    return placed.mapInArrow(run, "cluster string, digest string, linked array<string>")
+
+
+def unresolved(packed: DataFrame, stars: DataFrame) -> DataFrame:
+    """The units (cluster, u, rest, units, digest, shingles) of the clusters in ``stars``: units from ``rest`` on hold the texts
+    that pivots have connected to the largest group, the ones before it all others."""
+    ties = stars.where("size(linked) > 0").groupBy("cluster", "linked").agg(F.count("*").alias("n"))  # pivots that a text links belong together
+
+    def largest(pdf: pd.DataFrame) -> pd.DataFrame:
+        forest, weight = Forest(), Counter()
+        for linked in pdf["linked"]:
+            for other in linked[1:]:
+                forest.join(linked[0], other)
+        for linked, n in zip(pdf["linked"], pdf["n"], strict=True):
+            weight[forest.find(linked[0])] += n
+        best = min(weight, key=lambda x: (-weight[x], x))
+        return pd.DataFrame([(pdf["cluster"].iloc[0], [p for p in {p for linked in pdf["linked"] for p in linked} if forest.find(p) == best])], columns=["cluster", "main"])
+
+    # at most 2 ** PIVOTS rows of a cluster, a few in practice
+    main = ties.groupBy("cluster").applyInPandas(largest, "cluster string, main array<string>")
+    marked = stars.join(main, "cluster", "left").select("cluster", "digest", F.coalesce(F.arrays_overlap("linked", "main"), F.lit(False)).alias("done"))
+    many = lambda done: F.ceil(F.count_if(F.col("done") == done) / CLUSTER_BLOCK).cast("int")
+    sizes = marked.groupBy("cluster").agg(many(False).alias("rest"), many(True).alias("grouped"))
+    lot = lambda n: F.pmod(F.xxhash64("digest"), n).cast("int")
+    unit = F.when(F.col("done"), F.col("rest") + lot(F.greatest(F.col("grouped"), F.lit(1)))).otherwise(lot(F.greatest(F.col("rest"), F.lit(1))))
+    told = marked.join(sizes, "cluster").select("digest", unit.alias("u"), "rest", (F.col("rest") + F.col("grouped")).alias("units"))
+    return packed.select("cluster", "digest", "shingles").join(told, "digest").select("cluster", "u", "rest", "units", "digest", "shingles")
 
 
 def spanning(links: np.ndarray) -> list[tuple[int, int]]:
