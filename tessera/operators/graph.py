@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as r
@@ -135,16 +138,27 @@ def top_subgraph(entities: DataFrame, edges: DataFrame, max_nodes: int = 200) ->
     return nodes, inside
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) of (source, target): the smallest name reachable, by large-star and small-star rounds.
+#: Edges up to this number are solved in one task; more go through rounds over the cluster.
+LOCAL_EDGES = 200_000
+
+
+def linked_components(edges: DataFrame, left: str, right: str, local_edges: int = 0, max_rounds: int = 60) -> DataFrame:
+    """(node, component) for every node with an edge (columns ``left``, ``right``) to another node; component: the smallest node reachable.
 
-    Each round ends in a table in the shared folder, so the plan stays short and a lost executor costs a reread.
+    Large-star and small-star rounds.  Each ends in a table in the shared folder, so the plan stays short and a
+    lost executor costs a reread; whether anything has changed is counted while the table is written.
+    Minima are aggregated before the shuffle, and the joins are plain equi-joins, which adaptive execution splits
+    where one node has very many neighbours.  Self loops and null ends are ignored; an empty edge table gives
+    an empty result.  A table of at most ``local_edges`` edges is solved in one task instead, with the same result.
     """
-    ends = edges.where("source <> target").select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).distinct()
-    loops = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    current, seen = materialize(ends, "components"), None
+    a, b = F.col(left), F.col(right)
+    ends = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    current, state = _counted(ends)
+    if 0 < state[0] <= local_edges:
+        schema = current.select(F.col("u").alias("node"), F.col("v").alias("component")).schema
+        return current.coalesce(1).mapInPandas(_joined_up, schema)
+    seen = None
     for _ in range(max_rounds):
-        state = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen or not state[0]:
             break
         seen = state
@@ -153,8 +167,39 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = materialize(star.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "components")
+        current, state = _counted(star.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
     else:
         raise RuntimeError("components did not settle")
-    found = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return loops.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )
+
+
+def _counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a written table, with their number and a sum of hashes that tells tables apart."""
+    told = Observation()
+    written = materialize(edges.observe(told, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "components")
+    return written, (told.get.get("n", 0), told.get.get("h"))
+
+
+def _joined_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    up: dict = {}
+
+    def find(x):
+        while (above := up.setdefault(x, x)) != x:
+            up[x] = up[above]
+            x = above
+        return x
+
+    for pdf in batches:
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
+            a, b = find(u), find(v)
+            up[max(a, b)] = min(a, b)
+    yield pd.DataFrame([(x, find(x)) for x in list(up)], columns=["node", "component"])
+
+
+def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(node, component) of all ends of edges (source, target): the smallest name reachable."""
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    found = linked_components(edges, "source", "target", local_edges)
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -160,3 +160,25 @@ def test_index_round_trip(spark, tmp_path):
     assert {e.reliability for e in again.visible(calibrated=False).edges.collect()} == {1.0}
     with pytest.raises(FileNotFoundError):
         Index.load(spark, str(tmp_path / "none"))
+
+
+def test_components_in_one_task_and_by_rounds_agree(spark):
+    r = random.Random(4)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(400, 470)] + [(500, k) for k in range(501, 560)] + [(9, 9), (None, 3)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    near = {}
+    for a, b in edges:
+        if a is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for x in sorted(near):
+        stack = [] if x in want else [x]
+        while stack:
+            y = stack.pop()
+            if y not in want:
+                want[y] = x
+                stack += near[y]
+    for local in (0, 10_000):
+        assert {x.node: x.component for x in graph.linked_components(df, "a", "b", local).collect()} == want
+        assert graph.linked_components(df.where("a > 1000"), "a", "b", local).collect() == []
