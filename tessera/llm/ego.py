@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import linked_components
 from .common import materialize
-from .components import connected_components
 
 THRESHOLD = 0.9
 #: Rows used to find the principal directions; they steer the pruning only, every row is joined.
@@ -306,7 +306,7 @@ def epsilon_join(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), (pa.string(), pa.int64(), pa.string()), strict=True)})
 
     partial = materialize(tiles.groupBy("ta", "tb").applyInArrow(compare, "name string, n long, root string"), "links")
-    comp = connected_components(partial.select("name", "root"), "name", "root").withColumnRenamed("node", "name")
+    comp = linked_components(partial.select("name", "root"), "name", "root").withColumnRenamed("node", "name")
     counts = partial.groupBy("name").agg(F.sum("n").alias("n_links"))
     whole = distinct.select("name", "n", "low").join(counts, "name", "left").join(comp, "name", "left").withColumn("component", F.coalesce("component", "name"))
     lowest = whole.groupBy("component").agg(F.min("low").alias("component_id"))

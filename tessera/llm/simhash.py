@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import linked_components
 from .common import Emitter, arrow_schema, materialize, rows
-from .components import connected_components
 
 SEED = 42
 SAMPLE = 2048
@@ -340,7 +340,7 @@ def fingerprint_links(prints: DataFrame, words: int, tau: int, counts, plan_tau:
         return links
     links = materialize(links, "exact")
     end = lambda side: F.xxhash64(F.lit("label"), *[f"{side}{w}" for w in range(words)])
-    comp = connected_components(links.select(end("a").alias("a"), end("b").alias("b")), "a", "b")
+    comp = linked_components(links.select(end("a").alias("a"), end("b").alias("b")), "a", "b")
     labelled = distinct.withColumn("node", own).join(comp, "node", "left").withColumn("label", F.coalesce("component", "node"))
     keyed = labelled.select(F.explode(bucket_keys(plan, words)).alias("key"), "label", *names)
     return links.unionByName(bucket_links(keyed, words, tau))
@@ -356,7 +356,7 @@ def simhash_groups(df: DataFrame, key: str = "doc_id", text: str = "text", k: in
     """
     prints = materialize(fingerprints(df, k, 1, key, text).select("doc_id", "f0"), "prints")
     links = fingerprint_links(prints, 1, tau, range(1, tau + 2))
-    comp = connected_components(links, "a0", "b0").select(F.col("node").alias("f0"), "component")
+    comp = linked_components(links, "a0", "b0").select(F.col("node").alias("f0"), "component")
     first = prints.groupBy("f0").agg(F.min("doc_id").alias("low")).join(comp, "f0", "left")
     first = first.withColumn("group", F.coalesce("component", "f0"))
     lowest = first.groupBy("group").agg(F.min("low").alias("component_id"))
@@ -396,9 +396,9 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     ends = {side: [f"{side}{w}" for w in range(NEAR_WORDS)] for side in "ab"}
     left, right = lead.toDF(*ends["a"], "a"), lead.toDF(*ends["b"], "b")
     outer = links.join(left, ends["a"]).join(right, ends["b"]).select("a", "b")
-    clusters = connected_components(outer.unionByName(inner), "a", "b").select(F.col("node").alias("digest"), F.col("component").alias("cluster"))
+    clusters = linked_components(outer.unionByName(inner), "a", "b").select(F.col("node").alias("digest"), F.col("component").alias("cluster"))
     edges = exact_links(df, by_text, clusters)
-    comp = connected_components(edges, "a", "b").select(F.col("node").alias("digest"), "component")
+    comp = linked_components(edges, "a", "b").select(F.col("node").alias("digest"), "component")
     grouped = prints.select("doc_id", "digest").distinct().join(comp, "digest", "left").withColumn("group_id", F.coalesce("component", "digest"))
     best = grouped.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("best"))
     return grouped.join(best, "group_id").select(

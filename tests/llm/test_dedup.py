@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 from tessera.llm import fmindex, simhash
-from tessera.llm.components import connected_components
+from tessera.operators.graph import linked_components
 
 DOC = "doc_id long, text string, source string, key string, f0 long, digest string"
 
@@ -78,7 +78,7 @@ def test_bucket_plan_loses_no_link(spark, n):
         values.append(v)
     df = spark.createDataFrame([(simhash.signed(v),) for v in values], "f0 long")
     links = simhash.fingerprint_links(df, 1, 2, range(1, 4))
-    comp = {r.node: r.component for r in connected_components(links, "a0", "b0").collect()}
+    comp = {r.node: r.component for r in linked_components(links, "a0", "b0").collect()}
     a = np.array(sorted({simhash.signed(v) for v in values}), np.int64).view(np.uint64)
     root = np.arange(len(a))
     for i in range(len(a)):
@@ -225,7 +225,7 @@ def test_fm_index_finds_all_occurrences():
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(400, 470)] + [(500, k) for k in range(501, 560)] + [(9, 9)]
-    got = {x.node: x.component for x in connected_components(spark.createDataFrame([*edges, (None, 3)], "a long, b long"), "a", "b").collect()}
+    got = {x.node: x.component for x in linked_components(spark.createDataFrame([*edges, (None, 3)], "a long, b long"), "a", "b").collect()}
     root = {x: x for e in edges for x in e}
     for _ in root:
         before = dict(root)
@@ -234,4 +234,4 @@ def test_components(spark):
         if before == root:
             break
     assert got == {x: root[x] for e in edges if e[0] != e[1] for x in e}
-    assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []
+    assert linked_components(spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []
