@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -52,10 +51,10 @@ def bm25(posts: DataFrame, stats: DataFrame, terms: DataFrame, query: list[str],
     """(*query, *corpus, *item, score): BM25 of the texts that share a term with the query, divided by the query's best.
 
     ``posts``: postings of the terms of the queries (others are left aside), ``stats`` as above, ``terms`` from
-    ``query_terms``.  Texts without a shared term score 0 and are left out.  Postings are counted and weighed in one
-    shuffle by (corpus, term) for both; the best score of a query is a grouped maximum, so no query's texts meet
-    in one task.
+    ``query_terms``.  Texts without a shared term score 0 and are left out.  Postings and sums are each written once and
+    read twice; the best score of a query is a grouped maximum, so no query's texts meet in one task.
     """
+    posts = materialize(posts.repartition(*corpus, *item), "postings")  # whole texts lie together, so that sums are partial per text
     df = posts.groupBy(*corpus, "term").agg(F.count("*").alias("df"))
     weighed = posts.join(df, [*corpus, "term"])
     weighed = weighed.join(stats, corpus) if corpus else weighed.crossJoin(F.broadcast(stats))  # one row of statistics
@@ -65,6 +64,7 @@ def bm25(posts: DataFrame, stats: DataFrame, terms: DataFrame, query: list[str],
     shared = [c for c in query if c in corpus]
     both = list(dict.fromkeys([*query, *corpus]))
     summed = impact.join(terms, ["term", *shared]).groupBy(*dict.fromkeys([*both, *item])).agg(F.sum(F.col("qtf") * F.col("impact")).alias("raw"))
+    summed = materialize(summed, "sums")
     best = summed.groupBy(*both).agg(F.max("raw").alias("_best"))
     return summed.join(best, both).withColumn("score", F.round(F.col("raw") / F.col("_best"), DIGITS)).drop("raw", "_best")
 
@@ -72,7 +72,6 @@ def bm25(posts: DataFrame, stats: DataFrame, terms: DataFrame, query: list[str],
 # --- dense similarity ---------------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=1 << 18)
 def hashed_place(token: str, dimensions: int = 256) -> tuple[int, float]:
     """Place and sign of a token: BLAKE2b of 8 bytes, its value mod ``dimensions`` and its first bit."""
     digest = hashlib.blake2b(token.encode("utf-8"), digest_size=8).digest()
@@ -86,7 +85,8 @@ Embedder = Callable[[list[list[str]], list[str]], np.ndarray]
 def hashed_embedder(token_lists: list[list[str]], texts: list[str] | None = None, dimensions: int = 256) -> np.ndarray:
     """Unit vectors of signed token counts, zero without tokens."""
     size = np.array([len(x) for x in token_lists], np.int64)
-    found = np.array([hashed_place(token, dimensions) for x in token_lists for token in x]).reshape(-1, 2)
+    places = {token: hashed_place(token, dimensions) for token in {token for x in token_lists for token in x}}
+    found = np.array([places[token] for x in token_lists for token in x]).reshape(-1, 2)
     row = np.repeat(np.arange(len(size)), size)
     v = np.bincount(row * dimensions + found[:, 0].astype(np.int64), found[:, 1], len(size) * dimensions).reshape(len(size), dimensions)
     norm = np.sqrt((v * v).sum(axis=1, keepdims=True))

@@ -171,7 +171,7 @@ def first_stage(index: Index, queries: DataFrame, config: Settings, calibrated:
     features that don't depend on the query.  No other document can be among the first: each of the latter
     scores at least as much.
     """
-    lists = ranked_lists(index, queries, config, embedder)
+    lists = materialize(ranked_lists(index, queries, config, embedder), "lists")
     weight = F.lit(0.0)
     for name, w in FIELD_WEIGHTS.items():
         weight = F.when(F.col("field") == name, F.lit(w)).otherwise(weight)
@@ -185,7 +185,7 @@ def first_stage(index: Index, queries: DataFrame, config: Settings, calibrated:
         F.count_if(F.col("clause") >= 0.2).alias("covered"), F.collect_list(F.struct("sub", "clause")).alias("clauses"),
     )
     fused = fused.withColumn("rrf", F.round(F.col("rrf") / F.max("rrf").over(Window.partitionBy("qid")), DIGITS))
-    doc = document_features(index, config, calibrated)
+    doc = materialize(document_features(index, config, calibrated), "features")
     static = weighted(config.weights, tuple(k for k in config.weights if k not in ("reliability", "importance", "contradiction_penalty")))
     head = doc.orderBy(F.desc(static), "id").limit(config.candidate_k).select("id")
     match = metadata_match(index, queries)
