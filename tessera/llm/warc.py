@@ -76,11 +76,17 @@ def record(kind: str, record_id: str, block: bytes, **headers) -> bytes:
     return VERSION + b"\r\n" + "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def page_records(record_id: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers: int | None, segment: int = SEGMENT_BYTES) -> Iterator[bytes]:
-    """The records of a page: a revisit if ``refers`` is given, else a response, in segments if it is long."""
+def page_records(
+    record_id: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers: int | None, segment: int = SEGMENT_BYTES, refers_url: str | None = None
+) -> Iterator[bytes]:
+    """The records of a page: a revisit if ``refers`` is given, else a response, in segments if it is long.
+
+    A revisit names the page, and its URL, whose response has its payload.
+    """
     common = dict(WARC_Target_URI=url, WARC_Page_ID=page_id, WARC_Payload_Digest=f"sha256:{digest}", Content_Type="application/http;msgtype=response")
     if refers is not None:
-        yield record("revisit", record_id, b"HTTP/1.1 200 OK\r\n\r\n", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", **common)
+        yield record("revisit", record_id, b"HTTP/1.1 200 OK\r\n\r\n", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+                     WARC_Refers_To_Target_URI=refers_url, WARC_Refers_To_Page_ID=refers, **common)
         return
     block = http_response(payload)
     if len(block) <= segment:
@@ -103,24 +109,25 @@ def write_archives(pages: DataFrame, path: str) -> None:
     """
     data = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     data = data.withColumn("digest", F.sha2("html", 256))
-    long = data.where(F.octet_length("html") >= MIN_REVISIT_BYTES).select("digest", "page_id")
-    shared = long.groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").select(F.col("digest").alias("_d"), "first")
+    long = data.where(F.octet_length("html") >= MIN_REVISIT_BYTES).select("digest", "page_id", "url")
+    shared = long.groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first"), F.min_by("url", F.struct("page_id", "url")).alias("first_url"))
+    shared = shared.where("n > 1").select(F.col("digest").alias("_d"), "first", "first_url")
     shared = materialize(shared, "shared")  # written, its size is known: Spark moves the payloads for the join only if it is large
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, n, part = Emitter(arrow_schema(record=pa.binary()), 512), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for page_id, url, html, digest, first in zip(*rows(batch, "page_id", "url", "html", "digest", "first"), strict=True):
+            for page_id, url, html, digest, first, first_url in zip(*rows(batch, "page_id", "url", "html", "digest", "first", "first_url"), strict=True):
                 n += 1
                 record_id = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}:{digest}:{part}:{n}"))
                 refers = first if first is not None and first != page_id else None
-                for r in page_records(record_id, page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers):
+                for r in page_records(record_id, page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers, SEGMENT_BYTES, first_url):
                     e.add(r[:-2])  # the writer ends each row with the last line break
                     if e.full():
                         yield e.take()
         yield e.take()
 
-    marked = data.join(shared, F.col("digest") == F.col("_d"), "left").select("page_id", "url", "html", "digest", "first")
+    marked = data.join(shared, F.col("digest") == F.col("_d"), "left").select("page_id", "url", "html", "digest", "first", "first_url")
     written = marked.mapInArrow(run, "record binary").select(F.col("record").cast("string"))
     written.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(path)
 
@@ -181,7 +188,7 @@ def unzipped(data: bytes, piece: int = 1 << 16) -> Iterator[bytes]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, record_type, page_id, payload_digest, payload_bytes, status) per record, segments put together.
+    """(record_id, record_type, page_id, payload_digest, payload_bytes, refers_to, status) per record, segments put together.
 
     ``status`` is ok, or says what is wrong: ``segments`` (a number is missing or double), ``length`` (not the
     total length), ``framing`` (chunks can't be decoded), ``digest`` (not the payload that the header names),
@@ -191,7 +198,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """
     out = arrow_schema(
         record_id=pa.string(), kind=pa.string(), page_id=pa.int64(), named=pa.string(), total=pa.int64(), number=pa.int32(), block=pa.binary(),
-        digest=pa.string(), bytes=pa.int64(), status=pa.string(),
+        digest=pa.string(), bytes=pa.int64(), refers=pa.int64(), status=pa.string(),
     )
 
     def decode(block: bytes, named: str | None) -> tuple[str | None, int | None, str]:
@@ -215,31 +222,33 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     named = h.get("warc-payload-digest", "").removeprefix("sha256:") or None
                     total = int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None
                     if number is not None:
-                        e.add(own, kind, page, named, total, int(number), block, None, None, None)
+                        e.add(own, kind, page, named, total, int(number), block, None, None, None, None)
                     elif kind == "revisit":
-                        e.add(own, kind, page, named, None, None, None, named, None, "ok")
+                        refers = int(h["warc-refers-to-page-id"]) if "warc-refers-to-page-id" in h else None
+                        e.add(own, kind, page, named, None, None, None, named, None, refers, "ok")
                     else:
-                        e.add(own, kind, page, named, None, None, None, *decode(block, named))
+                        digest, size, status = decode(block, named)
+                        e.add(own, kind, page, named, None, None, None, digest, size, None, status)
                     if e.full():
                         yield e.take()
         yield e.take()
 
     records = spark.read.format("binaryFile").load(path).select("content").mapInArrow(
-        run, "record_id string, kind string, page_id long, named string, total long, number int, block binary, digest string, bytes long, status string"
+        run, "record_id string, kind string, page_id long, named string, total long, number int, block binary, digest string, bytes long, refers long, status string"
     )
     grouped = records.groupBy("record_id").agg(
         F.max(F.when(F.col("kind") != "continuation", F.col("kind"))).alias("kind"),
-        *[F.max(c).alias(c) for c in ("page_id", "named", "total", "digest", "bytes", "status")],
+        *[F.max(c).alias(c) for c in ("page_id", "named", "total", "digest", "bytes", "refers", "status")],
         F.sort_array(F.collect_list(F.when(F.col("number").isNotNull(), F.struct("number", "block")))).alias("segments"),
     )
-    done = arrow_schema(record_id=pa.string(), record_type=pa.string(), page_id=pa.int64(), payload_digest=pa.string(), payload_bytes=pa.int64(), status=pa.string())
+    done = arrow_schema(record_id=pa.string(), record_type=pa.string(), page_id=pa.int64(), payload_digest=pa.string(), payload_bytes=pa.int64(), refers_to=pa.int64(), status=pa.string())
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Emitter(done)
-        names = ("record_id", "kind", "page_id", "named", "total", "digest", "bytes", "status", "segments")
+        names = ("record_id", "kind", "page_id", "named", "total", "digest", "bytes", "refers", "status", "segments")
         for batch in batches:
             for i in range(batch.num_rows):
-                own, kind, page, named, total, digest, size, status, segments = (batch.column(batch.schema.get_field_index(n))[i].as_py() for n in names)
+                own, kind, page, named, total, digest, size, refers, status, segments = (batch.column(batch.schema.get_field_index(n))[i].as_py() for n in names)
                 if segments:
                     block = b"".join(s["block"] for s in segments)
                     if kind is None:
@@ -250,13 +259,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         status = "length"
                     else:
                         digest, size, status = decode(block, named)
-                e.add(own, kind, page, digest, size, status)
+                e.add(own, kind, page, digest, size, refers, status)
                 if e.full():
                     yield e.take()
         yield e.take()
 
-    slim = grouped.select("record_id", "kind", "page_id", "named", "total", "digest", "bytes", "status", "segments")
-    return slim.mapInArrow(put_together, "record_id string, record_type string, page_id long, payload_digest string, payload_bytes long, status string")
+    slim = grouped.select("record_id", "kind", "page_id", "named", "total", "digest", "bytes", "refers", "status", "segments")
+    return slim.mapInArrow(put_together, "record_id string, record_type string, page_id long, payload_digest string, payload_bytes long, refers_to long, status string")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -270,15 +279,15 @@ def round_trip(pages: DataFrame) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(pages, path)
     found = materialize(read_archives(spark, path), "records")
-    whole = found.where("record_type = 'response' and status = 'ok'").groupBy(F.col("payload_digest").alias("_d")).agg(
-        F.min("page_id").alias("_first"), F.max("payload_bytes").alias("_bytes")
+    whole = found.where("record_type = 'response' and status = 'ok'").groupBy(F.col("payload_digest").alias("_d"), F.col("page_id").alias("_page")).agg(
+        F.max("payload_bytes").alias("_bytes")
     )
     revisit = F.col("record_type") == "revisit"
-    return found.join(whole, revisit & (F.col("payload_digest") == F.col("_d")), "left").select(
+    return found.join(whole, revisit & (F.col("payload_digest") == F.col("_d")) & (F.col("refers_to") == F.col("_page")), "left").select(
         "page_id",
         F.when(revisit, F.col("_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         "payload_digest",
         "record_type",
-        F.when(revisit, F.col("_first")).alias("refers_to"),
+        "refers_to",
         F.when(revisit & F.col("_d").isNull(), "unresolved").otherwise(F.col("status")).alias("status"),
     )
