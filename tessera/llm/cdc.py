@@ -3,7 +3,8 @@
 Normalised gear-hash boundaries cut the UTF-8 text: a chunk ends where the rolling hash of its last 32
 bytes has HARD zero bits before the normal size and EASY zero bits after it.  The fingerprint is the
 set of chunk digests with the bytes that each covers; a shift of the text changes the chunks next to
-an edit only.
+an edit only.  The first FINE_BYTES of a text are cut finer, so that short texts have some chunks too and
+texts that begin alike share them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import Emitter, arrow_schema, materialize, rows
 
-MIN_SIZE, NORMAL_SIZE, MAX_SIZE, HARD, EASY = 32, 128, 512, 9, 5
+#: (least, normal and largest size, zero bits before and after the normal size) of chunks, and of those that begin in the
+#: first FINE_BYTES.
+COARSE, FINE, FINE_BYTES = (32, 128, 512, 9, 5), (8, 32, 128, 7, 3), 512
 WINDOW = 32
 BLOCK = 1 << 20
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 1) for b in range(256)], np.uint32)
@@ -38,26 +41,34 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_ends(data: bytes) -> list[int]:
-    """Where the chunks of ``data`` end, ascending; empty data has none."""
-    whole = np.frombuffer(data, np.uint8)
-    hard: list[int] = []
-    easy: list[int] = []
+def places(whole: np.ndarray, hard: int, easy: int) -> tuple[list[int], list[int]]:
+    """Where the hash has ``hard``, and where it has ``easy`` leading zero bits."""
+    found: tuple[list[int], list[int]] = ([], [])
     for at in range(0, len(whole), BLOCK):
         lead = min(at, WINDOW - 1)
         h = gear_hashes(whole[at - lead : at + BLOCK])[lead:]
-        e = np.nonzero(h >> np.uint32(32 - EASY) == 0)[0]
-        easy += (e + at).tolist()
-        hard += (e[h[e] >> np.uint32(32 - HARD) == 0] + at).tolist()
-    ends, start, n = [], 0, len(whole)
-    while n - start > MIN_SIZE:
-        i = bisect_left(hard, start + MIN_SIZE - 1)
-        end = hard[i] + 1 if i < len(hard) and hard[i] + 1 < start + NORMAL_SIZE else 0
-        if not end:
-            i = bisect_left(easy, start + NORMAL_SIZE - 1)
-            end = min(n, start + MAX_SIZE, easy[i] + 1 if i < len(easy) else n)
-        ends.append(end)
-        start = end
+        e = np.nonzero(h >> np.uint32(32 - easy) == 0)[0]
+        found[1].extend((e + at).tolist())
+        found[0].extend((e[h[e] >> np.uint32(32 - hard) == 0] + at).tolist())
+    return found
+
+
+def chunk_ends(data: bytes) -> list[int]:
+    """Where the chunks of ``data`` end, ascending; empty data has none."""
+    whole, n = np.frombuffer(data, np.uint8), len(data)
+    ends, start = [], 0
+    for (least, normal, most, hard_bits, easy_bits), until in ((FINE, min(n, FINE_BYTES)), (COARSE, n)):
+        if start >= until:
+            continue
+        hard, easy = places(whole[: until + most], hard_bits, easy_bits)
+        while start < until and n - start > least:
+            i = bisect_left(hard, start + least - 1)
+            end = hard[i] + 1 if i < len(hard) and hard[i] + 1 < start + normal else 0
+            if not end:
+                i = bisect_left(easy, start + normal - 1)
+                end = min(n, start + most, easy[i] + 1 if i < len(easy) else n)
+            ends.append(end)
+            start = end
     if start < n:
         ends.append(n)
     return ends

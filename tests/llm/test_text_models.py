@@ -167,7 +167,19 @@ def test_chunks_cover_the_text_within_their_sizes(data):
     ends = cdc.chunk_ends(data)
     sizes = np.diff([0, *ends])
     assert (ends[-1] if ends else 0) == len(data)
-    assert all(s <= cdc.MAX_SIZE for s in sizes) and all(s >= cdc.MIN_SIZE for s in sizes[:-1])
+    assert all(s <= cdc.COARSE[2] for s in sizes) and all(s >= cdc.FINE[0] for s in sizes[:-1])
+    starts = [0, *ends[:-1]]
+    assert all(s >= cdc.COARSE[0] for a, s in zip(starts, sizes[:-1], strict=False) if a >= cdc.FINE_BYTES)
+
+
+def test_short_texts_share_their_beginning():
+    r = random.Random(2)
+    words = lambda n: " ".join(f"{r.choice('bcdfg')}{r.choice('aeiou')}{r.randrange(999)}" for _ in range(n))
+    near = []
+    for _ in range(200):
+        text = words(r.randrange(20, 50))
+        near.append(cdc.containment(cdc.chunk_set(text), cdc.chunk_set(cdc.edited(text, words(60)))))
+    assert sum(x > 0 for x in near) > 150 and 0.2 < sum(near) / len(near) < 0.6
 
 
 def test_chunks_resist_shifts():
