@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import any_order, fresh, materialize, table
+from tessera.storage import scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,8 +86,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each result is written as Parquet and read again."""
+    """Applies the stages to ``documents``; each result is written as Parquet and read again, and a stage's own tables go when it ends."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"stage{k}")
+        with scratch(spark):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage{k}", keep=True)
     return docs

@@ -19,6 +19,7 @@ from .plans.config import Settings
 from .plans.context import hybrid_weights
 from .plans.index import Extraction, Index, build_index, enrich_index
 from .sources import datasets, files
+from .storage import scratch
 
 ALL_MODES = ["heuristic", "embedding", "hybrid", "two_stage", "iterative"]
 
@@ -132,7 +133,9 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> object:
 
 def main() -> None:
     spark = SparkSession.builder.appName("tessera").getOrCreate()
-    print(json.dumps(run(spark), ensure_ascii=False, indent=2, default=str))
+    with scratch(spark):
+        found = run(spark)
+    print(json.dumps(found, ensure_ascii=False, indent=2, default=str))
 
 
 if __name__ == "__main__":

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,13 +29,38 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+#: Folders of the scratch scopes that are open, the innermost last.
+_scopes: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends there, so a lost executor costs a reread."""
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the innermost scratch scope, or with ``keep`` in the one around it; without a scope in the shared folder."""
+    open_scopes = _scopes.get()[:-1] if keep else _scopes.get()
+    return f"{open_scopes[-1] if open_scopes else shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written to scratch paths inside is deleted at the end, but for what is kept.
+
+    A plan that reads such tables must have been written or collected by then.
+    """
+    path = scratch_path(spark, "scope")
+    token = _scopes.set((*_scopes.get(), path))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: lineage ends there, so a lost executor costs a reread.
+
+    Inside a scratch scope the table goes with it, unless it is to be kept.
+    """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_path(spark, name, keep)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -108,3 +108,18 @@ def test_query_equals_its_sql(spark, name):
     a, b = (x[columns].sort_values(columns).reset_index(drop=True) for x in (got, want))
     for c in columns:
         assert ((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all(), c
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    import os
+
+    from tessera.storage import materialize, scratch
+
+    paths = lambda df: [f.removeprefix("file:") for f in df.inputFiles()]
+    with scratch(spark):
+        with scratch(spark):
+            inner, kept = materialize(spark.range(3), "a"), materialize(spark.range(4), "b", keep=True)
+            assert all(map(os.path.exists, paths(inner)))
+        assert not any(map(os.path.exists, paths(inner))) and kept.count() == 4
+    assert not any(map(os.path.exists, paths(kept)))
+    assert materialize(spark.range(5), "c").count() == 5
