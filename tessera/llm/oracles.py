@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ego, lm
+from . import ego, lm, packing
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -93,3 +93,32 @@ gone AS (SELECT r, count(*) AS n FROM hit GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (r) LEFT JOIN gone USING (r)
 """
+
+#: ``layer`` holds the least padding with at most b buckets up to each length and the length that the last bucket follows
+#: (-1: one bucket fewer does); ``path`` goes back through it.
+OP7 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS n_tokens,
+         md5(coalesce(doc_id::VARCHAR, 'null') || ':pack:' || md5(coalesce(text, ''))) AS rank
+  FROM documents),
+l AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY len) AS j, len, (sum(n) OVER (ORDER BY len))::BIGINT AS c, (sum(n * len) OVER (ORDER BY len))::BIGINT AS t
+  FROM (SELECT n_tokens AS len, count(*) AS n FROM d GROUP BY 1)),
+m AS (SELECT count(*) AS m FROM l),
+layer(b, j, cost, arg) AS (
+  SELECT 1, j, len * c - t, 0::BIGINT FROM l
+  UNION ALL
+  SELECT b + 1, j, best.v, best.i FROM (
+    SELECT b, j, arg_min({{'v': v, 'i': i}}, {{'v': v, 'i': i}}) AS best FROM (
+      SELECT a.b, x.j, CASE WHEN x.j = a.j THEN a.cost ELSE a.cost + x.len * (x.c - y.c) - (x.t - y.t) END AS v, CASE WHEN x.j = a.j THEN -1 ELSE a.j END AS i
+      FROM layer a JOIN l y ON y.j = a.j JOIN l x ON x.j >= a.j WHERE a.b < least({packing.N_BUCKETS}, (SELECT m FROM m))) GROUP BY b, j)),
+path(b, j) AS (
+  SELECT least({packing.N_BUCKETS}, m), m FROM m
+  UNION ALL SELECT p.b - 1, CASE WHEN y.arg = -1 THEN p.j ELSE y.arg END FROM path p JOIN layer y ON y.b = p.b AND y.j = p.j WHERE p.b > 1),
+ends AS (SELECT list(len ORDER BY len) AS e FROM l WHERE j IN (SELECT j FROM path)),
+placed AS (SELECT d.*, len(list_filter(e, lambda x: x < n_tokens)) AS bucket, list_filter(e, lambda x: x >= n_tokens)[1] AS bucket_tokens FROM d, ends),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY rank, doc_id, n_tokens) - 1 AS k, count(*) OVER (PARTITION BY bucket) AS n,
+         greatest(1, {packing.TOKEN_BUDGET} // greatest(bucket_tokens, 1)) AS per FROM placed)
+SELECT doc_id, n_tokens, bucket::INTEGER AS bucket, bucket_tokens, k // per AS batch, k % per AS slot, least(per, n - (k // per) * per) AS batch_rows FROM ranked
+"""

@@ -82,5 +82,5 @@ def oracle_sql() -> dict[str, str]:
     from . import oracles
     from .mixing import OP8_SQL
 
-    found = {"op1_warc": oracles.OP1, "op3_ego": oracles.OP3, "op4_lm": oracles.OP4, "op8_mixing": OP8_SQL, "op9_chat": oracles.OP9, "op10_substrings": oracles.OP10}
+    found = {"op1_warc": oracles.OP1, "op3_ego": oracles.OP3, "op4_lm": oracles.OP4, "op7_packing": oracles.OP7, "op8_mixing": OP8_SQL, "op9_chat": oracles.OP9, "op10_substrings": oracles.OP10}
     return found
