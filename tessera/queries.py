@@ -16,7 +16,7 @@ from .functions import text as t
 from .operators import calibration, chunking, communities, enrichment, evaluation, extraction, graph, scoring
 from .plans import context, experiments, iterative, ranking
 from .plans.config import Settings
-from .plans.index import Index, build_index, test_documents
+from .plans.index import Index, build_index, enrich_index, test_documents
 from .sources import datasets, files
 from .storage import materialize
 
@@ -322,6 +322,12 @@ def dataset_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DEDUPE_SQL = "SELECT min(doc_id) AS doc_id, md5(text) AS digest FROM documents GROUP BY text"
 
 
+@query("SELECT item_id::VARCHAR AS qid, text, 'yes' AS answer, 'unknown' AS question_type, 'qa.parquet' AS source FROM benchmark WHERE text <> ''")
+def dataset_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ID"), F.col("text").alias("Question"), F.lit("yes").alias("gold_answer"))
+    return datasets.normalize_qa(raw, "qa.parquet").select("qid", "text", "answer", "question_type", "source")
+
+
 @query(_DEDUPE_SQL)
 def dataset_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("digest", F.md5("text"))
@@ -581,6 +587,51 @@ def rank_first_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("qid", "id", "rank", "first_score", "rrf", "bm25", rounded(F.col("coverage")).alias("coverage"), "metadata", "reliability")
 
 
+@query(f"WITH {_EDGES} SELECT id, CASE WHEN relation IN ('causes', 'prevents', 'depends_on') THEN 'causal|diagnostic' WHEN relation IN ('located_in', 'part_of') THEN 'factual|structural' ELSE 'factual|exploratory' END AS useful_for FROM edges")
+def rule_useful_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.merge_edges(extraction.relation_rows(units_of(spark, sf_dir))).select("id", listed("useful_for"))
+
+
+@query(f"WITH {_CAL}, rel AS (SELECT id, avg(reliability) AS r, 0.5::DOUBLE AS i FROM (SELECT unnest(source_docs) AS id, reliability FROM cal) GROUP BY 1) SELECT d.id, round(coalesce(r, 0.0), 9) AS reliability, coalesce(i, 0.0) AS importance FROM docs d LEFT JOIN rel ON rel.id = d.id")
+def rank_document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.document_features(ranking_index(spark, sf_dir), Settings(), True).select("id", "reliability", "importance")
+
+
+@query(
+    f"WITH {_QUERIES}, {_UNITS}, meta AS (SELECT id, list_distinct({ctok("array_to_string(list_filter([title, source, category], lambda x: coalesce(x, '') <> ''), ' ')")}) AS m FROM docs) "
+    f"SELECT qid, id, round(len(list_intersect(m, list_distinct(qk))) / len(m)::DOUBLE, 9) AS metadata_match FROM meta, (SELECT qid, {ctok('text')} AS qk FROM q) WHERE len(list_intersect(m, list_distinct(qk))) > 0"
+)
+def rank_metadata_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.metadata_match(ranking_index(spark, sf_dir), asked(spark, sf_dir))
+
+
+@query(f"{_TOP.format(_BODY, k=10).replace('SELECT qid, id, score, rank::INTEGER AS rank FROM ranked WHERE rank <= 10', '')} SELECT q.qid, coalesce(max(score) FILTER (rank = 1), 0.0) < 0.3::DOUBLE AS abstained FROM q LEFT JOIN ranked r ON r.qid = q.qid GROUP BY 1")
+def rank_abstention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.abstains(bm25_top(spark, sf_dir, 10), asked(spark, sf_dir), Settings())
+
+
+_PACKED = f"""{_TOP.format(_BODY.replace('WITH q AS', 'WITH RECURSIVE q AS', 1), k=10).replace('SELECT qid, id, score, rank::INTEGER AS rank FROM ranked WHERE rank <= 10', '')},
+said AS (
+  SELECT r.qid, r.id, r.rank, {trimmed("array_to_string((" + wds('d.text') + ")[1:12], ' ') || '. ' || d.text")} AS text FROM ranked r JOIN d ON d.id = r.id WHERE r.rank <= 10),
+sized AS MATERIALIZED (SELECT *, {est('text')} AS n, {wds('text')} AS w FROM said),
+fill AS (
+  SELECT qid, 0::BIGINT AS rank, 1200::BIGINT AS left_, 0::BIGINT AS place, NULL::BIGINT AS id, NULL::VARCHAR AS text, 0::BIGINT AS n FROM q
+  UNION ALL
+  SELECT qid, rank, CASE WHEN fits THEN left_ - m ELSE left_ END, CASE WHEN fits THEN place + 1 ELSE place END, CASE WHEN fits THEN id END, part, m FROM (
+    SELECT *, part <> '' AND m <= left_ AS fits FROM (
+      SELECT *, {est('part')} AS m FROM (
+        SELECT f.qid, s.rank, f.left_, f.place, s.id, CASE WHEN s.n <= f.left_ THEN s.text WHEN f.left_ <= 0 THEN '' ELSE array_to_string(s.w[1:greatest(1, floor(f.left_ / 1.25)::BIGINT)], ' ') END AS part
+        FROM fill f JOIN sized s ON s.qid = f.qid AND s.rank = f.rank + 1))))"""
+
+
+@query(f"{_PACKED} SELECT qid, place::INTEGER AS place, id::VARCHAR AS item, md5(text) AS text, n AS token_count FROM fill WHERE id IS NOT NULL")
+def context_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents of each query, whole, packed into the token budget; what doesn't fit is cut to what is left."""
+    docs = test_documents(spark, sf_dir).select("id", "title", F.col("text").alias("snippet"))
+    ranked = bm25_top(spark, sf_dir, 10).join(docs, "id")
+    return context.pack_documents(ranked, 1200).select("qid", "place", "item", F.md5("text").alias("text"), "token_count")
+
+
 _SNIPPETS = f"""{_FIRST},
 wu AS (SELECT u.document_id AS id, position, u.text FROM units u WHERE u.document_id IN (SELECT id FROM first_stage)),{posts_sql('wu', ['id', 'position'], 'w')},
 wt AS (SELECT t.*, f.id FROM (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({ctok('text')}) AS term FROM q) GROUP BY ALL) t JOIN first_stage f ON f.qid = t.qid),{bm25_sql('w_p', 'w_st', 'wt', ['qid', 'id'], ['id'], ['position'], 'sn')},
@@ -704,6 +755,28 @@ def evaluate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("qid", *[rounded(F.col(c)).alias(c) for c in ("recall_at_k", "precision_at_k", "mrr", "ndcg_at_k")], "all_evidence_success_at_k")
 
 
+@query(f"{_EVAL} SELECT qid, round(recall_at_k, 6) AS packed_context_recall_at_k FROM m")
+def evaluate_packed_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the gold documents among the documents of a context of the ten best."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("").alias("url"), F.lit("t").alias("title"))
+    gold = materialize(evaluation.gold_documents(questions(spark, sf_dir), docs), "gold")
+    told = bm25_top(spark, sf_dir, 10).select("qid", F.array(F.col("id").cast("string")).alias("document_ids"))
+    return evaluation.packed_recall(told, gold).select("qid", rounded(F.col("packed_context_recall_at_k")).alias("packed_context_recall_at_k"))
+
+
+@query(
+    f"{_BODY}, pool AS (SELECT qid, id, score FROM bm UNION ALL SELECT qid, id, 0.0 FROM q, (SELECT id FROM d ORDER BY id LIMIT 10)), best AS (SELECT qid, id, max(score) AS score FROM pool GROUP BY 1, 2), "
+    f"ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM best) WHERE rank <= 10), "
+    f"hit AS (SELECT r.qid, bool_or(contains({cf('d.text')}, 'that')) AS h FROM ranked r JOIN d ON d.id = r.id GROUP BY 1) "
+    "SELECT qid, TRUE AS answer_evaluable, CASE WHEN h THEN 1.0 ELSE 0.0 END::DOUBLE AS answer_hit FROM hit"
+)
+def evaluate_answer_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether one of the ten best documents holds the answer."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    told = bm25_top(spark, sf_dir, 10).select("qid", "id").join(docs, "id").select("qid", "text")
+    return evaluation.answer_hits(told, asked(spark, sf_dir).withColumn("answer", F.lit("that")))
+
+
 _MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in evaluation.METRICS[:5])
 
 
@@ -776,24 +849,49 @@ def enrich_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select("id", "source", "target", "relation", "evidence_type", "semantic_summary", listed("generated_questions"), "importance", "conflict_status")
 
 
-@query(
-    f"""WITH {_ENTITIES},
+_RESOLVED = f"""{_ENTITIES},
 known AS (SELECT {ekey('title')} AS key, arg_min(title, {{'d': -degree, 'p': pos}}) AS title FROM entities GROUP BY 1),
 moved AS (
-  SELECT e.id, e.ord, e.relation, e.weight, e.source_docs, a.title AS source, b.title AS target, a.key AS sk, b.key AS tk
+  SELECT e.*, a.title AS new_source, b.title AS new_target, a.key AS sk, b.key AS tk
   FROM edges0 e JOIN known a ON a.key = {ekey('e.source')} JOIN known b ON b.key = {ekey('e.target')} WHERE a.key <> b.key),
 again AS (
-  SELECT arg_min(id, ord) AS id, arg_min(source, ord) AS source, arg_min(target, ord) AS target, relation, sum(weight) AS weight, count(*) AS n,
-         arg_min(source_docs, ord) AS own, list_sort(list_distinct(flatten(list(source_docs)))) AS every
-  FROM moved GROUP BY sk, tk, relation)
-SELECT id, source, target, relation, weight, array_to_string(CASE WHEN n > 1 THEN every ELSE own END, '|') AS source_docs FROM again"""
-)
+  SELECT arg_min(id, ord) AS id, arg_min(new_source, ord) AS source, arg_min(new_target, ord) AS target, relation, sum(weight) AS weight, count(*) AS n,
+         arg_min(source_docs, ord) AS own, list_sort(list_distinct(flatten(list(source_docs)))) AS every,
+         arg_min(evidence_text, ord) AS evidence_text, arg_min(evidence_type, ord) AS evidence_type, arg_min(llm_conf, ord) AS llm_conf, arg_min(ontology_ok, ord) AS ontology_ok, min(ord) AS ord
+  FROM moved GROUP BY sk, tk, relation)"""
+
+
+@query(f"WITH {_RESOLVED} SELECT id, source, target, relation, weight, array_to_string(CASE WHEN n > 1 THEN every ELSE own END, '|') AS source_docs FROM again")
 def enrich_resolve_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = small_index(spark, sf_dir)
     entities = enrichment.enrich_entities(index.entities, index.edges, enrichment.RuleClient())
     return graph.resolve_aliases(entities, index.edges)[1].select("id", "source", "target", "relation", "weight", listed("source_docs"))
 
 
+@query(
+    f"""WITH {_RESOLVED}, merged2 AS (SELECT {ekey('title')} AS key, arg_min(id, pos) AS id, arg_min(title, pos) AS old, sum(degree)::BIGINT AS degree, list_sort(list_distinct(flatten(list(text_unit_ids)))) AS units FROM entities GROUP BY 1)
+SELECT m.id, k.title, m.degree, array_to_string(units, '|') AS text_unit_ids FROM merged2 m JOIN known k USING (key)"""
+)
+def enrich_resolved_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = small_index(spark, sf_dir)
+    entities = enrichment.enrich_entities(index.entities, index.edges, enrichment.RuleClient())
+    return graph.resolve_aliases(entities, index.edges)[0].select("id", "title", "degree", listed("text_unit_ids"))
+
+
+_FINAL = f"""{_RESOLVED},
+final0 AS (SELECT id, source, target, relation, {cf('source')} AS s, {cf('target')} AS t, weight, CASE WHEN n > 1 THEN every ELSE own END AS source_docs, evidence_text, evidence_type, llm_conf, ontology_ok, ord FROM again),
+fdeg AS (SELECT title, count(*) AS degree FROM (SELECT unnest([source, target]) AS title FROM final0) GROUP BY 1),
+final AS (SELECT e.*, a.degree + b.degree AS combined_degree FROM final0 e JOIN fdeg a ON a.title = e.source JOIN fdeg b ON b.title = e.target),
+{_CAL[len(_EDGES) + 1 :].strip().replace('FROM edges)', 'FROM final)')}"""
+
+
+@query(f"WITH {_FINAL} SELECT id, source, target, relation, combined_degree, evidence_score, structural_score, consistency_score, conflict_status, reliability FROM cal")
+def enrich_finalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the enriched index: aliases resolved, degrees counted and reliability found anew."""
+    full = enrich_index(small_index(spark, sf_dir), enrichment.RuleClient(), ["summaries", "entities"])
+    return full.edges.select("id", "source", "target", "relation", "combined_degree", "evidence_score", "structural_score", "consistency_score", "conflict_status", "reliability")
+
+
 @query(
     f"WITH {_EDGES} SELECT count(*) AS n_edges, count(*) FILTER (evidence_type = 'explicit') AS n_explicit, count(*) FILTER (len(source_docs) > 1) AS n_shared, max(combined_degree) AS top_degree FROM edges"
 )
