@@ -116,6 +116,12 @@ def test_toxicity_learns_from_document_labels(spark):
         if x.predicted and labels[i][2]:
             assert any(b in x.text[x.worst_start : x.worst_end] for b in bad)
     assert by[900, None].score == by[901, ""].score == by[902, "...\n!"].score == 0.0
+    long = "calm words here. " * 30_000
+    far = spark.createDataFrame([(5001, long), (5002, long + "vilest wretch knavish rotter."), (5002, long)], "doc_id long, text string")
+    model = toxicity.Model(*toxicity.train(df, marks))
+    told = {(x.doc_id, len(x.text or "")): x for x in toxicity.classify(far.unionByName(df.select("doc_id", "text")), marks).collect()}
+    assert told[5001, len(long)].score == told[5002, len(long)].score <= told[5002, len(long) + 29].score
+    assert told[5002, len(long) + 29].worst_start == len(long) - 1 and model.score("vilest wretch.")[0] > 0.5
     assert toxicity.classify(df.where("doc_id = -1"), marks).collect() == []
     assert {x.predicted for x in toxicity.classify(df, marks.where("toxic = 0")).collect()} == {0}
 
