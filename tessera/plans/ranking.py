@@ -191,20 +191,26 @@ def first_stage(index: Index, queries: DataFrame, config: Settings, calibrated:
     match = metadata_match(index, queries)
     asked = queries.select("qid", F.size(r.decompose(F.col("text"), config.max_subqueries)).alias("n_sub")).where("n_sub > 0")
     pool = fused.select("qid", "id").unionByName(match.select("qid", "id")).unionByName(asked.select("qid").crossJoin(F.broadcast(head))).distinct()  # ``candidate_k`` rows
-    full = pool.join(asked, "qid").join(fused, ["qid", "id"], "left").join(match, ["qid", "id"], "left").join(doc, "id")
-    full = full.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in (*FEATURES, "metadata_match")})
-    by_sub = F.map_from_entries(F.coalesce("clauses", F.array().cast("array<struct<sub:int,clause:double>>")))
-    full = full.withColumns(
-        {
-            "metadata": F.greatest("metadata", "metadata_match"),
-            "coverage": F.coalesce("covered", F.lit(0)) / F.col("n_sub"),
-            "clause_scores": F.transform(F.sequence(F.lit(0), F.col("n_sub") - 1), lambda i: F.coalesce(F.try_element_at(by_sub, i), F.lit(0.0))),
-            "reranker": F.lit(0.0),
-            "graph_expansion": F.lit(0.0),
-        }
-    )
-    if config.use_graph_expansion:
-        full = full.drop("graph_expansion").join(graph_expansion(index, queries, full, config), ["qid", "id"], "left").withColumn("graph_expansion", F.coalesce("graph_expansion", F.lit(0.0)))
+
+    def described(pool: DataFrame) -> DataFrame:
+        full = pool.join(asked, "qid").join(fused, ["qid", "id"], "left").join(match, ["qid", "id"], "left").join(doc, "id")
+        full = full.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in (*FEATURES, "metadata_match")})
+        by_sub = F.map_from_entries(F.coalesce("clauses", F.array().cast("array<struct<sub:int,clause:double>>")))
+        return full.withColumns(
+            {
+                "metadata": F.greatest("metadata", "metadata_match"),
+                "coverage": F.coalesce("covered", F.lit(0)) / F.col("n_sub"),
+                "clause_scores": F.transform(F.sequence(F.lit(0), F.col("n_sub") - 1), lambda i: F.coalesce(F.try_element_at(by_sub, i), F.lit(0.0))),
+                "reranker": F.lit(0.0),
+                "graph_expansion": F.lit(0.0),
+            }
+        )
+
+    full = described(pool)
+    if config.use_graph_expansion:  # documents that only the graph leads to are candidates too
+        found = materialize(graph_expansion(index, queries, full, config), "expansion")
+        full = described(pool.unionByName(found.select("qid", "id")).distinct()).drop("graph_expansion")
+        full = full.join(found, ["qid", "id"], "left").withColumn("graph_expansion", F.coalesce("graph_expansion", F.lit(0.0)))
     full = full.withColumn("first_score", snapped(weighted(config.weights, ("reranker",))))
     order = Window.partitionBy("qid").orderBy(F.desc("first_score"), "id")
     return full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.candidate_k).drop("clauses", "covered", "metadata_match", "n_sub")
@@ -224,9 +230,9 @@ def graph_expansion(index: Index, queries: DataFrame, features: DataFrame, confi
     named = document_entities(index)
     asked = queries.select("qid", t.content_tokens(F.col("text")).alias("q"))
     bridge = seeds.join(named, "id").join(asked, "qid").where(~t.subset(t.content_tokens(F.col("entity")), F.col("q"))).groupBy("qid", "entity").agg(F.max("s").alias("w"))
-    raw = bridge.join(named, "entity").groupBy("qid", "id").agg(F.sum("w").alias("raw"))
-    best = F.max("raw").over(Window.partitionBy("qid"))
-    return raw.withColumn("best", best).where("best > 0").select("qid", "id", F.round(F.col("raw") / F.col("best"), DIGITS).alias("graph_expansion"))
+    raw = materialize(bridge.join(named, "entity").groupBy("qid", "id").agg(F.sum("w").alias("raw")), "bridges")
+    best = raw.groupBy("qid").agg(F.max("raw").alias("best"))
+    return raw.join(best, "qid").where("best > 0").select("qid", "id", F.round(F.col("raw") / F.col("best"), DIGITS).alias("graph_expansion"))
 
 
 def best_snippets(index: Index, queries: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -679,7 +679,33 @@ def rank_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("qid", "id", "rank", "score", "snippet")
 
 
-@query()
+_EXPANDED = (
+    _FIRST.replace("FROM docs),\nsubs0", "FROM docs\n  UNION ALL SELECT 'graph', d.id, coalesce(g.text, '') FROM docs d LEFT JOIN (SELECT id, string_agg(edge_text, ' ') AS text FROM (SELECT unnest(source_docs) AS id, edge_text FROM cal) GROUP BY 1) g ON g.id = d.id),\nsubs0")
+    .replace("unnest(['title', 'body', 'metadata', 'dense'])", "unnest(['title', 'body', 'metadata', 'graph', 'dense'])")
+    .replace("WHEN 'metadata' THEN 0.8 ELSE 0.75 END", "WHEN 'metadata' THEN 0.8 WHEN 'graph' THEN 0.2 ELSE 0.75 END")
+    .replace("AS metadata, max(score) AS clause", "AS metadata, max(CASE WHEN field = 'graph' THEN score END) AS graph, max(score) AS clause")
+    .replace("max(metadata) AS metadata, count(*) FILTER", "max(metadata) AS metadata, max(graph) AS graph, count(*) FILTER")
+    .replace("coalesce(bm25, 0.0) AS bm25, greatest", "coalesce(bm25, 0.0) AS bm25, coalesce(graph, 0.0) AS graph, CASE WHEN r.id IS NULL THEN 0.0 ELSE 0.5 END::DOUBLE AS importance, greatest")
+)
+_EXPANDED = f"""{_EXPANDED[: _EXPANDED.index('full1 AS (')]}
+base AS (SELECT *, 0.45::DOUBLE * rrf + 0.2::DOUBLE * bm25 + 0.07::DOUBLE * coverage + 0.02::DOUBLE * metadata + 0.01::DOUBLE * graph AS lead FROM full0),
+seed AS (
+  SELECT qid, id, s FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS n FROM (
+    SELECT qid, id, floor((lead + 0.01::DOUBLE * reliability + 0.02::DOUBLE * importance) * 1e9::DOUBLE + 0.5::DOUBLE) / 1e9::DOUBLE AS s FROM base)) WHERE n <= 10),
+ends1 AS (SELECT DISTINCT id, {cf('e')} AS entity FROM (SELECT id, unnest([source, target]) AS e FROM (SELECT unnest(source_docs) AS id, source, target FROM cal)) WHERE len({ctok('e')}) > 0),
+bridge AS (
+  SELECT s.qid, entity, max(s) AS w FROM seed s JOIN ends1 e ON e.id = s.id JOIN (SELECT qid, {ctok('text')} AS qk FROM q) a ON a.qid = s.qid
+  WHERE NOT (len({ctok('entity')}) > 0 AND len(list_filter({ctok('entity')}, lambda z: NOT list_contains(qk, z))) = 0) GROUP BY 1, 2),
+lift AS (SELECT qid, id, sum(w) AS raw FROM bridge b JOIN ends1 e ON e.entity = b.entity GROUP BY 1, 2),
+lifted AS (SELECT qid, id, round(raw / best, 9) AS graph_expansion FROM (SELECT *, max(raw) OVER (PARTITION BY qid) AS best FROM lift) WHERE best > 0),
+full1 AS (
+  SELECT b.*, coalesce(graph_expansion, 0.0) AS graph_expansion,
+         floor((lead + 0.08::DOUBLE * coalesce(graph_expansion, 0.0) + 0.01::DOUBLE * reliability + 0.02::DOUBLE * importance) * 1e9::DOUBLE + 0.5::DOUBLE) / 1e9::DOUBLE AS first_score
+  FROM base b LEFT JOIN lifted l ON l.qid = b.qid AND l.id = b.id),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first_score DESC, id) AS rank FROM full1)"""
+
+
+@query(f"{_EXPANDED} SELECT qid, id, rank::INTEGER AS rank, graph, graph_expansion, first_score FROM ordered WHERE rank <= 80")
 def rank_graph_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = Settings(use_dense=False, use_graph=True, use_graph_expansion=True)
     return ranking.first_stage(small_index(spark, sf_dir), asked(spark, sf_dir), config).select("qid", "id", "rank", "graph", "graph_expansion", "first_score")

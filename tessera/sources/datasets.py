@@ -116,7 +116,8 @@ def normalize_paragraph_qa(raw: DataFrame, limit: int | None = None) -> tuple[Da
 
     A paragraph is a document, named by the hash of title, idx and text; repeated paragraphs are one; supporting ones are evidence.
     """
-    rows = raw.orderBy("id").limit(limit) if limit else raw
+    order = PLACE if PLACE in raw.columns else "id"
+    rows = raw.orderBy(order).limit(limit) if limit else raw
     p = rows.select(F.col("id").cast("string").alias("qid"), F.posexplode("paragraphs").alias("n", "p"))
     text = t.strip(t.nvl("p.paragraph_text"))
     title = F.coalesce(F.nullif("p.title", F.lit("")), F.concat(F.lit("paragraph-"), F.col("p.idx").cast("string")))
