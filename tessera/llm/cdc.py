@@ -24,7 +24,7 @@ from .common import Emitter, arrow_schema, materialize, rows
 
 #: (least, normal and largest size, zero bits before and after the normal size) of chunks, and of those that begin in the
 #: first FINE_BYTES.
-COARSE, FINE, FINE_BYTES = (32, 128, 512, 9, 5), (8, 32, 128, 7, 3), 512
+COARSE, FINE, FINE_BYTES = (32, 128, 512, 9, 5), (8, 32, 128, 7, 3), 256
 WINDOW = 32
 BLOCK = 1 << 20
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 1) for b in range(256)], np.uint32)
