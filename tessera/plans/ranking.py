@@ -125,7 +125,10 @@ def ranked_lists(index: Index, queries: DataFrame, config: Settings, embedder: s
     head = index.documents.select("id").orderBy("id").limit(config.candidate_k)
     lists = subs.select("qid", "sub").crossJoin(F.broadcast(fields.unionByName(subs.sparkSession.createDataFrame([("dense",)], "field string"))))
     zeros = lists.crossJoin(F.broadcast(head)).withColumn("score", F.lit(0.0))  # ``candidate_k`` rows
-    every = scored.select("qid", "sub", "field", "id", "score").unionByName(zeros.select("qid", "sub", "field", "id", "score"))
+    # the first of a union are among the first of its parts; only these meet
+    order = Window.partitionBy("qid", "sub", "field").orderBy(F.desc("score"), "id")
+    first = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.candidate_k)
+    every = first(scored.select("qid", "sub", "field", "id", "score")).drop("rank").unionByName(zeros.select("qid", "sub", "field", "id", "score"))
     if config.use_dense:
         embedder = embedder or models.embedder(config)
         bodies = texts.where("field = 'body'").select("id", "tokens")
@@ -133,9 +136,7 @@ def ranked_lists(index: Index, queries: DataFrame, config: Settings, embedder: s
             bodies = bodies.join(body_text(index), "id")
         dense = scoring.dense_top_k(subs, bodies, ["qid", "sub"], config.candidate_k, embedder)
         every = every.unionByName(dense.select("qid", "sub", F.lit("dense").alias("field"), "id", "score"))
-    best = every.groupBy("qid", "sub", "field", "id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("qid", "sub", "field").orderBy(F.desc("score"), "id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.candidate_k)
+    return first(every.groupBy("qid", "sub", "field", "id").agg(F.max("score").alias("score")))
 
 
 def metadata_match(index: Index, queries: DataFrame) -> DataFrame:
