@@ -94,13 +94,22 @@ def lexical_similarity(left: Column, right: Column) -> Column:
     return lexical_of(a, b)
 
 
+def squares(tokens_: Column) -> Column:
+    """Sum of the squared counts of the tokens: one walk over the sorted tokens, a run of n of them adds 1 + 3 + .. = n * n."""
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("total"))
+
+    def step(state: Column, token: Column) -> Column:
+        run = F.when(token == state["last"], state["run"]).otherwise(F.lit(0))
+        return F.struct(token.alias("last"), (run + 1).alias("run"), (state["total"] + 2 * run + 1).alias("total"))
+
+    return F.aggregate(F.sort_array(tokens_), start, step, lambda state: state["total"])
+
+
 def lexical_of(a: Column, b: Column) -> Column:
     """The same for arrays of content tokens, which should be columns: an expression would be computed for every token."""
-    shared = F.array_intersect(a, b)
     count = lambda t, of: F.size(F.filter(of, lambda x: x == t)).cast("double")
-    norm = lambda of: F.sqrt(F.aggregate(F.array_distinct(of), F.lit(0.0), lambda s, t: s + count(t, of) * count(t, of)))
-    dot = F.aggregate(shared, F.lit(0.0), lambda s, t: s + count(t, a) * count(t, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), dot / (norm(a) * norm(b))).otherwise(F.lit(0.0))
+    dot = F.aggregate(F.array_intersect(a, b), F.lit(0.0), lambda s, t: s + count(t, a) * count(t, b))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), dot / (F.sqrt(squares(a)) * F.sqrt(squares(b)))).otherwise(F.lit(0.0))
 
 
 def subset(a: Column, b: Column) -> Column:
