@@ -304,7 +304,14 @@ def query_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources ----------------------------------------------------------------------------------------------
 
 
-@query()
+# Scripts and styles are raw text, which holds no tags or entities; of the entities those that the pages use.
+_HTML_SQL = r"""WITH p AS (SELECT page_id, url, regexp_extract_all(coalesce(html, ''), '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->|</?[a-z!][^>]*>|[^<]+|<') AS parts FROM pages),
+q AS (SELECT page_id, url, list_transform(parts, lambda x: CASE WHEN regexp_matches(x, '(?i)^<(script|style)\b') THEN regexp_replace(x, '(?is)^<[^>]*>(.*)</[^>]*>$', '\1')
+WHEN x LIKE '<_%' THEN '' ELSE regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g') END) AS parts FROM p)
+SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), ' ') AS text FROM q"""
+
+
+@query(_HTML_SQL)
 def source_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url", files.html_to_text(F.col("html")).alias("text"))
 
