@@ -73,8 +73,15 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fim import fim_digests
+
+    return fim_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = (op1_warc, op2_fingerprints, op3_ego, op4_lm, op5_simhash, op6_toxicity, op7_packing, op8_mixing, op9_chat, op10_substrings)
+    found += (op12_fill_in_middle,)
     return {f.__name__: f for f in found}
 
 
@@ -83,4 +90,5 @@ def oracle_sql() -> dict[str, str]:
     from .mixing import OP8_SQL
 
     found = {"op1_warc": oracles.OP1, "op3_ego": oracles.OP3, "op4_lm": oracles.OP4, "op7_packing": oracles.OP7, "op8_mixing": OP8_SQL, "op9_chat": oracles.OP9, "op10_substrings": oracles.OP10}
+    found["op12_fill_in_middle"] = oracles.OP12
     return found
