@@ -73,6 +73,12 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data_digests
+
+    return personal_data_digests(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fim import fim_digests
 
@@ -81,7 +87,7 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = (op1_warc, op2_fingerprints, op3_ego, op4_lm, op5_simhash, op6_toxicity, op7_packing, op8_mixing, op9_chat, op10_substrings)
-    found += (op12_fill_in_middle,)
+    found += (op11_personal_data, op12_fill_in_middle)
     return {f.__name__: f for f in found}
 
 
