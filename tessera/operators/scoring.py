@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as t
 from ..storage import materialize
@@ -69,6 +72,181 @@ def bm25(posts: DataFrame, stats: DataFrame, terms: DataFrame, query: list[str],
     return summed.join(best, both).withColumn("score", F.round(F.col("raw") / F.col("_best"), DIGITS)).drop("raw", "_best")
 
 
+# --- the best texts by bounds -----------------------------------------------------------------------------
+
+
+class Best:
+    """The ``k`` best texts of each of a set of queries in one corpus, batch by batch, by MaxScore.
+
+    A term's part of a score is less than its weight, qtf x idf x (K1 + 1).  The terms of a query of smallest weight that
+    together stay below its ``k``-th best score so far can't bring in a text alone: texts are found by the other, essential
+    terms, and only those whose sum there and the weights of the rest reach the ``k``-th best are scored in full.
+    Sums run in the order of the terms, so equal texts have equal scores to the last bit.
+    """
+
+    #: Sums that are held at once, and products that are added at once.
+    CELLS, PRODUCTS = 1 << 22, 1 << 22
+
+    def __init__(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, queries: int, terms: int, k: int):
+        order = np.lexsort((term, weight, query))
+        self.query, self.term, self.weight = query[order], term[order], weight[order]
+        self.n, self.terms, self.k = queries, terms, k
+        self.first = np.searchsorted(self.query, np.arange(queries + 1))
+        below = np.concatenate([[0.0], np.cumsum(self.weight)])
+        self.upto = below[1:] - below[self.first[self.query]]  # weights of a query up to each of its terms
+        self.all = below[self.first[1:]] - below[self.first[:-1]]
+        self.by_term = np.argsort(self.term, kind="stable")
+        self.least = np.zeros(queries)  # what a text must reach
+        self.found: list[list[tuple[float, object]]] = [[] for _ in range(queries)]  # (-score, id), the best first
+        self.dense = np.zeros(terms)
+
+    def add(self, ids: list, text: np.ndarray, term: np.ndarray, part: np.ndarray) -> None:
+        """Texts ``ids`` with their postings by text and term; ``part`` is tf / (tf + ..) of each."""
+        step = max(1, self.CELLS // max(1, self.n))
+        ends = np.searchsorted(text, np.arange(len(ids) + 1))
+        at = 0
+        while at < len(ids):
+            reach = np.cumsum(np.bincount(self.term, minlength=self.terms)[term[ends[at] : ends[min(len(ids), at + step)]]])
+            many = int(np.searchsorted(reach, self.PRODUCTS, "right")) + ends[at]
+            until = max(at + 1, min(at + step, int(np.searchsorted(ends, many, "right")) - 1, len(ids)))
+            a, b = ends[at], ends[until]
+            self._add(ids[at:until], text[a:b] - at, term[a:b], part[a:b])
+            at = until
+
+    def _add(self, ids: list, text: np.ndarray, term: np.ndarray, part: np.ndarray) -> None:
+        width = len(ids)
+        essential = self.upto >= self.least[self.query]
+        rest = np.bincount(self.query[~essential], self.weight[~essential], self.n)
+        entry = self.by_term[essential[self.by_term]]
+        many = np.bincount(self.term[entry], minlength=self.terms)
+        start = np.cumsum(many) - many
+        n = many[term]
+        place = np.repeat(start[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        of = entry[place]
+        cell = self.query[of] * width + np.repeat(text, n)
+        sums = np.bincount(cell, self.weight[of] * np.repeat(part, n), self.n * width).reshape(self.n, width)
+        hit = (sums > 0) & (sums + rest[:, None] >= self.least[:, None])
+        ends = np.searchsorted(text, np.arange(width + 1))
+        for q in np.flatnonzero(hit.any(axis=1)).tolist():
+            which = np.flatnonzero(hit[q])
+            score = sums[q, which] if not rest[q] else self._whole(q, which, ends, term, part)
+            good = score >= self.least[q]
+            if good.any():
+                self._merge(q, [(-s, ids[i]) for s, i in zip(score[good].tolist(), which[good].tolist(), strict=True)])
+
+    def _whole(self, q: int, which: np.ndarray, ends: np.ndarray, term: np.ndarray, part: np.ndarray) -> np.ndarray:
+        own = slice(self.first[q], self.first[q + 1])
+        self.dense[self.term[own]] = self.weight[own]
+        n = ends[which + 1] - ends[which]
+        at = np.repeat(ends[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out = np.bincount(np.repeat(np.arange(len(which)), n), self.dense[term[at]] * part[at], len(which))
+        self.dense[self.term[own]] = 0.0
+        return out
+
+    def _merge(self, q: int, new: list[tuple[float, object]]) -> None:
+        """Keeps the best ``k``, and of scores that could be rounded to that of the last the first ``k`` ids each."""
+        every = sorted(self.found[q] + new)
+        if len(every) > self.k:
+            near = every[self.k - 1][0] + 2 * 10.0**-DIGITS * self.all[q]
+            kept, run = every[: self.k], 0
+            last = every[self.k - 1][0]
+            for x in every[self.k :]:
+                if x[0] > near:
+                    break
+                run = run + 1 if x[0] == last else 1
+                if x[0] != every[self.k - 1][0] and run <= self.k:
+                    kept.append(x)
+                last = x[0]
+            every = kept
+        if len(every) >= self.k:
+            self.least[q] = max(0.0, -every[self.k - 1][0] - 2 * 10.0**-DIGITS * self.all[q])
+        self.found[q] = every
+
+
+def bm25_top_k(texts: DataFrame, queries: DataFrame, key: list[str], k: int = 80, corpus: str | None = None) -> DataFrame:
+    """(*key, corpus, id, score): for each query (*key, text) and corpus the ``k`` texts of largest BM25 score above 0, divided by the query's best, ties by id.
+
+    ``texts``: (id, tokens or text) and a column ``corpus``, if it is given, of a few names.  Texts stay where they are: the frequencies of
+    the queries' terms are a small aggregate, then each partition passes on its own ``k`` best of each query (see
+    ``Best``), and only these are shuffled.  QUERIES_PER_PASS queries go through one pass over the texts; the driver and each
+    task hold the terms of one pass.
+    """
+    names = [corpus] if corpus else []
+    told = texts.select(*names, "id", tokens_of(texts, "text").alias("_t"))
+    stats = {r[corpus] if corpus else None: (r["n"], r["avgdl"]) for r in corpus_stats(texts, names).collect()}  # a row a corpus
+    asked = query_terms(queries, key)
+    passes = max(1, -(-queries.count() // QUERIES_PER_PASS))
+    kinds = [texts.schema[c] for c in (*names, "id")]
+    schema = StructType([*queries.select(*key).schema.fields, *kinds, StructField("raw", DoubleType())])
+    arrow = to_arrow_schema(schema)
+    out = None
+    for p in range(passes):
+        own = materialize(asked.where(F.pmod(F.xxhash64(*key), F.lit(passes)) == p), "terms")
+        wanted = own.select("term").distinct()
+        each = told.select(*names, F.explode(F.array_distinct("_t")).alias("term")).join(wanted, "term", "left_semi")
+        counted = each.groupBy(*names, "term").agg(F.count("*").alias("df")).collect()  # at most the terms of a pass, for each corpus
+        entries = own.collect()  # terms of QUERIES_PER_PASS queries
+        vocabulary = sorted({r["term"] for r in entries})
+        number = {term: i for i, term in enumerate(vocabulary)}
+        asks = sorted({tuple(r[c] for c in key) for r in entries})
+        place = {q: i for i, q in enumerate(asks)}
+        q = np.array([place[tuple(r[c] for c in key)] for r in entries], np.int64)
+        t_ = np.array([number[r["term"]] for r in entries], np.int64)
+        qtf = np.array([r["qtf"] for r in entries], np.float64)
+        df = {name: np.zeros(len(vocabulary)) for name in stats}
+        for r in counted:
+            df[r[corpus] if corpus else None][number[r["term"]]] = r["df"]
+        idf = {name: np.log(1 + (stats[name][0] - d + 0.5) / (d + 0.5)) for name, d in df.items()}
+        model = texts.sparkSession.sparkContext.broadcast((vocabulary, asks, q, t_, qtf, idf, {name: float(s[1]) for name, s in stats.items()}))
+
+        def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            vocabulary, asks, q, t_, qtf, idf, length = model.value
+            terms = pa.array(vocabulary, pa.string())
+            best: dict[object, Best] = {}
+            for batch in batches:
+                own = batch.column(0).to_pylist() if corpus else [None] * batch.num_rows
+                for name in dict.fromkeys(own):
+                    part = batch.filter(pa.array([x == name for x in own])) if corpus else batch
+                    if name not in best:
+                        best[name] = Best(q, t_, qtf * idf[name][t_] * (K1 + 1), len(asks), len(vocabulary), k)
+                    text, term, tf, dl = counted_terms(part.column(part.num_columns - 1), terms)
+                    best[name].add(part.column(part.num_columns - 2).to_pylist(), text, term, tf / (tf + K1 * (1 - B + B * dl / max(1.0, length[name]))))
+            for name, b in best.items():
+                rows = [(*asks[i], *([name] if corpus else []), x[1], -x[0]) for i, found in enumerate(b.found) for x in found]
+                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in arrow]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        found = told.mapInArrow(run, schema) if vocabulary else told.sparkSession.createDataFrame([], schema)
+        found = materialize(found, "best")
+        out = found if out is None else out.unionByName(found)
+    top = out.groupBy(*key, *names).agg(F.max("raw").alias("_best"))
+    scored = out.join(top, [*key, *names]).withColumn("score", F.round(F.col("raw") / F.col("_best"), DIGITS)).drop("raw", "_best")
+    order = Window.partitionBy(*key, *names).orderBy(F.desc("score"), "id")
+    return scored.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+
+
+def filled_top_k(texts: DataFrame, queries: DataFrame, key: list[str], k: int) -> DataFrame:
+    """(*key, id, score, rank): the first ``k`` texts of each query by (-score, id), those without a match score 0.
+
+    Texts without a match come by id, so the first ``k`` ids are all that can be needed of them.
+    """
+    head = texts.select("id").orderBy("id").limit(k)
+    zeros = queries.select(*key).crossJoin(F.broadcast(head)).withColumn("score", F.lit(0.0))  # ``k`` rows
+    both = bm25_top_k(texts, queries, key, k).unionByName(zeros).groupBy(*key, "id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy(*key).orderBy(F.desc("score"), "id")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def counted_terms(tokens: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, tf, dl) of the tokens that are among ``terms``, by text and term."""
+    dl = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    found = pc.fill_null(pc.index_in(tokens.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    text = np.repeat(np.arange(len(dl)), dl)
+    cell, tf = np.unique((text * len(terms) + found)[found >= 0], return_counts=True)
+    text, term = cell // max(1, len(terms)), cell % max(1, len(terms))
+    return text, term, tf.astype(np.float64), dl[text].astype(np.float64)
+
+
 # --- dense similarity ---------------------------------------------------------------------------------
 
 

@@ -111,24 +111,21 @@ def subqueries(queries: DataFrame, config: Settings) -> DataFrame:
 
 def ranked_lists(index: Index, queries: DataFrame, config: Settings, embedder: scoring.Embedder | None = None) -> DataFrame:
     """(qid, sub, field, id, score, rank): the first ``candidate_k`` of every list of every clause."""
-    subs = subqueries(queries, config)
+    subs = materialize(subqueries(queries, config), "clauses")
     # every branch below reads the tokens, which are made once
     texts = materialize(field_texts(index, config).select("field", "id", t.content_tokens(F.col("text")).alias("tokens")), "fields")
-    terms = materialize(scoring.query_terms(subs, ["qid", "sub"]), "terms")
-    posts = scoring.postings(texts, ["field", "id"], terms=terms)
-    stats = scoring.corpus_stats(texts, ["field"])
     some = texts.where(F.col("field").isin(*ENRICHED) & (F.size("tokens") > 0)).select("field").distinct()
     always = [f for f in ("title", "body", "metadata", "graph") if f != "graph" or config.use_graph]
     fields = subs.sparkSession.createDataFrame([(f,) for f in always], "field string").unionByName(some)
-    scored = scoring.bm25(posts, stats, terms, ["qid", "sub"], ["field"], ["id"])
+    scored = scoring.bm25_top_k(texts, subs, ["qid", "sub"], config.candidate_k, "field")
     scored = scored.join(F.broadcast(fields), "field")  # at most eight names
     head = index.documents.select("id").orderBy("id").limit(config.candidate_k)
     lists = subs.select("qid", "sub").crossJoin(F.broadcast(fields.unionByName(subs.sparkSession.createDataFrame([("dense",)], "field string"))))
     zeros = lists.crossJoin(F.broadcast(head)).withColumn("score", F.lit(0.0))  # ``candidate_k`` rows
-    # the first of a union are among the first of its parts; only these meet
+    # the first of a union are among the first of its parts; only these are here
     order = Window.partitionBy("qid", "sub", "field").orderBy(F.desc("score"), "id")
     first = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.candidate_k)
-    every = first(scored.select("qid", "sub", "field", "id", "score")).drop("rank").unionByName(zeros.select("qid", "sub", "field", "id", "score"))
+    every = scored.select("qid", "sub", "field", "id", "score").unionByName(zeros.select("qid", "sub", "field", "id", "score"))
     if config.use_dense:
         embedder = embedder or models.embedder(config)
         bodies = texts.where("field = 'body'").select("id", "tokens")

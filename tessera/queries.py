@@ -509,16 +509,7 @@ _TOP = (
 
 def bm25_top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), t.content_tokens(F.col("text")).alias("tokens"))
-    texts = materialize(docs, "bodies")
-    queries = asked(spark, sf_dir)
-    terms = materialize(scoring.query_terms(queries, ["qid"]), "terms")
-    scored = scoring.bm25(scoring.postings(texts, ["id"], terms=terms), scoring.corpus_stats(texts, []), terms, ["qid"], [], ["id"])
-    head = texts.select("id").orderBy("id").limit(k)
-    zeros = queries.select("qid").crossJoin(F.broadcast(head)).withColumn("score", F.lit(0.0))  # k rows
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    first = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    best = first(scored.select("qid", "id", "score")).drop("rank").unionByName(zeros)  # the first of a union are among the first of its parts
-    return first(best.groupBy("qid", "id").agg(F.max("score").alias("score")))
+    return scoring.filled_top_k(materialize(docs, "bodies"), asked(spark, sf_dir), ["qid"], k)
 
 
 @query(_TOP.format(_BODY, k=80))
