@@ -71,6 +71,11 @@ def merge_edges(rows: DataFrame) -> DataFrame:
         in_order(F.struct("ord", F.col("unit_id").alias("value"))).alias("text_unit_ids"),
         in_order(F.struct("ord", F.col("document_id").alias("value"))).alias("source_docs"),
     )
+    return described_edges(grouped)
+
+
+def described_edges(grouped: DataFrame) -> DataFrame:
+    """Edges from groups (source_key, target_key, relation, f: the first row's values, weight, text_unit_ids, source_docs)."""
     return grouped.select(
         t.stable_id("edge", F.col("source_key"), F.col("target_key"), F.col("relation")).alias("id"),
         "f.source", "f.target", "relation", F.col("f.evidence").alias("description"), "weight", "text_unit_ids",

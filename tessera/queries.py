@@ -932,3 +932,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = windowed_events(table(spark, sf_dir, "events"))
     return found.select(F.col("window.start").alias("ts_hour"), "event_type", "n", rounded(F.col("mean_value")).alias("mean_value"))
+
+
+#: Pieces of SQL for those who report on the same rankings and edges: the scores ``bm`` (qid, id, score) after WITH, evidence, calibrated edges.
+BODY_SQL, GOLD_SQL, CALIBRATED_SQL = _BODY, _GOLD, _CAL

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as t
 from ..operators.chunking import chunk_documents
-from ..operators.extraction import relation_rows
+from ..operators.extraction import described_edges, relation_rows
 
 
 def stream_rows(documents: DataFrame, chunk_size: int = 600, overlap: int = 100) -> DataFrame:
@@ -26,6 +26,26 @@ def edge_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy(t.casefold(F.col("source")).alias("source_key"), t.casefold(F.col("target")).alias("target_key"), "relation").agg(F.count("*").alias("weight"))
 
 
+def edge_parts(rows: DataFrame) -> DataFrame:
+    """Edges of some relation rows in a form that merges with those of others (see ``merged_parts``).
+
+    (source_key, target_key, relation, first: the values of the first row, weight, units and docs: each with its first place).
+    """
+    first = F.min_by(F.struct("ord", "source", "target", "evidence", "evidence_type", "llm_conf", "ontology_ok"), "ord")
+    placed = lambda c: F.collect_set(F.struct("ord", F.col(c).alias("value")))
+    keys = {"source_key": t.casefold(F.col("source")), "target_key": t.casefold(F.col("target"))}
+    return rows.withColumns(keys).groupBy(*keys, "relation").agg(first.alias("first"), F.count("*").cast("double").alias("weight"), placed("unit_id").alias("units"), placed("document_id").alias("docs"))
+
+
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """The edges that ``merge_edges`` gives for the rows of all parts together, in whatever pieces they came."""
+    listed = lambda c: F.array_distinct(F.transform(F.sort_array(F.flatten(F.collect_list(c))), lambda x: x["value"]))
+    grouped = parts.groupBy("source_key", "target_key", "relation").agg(
+        F.min_by("first", "first.ord").alias("f"), F.sum("weight").alias("weight"), listed("units").alias("text_unit_ids"), listed("docs").alias("source_docs")
+    )
+    return described_edges(grouped)
+
+
 def windowed_events(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and mean values of events (ts, event_type, value) per window, with a watermark for late rows."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
