@@ -93,7 +93,8 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> object:
         sinks.write_json(spark, f"{a.output}/manifest.json", value)
         return value["counts"] | (how.stats or {})
     if a.command == "enrich":
-        enrich_index(Index.load(spark, a.index), enrichment.RuleClient() if a.offline else service(a.dotenv), a.steps).save(a.output)
+        answers = enrichment.Answers(spark, f"{a.output}/llm_answers")
+        enrich_index(Index.load(spark, a.index), enrichment.RuleClient() if a.offline else service(a.dotenv), a.steps, answers).save(a.output)
         value = sinks.manifest(Index.load(spark, a.output), enriched=True, source_index=a.index, steps=a.steps or list(enrichment.STEPS))
         sinks.write_json(spark, f"{a.output}/manifest.json", value)
         return value["counts"]

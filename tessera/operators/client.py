@@ -2,7 +2,8 @@
 
 The service is any that speaks the common chat-completions format over HTTP.  The client is picklable: it
 is sent to the executors with the prompts (see ``enrichment.ask``), holds no connection and logs nothing
-by itself; what happened in each attempt goes to ``record``, if there is one, and into the error.
+by itself; what happened in each attempt goes to ``record``, if there is one, and into the error.  ``enrichment.ask`` records
+the attempts of every prompt and writes them beside its answer.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from ..functions.jsonrepair import parse_object
 # ``PREFIX`` and the name in capitals.
 PREFIX = "OPENROUTER_"
 TEXT_MARK = "\nText:\n"
-#: Characters of a malformed answer that go into the prompt to correct it, and what a shortened text keeps at least.
+# Characters of a malformed answer that go into the prompt to correct it, and what a shortened text keeps at least.
 SHOWN, KEPT = 6000, 1000
 
 
@@ -99,6 +100,10 @@ class ServiceClient:
             raise RuntimeError(f"{PREFIX}API_KEY is not set")
         self.transport, self.record, self.sleep = transport, record, sleep
 
+    def recording(self, record: Callable[[dict], None]) -> ServiceClient:
+        """The same client with another recorder of its attempts."""
+        return ServiceClient(self.settings, self.transport, record, self.sleep)
+
     def prompts(self, prompt: str, answers: list[str]) -> Iterator[str]:
         """What to ask in each attempt; ``answers`` holds the malformed answers so far.
 
@@ -107,14 +112,14 @@ class ServiceClient:
         last = self.settings.retries - 1
         for attempt in range(self.settings.retries):
             if attempt == 1 and answers:
-                yield f"{prompt}\n\nThe answer below is not valid JSON. Give the whole corrected JSON object and nothing else.\n{answers[-1][:SHOWN]}"
+                yield f"{prompt}\n\nWhat you said last could not be read as JSON; it follows. Say it again as one valid JSON object, without any other text.\n{answers[-1][:SHOWN]}"
             elif attempt == last and attempt and self.settings.retry_shorter_input:
                 yield shortened(prompt)
             else:
                 yield prompt
 
     def payload(self, system: str, prompt: str, schema_hint: str | None) -> dict:
-        told = system + (f"\n\nJSON schema hint:\n{schema_hint}" if schema_hint else "")
+        told = system + (f"\n\nShape of the JSON object:\n{schema_hint}" if schema_hint else "")
         return {
             "model": self.settings.model, "temperature": self.settings.temperature, "max_tokens": self.settings.max_tokens,
             "messages": [{"role": "system", "content": told}, {"role": "user", "content": prompt}], "response_format": {"type": "json_object"},

@@ -1,23 +1,26 @@
 """Enrichment of the graph by a text-generation client, and extraction by such a client.
 
 A client is any object with ``chat_json(system, user, schema_hint) -> dict`` that can be pickled.  Prompts are
-a table; ``ask`` sends them from the executors, a few at a time per task, and gives answers or errors, so
-a failed prompt leaves its row as it was.
+a table; ``ask`` sends them from the executors, a few at a time per task, and writes answers or errors before anything
+reads them, so a prompt is paid for once and a failed one leaves its row as it was.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as r
 from ..functions import text as t
+from ..storage import materialize, scratch_path
 from . import graph
 
 STEPS = ("questions", "summaries", "importance", "contradictions", "entities", "infer")
@@ -59,24 +62,93 @@ class RuleClient:
         return {"entities": [], "relationships": []}
 
 
-def ask(prompts: DataFrame, client: Client, step: str, key: list[str], workers: int = 12) -> DataFrame:
-    """(*key, answer, error) for prompts (*key, prompt): the JSON of the answer, or what went wrong."""
+#: Prompts whose answers are committed together, and prompts of a task.
+PER_COMMIT, PER_TASK = 20_000, 200
+
+
+class Answers:
+    """What a client said, a row a prompt: a Parquet table at ``path`` to which each commit of about ``per_commit`` prompts is appended.
+
+    Nothing that was answered is asked again: a run that is killed leaves all commits but the one at work, and the next one asks for the rest.
+    Failed prompts are rows too, with the error and what became of each attempt; they are asked again by the next run.  Without
+    ``resume`` a run uses only its own answers.  Without ``path`` the table is scratch data.
+    """
+
+    FIELDS = "digest string, step string, run string, answer string, error string, attempts string"
+
+    def __init__(self, spark: SparkSession, path: str | None = None, resume: bool = True, per_commit: int = PER_COMMIT):
+        self.spark, self.path, self.resume, self.per_commit = spark, path or scratch_path(spark, "answers"), resume, per_commit
+        self.run = uuid.uuid4().hex
+
+    def rows(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.FIELDS).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.FIELDS)
+
+    def known(self, step: str, usable: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """(digest, answer) of what was answered, once for each prompt; only ``usable`` ones, if it is given."""
+        good = self.rows().where((F.col("step") == step) & F.col("error").isNull())
+        good = (good if self.resume else good.where(F.col("run") == self.run)).select("digest", "answer")
+        return (usable(good) if usable else good).groupBy("digest").agg(F.min("answer").alias("answer"))
+
+    def told(self, step: str) -> DataFrame:
+        """(digest, answer, error) of the prompts of a step that were asked in this run."""
+        return self.rows().where((F.col("step") == step) & (F.col("run") == self.run)).select("digest", "answer", "error").dropDuplicates(["digest"])
+
+    def attempts(self) -> DataFrame:
+        """(step, run, digest, attempt, model, status, error, finish_reason, usage, content): the log of a client that tells of its attempts."""
+        told = F.from_json("attempts", "array<struct<attempt:int,model:string,status:string,error:string,finish_reason:string,usage:string,content:string>>")
+        return self.rows().select("step", "run", "digest", F.explode(told).alias("a")).select("step", "run", "digest", "a.*")
+
+
+def asking(client: Client, step: str, workers: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Sends prompts (digest, prompt), ``workers`` at a time, and gives (digest, answer, error, attempts)."""
     system, hint = INSTRUCTIONS[step]
 
-    def one(prompt: str) -> tuple[str | None, str | None]:
+    def one(prompt: str) -> tuple[str | None, str | None, str | None]:
+        tried: list[dict] = []
+        own = client.recording(tried.append) if hasattr(client, "recording") else client
+        told = lambda: json.dumps(tried, ensure_ascii=False, default=str) if tried else None
         try:
-            return json.dumps(client.chat_json(system, prompt, hint), ensure_ascii=False), None
+            return json.dumps(own.chat_json(system, prompt, hint), ensure_ascii=False), None, told()
         except Exception as e:  # noqa: BLE001 - any failure of a client is a failed prompt
-            return None, f"{type(e).__name__}: {e}"
+            return None, f"{type(e).__name__}: {e}", told()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(workers) as pool:
             for pdf in batches:
                 told = list(pool.map(one, pdf["prompt"]))
-                yield pdf[key].assign(answer=[x[0] for x in told], error=[x[1] for x in told])
+                yield pdf[["digest"]].assign(**{c: [x[i] for x in told] for i, c in enumerate(("answer", "error", "attempts"))})
+
+    return run
 
-    schema = prompts.select(*key).schema.add("answer", "string").add("error", "string")
-    return prompts.select(*key, "prompt").mapInPandas(run, schema)
+
+def ask(prompts: DataFrame, client: Client, step: str, key: list[str], answers: Answers | None = None, usable: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(*key, answer, error) for prompts (*key, prompt): the JSON of the answer, or what went wrong.
+
+    Every distinct prompt is asked at most once: what has no usable answer yet is asked and written here, when ``ask`` is called, and the result
+    only reads the table.  ``usable``: keeps those of (digest, answer) that need not be asked for again.
+    """
+    system, hint = INSTRUCTIONS[step]
+    answers = answers or Answers(prompts.sparkSession)
+    name = F.sha2(F.concat_ws("\x1f", F.lit(step), F.lit(system), F.lit(hint), F.col("prompt")), 256)
+    told = materialize(prompts.select(*key, t.nvl("prompt").alias("prompt")).withColumn("digest", name), "prompts")
+    known = answers.known(step, usable)
+    pending = materialize(told.select("digest", "prompt").dropDuplicates(["digest"]).join(known.select("digest"), "digest", "left_anti"), "pending")
+    n = pending.count()
+    commits = -(-n // answers.per_commit)
+    workers = getattr(getattr(client, "settings", None), "workers", 12)
+    tasks = max(1, min(prompts.sparkSession.sparkContext.defaultParallelism, -(-n // max(1, commits) // PER_TASK)))
+    for c in range(commits):
+        part = pending.where(F.pmod(F.xxhash64("digest"), F.lit(commits)) == c).repartition(tasks, "digest")
+        said = part.mapInPandas(asking(client, step, workers), "digest string, answer string, error string, attempts string")
+        said.withColumns({"step": F.lit(step), "run": F.lit(answers.run)}).write.mode("append").parquet(answers.path)
+    good = answers.known(step, usable).withColumn("error", F.lit(None).cast("string"))
+    rest = answers.told(step).join(good.select("digest"), "digest", "left_anti")
+    return told.join(good.unionByName(rest), "digest").select(*key, "answer", "error")
 
 
 def lines(*parts: tuple[str, Column | str]) -> Column:
@@ -88,39 +160,39 @@ def spaced(relation: str = "relation") -> Column:
     return F.replace(F.col(relation), F.lit("_"), F.lit(" "))
 
 
-def _edge_step(edges: DataFrame, client: Client, step: str, prompt: Column, schema: str, values: dict[str, Column]) -> DataFrame:
-    told = ask(edges.select("id", prompt.alias("prompt")), client, step, ["id"])
+def _edge_step(edges: DataFrame, client: Client, answers: Answers | None, step: str, prompt: Column, schema: str, values: dict[str, Column]) -> DataFrame:
+    told = ask(edges.select("id", prompt.alias("prompt")), client, step, ["id"], answers)
     parsed = told.select("id", F.from_json("answer", schema).alias("a"))
     return edges.join(parsed, "id", "left").withColumns(values).select(*edges.columns)
 
 
-def enrich_questions(edges: DataFrame, client: Client) -> DataFrame:
+def enrich_questions(edges: DataFrame, client: Client, answers: Answers | None = None) -> DataFrame:
     prompt = lines(("Fact", F.concat("source", F.lit(" "), spaced(), F.lit(" "), "target", F.lit("."))), ("Description", "description"), ("Evidence", "evidence_text"))
     good = F.filter(F.col("a.questions"), lambda q: q.isNotNull() & (q != ""))
-    return _edge_step(edges, client, "questions", prompt, "questions array<string>", {"generated_questions": F.coalesce(good, "generated_questions")})
+    return _edge_step(edges, client, answers, "questions", prompt, "questions array<string>", {"generated_questions": F.coalesce(good, "generated_questions")})
 
 
-def enrich_summaries(edges: DataFrame, client: Client) -> DataFrame:
+def enrich_summaries(edges: DataFrame, client: Client, answers: Answers | None = None) -> DataFrame:
     triple = F.concat(F.lit("("), "source", F.lit(", "), "relation", F.lit(", "), "target", F.lit(")"))
     prompt = lines(("Triple", triple), ("Evidence", "evidence_text"), ("Description", "description"))
-    return _edge_step(edges, client, "summaries", prompt, "summary string", {"semantic_summary": F.coalesce(F.nullif("a.summary", F.lit("")), "semantic_summary")})
+    return _edge_step(edges, client, answers, "summaries", prompt, "summary string", {"semantic_summary": F.coalesce(F.nullif("a.summary", F.lit("")), "semantic_summary")})
 
 
-def enrich_importance(edges: DataFrame, client: Client) -> DataFrame:
+def enrich_importance(edges: DataFrame, client: Client, answers: Answers | None = None) -> DataFrame:
     prompt = lines(("Fact", F.concat("source", F.lit(" "), spaced(), F.lit(" "), "target")), ("Evidence", "evidence_text"))
     clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("a.importance", F.lit(0.5))))
-    return _edge_step(edges, client, "importance", prompt, "importance double", {"importance": F.when(F.col("a").isNotNull(), clipped).otherwise(F.col("importance"))})
+    return _edge_step(edges, client, answers, "importance", prompt, "importance double", {"importance": F.when(F.col("a").isNotNull(), clipped).otherwise(F.col("importance"))})
 
 
-def enrich_contradictions(edges: DataFrame, client: Client) -> DataFrame:
+def enrich_contradictions(edges: DataFrame, client: Client, answers: Answers | None = None) -> DataFrame:
     """Marks the edges that the client names, in pairs of entities with two edges or more."""
     keyed = edges.withColumns({"_s": t.casefold(F.col("source")), "_t": t.casefold(F.col("target"))})
     fact = F.concat(F.lit("- ["), "id", F.lit("] "), "source", F.lit(" "), "relation", F.lit(" "), "target", F.lit(": "), "description")
     told = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "id", fact.alias("f")))), lambda x: x["f"]), "\n")
     groups = keyed.groupBy("_s", "_t").agg(told.alias("facts"), F.min_by(F.struct("source", "target"), "ord").alias("p"), F.count("*").alias("n")).where("n >= 2")
     prompt = F.concat(F.lit("Entity pair: ("), "p.source", F.lit(", "), "p.target", F.lit(")\nEdges:\n"), "facts")
-    answers = ask(groups.select("_s", "_t", prompt.alias("prompt")), client, "contradictions", ["_s", "_t"])
-    parsed = answers.select("_s", "_t", F.from_json("answer", "has_contradiction boolean, explanation string, conflicting_ids array<string>").alias("a")).where("a.has_contradiction")
+    said = ask(groups.select("_s", "_t", prompt.alias("prompt")), client, "contradictions", ["_s", "_t"], answers)
+    parsed = said.select("_s", "_t", F.from_json("answer", "has_contradiction boolean, explanation string, conflicting_ids array<string>").alias("a")).where("a.has_contradiction")
     bad = parsed.select("_s", "_t", F.explode("a.conflicting_ids").alias("id"), t.nvl("a.explanation").alias("_x")).dropDuplicates(["_s", "_t", "id"])
     marked = keyed.join(bad, ["_s", "_t", "id"], "left")
     return marked.withColumns(
@@ -128,15 +200,17 @@ def enrich_contradictions(edges: DataFrame, client: Client) -> DataFrame:
     ).select(*edges.columns)
 
 
-def enrich_entities(entities: DataFrame, edges: DataFrame, client: Client, context: int = 10) -> DataFrame:
+def enrich_entities(entities: DataFrame, edges: DataFrame, client: Client, context: int = 10, answers: Answers | None = None) -> DataFrame:
     """Descriptions, aliases and categories of the entities that have edges; at most ``context`` facts go into a prompt."""
     fact = F.concat("source", F.lit(" "), "relation", F.lit(" "), "target", F.lit(": "), "description")
     ends = edges.select("ord", "id", fact.alias("f"), F.posexplode(F.array("source", "target")).alias("end", "e")).withColumn("_k", t.casefold(F.col("e")))
-    facts = F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("ord", "id", "end", "f"))), 1, context), lambda x: x["f"]), "\n")
+    facts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "id", "end", "f"))), lambda x: x["f"]), "\n")
+    first = Window.partitionBy("_k").orderBy("ord", "id", "end")  # the first are picked out before a hub's facts meet
+    ends = ends.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= context)
     known = ends.groupBy("_k").agg(facts.alias("facts"))
     keyed = entities.withColumn("_k", t.casefold(F.col("title"))).join(known, "_k")
     prompt = lines(("Entity", "title"), ("Type", "type"), ("Current description", "description"), ("Graph context", "facts"))
-    told = ask(keyed.select("id", prompt.alias("prompt")), client, "entities", ["id"])
+    told = ask(keyed.select("id", prompt.alias("prompt")), client, "entities", ["id"], answers)
     parsed = told.select("id", F.from_json("answer", "description string, aliases array<string>, category string").alias("a"))
     return entities.join(parsed, "id", "left").withColumns(
         {
@@ -147,7 +221,7 @@ def enrich_entities(entities: DataFrame, edges: DataFrame, client: Client, conte
     ).select(*entities.columns)
 
 
-def enrich_inference(edges: DataFrame, client: Client, max_paths: int = 200) -> DataFrame:
+def enrich_inference(edges: DataFrame, client: Client, max_paths: int = 200, answers: Answers | None = None) -> DataFrame:
     """``edges`` and the edges that the client infers from chains of two."""
     pairs = graph.inference_pairs(edges, limit=max_paths)
     fact = F.concat("source", F.lit(" "), "relation", F.lit(" "), "target", F.lit(": "), "description")
@@ -155,26 +229,27 @@ def enrich_inference(edges: DataFrame, client: Client, max_paths: int = 200) ->
     b = edges.select(F.col("id").alias("next_id"), fact.alias("_f2"), F.col("target").alias("_to"))
     prompt = F.concat(F.lit("Path:\n1. "), "_f1", F.lit("\n2. "), "_f2", F.lit("\n\nEnds: "), "_from", F.lit(" and "), "_to")
     asked = pairs.join(a, "seed_id").join(b, "next_id").select("seed_id", "next_id", "k", prompt.alias("prompt"))
-    told = ask(asked, client, "infer", ["seed_id", "next_id", "k"])
+    told = ask(asked, client, "infer", ["seed_id", "next_id", "k"], answers)
     parsed = told.select("seed_id", "next_id", "k", F.from_json("answer", "inferred struct<relation:string,description:string,confidence:double>").alias("a"))
-    answers = parsed.where("a.inferred is not null").select("seed_id", "next_id", "k", "a.inferred.relation", "a.inferred.description", "a.inferred.confidence")
+    inferred = parsed.where("a.inferred is not null").select("seed_id", "next_id", "k", "a.inferred.relation", "a.inferred.description", "a.inferred.confidence")
     last = edges.agg(F.max("ord").alias("_last"))  # one row; what is inferred comes after all that is told
-    new = graph.infer_edges(edges, answers).crossJoin(F.broadcast(last))
+    new = graph.infer_edges(edges, inferred).crossJoin(F.broadcast(last))
     ordinal = F.col("_last").withField("group", F.lit(9)).withField("k", F.row_number().over(Window.orderBy("id")))  # at most ``max_paths`` rows
     new = new.withColumn("ord", ordinal.cast(edges.schema["ord"].dataType)).drop("_last")
     return edges.unionByName(new, allowMissingColumns=True).withColumns({"generated_questions": F.coalesce("generated_questions", F.array().cast("array<string>")), "semantic_summary": t.nvl("semantic_summary")})
 
 
-def enrich_graph(entities: DataFrame, edges: DataFrame, client: Client, steps: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Runs the named steps (none named: all; unknown names are ignored) in the order of STEPS."""
+def enrich_graph(entities: DataFrame, edges: DataFrame, client: Client, steps: list[str] | None = None, answers: Answers | None = None) -> tuple[DataFrame, DataFrame]:
+    """Runs the named steps (none named: all; unknown names are ignored) in the order of STEPS; the edges are written after each."""
     active = set(steps) & set(STEPS) if steps else set(STEPS)
+    answers = answers or Answers(edges.sparkSession)
     for step, run in (("questions", enrich_questions), ("summaries", enrich_summaries), ("importance", enrich_importance), ("contradictions", enrich_contradictions)):
         if step in active:
-            edges = run(edges, client)
+            edges = materialize(run(edges, client, answers), "edges")
     if "entities" in active:
-        entities = enrich_entities(entities, edges, client)
+        entities = enrich_entities(entities, edges, client, answers=answers)
     if "infer" in active:
-        edges = enrich_inference(edges, client)
+        edges = enrich_inference(edges, client, answers=answers)
     return entities, edges
 
 
@@ -200,6 +275,12 @@ def validate_payload(answers: DataFrame) -> DataFrame:
     return kept.withColumn("payload", payload).withColumn("error", error).drop("p", "_e", "_r", "answer")
 
 
+def valid_answers(answers: DataFrame) -> DataFrame:
+    """Those of (digest, answer) that are valid payloads."""
+    kept = answers.withColumn("_kept", F.col("answer")).withColumn("error", F.lit(None).cast("string"))
+    return validate_payload(kept).where("error is null").select("digest", F.col("_kept").alias("answer"))
+
+
 def payload_rows(payloads: DataFrame, units: DataFrame) -> DataFrame:
     """Relation rows (as of ``extraction.relation_rows``) from payloads (unit_id, payload); names take the first spelling of their key."""
     base = payloads.select("unit_id", "payload").join(units.select(F.col("id").alias("unit_id"), "document_id", "position", F.col("text").alias("_unit")), "unit_id")
@@ -229,12 +310,14 @@ def payload_rows(payloads: DataFrame, units: DataFrame) -> DataFrame:
     )
 
 
-def extract_with_client(units: DataFrame, documents: DataFrame, client: Client, cache: DataFrame | None = None, max_units: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(payloads (unit_id, document_id, payload), errors (unit_id, document_id, error)).
+def extract_with_client(
+    units: DataFrame, documents: DataFrame, client: Client, cache: DataFrame | None = None, max_units: int | None = None, answers: Answers | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(payloads (unit_id, document_id, payload), errors (unit_id, document_id, error)); every unit is in one of them.
 
-    ``cache`` (unit_id, answer): earlier answers, which are used again if they are valid; only the other units are asked.
-    ``max_units``: so many units by document and position.
-    """
+    ``cache`` (unit_id, answer): answers given by unit, which are used again if they are valid.  ``answers``: the table of what was answered
+    before and is now; what is valid there is not asked for again either.  ``max_units``: so many units by document and position.
+    """
     if max_units:
         units = units.orderBy("document_id", "position").limit(max_units)
     titles = documents.select(F.col("id").alias("document_id"), F.col("title").alias("_title"))
@@ -243,18 +326,13 @@ def extract_with_client(units: DataFrame, documents: DataFrame, client: Client,
     known = None
     if cache is not None:
         kept = units.select(F.col("id").alias("unit_id"), "document_id").join(cache, "unit_id").withColumn("error", F.lit(None).cast("string"))
-        known = validate_payload(kept.select("unit_id", "document_id", "answer", "error")).where("error is null")
+        known = materialize(validate_payload(kept.select("unit_id", "document_id", "answer", "error")).where("error is null"), "known")
         prompts = prompts.join(known.select("unit_id"), "unit_id", "left_anti")
-    told = validate_payload(ask(prompts, client, "extract", ["unit_id", "document_id"]))
-    every = told if known is None else told.unionByName(known)
+    told = validate_payload(ask(prompts, client, "extract", ["unit_id", "document_id"], answers, valid_answers))
+    every = materialize(told if known is None else told.unionByName(known), "payloads")  # payloads and errors are parts of one table
     return every.where("error is null").select("unit_id", "document_id", "payload"), every.where("error is not null").select("unit_id", "document_id", "error")
 
 
-def answers(payloads: DataFrame) -> DataFrame:
-    """(unit_id, answer): valid payloads as the answers that a later extraction can use again."""
-    return payloads.select("unit_id", F.to_json("payload").alias("answer"))
-
-
 def upsert_errors(log: DataFrame, errors: DataFrame, resolved: DataFrame) -> DataFrame:
     """The error log without the units that are resolved or have failed anew, and the new failures."""
     gone = resolved.select("unit_id").unionByName(errors.select("unit_id")).distinct()

@@ -62,7 +62,7 @@ def with_document_fields(documents: DataFrame) -> DataFrame:
 
 @dataclass
 class Extraction:
-    """How to extract: by rules, or by a client whose answers are kept under ``path`` and used again (``resume``).
+    """How to extract: by rules, or by a client whose answers are kept under ``path``, as they come, and used again (``resume``).
 
     ``max_units``: only so many units, by document and position.  ``stats`` says how the client's units went.
     """
@@ -77,20 +77,18 @@ class Extraction:
     def rows(self, units: DataFrame, documents: DataFrame, supplied: DataFrame | None) -> DataFrame:
         if self.client is None:
             return extraction.relation_rows(units, supplied)
-        cache = read_table(units.sparkSession, f"{self.path}/llm_cache") if self.path and self.resume else None
-        payloads, errors = enrichment.extract_with_client(units, documents, self.client, cache, self.max_units)
-        payloads, errors = materialize(payloads, "payloads"), materialize(errors, "errors")  # the client is asked once
+        answers = enrichment.Answers(units.sparkSession, f"{self.path}/llm_answers" if self.path else None, self.resume)
+        payloads, errors = enrichment.extract_with_client(units, documents, self.client, None, self.max_units, answers)
         failed = errors.count()
-        if failed and not self.continue_on_error:
-            raise RuntimeError(f"{failed} units failed: {errors.first()['error']}")
         if self.path:
             log = read_table(units.sparkSession, f"{self.path}/llm_errors")
-            if log is not None:
-                errors = materialize(enrichment.upsert_errors(log, errors, payloads), "errors")
-            enrichment.answers(payloads).write.mode("overwrite").parquet(f"{self.path}/llm_cache")
-            errors.write.mode("overwrite").parquet(f"{self.path}/llm_errors")
-        known = 0 if cache is None else payloads.join(cache.select("unit_id").distinct(), "unit_id", "left_semi").count()
-        self.stats = {"successful_units": payloads.count(), "cached_units": known, "failed_units": failed}
+            told = errors if log is None else materialize(enrichment.upsert_errors(log, errors, payloads), "errors")
+            told.write.mode("overwrite").parquet(f"{self.path}/llm_errors")
+        if failed and not self.continue_on_error:
+            raise RuntimeError(f"{failed} units failed: {errors.first()['error']}")
+        good = payloads.count()
+        asked = enrichment.valid_answers(answers.told("extract").where("error is null").select("digest", "answer")).count()
+        self.stats = {"successful_units": good, "cached_units": good - asked, "failed_units": failed}
         return enrichment.payload_rows(payloads, units)
 
 
@@ -133,9 +131,9 @@ def finalize_enriched(index: Index, entities: DataFrame, edges: DataFrame) -> In
     return Index(index.documents, index.units, entities, edges, communities.communities(members, edges), communities.reports(members, edges))
 
 
-def enrich_index(index: Index, client: enrichment.Client, steps: list[str] | None = None) -> Index:
-    """The index after the named enrichment steps (none named: all)."""
-    entities, edges = enrichment.enrich_graph(index.entities, index.edges, client, steps)
+def enrich_index(index: Index, client: enrichment.Client, steps: list[str] | None = None, answers: enrichment.Answers | None = None) -> Index:
+    """The index after the named enrichment steps (none named: all); ``answers``: where what the client says is kept and used again."""
+    entities, edges = enrichment.enrich_graph(index.entities, index.edges, client, steps, answers)
     return finalize_enriched(index, materialize(entities, "entities"), materialize(edges, "edges"))
 
 

@@ -37,7 +37,7 @@ def test_an_answer_is_repaired_and_asked_for_again():
     service = Service("no json", '{"a": [1, {"b": "x')
     c, waits, told = made(service)
     assert c.chat_json("s", "u", "{}") == {"a": [1, {"b": "x"}]}
-    assert service.asked[0]["messages"] == [{"role": "system", "content": "s\n\nJSON schema hint:\n{}"}, {"role": "user", "content": "u"}]
+    assert service.asked[0]["messages"] == [{"role": "system", "content": "s\n\nShape of the JSON object:\n{}"}, {"role": "user", "content": "u"}]
     assert service.asked[1]["messages"][1]["content"].startswith("u\n\n") and service.asked[1]["messages"][1]["content"].endswith("\nno json")
     assert waits == [1] and [t["status"] for t in told] == ["malformed", "success"] and told[0]["content"] == "no json"
 

@@ -96,3 +96,128 @@ def test_payloads_without_good_rows_are_errors(spark, answer):
     df = spark.createDataFrame([("u", answer, None)], "unit_id string, answer string, error string")
     row = enrichment.validate_payload(df).first()
     assert row.payload is None and row.error
+
+
+# --- asked once -------------------------------------------------------------------------------------------
+
+
+class Counting:
+    """Notes every call in a folder, as calls come from workers; ``fails``: how many calls fail before all others are answered."""
+
+    def __init__(self, folder, fails=0, dies_at=None):
+        self.folder, self.fails, self.dies_at = str(folder), fails, dies_at
+
+    def chat_json(self, system, user, schema_hint=None):
+        import os
+        import uuid
+
+        with open(os.path.join(self.folder, uuid.uuid4().hex), "w") as f:
+            f.write(user)
+        n = len(os.listdir(self.folder))
+        if self.dies_at and n >= self.dies_at:
+            os._exit(1)
+        if n <= self.fails:
+            raise TimeoutError("busy")
+        if '"entities"' in schema_hint:
+            name = user.split("\nText:\n")[1].split()[0]
+            return {"entities": [], "relationships": [{"source": name, "target": "Town", "relation": "uses"}]}
+        return enrichment.RuleClient().chat_json(system, user, schema_hint)
+
+
+def calls(folder):
+    return [x.read_text() for x in folder.iterdir()]
+
+
+def units_and_documents(spark, n):
+    units = spark.createDataFrame([(f"u{i}", "d1", i, f"Name{i} is here") for i in range(n)], "id string, document_id string, position int, text string").repartition(4)
+    return units, spark.createDataFrame([("d1", "Title")], "id string, title string")
+
+
+def test_extraction_asks_once_and_loses_no_unit(spark, tmp_path):
+    folder = tmp_path / "calls"
+    folder.mkdir()
+    units, docs = units_and_documents(spark, 20)
+    store = enrichment.Answers(spark, f"{tmp_path}/answers")
+    good, bad = enrichment.extract_with_client(units, docs, Counting(folder, fails=5), answers=store)
+    failed = bad.count()  # calls run beside each other, so the number of those among the first five varies
+    assert len(calls(folder)) == 20 and 1 <= failed <= 5 and good.count() == 20 - failed and {r.error for r in bad.collect()} == {"TimeoutError: busy"}
+    assert good.select("unit_id").union(bad.select("unit_id")).distinct().count() == 20 and len(calls(folder)) == 20
+    # the next run asks for what failed, and for nothing else
+    again = enrichment.extract_with_client(units, docs, Counting(folder), answers=enrichment.Answers(spark, f"{tmp_path}/answers"))
+    assert (again[0].count(), again[1].count()) == (20, 0) and len(calls(folder)) == 20 + failed
+    enrichment.extract_with_client(units, docs, Counting(folder), answers=enrichment.Answers(spark, f"{tmp_path}/answers"))
+    assert len(calls(folder)) == 20 + failed
+    enrichment.extract_with_client(units, docs, Counting(folder), answers=enrichment.Answers(spark, f"{tmp_path}/answers", resume=False))
+    assert len(calls(folder)) == 40 + failed
+
+
+def test_a_killed_run_leaves_its_commits(spark, tmp_path):
+    folder = tmp_path / "calls"
+    folder.mkdir()
+    units, docs = units_and_documents(spark, 60)
+    store = enrichment.Answers(spark, f"{tmp_path}/answers", per_commit=10)
+    with pytest.raises(Exception):
+        enrichment.extract_with_client(units, docs, Counting(folder, dies_at=35), answers=store)
+    kept = {r.digest for r in store.rows().collect()}
+    lost = len(calls(folder)) - len(kept)
+    assert 10 <= len(kept) < 60
+    for f in folder.iterdir():
+        f.unlink()
+    good, bad = enrichment.extract_with_client(units, docs, Counting(folder), answers=enrichment.Answers(spark, f"{tmp_path}/answers"))
+    assert (good.count(), bad.count()) == (60, 0) and len(calls(folder)) == 60 - len(kept) and lost < 60
+
+
+def test_invalid_answers_are_asked_for_again(spark, tmp_path):
+    units, docs = units_and_documents(spark, 3)
+    bad = enrichment.extract_with_client(units, docs, Scripted(entities={"entities": []}), answers=enrichment.Answers(spark, f"{tmp_path}/a"))[1]
+    assert bad.count() == 3
+    good = enrichment.extract_with_client(units, docs, Scripted(entities={"entities": [{"name": "A"}], "relationships": []}), answers=enrichment.Answers(spark, f"{tmp_path}/a"))[0]
+    assert good.count() == 3
+
+
+def test_enrichment_asks_once_a_row_and_step(spark, index, tmp_path):
+    folder = tmp_path / "calls"
+    folder.mkdir()
+    store = enrichment.Answers(spark, f"{tmp_path}/answers")
+    entities, edges = enrichment.enrich_graph(index.entities, index.edges, Counting(folder), answers=store)
+    for _ in range(2):
+        edges.collect(), entities.collect(), edges.groupBy("relation").count().collect()
+    asked = {r.step: r["count"] for r in store.rows().groupBy("step").count().collect()}
+    n = index.edges.count()
+    assert [asked[s] for s in ("questions", "summaries", "importance")] == [n] * 3 and asked["entities"] == index.entities.count()
+    assert len(calls(folder)) == sum(asked.values())
+    before = sorted(map(repr, edges.collect()))
+    _, again = enrichment.enrich_graph(index.entities, index.edges, Counting(folder), answers=enrichment.Answers(spark, f"{tmp_path}/answers"))
+    assert sorted(map(repr, again.collect())) == before and len(calls(folder)) == sum(asked.values())
+
+
+def test_attempts_are_logged(spark, tmp_path):
+    from tessera.operators.client import ServiceClient, ServiceSettings
+
+    class Flaky:
+        def __init__(self):
+            self.n = 0
+
+        def __call__(self, url, headers, payload, timeout):
+            user = payload["messages"][1]["content"]
+            if "Name1 " in user or ("Name2 " in user and "could not be read" not in user):
+                return {"choices": [{"message": {"content": "no json"}, "finish_reason": "stop"}]}
+            return {"choices": [{"message": {"content": json.dumps({"entities": [{"name": "A"}], "relationships": []})}, "finish_reason": "stop"}]}
+
+    units, docs = units_and_documents(spark, 3)
+    store = enrichment.Answers(spark, f"{tmp_path}/a")
+    client = ServiceClient(ServiceSettings(api_key="k", workers=2), Flaky(), None, float)
+    good, bad = enrichment.extract_with_client(units, docs, client, answers=store)
+    assert ({r.unit_id for r in good.collect()}, {r.unit_id for r in bad.collect()}) == ({"u0", "u2"}, {"u1"})
+    log = sorted((r.status, r.attempt) for r in store.attempts().collect())
+    assert log == [("malformed", 1), ("malformed", 1), ("malformed", 2), ("malformed", 3), ("success", 1), ("success", 2)]
+
+
+def test_a_hub_tells_its_first_facts(spark, index, tmp_path):
+    folder = tmp_path / "calls"
+    folder.mkdir()
+    numbers = spark.range(50).select(F.col("id").alias("n"))
+    hub = index.edges.limit(1).crossJoin(numbers).withColumns({"id": F.format_string("e%02d", "n"), "source": F.lit("Old Mill"), "description": F.format_string("fact %02d", "n")}).drop("n")
+    assert enrichment.enrich_entities(index.entities.where("title = 'Old Mill'"), hub, Counting(folder)).count() == 1
+    (prompt,) = calls(folder)
+    assert [x[-2:] for x in prompt.split("\n") if "fact" in x] == [f"{i:02d}" for i in range(10)]
