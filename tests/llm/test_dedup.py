@@ -222,6 +222,19 @@ def test_fm_index_finds_all_occurrences():
                 assert sorted(index.documents[a:b].tolist()) == sorted(held(m))
 
 
+def test_only_the_index_tells_which_passages_repeat(monkeypatch):
+    r = random.Random(3)
+    passage = " ".join(f"w{i}" for i in range(20))
+    texts = [" ".join(f"x{r.randrange(50)}" for _ in range(8)) + " " + passage + f" y{i}" for i in range(5)]
+    texts = [t.encode() for t in texts]
+    low = np.array([50, 40, 30, 20, 10])
+    found = fmindex.search_shard(texts, low)
+    windows = [[b" ".join(t.split()[k : k + 13]) for k in range(len(t.split()) - 12)] for t in texts]
+    assert [f.tolist() for f in found] == [[min(d for d, ws in zip(low.tolist(), windows, strict=True) if w in ws) for w in own] for own in windows]
+    monkeypatch.setattr(fmindex.WaveletTree, "rank", lambda self, symbol, at: np.zeros_like(at))
+    assert [f.tolist() for f in fmindex.search_shard(texts, low)] != [f.tolist() for f in found]
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(400, 470)] + [(500, k) for k in range(501, 560)] + [(9, 9)]
