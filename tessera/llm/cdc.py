@@ -3,8 +3,8 @@
 Normalised gear-hash boundaries cut the UTF-8 text: a chunk ends where the rolling hash of its last 32
 bytes has HARD zero bits before the normal size and EASY zero bits after it.  The fingerprint is the
 set of chunk digests with the bytes that each covers; a shift of the text changes the chunks next to
-an edit only.  The first FINE_BYTES of a text are cut finer, so that short texts have some chunks too and
-texts that begin alike share them.
+an edit only.  Cuts depend on the bytes around them and on nothing else, so that a passage has the same chunks wherever
+it stands; chunks are small enough for passages of some hundred bytes.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import Emitter, arrow_schema, materialize, rows
 
-#: (least, normal and largest size, zero bits before and after the normal size) of chunks, and of those that begin in the
-#: first FINE_BYTES.
-COARSE, FINE, FINE_BYTES = (32, 128, 512, 9, 5), (8, 32, 128, 7, 3), 256
+#: Least, normal and largest size of a chunk, and the zero bits that end one before and after the normal size.
+LEAST, NORMAL, MOST, HARD, EASY = 8, 40, 160, 7, 4
+#: Hex digits of a chunk's digest: two of a hundred million different chunks share one with a chance of some 2 in 100 000 a chunk.
+DIGITS = 12
 WINDOW = 32
 BLOCK = 1 << 20
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 1) for b in range(256)], np.uint32)
@@ -55,20 +56,16 @@ def places(whole: np.ndarray, hard: int, easy: int) -> tuple[list[int], list[int
 
 def chunk_ends(data: bytes) -> list[int]:
     """Where the chunks of ``data`` end, ascending; empty data has none."""
-    whole, n = np.frombuffer(data, np.uint8), len(data)
-    ends, start = [], 0
-    for (least, normal, most, hard_bits, easy_bits), until in ((FINE, min(n, FINE_BYTES)), (COARSE, n)):
-        if start >= until:
-            continue
-        hard, easy = places(whole[: until + most], hard_bits, easy_bits)
-        while start < until and n - start > least:
-            i = bisect_left(hard, start + least - 1)
-            end = hard[i] + 1 if i < len(hard) and hard[i] + 1 < start + normal else 0
-            if not end:
-                i = bisect_left(easy, start + normal - 1)
-                end = min(n, start + most, easy[i] + 1 if i < len(easy) else n)
-            ends.append(end)
-            start = end
+    n, ends, start = len(data), [], 0
+    hard, easy = places(np.frombuffer(data, np.uint8), HARD, EASY)
+    while n - start > LEAST:
+        i = bisect_left(hard, start + LEAST - 1)
+        end = hard[i] + 1 if i < len(hard) and hard[i] + 1 < start + NORMAL else 0
+        if not end:
+            i = bisect_left(easy, start + NORMAL - 1)
+            end = min(n, start + MOST, easy[i] + 1 if i < len(easy) else n)
+        ends.append(end)
+        start = end
     if start < n:
         ends.append(n)
     return ends
@@ -80,14 +77,14 @@ def chunk_set(text: str | None) -> dict[int, int]:
     out: dict[int, int] = {}
     start = 0
     for end in chunk_ends(data):
-        d = xxhash.xxh64_intdigest(data[start:end])
+        d = xxhash.xxh64_intdigest(data[start:end]) >> (64 - 4 * DIGITS)
         out[d] = out.get(d, 0) + end - start
         start = end
     return out
 
 
 def as_text(chunks: dict[int, int]) -> str:
-    return ",".join(f"{d:016x}:{w}" for d, w in sorted(chunks.items()))
+    return ",".join(f"{d:0{DIGITS}x}:{w}" for d, w in sorted(chunks.items()))
 
 
 def containment(a: dict[int, int], b: dict[int, int]) -> float:
@@ -105,13 +102,15 @@ def edited(text: str, following: str) -> str:
 
 
 FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: The same as it is written: both fingerprints, which have half of their chunks in common, in one value, so that they compress together.
+WRITTEN = "doc_id long, n_chars long, edited_sha256 string, fingerprints string, near_edited double, near_next double"
 
 
 def _row(doc_id, text: str, own: dict[int, int], following: str, following_chunks: dict[int, int]) -> tuple:
     new = edited(text, following)
     chunks = chunk_set(new)
     digest = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-    return doc_id, len(text), digest, as_text(own), as_text(chunks), containment(own, chunks), containment(own, following_chunks)
+    return doc_id, len(text), digest, f"{as_text(own)}|{as_text(chunks)}", containment(own, chunks), containment(own, following_chunks)
 
 
 def fingerprint_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -123,7 +122,7 @@ def fingerprint_documents(df: DataFrame, key: str = "doc_id", text: str = "text"
     The texts are range-partitioned by key once.  A partition streams through a task that holds one row
     back; its last row meets the first row of the next partition in a table of two rows a partition.
     """
-    kinds = dict(doc_id=pa.int64(), n_chars=pa.int64(), edited_sha256=pa.string(), fingerprint=pa.string(), edited_fingerprint=pa.string())
+    kinds = dict(doc_id=pa.int64(), n_chars=pa.int64(), edited_sha256=pa.string(), fingerprints=pa.string())
     kinds |= dict(near_edited=pa.float64(), near_next=pa.float64())
     ends = dict(part=pa.int32(), end=pa.string(), text=pa.string())
 
@@ -134,20 +133,22 @@ def fingerprint_documents(df: DataFrame, key: str = "doc_id", text: str = "text"
                 t = t or ""
                 chunks = chunk_set(t)
                 if held is None:
-                    e.add(doc_id, *[None] * 6, part, "first", t)
+                    e.add(doc_id, *[None] * 5, part, "first", t)
                 else:
                     e.add(*_row(*held, t, chunks), None, None, None)
                 held = (doc_id, t, chunks)
                 if e.full():
                     yield e.take()
         if held is not None:
-            e.add(held[0], *[None] * 6, part, "last", held[1])
+            e.add(held[0], *[None] * 5, part, "last", held[1])
         yield e.take()
 
     order = F.col("doc_id").desc_nulls_last()
     placed = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(order).sortWithinPartitions(order, F.col("text"))
-    found = materialize(placed.mapInArrow(run, f"{FIELDS}, part int, end string, text string"), "cdc")
-    inner = found.where("end is null").select(*kinds)
+    found = materialize(placed.mapInArrow(run, f"{WRITTEN}, part int, end string, text string"), "cdc")
+    both = F.split("fingerprints", r"\|")
+    told = lambda df: df.select("doc_id", "n_chars", "edited_sha256", both[0].alias("fingerprint"), both[1].alias("edited_fingerprint"), "near_edited", "near_next")
+    inner = told(found.where("end is null"))
     parts = [r.part for r in found.where("end = 'first'").select("part").orderBy("part").collect()]  # one number a partition
     if not parts:
         return inner
@@ -164,4 +165,4 @@ def fingerprint_documents(df: DataFrame, key: str = "doc_id", text: str = "text"
                 e.add(*_row(doc_id, t, chunk_set(t), following, chunk_set(following)))
         yield e.take()
 
-    return inner.unionByName(last.join(first, "next").select("doc_id", "text", "following").mapInArrow(seam, FIELDS))
+    return inner.unionByName(told(last.join(first, "next").select("doc_id", "text", "following").mapInArrow(seam, WRITTEN)))

@@ -173,9 +173,19 @@ def test_chunks_cover_the_text_within_their_sizes(data):
     ends = cdc.chunk_ends(data)
     sizes = np.diff([0, *ends])
     assert (ends[-1] if ends else 0) == len(data)
-    assert all(s <= cdc.COARSE[2] for s in sizes) and all(s >= cdc.FINE[0] for s in sizes[:-1])
-    starts = [0, *ends[:-1]]
-    assert all(s >= cdc.COARSE[0] for a, s in zip(starts, sizes[:-1], strict=False) if a >= cdc.FINE_BYTES)
+    assert all(s <= cdc.MOST for s in sizes) and all(s >= cdc.LEAST for s in sizes[:-1])
+
+
+@pytest.mark.parametrize("size", [250, 350, 500])
+def test_passages_inside_other_texts_are_found(size):
+    r = random.Random(size)
+    words = lambda n: " ".join(f"{r.choice('bcdfgst')}{r.choice('aeiou')}{r.choice('lmnr')}{r.choice(['', 'e', 'ing', 'tion'])}" for _ in range(n))
+    found = 0
+    for _ in range(200):
+        passage = words(200)[:size]
+        whole = words(r.randrange(20, 400)) + " " + passage + " " + words(r.randrange(20, 400))
+        found += cdc.containment(cdc.chunk_set(passage), cdc.chunk_set(whole)) > 0
+    assert found >= 190
 
 
 def test_short_texts_share_their_beginning():
