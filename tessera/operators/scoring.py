@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -302,27 +304,50 @@ def passed(queries: DataFrame, texts: DataFrame, key: list[str], schema, embedde
     return out
 
 
+#: Texts whose products with the queries of a pass are held at once.
+TEXTS_AT_ONCE = 1024
+
+
+class Nearest:
+    """The ``k`` texts of largest score of each query, ties by id; memory grows with queries x ``k``, not with the texts seen."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.found: list[list[tuple[float, object]]] = [[] for _ in range(queries)]  # (-score, id), the best first
+
+    def add(self, ids: list, scores: np.ndarray) -> None:
+        """``scores`` (queries, ids)."""
+        reach = scores >= self.least[:, None]
+        for q in np.flatnonzero(reach.any(axis=1)).tolist():
+            which = np.flatnonzero(reach[q])
+            own = scores[q, which]
+            if len(which) > self.k:  # of equal scores all stay until ids decide
+                cut = np.partition(own, len(own) - self.k)[len(own) - self.k]
+                which, own = which[own >= cut], own[own >= cut]
+            best = heapq.nsmallest(self.k, itertools.chain(self.found[q], ((-s, ids[i]) for s, i in zip(own.tolist(), which.tolist(), strict=True))))
+            self.found[q] = best
+            if len(best) == self.k:
+                self.least[q] = -best[-1][0]
+
+    def rows(self) -> Iterator[tuple[int, object, float]]:
+        return ((q, i, -s) for q, found in enumerate(self.found) for s, i in found)
+
+
 def dense_top_k(queries: DataFrame, texts: DataFrame, key: list[str], k: int = 80, embedder: Embedder = hashed_embedder) -> DataFrame:
     """(*key, id, score): for each query (*key, text) the ``k`` texts (id, text or tokens) of largest non-negative cosine, ties by id.
 
-    The texts stream once for every QUERIES_PER_PASS queries; each partition keeps its own best ``k`` per query, and
-    only those are shuffled.
+    The texts stream once for every QUERIES_PER_PASS queries, TEXTS_AT_ONCE at a time; each partition keeps its own best ``k`` of a query
+    and nothing else (see ``Nearest``), and only those are shuffled.
     """
     schema = queries.select(*key).schema.add("id", texts.schema["id"].dataType).add("score", "double")
 
     def search(keys: list[tuple], matrix: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, scores = np.empty(0, object), np.zeros((len(keys), 0))
+        nearest = Nearest(len(keys), k)
         for pdf in batches:
-            if not len(pdf):
-                continue
-            vectors = embedder([list(x) for x in pdf["_t"]], list(pdf["text"]))
-            ids = np.concatenate([ids, pdf["id"].to_numpy(object)])
-            scores = np.concatenate([scores, np.round(np.maximum(0.0, matrix @ vectors.T), DIGITS)], axis=1)
-            if len(ids) > 4 * k + 8192:
-                keep = np.unique(np.concatenate([_best(ids, s, k) for s in scores]))
-                ids, scores = ids[keep], scores[:, keep]
-        rows = [(*q, ids[i], float(s[i])) for q, s in zip(keys, scores, strict=True) for i in _best(ids, s, k)]
-        yield pd.DataFrame(rows, columns=[*key, "id", "score"])
+            for at in range(0, len(pdf), TEXTS_AT_ONCE):
+                part = pdf.iloc[at : at + TEXTS_AT_ONCE]
+                nearest.add(part["id"].to_list(), np.round(np.maximum(0.0, matrix @ embedder([list(x) for x in part["_t"]], list(part["text"])).T), DIGITS))
+        yield pd.DataFrame([(*keys[q], i, s) for q, i, s in nearest.rows()], columns=[*key, "id", "score"])
 
     out = passed(queries, texts, key, schema, embedder, search)
     best = Window.partitionBy(*key).orderBy(F.desc("score"), "id")
@@ -344,14 +369,6 @@ def dense_scores(queries: DataFrame, texts: DataFrame, embedder: Embedder = hash
     return passed(queries, texts, ["qid"], schema, embedder, run)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    order = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i])) if len(ids) <= 4 * k else None
-    if order is None:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        order = sorted(np.nonzero(scores >= cut)[0].tolist(), key=lambda i: (-scores[i], ids[i]))
-    return np.array(order[:k], np.int64)
-
-
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, id, score): dense cosine of array columns, for each query the ``k`` best others, ties by id.
 
@@ -380,16 +397,12 @@ def vector_search(keys: list, vectors: list, k: int) -> Callable[[Iterator[pd.Da
     asked = unit_rows(vectors) if keys else np.zeros((0, 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, scores = np.empty(0, object), np.zeros((len(keys), 0))
+        nearest = Nearest(len(keys), k + 1)  # a query finds itself
         for pdf in batches:
-            if not len(pdf) or not keys:
-                continue
-            ids = np.concatenate([ids, pdf["id"].to_numpy(object)])
-            scores = np.concatenate([scores, np.round(np.maximum(0.0, asked @ unit_rows(list(pdf["embedding"])).T), DIGITS)], axis=1)
-            if len(ids) > 4 * k + 8192:
-                keep = np.unique(np.concatenate([_best(ids, s, k + 1) for s in scores]))
-                ids, scores = ids[keep], scores[:, keep]
-        rows = [(q, ids[i], float(s[i])) for q, s in zip(keys, scores, strict=True) for i in _best(ids, s, k + 1) if ids[i] != q]
+            for at in range(0, len(pdf) if keys else 0, TEXTS_AT_ONCE):
+                part = pdf.iloc[at : at + TEXTS_AT_ONCE]
+                nearest.add(part["id"].to_list(), np.round(np.maximum(0.0, asked @ unit_rows(list(part["embedding"])).T), DIGITS))
+        rows = [(keys[q], i, s) for q, i, s in nearest.rows() if i != keys[q]]
         yield pd.DataFrame(rows, columns=["query_id", "id", "score"])
 
     return run

@@ -65,7 +65,7 @@ def normalize_documents(df: DataFrame, source: str) -> DataFrame:
     """(id, title, text, source) of raw rows; texts under 30 characters are dropped; without an id the text's hash is one."""
     plain = [F.col(c).cast("string") for c in df.columns if df.schema[c].dataType.typeName() not in ("array", "struct", "map")]
     text = t.strip(F.coalesce(first_of(df, TEXT_KEYS), F.concat_ws(" ", *plain)))
-    own = F.coalesce(first_of(df, ID_KEYS), F.concat(F.lit(f"{source}:"), F.sha1(F.substring(text, 1, 256).cast("binary"))))
+    own = F.coalesce(first_of(df, ID_KEYS), F.concat(F.lit(f"{source}:"), F.sha1(text.cast("binary"))))
     out = df.select(own.alias("id"), F.coalesce(first_of(df, TITLE_KEYS), own).alias("title"), text.alias("text"), F.lit(source).alias("source"), *place_of(df))
     return out.where(F.length("text") >= MIN_CHARS)
 

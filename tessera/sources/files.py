@@ -9,15 +9,15 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as t
 
 ROW = "path string, row int, text string, metadata map<string,string>, relationships array<struct<source:string,target:string,relation:string,description:string>>"
-TEXT, HTML, TABLE, JSON, PDF = (".txt", ".md"), (".html", ".htm"), (".csv",), (".json", ".jsonl"), (".pdf",)
-SUFFIXES = (*TEXT, *HTML, *TABLE, *JSON, *PDF)
+TEXT, HTML, TABLE, JSON, PDF = (".txt", ".md"), (".html", ".htm"), (".csv",), (".json",), (".pdf",)
+WHOLE, LINES = (*TEXT, *HTML, *TABLE, *JSON, *PDF), ".jsonl"
 
 
 class _Text(HTMLParser):
@@ -67,29 +67,60 @@ def parse_file(suffix: str, content: bytes) -> list[tuple[str, dict, list]]:
     if suffix in TABLE:
         return [(" ".join(map(str, row.values())), {str(k): _plain(v) for k, v in row.items() if v is not None}, []) for row in csv.DictReader(io.StringIO(body, newline=""))]
     if suffix in JSON:
-        found = json.loads(body) if suffix == ".json" else [json.loads(x) for x in body.splitlines() if x.strip()]
-        out = []
-        for v in found if isinstance(found, list) else [found]:
-            if isinstance(v, str):
-                out.append((v, {}, []))
-            elif isinstance(v, dict):
-                text = next((str(v[k]) for k in ("text", "content", "body") if v.get(k)), "")
-                out.append((text, {str(k): _plain(x) for k, x in v.items() if x is not None and k not in ("text", "content", "body", "relationships")}, _relations(v.get("relationships"))))
-        return out
+        found = json.loads(body)
+        return [row for v in (found if isinstance(found, list) else [found]) for row in json_row(v)]
     return []
 
 
+def json_row(v: object) -> list[tuple[str, dict, list]]:
+    """The row of a JSON value: a text, or an object with one; other values have none."""
+    if isinstance(v, str):
+        return [(v, {}, [])]
+    if not isinstance(v, dict):
+        return []
+    text = next((str(v[k]) for k in ("text", "content", "body") if v.get(k)), "")
+    return [(text, {str(k): _plain(x) for k, x in v.items() if x is not None and k not in ("text", "content", "body", "relationships")}, _relations(v.get("relationships")))]
+
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """(path, row, value) of the lines that are not blank, of text that Spark reads in splits, with their number in the file.
+
+    Lines are numbered inside their split; what comes before a split in its file is a running sum over the counts of splits.
+    """
+    own = lines.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value").where(t.strip(F.col("value")) != "")
+    counts = own.groupBy("_file", "_block").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    placed = own.withColumn("_k", F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at"))).join(before, ["_file", "_block"])
+    # the path as the reader of whole files gives it
+    path = F.regexp_replace(F.url_decode(F.replace("_file", F.lit("+"), F.lit("%2B"))), "^file:///", "file:/")
+    return placed.select(path.alias("path"), (F.col("_before") + F.col("_k") - 1).cast("int").alias("row"), "value")
+
+
+def named(*suffixes: str) -> str:
+    """A pattern of file names with one of the suffixes, in any case."""
+    return "*{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in x) for x in suffixes) + "}"
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """ROW for each row of every readable file under ``path`` (a file or a folder, read recursively)."""
+    """ROW for each row of every readable file under ``path`` (a file or a folder, read recursively).
+
+    Files of JSON lines are read in splits, so that several tasks share a large one; all others are values that a task holds.
+    """
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content", suffix.alias("suffix")).where(F.col("suffix").isin(*SUFFIXES))
+    files = spark.read.option("recursiveFileLookup", "true").format("binaryFile").option("pathGlobFilter", named(*WHOLE)).load(path).select("path", "content", suffix.alias("suffix"))
+    lines = numbered_lines(spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", named(LINES)).text(path))
+
+    def parse_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, i, *r) for p, i, x in zip(pdf["path"], pdf["row"], pdf["value"], strict=True) for r in json_row(json.loads(x))]
+            yield pd.DataFrame(rows, columns=["path", "row", "text", "metadata", "relationships"])
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(p, i, *r) for p, s, c in zip(pdf.path, pdf.suffix, pdf.content, strict=True) for i, r in enumerate(parse_file(s, bytes(c)))]
             yield pd.DataFrame(rows, columns=["path", "row", "text", "metadata", "relationships"])
 
-    return files.mapInPandas(parse, ROW)
+    return files.mapInPandas(parse, ROW).unionByName(lines.mapInPandas(parse_lines, ROW))
 
 
 def nested(key: str) -> Column:

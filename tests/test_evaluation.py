@@ -2,6 +2,9 @@
 
 import math
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +98,25 @@ def test_containing(spark):
     got = evaluation.containing(spark.createDataFrame(passages, "pid long, text string"), spark.createDataFrame(docs, "id long, text string"))
     want = [(p, i) for p, a in passages for i, b in docs if a and b and a in b]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("bins, few", [(4096, 100_000), (4, 3), (8, 1)])
+def test_percentiles_by_refinement(spark, monkeypatch, bins, few):
+    monkeypatch.setattr(evaluation, "BINS", bins)
+    monkeypatch.setattr(evaluation, "FEW", few)
+    r = random.Random(bins)
+    inf, nan = float("inf"), float("nan")
+    groups = {
+        "a": [r.gauss(0, 1e3) for _ in range(200)], "b": [float(r.randrange(4)) for _ in range(90)], "c": [7.0] * 30, "d": [1.5], "e": [None, None], "f": [-inf, 1.0, 2.0, 3.0, inf, inf, 4.0, 5.0],
+        "g": [nan, nan, 1.0, 2.0, 3.0, nan], "h": [10.0 ** r.uniform(-9, 9) for _ in range(60)] + [None], None: [3.0, 1.0, 2.0],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double").repartition(3)
+    got = {x.k: (x.p50, x.p95, x.p100) for x in evaluation.percentiles(df.where("k is not null"), "v", ["k"], (0.5, 0.95, 1.0)).collect()}
+    for k, vs in groups.items():
+        if k is not None:
+            own = sorted((v for v in vs if v is not None), key=lambda v: (math.isnan(v), v))
+            want = tuple(own[max(1, math.ceil(f * len(own))) - 1] if own else None for f in (0.5, 0.95, 1.0))
+            assert repr(got[k]) == repr(want), k
+    whole = [v for vs in groups.values() for v in vs if v is not None and not math.isnan(v)]
+    (row,) = evaluation.percentiles(df.where("not isnan(v)"), "v", [], (0.5,)).collect()
+    assert row.p50 == sorted(whole)[math.ceil(0.5 * len(whole)) - 1]

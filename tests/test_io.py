@@ -34,6 +34,35 @@ def test_ingest(spark, tmp_path):
         files.ingest(spark, str(tmp_path)).collect()
 
 
+def test_json_lines_are_read_in_splits(spark, tmp_path):
+    (tmp_path / "sub d").mkdir()
+    lines = [json.dumps({"text": f"line {i} " + "x" * (i % 90), "title": f"t{i}"}) for i in range(3000)]
+    for k in range(0, 3000, 7):
+        lines[k] += "\n" + " " * (k % 3)  # blank lines count for nothing
+    (tmp_path / "sub d" / "a+b é.JSONL").write_text("\n".join(lines), encoding="utf-8")
+    (tmp_path / "b.jsonl").write_text('"one"\n[1]\n{"body": "three"}')
+    (tmp_path / "c.jsonlx").write_text("no json")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        df = files.read_files(spark, str(tmp_path))
+        got = df.collect()
+        splits = spark.read.text(str(tmp_path / "sub d")).select("_metadata.file_block_start").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert splits > 5
+    big = sorted((r.row, r.text.split()[1], r.path) for r in got if r.path.endswith("JSONL"))
+    assert [(a, int(b)) for a, b, _ in big] == [(i, i) for i in range(3000)] and {p for _, _, p in big} == {f"file:{tmp_path}/sub d/a+b é.JSONL"}
+    assert sorted((r.row, r.text) for r in got if r.path.endswith("b.jsonl")) == [(0, "one"), (2, "three")] and len(got) == 3002
+    whole = {r.path: r.text for r in files.read_files(spark, str(tmp_path / "b.jsonl")).collect()}
+    assert set(whole) == {f"file:{tmp_path}/b.jsonl"}
+
+
+def test_texts_that_begin_alike_are_two_documents(spark):
+    rows = spark.createDataFrame([("a" * 300 + "b",), ("a" * 300 + "c",), ("a" * 300 + "c",)], "text string")
+    assert datasets.normalize_documents(rows, "x").select("id").distinct().count() == 2
+
+
 def test_datasets(spark, tmp_path):
     body = "long enough text of an article here"
     (tmp_path / "corpus.json").write_text(json.dumps([{"url": "u1", "title": "T1", "body": body}, {"url": "u2", "title": "T2", "body": body + "!"}, {"url": "u1", "title": "T1", "body": body}, {"url": "u3", "title": "short", "body": "short"}]))

@@ -72,3 +72,21 @@ def test_no_queries_no_texts_no_terms(spark):
     assert scoring.bm25_top_k(texts, queries.limit(0), ["qid"]).count() == 0 == scoring.bm25_top_k(texts.limit(0), queries, ["qid"]).count()
     filled = scoring.filled_top_k(texts, queries, ["qid"], 2).orderBy("qid", "rank").collect()
     assert [(r.qid, r.id, r.score) for r in filled] == [(1, "a", 0.0), (1, "b", 0.0), (2, "a", 0.0), (2, "b", 0.0), (3, "a", 1.0), (3, "b", 0.0)]
+
+
+def test_the_nearest_in_bounded_memory(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    for k, texts, ids in ((1, 50, list(range(50))), (7, 3000, [f"t{i:05d}" for i in rng.permutation(3000)])):
+        scores = np.round(np.maximum(0.0, rng.normal(size=(20, texts))), 1)  # many ties and zeros
+        nearest = scoring.Nearest(20, k)
+        for at in range(0, texts, 37):
+            nearest.add(ids[at : at + 37], scores[:, at : at + 37])
+            assert max(map(len, nearest.found)) <= k
+        got = sorted(nearest.rows())
+        assert got == sorted((q, ids[i], scores[q, i]) for q in range(20) for i in sorted(range(texts), key=lambda i: (-scores[q, i], ids[i]))[:k])
+    monkeypatch.setattr(scoring, "TEXTS_AT_ONCE", 3)
+    monkeypatch.setattr(scoring, "QUERIES_PER_PASS", 4)
+    texts = spark.createDataFrame([(i, x) for i, x in enumerate(made(60, 9))], "id long, text string").repartition(4)
+    queries = spark.createDataFrame([(i, x) for i, x in enumerate(made(9, 10, 60, 9))], "qid long, text string")
+    every = scoring.dense_scores(queries, texts).withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("embedding"), "id"))).where("n <= 5")
+    assert {(r.qid, r.id, r.score) for r in scoring.dense_top_k(queries, texts, ["qid"], 5).collect()} == {(r.qid, r.id, r.embedding) for r in every.collect()}
