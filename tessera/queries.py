@@ -18,7 +18,7 @@ from .plans import context, experiments, iterative, ranking
 from .plans.config import Settings
 from .plans.index import Index, build_index, enrich_index, test_documents
 from .sources import datasets, files
-from .storage import materialize
+from .storage import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -352,6 +352,40 @@ def dataset_evidence_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.evidence_first(docs, proof, 100).select(F.col("id").alias("doc_id"))
 
 
+_PARAGRAPHS = f"""p0 AS (SELECT conv_id::VARCHAR AS qid, turn, coalesce(nullif(role, ''), 'paragraph-' || turn::VARCHAR) AS title, {trimmed("coalesce(text, '')")} AS text, role = 'user' AS proof FROM conversations),
+p AS (SELECT *, 'musique:' || substr(sha1(concat_ws(chr(10), title, turn::VARCHAR, text)), 1, 16) AS id FROM p0 WHERE length(text) >= 30)"""
+
+
+def paragraph_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for each conversation; its turns are paragraphs, those of the user support the answer."""
+    turn = F.struct(F.col("turn").alias("idx"), F.col("role").alias("title"), F.col("text").alias("paragraph_text"), (F.col("role") == "user").alias("is_supporting"))
+    each = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.sort_array(F.collect_list(turn)).alias("paragraphs"))
+    return each.select("id", F.concat(F.lit("What is said in "), "id").alias("question"), F.lit("much").alias("answer"), "paragraphs")
+
+
+@query(f"WITH {_PARAGRAPHS} SELECT DISTINCT id, title, md5(text) AS digest, 'musique_ans_dev' AS source FROM p")
+def dataset_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.normalize_paragraph_qa(paragraph_questions(spark, sf_dir))[0].select("id", "title", F.md5("text").alias("digest"), "source")
+
+
+@query(
+    f"WITH {_PARAGRAPHS}, e AS (SELECT qid, string_agg(id, '|' ORDER BY turn) AS ids, count(*) AS n FROM p WHERE proof GROUP BY 1) "
+    "SELECT a.qid, 'What is said in ' || a.qid AS text, coalesce(ids, '') AS evidence, coalesce(n, 0)::INTEGER AS hop_count FROM (SELECT DISTINCT conv_id::VARCHAR AS qid FROM conversations) a LEFT JOIN e ON e.qid = a.qid"
+)
+def dataset_paragraph_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.normalize_paragraph_qa(paragraph_questions(spark, sf_dir))[1].select("qid", "text", F.array_join("evidence.url", "|").alias("evidence"), "hop_count")
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, lang, md5(concat_ws(' ', doc_id::VARCHAR, coalesce(text, ''), coalesce(lang, ''), coalesce(source, ''))) AS digest FROM documents")
+def source_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, written as CSV files and read again."""
+    path = scratch_path(spark, "csv")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    rows.repartition(8, "doc_id").write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="").csv(path)
+    read = files.read_files(spark, path)
+    return read.select(F.col("metadata")["doc_id"].alias("doc_id"), F.nullif(F.col("metadata")["lang"], F.lit("")).alias("lang"), F.md5("text").alias("digest"))
+
+
 # --- chunks, extraction, graph ----------------------------------------------------------------------------
 
 
@@ -397,6 +431,34 @@ def calibrate_text_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.calibrate_edges(edges).select("id", "evidence_score", "ontology_score", "structural_score", "consistency_score", "conflict_status", "reliability")
 
 
+@query(
+    f"""WITH {_ROWS},
+told AS (
+  SELECT r.*, source || CASE WHEN k % 2 = 1 THEN '.' ELSE '' END AS s0, target || CASE WHEN k % 3 = 1 THEN '-' ELSE '' END AS t0, u.text AS unit FROM rel_rows r JOIN units u ON u.id = r.unit_id),
+ends AS (SELECT *, row_number() OVER (ORDER BY document_id, position, k, e) AS o FROM (SELECT document_id, position, k, 0 AS e, s0 AS name FROM told UNION ALL SELECT document_id, position, k, 1, t0 FROM told)),
+canon AS (SELECT {ekey('name')} AS key, arg_min(name, o) AS name FROM ends GROUP BY 1),
+spelled AS (
+  SELECT t.*, a.name AS sn, b.name AS tn, a.name || ' ' || replace(relation, '_', ' ') || ' ' || b.name AS plain FROM told t JOIN canon a ON a.key = {ekey('s0')} JOIN canon b ON b.key = {ekey('t0')} WHERE a.key <> '' AND b.key <> '')
+SELECT unit_id, document_id, sn AS source, tn AS target, relation, TRUE AS ontology_ok, 'explicit' AS evidence_type, CASE WHEN k % 2 = 0 THEN 0.75 ELSE 0.6 END::DOUBLE AS llm_conf,
+       md5(CASE WHEN k % 2 = 0 THEN evidence WHEN contains({cf('unit')}, {cf('plain')}) THEN plain ELSE unit END) AS evidence
+FROM spelled WHERE sn <> tn"""
+)
+def extract_payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in the form of a service, made of the rules' rows: names in other spellings, odd evidence, confidence 0; checked and merged into rows."""
+    units = materialize(units_of(spark, sf_dir), "units")
+    k = F.col("ord.k")
+    name = lambda c, n, mark: F.concat(c, F.when(k % n == 1, mark).otherwise(""))
+    told = F.struct(
+        k.alias("k"), name("source", 2, ".").alias("source"), name("target", 3, "-").alias("target"), F.replace("relation", F.lit("_"), F.lit(" ")).alias("relation"),
+        F.when(k % 2 == 0, F.col("evidence")).otherwise("never said in any text").alias("evidence_text"), F.when(k % 2 == 0, 0.0).otherwise(0.6).alias("confidence"),
+    )
+    empty = F.struct(F.lit(-1).alias("k"), F.lit("a name without a partner").alias("source"), F.lit("").alias("target"), F.lit("uses").alias("relation"), F.lit("").alias("evidence_text"), F.lit(0.9).alias("confidence"))
+    each = extraction.relation_rows(units).groupBy("unit_id").agg(F.sort_array(F.collect_list(told)).alias("rows"))
+    answers = each.select("unit_id", F.to_json(F.struct(F.array().cast("array<struct<name:string>>").alias("entities"), F.concat("rows", F.array(empty)).alias("relationships"))).alias("answer"), F.lit(None).cast("string").alias("error"))
+    found = enrichment.payload_rows(enrichment.validate_payload(answers).where("error is null"), units)
+    return found.select("unit_id", "document_id", "source", "target", "relation", "ontology_ok", "evidence_type", "llm_conf", F.md5("evidence").alias("evidence"))
+
+
 # a graph of trade: suppliers deliver parts, customers come from nations
 
 

@@ -65,6 +65,7 @@ def parse_file(suffix: str, content: bytes) -> list[tuple[str, dict, list]]:
     if suffix in HTML:
         return [(html_text(body), {}, [])]
     if suffix in TABLE:
+        csv.field_size_limit(1 << 31)  # texts may be long
         return [(" ".join(map(str, row.values())), {str(k): _plain(v) for k, v in row.items() if v is not None}, []) for row in csv.DictReader(io.StringIO(body, newline=""))]
     if suffix in JSON:
         found = json.loads(body)
