@@ -116,7 +116,7 @@ def build_index(documents: DataFrame, chunk_size: int = 600, overlap: int = 100,
     entities = keep(extraction.merge_entities(rows, edges), "entities")
     if not with_communities:
         return Index(docs, units, entities, edges)
-    members = keep(communities.community_members(entities, edges), "members")
+    members = keep(communities.community_labels(entities, edges), "members")
     return Index(docs, units, entities, edges, communities.communities(members, edges), communities.reports(members, edges))
 
 
@@ -127,7 +127,7 @@ def finalize_enriched(index: Index, entities: DataFrame, edges: DataFrame) -> In
     degree = extraction.degrees(edges)
     entities = entities.drop("degree").join(degree, "title", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     entities = materialize(entities, "entities")
-    members = materialize(communities.community_members(entities, edges), "members")
+    members = materialize(communities.community_labels(entities, edges), "members")
     return Index(index.documents, index.units, entities, edges, communities.communities(members, edges), communities.reports(members, edges))
 
 

@@ -182,3 +182,30 @@ def test_components_in_one_task_and_by_rounds_agree(spark):
     for local in (0, 10_000):
         assert {x.node: x.component for x in graph.linked_components(df, "a", "b", local).collect()} == want
         assert graph.linked_components(df.where("a > 1000"), "a", "b", local).collect() == []
+
+
+def planted(seed, groups, size, inner=0.5, outer=0.01):
+    """Links of a connected graph of planted groups."""
+    r = random.Random(seed)
+    names = [f"g{g:02d}n{i:02d}" for g in range(groups) for i in range(size)]
+    links = {p: 1.0 for p in itertools.combinations(names, 2) if r.random() < (inner if p[0][:3] == p[1][:3] else outer)}
+    return links | {(names[i], names[i + 1]): 1.0 for i in range(len(names) - 1)}
+
+
+@pytest.mark.parametrize("links", [planted(1, 6, 12), {("hub", f"leaf{i:03d}"): 0.5 for i in range(80)} | {(f"leaf{i:03d}", f"leaf{i + 1:03d}"): 1.0 for i in range(0, 80, 4)}, {(f"p{i:03d}", f"p{i + 1:03d}"): 1.0 for i in range(70)}])
+def test_large_components_are_contracted(spark, links):
+    two_m = 2 * sum(links.values())
+    edges = edge_table(spark, [(a, b, "uses", w) for (a, b), w in links.items()])
+    nodes = sorted({x for p in links for x in p})
+    entities = spark.createDataFrame([(x,) for x in [*nodes, "Alone"]], "title string")
+    direct = modularity(links, communities.greedy_modularity(links, two_m), two_m)
+    for large in (10, 40):
+        got = {r.title: r.community for r in communities.community_labels(entities, edges, large).collect()}
+        assert sorted(got) == sorted([*nodes, "Alone"]) and got["Alone"] == "Alone"
+        groups = {}
+        for x in nodes:
+            groups.setdefault(got[x], []).append(x)
+        assert all(c == min(g) for c, g in groups.items())
+        assert modularity(links, list(groups.values()), two_m) >= 0.85 * direct
+    plain = {r.title: r.community for r in communities.community_labels(entities, edges).collect()}
+    assert plain == {x: g[0] for g in communities.greedy_modularity(links, two_m) for x in g} | {"Alone": "Alone"}
