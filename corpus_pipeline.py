@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import any_order, fresh, materialize, table
-from tessera.storage import scratch
+from tessera.llm.common import any_order, fresh, table
+from tessera.storage import remove, scratch, scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,9 +86,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each result is written as Parquet and read again, and a stage's own tables go when it ends."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to ``documents``; each result is written as Parquet and read again.
+
+    A stage's own tables go when it ends, and so does the result before it: two results are there at most.
+    """
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
+        path = scratch_path(spark, f"stage{k}")
         with scratch(spark):
-            docs = materialize(stage(spark, docs, sf_dir), f"stage{k}", keep=True)
+            kept = stage(spark, docs, sf_dir)
+            kept.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs

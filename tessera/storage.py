@@ -39,6 +39,12 @@ def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     return f"{open_scopes[-1] if open_scopes else shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is written to scratch paths inside is deleted at the end, but for what is kept.
@@ -51,8 +57,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _scopes.reset(token)
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        remove(spark, path)
 
 
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
