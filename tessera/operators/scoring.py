@@ -199,7 +199,7 @@ def bm25_top_k(texts: DataFrame, queries: DataFrame, key: list[str], k: int = 80
         for r in counted:
             df[r[corpus] if corpus else None][number[r["term"]]] = r["df"]
         idf = {name: np.log(1 + (stats[name][0] - d + 0.5) / (d + 0.5)) for name, d in df.items()}
-        model = texts.sparkSession.sparkContext.broadcast((vocabulary, asks, q, t_, qtf, idf, {name: float(s[1]) for name, s in stats.items()}))
+        model = texts.sparkSession.sparkContext.broadcast((vocabulary, asks, q, t_, qtf, idf, {name: float(s[1] or 0.0) for name, s in stats.items()}))
 
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             vocabulary, asks, q, t_, qtf, idf, length = model.value
@@ -273,6 +273,18 @@ def hashed_embedder(token_lists: list[list[str]], texts: list[str] | None = None
     return v / np.where(norm > 0, norm, 1.0)
 
 
+def hashed_rows(tokens: pa.Array, dimensions: int = 256) -> np.ndarray:
+    """The same for an Arrow array of token lists; each distinct token is hashed once."""
+    size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = tokens.flatten().dictionary_encode()
+    places = np.array([hashed_place(token, dimensions) for token in coded.dictionary.to_pylist()]).reshape(-1, 2)
+    found = places[coded.indices.to_numpy(zero_copy_only=False)]
+    row = np.repeat(np.arange(len(size)), size)
+    v = np.bincount(row * dimensions + found[:, 0].astype(np.int64), found[:, 1], len(size) * dimensions).reshape(len(size), dimensions)
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return v / np.where(norm > 0, norm, 1.0)
+
+
 @F.pandas_udf(DoubleType())
 def hashed_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     """Cosine of the hashed vectors of two token lists, not below 0."""
@@ -284,8 +296,8 @@ def hashed_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
 QUERIES_PER_PASS = 4096
 
 
-def passed(queries: DataFrame, texts: DataFrame, key: list[str], schema, embedder: Embedder, run: Callable) -> DataFrame:
-    """The rows that ``run(keys, matrix of the queries, batches of texts)`` gives, over all queries.
+def passed(queries: DataFrame, texts: DataFrame, key: list[str], schema, embedder: Embedder, run: Callable, arrow: bool = False) -> DataFrame:
+    """The rows that ``run(keys, matrix of the queries, batches of texts)`` gives, over all queries; ``arrow``: batches of (id, tokens) in that form.
 
     More than QUERIES_PER_PASS queries go in several passes, the rows of each of which are written before the next begins,
     so the driver holds the queries of one pass.
@@ -298,7 +310,9 @@ def passed(queries: DataFrame, texts: DataFrame, key: list[str], schema, embedde
         part = own.where(F.pmod(F.xxhash64(*key), F.lit(n)) == p).collect()  # about QUERIES_PER_PASS
         matrix = embedder([r["_t"] for r in part], [r["text"] for r in part]) if part else np.zeros((0, 1))
         keys = [tuple(r[c] for c in key) for r in part]
-        found = (told if part else told.limit(0)).mapInPandas(lambda batches, keys=keys, matrix=matrix: run(keys, matrix, batches), schema)
+        own_texts = told.select("id", "_t") if arrow else told
+        own_texts = own_texts if part else own_texts.limit(0)
+        found = (own_texts.mapInArrow if arrow else own_texts.mapInPandas)(lambda batches, keys=keys, matrix=matrix: run(keys, matrix, batches), schema)
         found = found if n == 1 else materialize(found, "pass")
         out = found if out is None else out.unionByName(found)
     return out
@@ -349,7 +363,19 @@ def dense_top_k(queries: DataFrame, texts: DataFrame, key: list[str], k: int = 8
                 nearest.add(part["id"].to_list(), np.round(np.maximum(0.0, matrix @ embedder([list(x) for x in part["_t"]], list(part["text"])).T), DIGITS))
         yield pd.DataFrame([(*keys[q], i, s) for q, i, s in nearest.rows()], columns=[*key, "id", "score"])
 
-    out = passed(queries, texts, key, schema, embedder, search)
+    arrow = to_arrow_schema(schema)
+
+    def search_tokens(keys: list[tuple], matrix: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nearest = Nearest(len(keys), k)
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(at, TEXTS_AT_ONCE)
+                nearest.add(batch.column(0).to_pylist(), np.round(np.maximum(0.0, matrix @ hashed_rows(batch.column(1)).T), DIGITS))
+        columns = list(zip(*[(*keys[q], i, s) for q, i, s in nearest.rows()], strict=True)) or [[] for _ in arrow]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    plain = embedder is hashed_embedder  # which needs no text
+    out = passed(queries, texts, key, schema, embedder, search_tokens if plain else search, plain)
     best = Window.partitionBy(*key).orderBy(F.desc("score"), "id")
     return out.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
 

@@ -12,13 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import rules as r
 from ..functions import text as t
 from ..operators import scoring
-from ..operators.scoring import DIGITS
+from ..operators.scoring import DIGITS, TEXTS_AT_ONCE, Nearest, counted_terms
 from ..storage import materialize
 from . import models
 from .config import Settings
@@ -136,12 +139,75 @@ def ranked_lists(index: Index, queries: DataFrame, config: Settings, embedder: s
     return first(every.groupBy("qid", "sub", "field", "id").agg(F.max("score").alias("score")))
 
 
-def metadata_match(index: Index, queries: DataFrame) -> DataFrame:
-    """(qid, id, metadata_match): share of the document's metadata tokens that are in the query, where above 0."""
-    own = index.documents.select("id", F.array_distinct(t.content_tokens(metadata_text())).alias("m"))
+def metadata_tokens() -> Column:
+    return F.array_distinct(t.content_tokens(metadata_text()))
+
+
+def metadata_match(index: Index, queries: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(qid, id, metadata_match): share of the document's metadata tokens that are in the query, where above 0; only for ``pairs``, if they are given."""
+    own = index.documents.select("id", metadata_tokens().alias("m"))
+    asked = queries.select("qid", F.array_distinct(t.content_tokens(F.col("text"))).alias("q"))
+    if pairs is not None:
+        both = pairs.select("qid", "id").distinct().join(own, "id").join(asked, "qid").withColumn("hit", F.size(F.array_intersect("m", "q"))).where("hit > 0")
+        return both.select("qid", "id", F.round(F.col("hit") / F.size("m"), DIGITS).alias("metadata_match"))
     docs = own.select("id", F.size("m").alias("n"), F.explode("m").alias("term"))
-    asked = queries.select("qid", F.explode(F.array_distinct(t.content_tokens(F.col("text")))).alias("term"))
-    return docs.join(asked, "term").groupBy("qid", "id", "n").agg(F.count("*").alias("hit")).select("qid", "id", F.round(F.col("hit") / F.col("n"), DIGITS).alias("metadata_match"))
+    met = docs.join(asked.select("qid", F.explode("q").alias("term")), "term").groupBy("qid", "id", "n").agg(F.count("*").alias("hit"))
+    return met.select("qid", "id", F.round(F.col("hit") / F.col("n"), DIGITS).alias("metadata_match"))
+
+
+STATIC = ("reliability", "importance", "contradiction_penalty")
+
+
+def best_by_metadata(index: Index, queries: DataFrame, features: DataFrame, config: Settings) -> DataFrame:
+    """(qid, id): of the documents that share a metadata token with the query the ``candidate_k`` best by that and the features that don't depend on the query.
+
+    A token that many documents and queries have makes no rows of pairs: a partition scores its documents for all queries of a pass
+    and hands on its best.
+    """
+    docs = index.documents.select("id", metadata_tokens().alias("m")).join(features.select("id", *STATIC), "id")
+    passes = max(1, -(-queries.count() // scoring.QUERIES_PER_PASS))
+    schema = StructType([*queries.select("qid").schema.fields, index.documents.schema["id"], StructField("s", DoubleType())])
+    arrow, k, weights = to_arrow_schema(schema), config.candidate_k, dict(config.weights)
+    out = None
+    for p in range(passes):
+        part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == p)
+        asked = part.select("qid", F.array_distinct(t.content_tokens(F.col("text"))).alias("q")).collect()  # QUERIES_PER_PASS queries
+        vocabulary = sorted({x for r in asked for x in r["q"]})
+        number = {x: i for i, x in enumerate(vocabulary)}
+        entry = np.array([(number[x], i) for i, r in enumerate(asked) for x in r["q"]], np.int64).reshape(-1, 2)
+        entry = entry[np.argsort(entry[:, 0], kind="stable")]
+        model = queries.sparkSession.sparkContext.broadcast((vocabulary, [r["qid"] for r in asked], entry))
+
+        def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            vocabulary, qids, entry = model.value
+            terms, best = pa.array(vocabulary, pa.string()), Nearest(len(qids), k)
+            first = np.searchsorted(entry[:, 0], np.arange(len(vocabulary) + 1))
+            for whole in batches:
+                for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                    batch = whole.slice(at, TEXTS_AT_ONCE)
+                    text, term, _, size = counted_terms(batch.column(1), terms)
+                    if not len(text):
+                        continue
+                    n = first[term + 1] - first[term]
+                    place = np.repeat(first[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    hits = np.bincount(entry[place, 1] * batch.num_rows + np.repeat(text, n), minlength=len(qids) * batch.num_rows).reshape(len(qids), -1)
+                    sizes = np.ones(batch.num_rows)
+                    sizes[text] = size
+                    told = {"metadata": np.round(hits / sizes, DIGITS)} | {c: np.asarray(batch.column(2 + i).to_numpy(zero_copy_only=False), float)[None, :] for i, c in enumerate(STATIC)}
+                    score = np.zeros(hits.shape)
+                    for name, w in weights.items():  # in the order of the weights, as everywhere
+                        if name in told:
+                            score = score + w * told[name]
+                    score = np.floor(score * 10.0**DIGITS + 0.5) / 10.0**DIGITS
+                    best.add(batch.column(0).to_pylist(), np.where(hits > 0, score, -np.inf))
+            rows = [(qids[q], i, s) for q, i, s in best.rows() if s > -np.inf]
+            columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        found = docs.mapInArrow(run, schema)
+        out = found if out is None else out.unionByName(found)
+    order = Window.partitionBy("qid").orderBy(F.desc("s"), "id")
+    return out.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select("qid", "id")
 
 
 def weighted(weights: dict[str, float], without: tuple[str, ...] = ()) -> Column:
@@ -165,9 +231,9 @@ FEATURES = ("rrf", "bm25", "dense", "metadata", "graph", "enrichment")
 def first_stage(index: Index, queries: DataFrame, config: Settings, calibrated: bool = True, embedder: scoring.Embedder | None = None) -> DataFrame:
     """(qid, id, features, clause_scores, first_score, rank): the ``candidate_k`` best documents of each query before reranking.
 
-    Candidates are the documents in a list, those that share a metadata token and the ``candidate_k`` best by the
-    features that don't depend on the query.  No other document can be among the first: each of the latter
-    scores at least as much.
+    Candidates are the documents in a list, of those that share a metadata token the ``candidate_k`` best by that and by the
+    features that don't depend on the query, and the ``candidate_k`` best by the latter alone.  No other document can be
+    among the first: so many others score at least as much.
     """
     lists = materialize(ranked_lists(index, queries, config, embedder), "lists")
     weight = F.lit(0.0)
@@ -184,13 +250,14 @@ def first_stage(index: Index, queries: DataFrame, config: Settings, calibrated:
     )
     fused = fused.withColumn("rrf", F.round(F.col("rrf") / F.max("rrf").over(Window.partitionBy("qid")), DIGITS))
     doc = materialize(document_features(index, config, calibrated), "features")
-    static = weighted(config.weights, tuple(k for k in config.weights if k not in ("reliability", "importance", "contradiction_penalty")))
+    static = weighted(config.weights, tuple(k for k in config.weights if k not in STATIC))
     head = doc.orderBy(F.desc(static), "id").limit(config.candidate_k).select("id")
-    match = metadata_match(index, queries)
+    near = materialize(best_by_metadata(index, queries, doc, config), "near")
     asked = queries.select("qid", F.size(r.decompose(F.col("text"), config.max_subqueries)).alias("n_sub")).where("n_sub > 0")
-    pool = fused.select("qid", "id").unionByName(match.select("qid", "id")).unionByName(asked.select("qid").crossJoin(F.broadcast(head))).distinct()  # ``candidate_k`` rows
+    pool = fused.select("qid", "id").unionByName(near).unionByName(asked.select("qid").crossJoin(F.broadcast(head))).distinct()  # ``candidate_k`` rows
 
     def described(pool: DataFrame) -> DataFrame:
+        match = metadata_match(index, queries, pool)
         full = pool.join(asked, "qid").join(fused, ["qid", "id"], "left").join(match, ["qid", "id"], "left").join(doc, "id")
         full = full.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in (*FEATURES, "metadata_match")})
         by_sub = F.map_from_entries(F.coalesce("clauses", F.array().cast("array<struct<sub:int,clause:double>>")))
