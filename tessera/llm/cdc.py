@@ -24,8 +24,8 @@ from .common import Emitter, arrow_schema, materialize, rows
 
 #: Least, normal and largest size of a chunk, and the zero bits that end one before and after the normal size.
 LEAST, NORMAL, MOST, HARD, EASY = 8, 40, 160, 7, 4
-#: Hex digits of a chunk's digest: two of a hundred million different chunks share one with a chance of some 2 in 100 000 a chunk.
-DIGITS = 12
+#: Hex digits of a chunk's digest: two texts of a million chunks each share one by chance about once in two pairs.
+DIGITS = 10
 WINDOW = 32
 BLOCK = 1 << 20
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 1) for b in range(256)], np.uint32)
