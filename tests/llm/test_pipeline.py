@@ -185,4 +185,4 @@ def test_test_data_keeps_the_columns(spark):
 
 def test_every_operator_is_registered():
     names = list(queries.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 13))
