@@ -100,7 +100,7 @@ def test_containing(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
-@pytest.mark.parametrize("bins, few", [(4096, 100_000), (4, 3), (8, 1)])
+@pytest.mark.parametrize("bins, few", [(4096, 100_000), (16, 3)])
 def test_percentiles_by_refinement(spark, monkeypatch, bins, few):
     monkeypatch.setattr(evaluation, "BINS", bins)
     monkeypatch.setattr(evaluation, "FEW", few)
