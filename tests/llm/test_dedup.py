@@ -186,6 +186,12 @@ def test_remove_repeats(spark, monkeypatch, hot):
     assert fmindex.remove_repeats(docs(spark, [])).collect() == []
 
 
+def test_a_null_id_is_no_larger_id(spark):
+    text = " ".join(f"p{k}" for k in range(20))
+    got = {r.doc_id: r.n_removed for r in fmindex.remove_repeats(docs(spark, [(None, text), (3, text), (4, "x " + text)])).collect()}
+    assert got == {None: 0, 3: 0, 4: 20}
+
+
 def test_without_repeats_keeps_columns_and_white_space(spark):
     passage = " ".join(f"p{k}" for k in range(20))
     rows = [(1, f"a\n{passage}\tb"), (2, f"c  {passage}\n\nd"), (3, passage), (4, None), (5, "")]
