@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -209,3 +210,37 @@ def test_large_components_are_contracted(spark, links):
         assert modularity(links, list(groups.values()), two_m) >= 0.85 * direct
     plain = {r.title: r.community for r in communities.community_labels(entities, edges).collect()}
     assert plain == {x: g[0] for g in communities.greedy_modularity(links, two_m) for x in g} | {"Alone": "Alone"}
+
+
+def test_greedy_modularity_takes_the_best_union_each_time():
+    """Against all pairs of groups weighed anew before each union."""
+    def plain(links, two_m):
+        groups = {x: {x} for pair in links for x in pair}
+        degree = {x: sum(w * ((a == x) + (b == x)) for (a, b), w in links.items()) for x in groups}
+        while True:
+            between = {}
+            of = {x: g for g, xs in groups.items() for x in xs}
+            for (a, b), w in links.items():
+                if of[a] != of[b]:
+                    pair = tuple(sorted((of[a], of[b])))
+                    between[pair] = between.get(pair, 0.0) + w
+            found = min(((-(w / two_m * 2 - 2 * degree[a] * degree[b] / two_m**2), a, b) for (a, b), w in between.items()), default=(1.0,))
+            if found[0] > 0:
+                return sorted(sorted(g) for g in groups.values())
+            groups[found[1]] |= groups.pop(found[2])
+            degree[found[1]] += degree.pop(found[2])
+
+    r = random.Random(4)
+    for t in range(60):
+        names = [f"n{k}" for k in r.sample(range(100), r.randrange(2, 25))]
+        links = {tuple(sorted((names[0] if r.random() < 0.3 else r.choice(names), r.choice(names)))): r.choice([0.25, 0.5, 1.0, 2.0]) for _ in range(r.randrange(1, 60))}
+        two_m = 2 * sum(links.values()) * r.choice([1, 2])
+        assert communities.greedy_modularity(links, two_m) == plain(links, two_m), t
+
+
+def test_greedy_modularity_of_a_hub_is_quick():
+    n = 6000
+    links = {("hub", f"v{k:05d}") if k % 2 else (f"a{k:05d}", "hub"): 1 + k % 7 / 10 for k in range(n)}
+    began = time.time()
+    assert communities.greedy_modularity(links, 8 * sum(links.values())) == [sorted({x for pair in links for x in pair})]
+    assert time.time() - began < 30  # weighing all links of the hub at each union took minutes
