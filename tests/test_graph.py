@@ -244,3 +244,14 @@ def test_greedy_modularity_of_a_hub_is_quick():
     began = time.time()
     assert communities.greedy_modularity(links, 8 * sum(links.values())) == [sorted({x for pair in links for x in pair})]
     assert time.time() - began < 30  # weighing all links of the hub at each union took minutes
+
+
+def test_calibration_does_not_deal_edges_by_relation(spark):
+    edges = extraction.with_combined_degree(extraction.merge_edges(extraction.relation_rows(chunking.chunk_documents(documents(spark, [("a", "Alpha Works uses Beta Works.")])))))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = calibration.calibrate_edges(edges)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "SortMergeJoin [relation" not in plan and "BroadcastHashJoin [relation" in plan
