@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -51,7 +51,15 @@ def _relations(value: object) -> list[tuple]:
     return [tuple(None if x.get(k) is None else str(x[k]) for k in ("source", "target", "relation", "description")) for x in rows if isinstance(x, dict)]
 
 
-def parse_file(suffix: str, content: bytes) -> list[tuple[str, dict, list]]:
+def csv_rows(content: bytes) -> Iterator[tuple[str, dict, list]]:
+    """The rows of a CSV file, decoded and parsed as they are taken."""
+    csv.field_size_limit(1 << 31)  # texts may be long
+    lines = io.TextIOWrapper(io.BytesIO(content), "utf-8-sig", "replace", newline="")
+    for row in csv.DictReader(lines):
+        yield " ".join(map(str, row.values())), {str(k): _plain(v) for k, v in row.items() if v is not None}, []
+
+
+def parse_file(suffix: str, content: bytes) -> Iterable[tuple[str, dict, list]]:
     """(text, metadata, supplied relationships) of each row of a file; files of another kind have none."""
     if suffix in PDF:
         try:
@@ -59,14 +67,13 @@ def parse_file(suffix: str, content: bytes) -> list[tuple[str, dict, list]]:
         except ImportError as e:
             raise RuntimeError("reading PDF needs the optional package pypdf") from e
         return [("\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages), {}, [])]
-    body = content.decode("utf-8-sig" if suffix in TABLE else "utf-8", "replace")
+    if suffix in TABLE:
+        return csv_rows(content)
+    body = content.decode("utf-8", "replace")
     if suffix in TEXT:
         return [(body, {}, [])]
     if suffix in HTML:
         return [(html_text(body), {}, [])]
-    if suffix in TABLE:
-        csv.field_size_limit(1 << 31)  # texts may be long
-        return [(" ".join(map(str, row.values())), {str(k): _plain(v) for k, v in row.items() if v is not None}, []) for row in csv.DictReader(io.StringIO(body, newline=""))]
     if suffix in JSON:
         found = json.loads(body)
         return [row for v in (found if isinstance(found, list) else [found]) for row in json_row(v)]
@@ -102,10 +109,28 @@ def named(*suffixes: str) -> str:
     return "*{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in x) for x in suffixes) + "}"
 
 
+#: Rows, and characters of texts, that a task passes on together.
+PIECE_ROWS, PIECE_CHARS = 1000, 1 << 22
+
+
+def pieces(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """``rows`` (path, row, text, ..) in lists of bounded size."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r[2])
+        if len(held) >= PIECE_ROWS or size >= PIECE_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """ROW for each row of every readable file under ``path`` (a file or a folder, read recursively).
 
-    Files of JSON lines are read in splits, so that several tasks share a large one; all others are values that a task holds.
+    Files of JSON lines are read in splits, so that several tasks share a large one; all others are values that a task holds.  The
+    rows of a CSV file are parsed and passed on piece by piece, beside its bytes a task holds one piece.
     """
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     files = spark.read.option("recursiveFileLookup", "true").format("binaryFile").option("pathGlobFilter", named(*WHOLE)).load(path).select("path", "content", suffix.alias("suffix"))
@@ -118,8 +143,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(p, i, *r) for p, s, c in zip(pdf.path, pdf.suffix, pdf.content, strict=True) for i, r in enumerate(parse_file(s, bytes(c)))]
-            yield pd.DataFrame(rows, columns=["path", "row", "text", "metadata", "relationships"])
+            rows = ((p, i, *r) for p, s, c in zip(pdf.path, pdf.suffix, pdf.content, strict=True) for i, r in enumerate(parse_file(s, bytes(c))))
+            for some in pieces(rows):
+                yield pd.DataFrame(some, columns=["path", "row", "text", "metadata", "relationships"])
 
     return files.mapInPandas(parse, ROW).unionByName(lines.mapInPandas(parse_lines, ROW))
 

@@ -152,3 +152,15 @@ def test_scratch_tables_go_with_their_scope(spark):
         assert not any(map(os.path.exists, paths(inner))) and kept.count() == 4
     assert not any(map(os.path.exists, paths(kept)))
     assert materialize(spark.range(5), "c").count() == 5
+
+
+def test_csv_rows_are_parsed_piece_by_piece():
+    """The rows come as they are asked for, not as one list: the first is there before a later one is decoded."""
+    content = b"id,text\r\n" + b"".join(b'%d,"a ""word"",\r\nand more"\r\n' % k for k in range(5000)) + b'7,"\xff"\r\n'
+    rows = files.parse_file(".csv", content)
+    assert not isinstance(rows, list)
+    parts = list(files.pieces(("f", k, *r) for k, r in enumerate(rows)))
+    assert [len(p) for p in parts] == [1000] * 5 + [1]
+    assert parts[0][3] == ("f", 3, '3 a "word",\r\nand more', {"id": "3", "text": 'a "word",\r\nand more'}, []) and parts[-1][0][2] == "7 �"
+    large = list(files.pieces([("f", k, "x" * files.PIECE_CHARS) for k in range(3)]))
+    assert [len(p) for p in large] == [1, 1, 1]
