@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -37,9 +38,14 @@ def html_text(source: str | None) -> str:
     return " ".join(parser.found)
 
 
-@F.pandas_udf(StringType())
-def html_to_text(source: pd.Series) -> pd.Series:
-    return source.map(html_text)
+#: Pages of an Arrow batch that are Python strings at a time.
+PAGES = 64
+
+
+@F.arrow_udf(StringType())
+def html_to_text(source: pa.Array) -> pa.Array:
+    some = [pa.array([html_text(x) for x in source.slice(at, PAGES).to_pylist()], pa.string()) for at in range(0, len(source), PAGES)]
+    return pa.concat_arrays(some) if some else pa.array([], pa.string())
 
 
 def _plain(value: object) -> str:

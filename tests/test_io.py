@@ -4,6 +4,7 @@ import json
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +165,10 @@ def test_csv_rows_are_parsed_piece_by_piece():
     assert parts[0][3] == ("f", 3, '3 a "word",\r\nand more', {"id": "3", "text": 'a "word",\r\nand more'}, []) and parts[-1][0][2] == "7 �"
     large = list(files.pieces([("f", k, "x" * files.PIECE_CHARS) for k in range(3)]))
     assert [len(p) for p in large] == [1, 1, 1]
+
+
+def test_pages_are_converted_a_few_at_a_time():
+    pages = [None if k % 50 == 3 else f"<p>a{k} &lt;</p>\n<b> b </b>" for k in range(3 * files.PAGES + 5)]
+    got = files.html_to_text.func(pa.array(pages, pa.string()))  # an Arrow array in and out; no pandas series of a whole batch
+    assert got.to_pylist() == ["" if p is None else f"a{k} < b" for k, p in enumerate(pages)]
+    assert files.html_to_text.func(pa.array([], pa.string())).to_pylist() == []
