@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.common import Counter, log, main, settings
-from tessera.functions import text as t
 from tessera.operators import evaluation, scoring
 from tessera.storage import materialize, scratch
 
@@ -31,8 +30,7 @@ def report_rows(questions: DataFrame, documents: DataFrame, top_k: int) -> DataF
     without evidence are null.
     """
     gold = materialize(evaluation.containing(questions.withColumnRenamed("qid", "pid"), documents).select(F.col("pid").alias("qid"), "id").distinct(), "evidence")
-    tokens = materialize(documents.select("id", t.content_tokens(F.col("text")).alias("tokens")), "tokens")
-    ranked = materialize(scoring.bm25_top_k(tokens, questions, ["qid"], top_k), "ranked")
+    ranked = materialize(scoring.bm25_top_k(documents, questions, ["qid"], top_k), "ranked")
     order = F.struct(-F.col("score"), F.col("id"))
     listed = ranked.groupBy("qid").agg(F.sort_array(F.collect_list(order)).alias("l"), F.max("score").alias("best_score"))  # ``top_k`` rows a question
     places = listed.select("qid", F.posexplode("l").alias("p", "x")).select("qid", (F.col("p") + 1).alias("rank"), F.array("x.id").alias("ids"))
