@@ -14,7 +14,7 @@ from . import models
 from .config import Settings
 from .context import reliability_factor
 from .index import Index
-from .ranking import body_text, document_edges, rank_documents
+from .ranking import body_text, document_edges, field_tokens, rank_documents
 
 
 def bridge_entities(index: Index, queries: DataFrame, ranked: DataFrame, config: Settings) -> DataFrame:
@@ -51,9 +51,10 @@ def bridge_queries(queries: DataFrame, entities: DataFrame, most: int = 8) -> Da
     return first.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("n"))).where(F.col("n") <= most).select("qid", "n", "entity", "text")
 
 
-def mentions(index: Index, wanted: DataFrame) -> DataFrame:
-    """The (.., id, entity) rows of ``wanted`` whose document has all content tokens of the entity, or an edge with it."""
-    tokens = body_text(index).select("id", t.content_tokens(F.col("text")).alias("_b"))
+def mentions(index: Index, wanted: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """The (.., id, entity) rows of ``wanted`` whose document has all content tokens of the entity, or an edge with it; ``texts``: see ``rank_documents``."""
+    bodies = body_text(index).select("id", t.content_tokens(F.col("text")).alias("tokens")) if texts is None else texts.where("field = 'body'")
+    tokens = bodies.join(wanted.select("id").distinct(), "id", "left_semi").select("id", F.col("tokens").alias("_b"))
     in_text = wanted.join(tokens, "id").where(t.subset(t.content_tokens(F.col("entity")), F.col("_b"))).select(*wanted.columns)
     ends = document_edges(index).select("id", F.explode(F.array("source", "target")).alias("_e")).select("id", t.casefold(F.col("_e")).alias("_k")).distinct()
     some = F.size(t.content_tokens(F.col("entity"))) > 0
@@ -83,18 +84,19 @@ def merge_rankings(lists: DataFrame, top_k: int, config: Settings) -> DataFrame:
 def retrieve_iterative(index: Index, queries: DataFrame, config: Settings | None = None, calibrated: bool = True, top_k: int | None = None, embedder: scoring.Embedder | None = None, reranker: models.Reranker | None = None) -> DataFrame:
     """(qid, id, rank, score, title, snippet): ``rank_documents`` of the queries and of their bridge queries, merged.
 
-    All bridge queries of all queries are ranked in one plan.
+    All bridge queries of all queries are ranked in one plan.  The tokens of the documents are made once, for both rankings and the mentions.
     """
     config = config or Settings()
     top = top_k or config.top_k
     index = index.visible(calibrated, config.uses("use_inferred_edges"))
     own = ["qid", "id", "rank", "score", "title", "snippet"]
-    first = materialize(rank_documents(index, queries, config, calibrated, max(top, config.iterative_seed_k), embedder, reranker).select(*own), "first")
+    texts = materialize(field_tokens(index, config), "fields")
+    first = materialize(rank_documents(index, queries, config, calibrated, max(top, config.iterative_seed_k), embedder, reranker, texts).select(*own), "first")
     bridges = materialize(bridge_queries(queries, bridge_entities(index, queries, first, config), config.iterative_bridge_k), "bridges")
     asked = bridges.select(F.concat_ws("#", F.col("qid").cast("string"), "n").alias("qid"), F.col("qid").alias("_qid"), "n", "entity", "text")
-    more = materialize(rank_documents(index, asked.select("qid", "text"), config, calibrated, max(top, config.candidate_k), embedder, reranker).select(*own), "more")
+    more = materialize(rank_documents(index, asked.select("qid", "text"), config, calibrated, max(top, config.candidate_k), embedder, reranker, texts).select(*own), "more")
     more = more.join(asked.select("qid", "_qid", "n", "entity"), "qid").drop("qid").withColumnRenamed("_qid", "qid")
-    heard = mentions(index, more)
+    heard = mentions(index, more, texts)
     ranked = heard.withColumn("rank", F.row_number().over(Window.partitionBy("qid", "n").orderBy("rank")))
     lists = first.select("qid", F.lit(0).alias("list"), F.lit(1.0).alias("weight"), *own[1:]).unionByName(
         ranked.select("qid", F.col("n").alias("list"), F.lit(config.iterative_bridge_weight).alias("weight"), *own[1:])

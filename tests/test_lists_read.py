@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as t
 from tessera.plans import index as plans
-from tessera.plans import ranking
+from tessera.plans import iterative, ranking
 from tessera.plans.config import Settings
 
 
@@ -39,3 +39,17 @@ def test_bodies_of_documents_with_and_without_units(spark, monkeypatch):
     got = {x.id: x.text for x in ranking.body_text(plans.Index(docs, units, docs, docs)).collect()}
     assert got == {1: "Old Mill. first second", 2: "blank.  \n", 3: ". few words", None: "nameless. no id here"}
     assert written == [("bare", ["id"])]
+
+
+def test_an_iterative_retrieval_makes_tokens_once(spark, monkeypatch):
+    ranked, outer = watched(monkeypatch, ranking), watched(monkeypatch, iterative)
+    docs = spark.createDataFrame([(i, f"t{i}", f"Old Mill causes New Town. Big River prevents Old Mill. word{i}") for i in range(4)], "id long, title string, text string")
+    index = plans.build_index(docs, with_communities=False)
+    queries = spark.createDataFrame([(1, "what does the old mill cause")], "qid int, text string")
+    config = Settings(use_dense=False, use_enrichment=False)
+    assert iterative.retrieve_iterative(index, queries, config).count() == 4
+    assert [n for n, _ in outer].count("fields") == 1 and "fields" not in [n for n, _ in ranked]
+    assert [n for n, _ in ranked].count("bare") == 1
+    wanted = spark.createDataFrame([(1, 0, "word0"), (1, 1, "word0"), (1, 2, "New Town")], "qid int, id long, entity string")
+    own = {tuple(r) for r in iterative.mentions(index, wanted, ranking.field_tokens(index, config)).collect()}
+    assert own == {tuple(r) for r in iterative.mentions(index, wanted).collect()} == {(1, 0, "word0"), (1, 2, "New Town")}
