@@ -1,8 +1,15 @@
 """How often the queries read their texts, and what they write on the way."""
 
+import time
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
 from tessera import queries
-from tessera.operators import chunking
+from tessera.operators import calibration, chunking
 from tessera.plans import index as index_plans
+from tessera.storage import materialize
 
 TEXT = "Alpha Works uses Beta Works. Beta Works causes Gamma Hall.\nGamma Hall is part of Delta Town"
 
@@ -60,3 +67,37 @@ def test_two_hop_paths_write_narrow_edges(spark, tmp_path):
     found = queries.QUERIES["graph_two_hop_paths"](spark, str(tmp_path))
     assert spark.read.parquet(*found.inputFiles()).columns == ["id", "source", "target"]
     assert sorted((r["source"], r["via"], r["target"]) for r in found.collect()) == [("s1", "p1", "bBrand#1"), ("s1", "p1", "bBrand#1"), ("s2", "p1", "bBrand#1")]
+
+
+def shuffle_files(spark):
+    return {x for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split() if x.startswith("shuffle_")}
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    before = shuffle_files(spark)
+    assert materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts").count() == 7
+    until = time.time() + 20
+    while time.time() < until and any(x.endswith(".data") for x in shuffle_files(spark) - before):
+        time.sleep(0.2)
+    left = shuffle_files(spark) - before
+    assert len([x for x in left if x.endswith(".data")]) <= 1, left  # that of the last count
+
+
+def test_edges_are_dealt_once_for_their_pairs(spark):
+    edges = spark.createDataFrame([("e", "A", "B", "uses", "A uses B", "table", 0.8, True, "ok", ["d"], 2)], "id string, source string, target string, relation string, evidence_text string, evidence_type string, llm_conf double, ontology_ok boolean, conflict_status string, source_docs array<string>, combined_degree long")
+    plan = calibration.calibrate_edges(edges).select("id", "reliability")._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(_s#" in x]
+    assert len(dealt) == 1, plan
+
+
+@pytest.mark.parametrize("name", ["calibrate_trade_edges"])
+def test_odd_trade_equals_its_sql(spark, tmp_path, name):
+    lines = [(1, 1, 1, "R"), (2, 1, 1, "A"), (3, 1, 1, "N"), (4, 1, 1, "O"), (5, 2, 1, None), (6, None, 2, "R"), (7, 2, None, "R"), (8, 2, 3, "N"), (8, 2, 3, "N")]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "Brand#1"), (2, "Brand#2"), (3, None), (4, "s1")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for table in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    wanted = sorted(con.execute(queries.SQL[name]).fetchall())
+    found = sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
+    assert found == wanted and found
