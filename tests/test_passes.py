@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import queries
-from tessera.operators import calibration, chunking
+from tessera.operators import calibration, chunking, graph
 from tessera.plans import index as index_plans
 from tessera.storage import materialize
 
@@ -90,7 +90,13 @@ def test_edges_are_dealt_once_for_their_pairs(spark):
     assert len(dealt) == 1, plan
 
 
-@pytest.mark.parametrize("name", ["calibrate_trade_edges"])
+def test_seeds_of_one_id_follow_each_other(spark):
+    rows = [("x", "A", "B", 0.9), ("x", "A", "B", 0.9), ("y", "B", "C", 0.5), ("z", "B", "D", 0.4)]
+    edges = spark.createDataFrame(rows, "id string, source string, target string, reliability double").withColumn("ord", F.col("id"))
+    assert [r["next_id"] for r in graph.inference_pairs(edges).orderBy("k").collect()] == ["y", "z", "y", "z"]
+
+
+@pytest.mark.parametrize("name", ["calibrate_trade_edges", "graph_inference_pairs"])
 def test_odd_trade_equals_its_sql(spark, tmp_path, name):
     lines = [(1, 1, 1, "R"), (2, 1, 1, "A"), (3, 1, 1, "N"), (4, 1, 1, "O"), (5, 2, 1, None), (6, None, 2, "R"), (7, 2, None, "R"), (8, 2, 3, "N"), (8, 2, 3, "N")]
     spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
