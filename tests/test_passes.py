@@ -1,5 +1,6 @@
 """How often the queries read their texts, and what they write on the way."""
 
+import random
 import time
 
 import duckdb
@@ -7,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import queries
-from tessera.operators import calibration, chunking, graph
+from tessera.operators import calibration, chunking, graph, scoring
+from tessera.plans import context
 from tessera.plans import index as index_plans
 from tessera.storage import materialize
 
@@ -107,3 +109,22 @@ def test_odd_trade_equals_its_sql(spark, tmp_path, name):
     wanted = sorted(con.execute(queries.SQL[name]).fetchall())
     found = sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
     assert found == wanted and found
+
+
+def test_only_texts_that_can_be_chosen_are_pairs(spark):
+    words = [f"word{k}" for k in range(40)]
+    r = random.Random(3)
+    units = spark.createDataFrame([(f"u{k:03}", " ".join(r.choices(words, k=r.randrange(5, 30)))) for k in range(300)] + [(f"v{k}", "word1 word2 word3 word4 word5") for k in range(30)], "id string, text string")
+    queries = spark.createDataFrame([(q, " ".join(r.choices(words, k=6))) for q in range(4)], "qid int, text string")
+    own = units.withColumns({"useful_for": F.array().cast("array<string>"), "reliability": F.lit(0.7)})
+    made = lambda lone, pool: context.scored(queries, own, "text_unit", context.Scale("hybrid"), F.lit(0.9), (0.65, 0.35), lone=lone)(pool)
+    every, few = made(False, 10_000).collect(), {(x.qid, x.item): x for x in made(True, 3).collect()}
+    terms = scoring.query_terms(queries, ["qid"])
+    bm25 = {(x.qid, x.id): x.score for x in scoring.bm25(scoring.postings(units, ["id"]), scoring.corpus_stats(units, []), terms, ["qid"], [], ["id"]).collect()}
+    near = {(x.qid, x.id): x.embedding for x in scoring.dense_scores(queries, units).collect()}
+    assert len(every) == 4 * 330 and all(abs(x.utility - 0.65 * bm25.get((x.qid, x.item), 0.0) - 0.35 * near[x.qid, x.item]) < 1e-8 for x in every)
+    key = lambda x: (-x.score, x.token_count, x.item)
+    for x in every:
+        better = sum(1 for y in every if y.qid == x.qid and y.token_count <= x.token_count and key(y) < key(x))
+        assert better > 3 or few[x.qid, x.item].score == x.score
+    assert len(few) < len(every) / 4
