@@ -128,3 +128,21 @@ def test_only_texts_that_can_be_chosen_are_pairs(spark):
         better = sum(1 for y in every if y.qid == x.qid and y.token_count <= x.token_count and key(y) < key(x))
         assert better > 3 or few[x.qid, x.item].score == x.score
     assert len(few) < len(every) / 4
+
+
+def test_parts_are_weighed_where_they_meet(spark, monkeypatch):
+    r, words = random.Random(5), [f"word{k}" for k in range(15)]
+    units = [(d, p, r.choices(words, k=r.randrange(1, 12))) for d in range(12) for p in range(1 + d % 4)] + [(20, p, ["word1", "word2"]) for p in range(3)]
+    units = spark.createDataFrame(units, "id int, position int, tokens array<string>")
+    queries = spark.createDataFrame([(q, " ".join(r.choices(words, k=5))) for q in range(5)] + [(9, "nothing")], "qid int, text string")
+    terms = scoring.query_terms(queries, ["qid"])
+    wanted = units.select("id").distinct().crossJoin(queries.select("qid"))
+    scores = scoring.bm25(scoring.postings(units, ["id", "position"]), scoring.corpus_stats(units, ["id"]), terms.join(wanted, "qid"), ["qid", "id"], ["id"], ["position"]).collect()
+    best = {}
+    for x in scores:
+        best[x.qid, x.id] = min(best.get((x.qid, x.id), (1, 0)), (-x.score, x.position))
+    told = []
+    monkeypatch.setattr(scoring, "materialize", lambda df, name, keep=False: told.append(name) or materialize(df, name, keep))
+    wholes = units.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("position", "tokens"))).alias("units")).join(wanted.groupBy("id").agg(F.collect_set("qid").alias("qids")), "id")
+    assert {(x.qid, x.id): x.position for x in scoring.best_parts(wholes, queries).collect()} == {k: v[1] for k, v in best.items()}
+    assert told == []  # neither postings nor sums
